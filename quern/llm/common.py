@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one slice that a mapping function sees at once, and about how many bytes of text.
@@ -55,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterat
             for at in range(0, n, SLICE_ROWS):
                 yield batch.slice(at, SLICE_ROWS)
             continue
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), dtype=np.float64))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), dtype=np.float64))
         ends, at = np.cumsum(sizes), 0
         while at < n:
             before = ends[at - 1] if at else 0.0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing
+from quern.llm import mixing, neardup
 from quern.llm.common import table
 
 
@@ -14,5 +14,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_mixing": op4_mixing}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_mixing": op4_mixing, "op10_neardup": op10_neardup}
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle()}
