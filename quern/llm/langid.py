@@ -200,6 +200,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, accepted boolean", text="text")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose prediction is accepted, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def keep(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda t: shared.value.predict(t if isinstance(t, str) else None)[2])
+
+    return docs.filter(keep(F.col("text").cast("string")))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of doc_id as text, modulo 4, is 2: such rows are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
