@@ -1,21 +1,53 @@
-"""The corpus pipeline: stages in order, each over all that the one before it kept."""
+"""The corpus pipeline: stages in order, each over all that the one before it kept.
+
+Language identification drops what it rejects; of each group of near duplicates one document stays; personal data is
+masked; sources are mixed to their target weights (a row for each copy that the mix takes); the texts are encoded.
+Every stage but the last gives the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import mixing
+from quern.llm import langid, mixing, neardup, pieces, pii
 from quern.llm.common import written
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is identified; the model learns from labelled rows that are not held out."""
+    return langid.accepted(docs, langid.fitted(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    return neardup.one_of_each(docs, width=5, percent=80)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked in their texts."""
+    return pii.without_personal(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources to their target weights: a row for each copy of a document that the mix takes."""
     return mixing.mixed_texts(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mix_sources", mix_sources)]
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each row, with merge dropout, checked by decoding them again."""
+    return pieces.encoded(docs, F.col("doc_id"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", keep_identified),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mix", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
 
 #: SQL cannot express trained models; tests compare the stages with brute force instead.
 ORACLE_SQL = None
