@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, mixing, neardup, pieces, pii, secrets
+from quern.llm import langid, mixing, neardup, pieces, pii, secrets, tokenfile
 from quern.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.stored_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encoded(docs, F.col("doc_id"))
@@ -38,5 +42,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op7_tokens": op7_tokens, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup}
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle()}
