@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, media, mixing, neardup, pieces, pii, secrets, tokenfile, topk
+from quern.llm import htmltext, langid, media, mixing, neardup, pieces, pii, secrets, tokenfile, topk
 from quern.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op2_htmltext": op2_htmltext, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup}
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(), "op5_topk": topk.ORACLE}
