@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import cut
+
 #: A modulus below 2**31, so that products of two residues fit in 64 bits.
 P = 2147483647
 #: Words in a block; rounds of the permutation; buckets of a source's documents; factor of the mix; weights.
-BLOCK, ROUNDS, BUCKETS, SHARE, WEIGHTS = 128, 24, 1024, 1.5, (3, 1, 2)
+BLOCK, ROUNDS, BUCKETS, SHARE, WEIGHTS = 128, 12, 1024, 1.5, (3, 1, 2)
 #: Distinct sources up to which their table is broadcast (about 100 bytes each).
 SMALL_SOURCES = 50_000
 #: Slots of one row while slots are dealt out.
@@ -31,8 +33,11 @@ RUN = 2048
 
 
 def words(text: Column) -> Column:
-    """Number of runs of characters other than space and \\x09-\\x0D; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    """Number of runs of characters other than space and \\x09-\\x0D; 0 for null. Plain replacing and splitting: no regular expression runs."""
+    t = text.cast("string")
+    for code in range(9, 14):
+        t = F.replace(t, F.lit(chr(code)), F.lit(" "))
+    return F.coalesce(F.size(F.array_remove(F.split(t, " "), "")), F.lit(0)).cast("long")
 
 
 def _mod(x: Column, n: Column | int) -> Column:
@@ -71,22 +76,31 @@ def sources(sized: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     return by.select("src", "source_size", "rank", "weight", "target", "blocks", "passes", "rest")
 
 
-def permuted(k: Column, n: Column, key: Column, inverse: bool = False, rounds: int = ROUNDS) -> Column:
-    """The place of k in a pseudorandom permutation of 0 .. n-1: rounds of "swap or not"; or, inverse, of its inverse.
+def round_keys(key: Column, n: Column, inverse: bool = False, rounds: int = ROUNDS) -> Column:
+    """For each round of a permutation of 0 .. n-1: the number r of its pairs, and two numbers of its hash."""
+
+    def one(i: Column) -> Column:
+        seed = _mod((key + 1) * 1103515245 + i * 69069 + 12345, P)
+        return F.struct(_mod(_mod(seed * 16807, P), n).alias("r"), seed.alias("s"), _mod(seed * 69621, P).alias("t"))
+
+    order = (rounds, 1, -1) if inverse else (1, rounds, 1)
+    return F.transform(F.sequence(*[F.lit(x).cast("long") for x in order]), one)
+
+
+def permuted(k: Column, n: Column, keys: Column) -> Column:
+    """The place of k in a pseudorandom permutation of 0 .. n-1: rounds of "swap or not".
 
-    In a round with a number r in 0 .. n-1, x and (r - x) mod n form a pair; a keyed hash of the larger of the two
-    says whether they change places. Each round is its own inverse, so the whole is a bijection for any n.
+    In a round with a number r, x and (r - x) mod n form a pair; a keyed hash of the larger of the two says whether
+    they change places. Each round is its own inverse, so the whole is a bijection for any n, and its inverse takes
+    the rounds from the last to the first.
     """
 
-    def step(x: Column, i: Column) -> Column:
-        seed = _mod((key + 1) * 1103515245 + i * 69069 + 12345, P)
-        other = _mod(_mod(seed * 16807, P) - x, n)
-        high = F.greatest(x, other)
-        bit = F.shiftright(_mod(_mod(high + seed, P) * 48271 + _mod(seed * 69621, P), P), 7) % 2
+    def step(x: Column, key: Column) -> Column:
+        other = F.when(x <= key["r"], key["r"] - x).otherwise(key["r"] - x + n)
+        bit = F.shiftright(((F.greatest(x, other) + key["s"]) % P * 48271 + key["t"]) % P, 7) % 2
         return F.when(bit == 1, other).otherwise(x)
 
-    order = (rounds, 1, -1) if inverse else (1, rounds, 1)
-    return F.aggregate(F.sequence(*[F.lit(x).cast("long") for x in order]), k.cast("long"), step)
+    return F.aggregate(keys, k.cast("long"), step)
 
 
 def slots(plan: DataFrame, block: int = BLOCK, slots_per_shard: int = 65536) -> DataFrame:
@@ -96,48 +110,53 @@ def slots(plan: DataFrame, block: int = BLOCK, slots_per_shard: int = 65536) ->
     the inverse permutation tells which slot of the last pass takes it, so each slot knows how many words came before.
     """
     every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    key = F.col("rank") * 7919
     p = plan.filter("source_size > 0").withColumn("short", F.col("blocks") * block - F.col("source_size"))
-    p = p.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), key + F.col("passes"), inverse=True))
-    p = p.withColumn("n", F.expr(f"passes * blocks + least(blocks, if(rest > 0, (rest + short + {block - 1}) div {block}, 0L))"))
+    p = p.select("*", F.explode(F.expr("sequence(0L, passes)")).alias("pass"))
+    p = p.withColumn("n", F.expr(f"if(pass < passes, blocks, if(rest > 0, least(blocks, (rest + short + {block - 1}) div {block}), 0L))"))
     p = p.withColumn("shards", F.ceil(F.sum("n").over(every) / slots_per_shard).cast("long")).filter("n > 0")
-    p = p.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("run")).repartition("src", "run")
-    s = p.select("*", F.explode(F.expr(f"sequence(run * {RUN}, least(n, (run + 1) * {RUN}) - 1)")).alias("slot"))
-    s = s.withColumn("pass", F.expr("slot div blocks")).withColumn("k", F.expr("slot % blocks"))
-    s = s.withColumn("block_no", permuted(F.col("k"), F.col("blocks"), key + F.col("pass")))
+    key = F.col("rank") * 7919 + F.col("pass")
+    p = p.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), round_keys(key, F.col("blocks"), inverse=True)))
+    p = p.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("run"))
+    spark = plan.sparkSession
+    p = p.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 4), "src", "pass", "run")
+    s = p.withColumn("keys", round_keys(key, F.col("blocks"))).select("*", F.explode(F.expr(f"sequence(run * {RUN}, least(n, (run + 1) * {RUN}) - 1)")).alias("k"))
+    s = s.withColumn("block_no", permuted(F.col("k"), F.col("blocks"), F.col("keys")))
     s = s.withColumn("fill", F.expr(f"{block} - if(block_no = blocks - 1, short, 0L)"))
     left = F.expr(f"rest - (k * {block} - if(short_at < k, short, 0L))")
     s = s.withColumn("words", F.when(F.col("pass") < F.col("passes"), F.col("fill")).otherwise(F.least(F.col("fill"), left)))
-    s = s.filter("words > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(17), "rank", "slot"), F.col("shards")))
-    return s.select("src", "pass", "block_no", "words", (F.col("words") == F.col("fill")).alias("whole"), "shard", F.xxhash64(F.lit(23), "rank", "slot").alias("place"))
+    s = s.filter("words > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(17), "rank", "pass", "k"), F.col("shards")))
+    return s.select("src", "pass", "block_no", "words", (F.col("words") == F.col("fill")).alias("whole"), "shard", F.xxhash64(F.lit(23), "rank", "pass", "k").alias("place"))
+
+
+def laid_out(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id, source, size) with src and bucket, dealt out by them."""
+    a = docs.withColumn("src", F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
+    return a.withColumn("bucket", _bucket(F.col("doc_id"), BUCKETS)).repartition("src", "bucket")
 
 
-def packed(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """docs (with doc_id, source, size) with src and off, the words of its source before it; and the sizes by source and bucket.
+def packed(docs: DataFrame, sums: DataFrame) -> DataFrame:
+    """docs laid out, with off: the words of its source before it.
 
-    Order within a source is by bucket of doc_id, then doc_id. Sizes are summed by (source, bucket) first; the sums
-    before a bucket come from that small table, and only rows of one bucket are ever ordered together.
+    Order within a source is by bucket of doc_id, then doc_id. The sums before a bucket come from the small table of
+    sizes by (source, bucket), and only rows of one bucket are ever ordered together.
     """
-    a = docs.withColumn("src", F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
-    a = a.withColumn("bucket", _bucket(F.col("doc_id"), buckets)).repartition("src", "bucket")
-    sums = a.groupBy("src", "bucket").agg(F.sum("size").alias("size"))
-    parts = sums.withColumn("base", F.coalesce(F.sum("size").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.select("src", "bucket", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"))
     within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    a = a.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    a = a.join(parts.select("src", "bucket", "base"), ["src", "bucket"]).withColumn("off", F.col("base") + F.col("ahead"))
-    return a.drop("bucket", "base", "ahead"), sums
+    a = docs.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    a = a.join(parts, ["src", "bucket"]).withColumn("off", F.col("base") + F.col("ahead"))
+    return a.drop("bucket", "base", "ahead")
 
 
-def taken_parts(docs: DataFrame, few_sources: bool, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The packed docs with source_size and target; and their parts in blocks that the mix takes.
+def taken_parts(laid: DataFrame, sums: DataFrame, few_sources: bool, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The packed rows with source_size and target; and their parts in blocks that the mix takes.
 
     A part has src, off and doc_id of its document, from_word and to_word in it, whole (times taken as a whole) and
     upto (words of it that the cut slot takes once more).
     """
-    laid, sums = packed(docs)
     plan = sources(sums, block=block)
     told = plan.select("src", "source_size", "target")
-    laid = laid.join(F.broadcast(told) if few_sources else told, "src")
+    laid = packed(laid, sums).join(F.broadcast(told) if few_sources else told, "src")
     used = slots(plan, block).groupBy("src", "block_no").agg(F.count(F.when(F.col("whole"), 1)).alias("whole"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("cut"))
     key = laid.filter("size > 0").select("src", "off", "doc_id", "size", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")).alias("block_no"))
     seg = key.join(used, ["src", "block_no"])
@@ -146,6 +165,12 @@ def taken_parts(docs: DataFrame, few_sources: bool, block: int = BLOCK) -> tuple
     return laid, seg.select("src", "off", "doc_id", "from_word", "to_word", "whole", "upto")
 
 
+def sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source and size of every row, laid out; and the sizes by source and bucket. The texts are read once."""
+    rows = cut(laid_out(docs.select("doc_id", "source", words(F.col("text")).alias("size"))))
+    return rows, cut(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")))
+
+
 def few(docs: DataFrame, most: int = SMALL_SOURCES) -> bool:
     """Whether docs has so few sources that a table of them may be broadcast; reads that column alone."""
     return docs.select("source").distinct().limit(most + 1).count() <= most
@@ -153,8 +178,8 @@ def few(docs: DataFrame, most: int = SMALL_SOURCES) -> bool:
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of it in the mix, repeats counted) of every row of docs."""
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    laid, seg = taken_parts(sized, few(docs), block)
+    rows, sums = sizes(docs)
+    laid, seg = taken_parts(rows, sums, few(docs), block)
     took = seg.groupBy("src", "off", "doc_id").agg(F.sum(F.expr("(to_word - from_word) * whole + upto")).alias("taken"))
     none = laid.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     some = laid.filter("size > 0").join(took.withColumnRenamed("doc_id", "_id"), ["src", "off"], "left")
@@ -169,8 +194,8 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     names = docs.columns
     own = [c for c in names if c not in ("doc_id", "source", "text")]
-    sized = docs.select("doc_id", "source", "text", F.struct(*own).alias("own") if own else F.lit(None).alias("own"), words(F.col("text")).alias("size"))
-    laid, seg = taken_parts(sized, few(docs), block)
+    with_texts = docs.select("doc_id", "source", "text", F.struct(*own).alias("own") if own else F.lit(None).alias("own"), words(F.col("text")).alias("size"))
+    laid, seg = taken_parts(laid_out(with_texts), sizes(docs)[1], few(docs), block)
     part = F.struct("from_word", "to_word", "whole", "upto")
     lists = seg.groupBy("src", "off").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     full = laid.filter("size > 0").join(lists, ["src", "off"])
