@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.functions import redact
 from quern.sources.files import infra_target, is_config, lines
@@ -66,7 +67,7 @@ _QUOTED = {True: re.compile(r"""'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)|
 _HASH = re.compile(r"""'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)|#.*""")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def masked(line: pd.Series, language: pd.Series) -> pd.Series:
     """A line with quoted text and what follows a comment sign blanked."""
 
