@@ -159,7 +159,7 @@ def taken_parts(laid: DataFrame, sums: DataFrame, few_sources: bool, block: int
     laid = packed(laid, sums).join(F.broadcast(told) if few_sources else told, "src")
     used = slots(plan, block).groupBy("src", "block_no").agg(F.count(F.when(F.col("whole"), 1)).alias("whole"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("cut"))
     key = laid.filter("size > 0").select("src", "off", "doc_id", "size", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")).alias("block_no"))
-    seg = key.join(used, ["src", "block_no"])
+    seg = key.join(used.hint("merge"), ["src", "block_no"])  # Spark takes what it explodes for small and would broadcast it
     seg = seg.withColumn("from_word", F.expr(f"greatest(0L, block_no * {block} - off)")).withColumn("to_word", F.expr(f"least(size, (block_no + 1) * {block} - off)"))
     seg = seg.withColumn("upto", F.expr(f"greatest(0L, least(to_word, block_no * {block} + coalesce(cut, 0L) - off) - from_word)"))
     return laid, seg.select("src", "off", "doc_id", "from_word", "to_word", "whole", "upto")
