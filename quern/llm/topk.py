@@ -202,8 +202,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     known = map_rows(q.join(lists.withColumnRenamed("q_no", "_n"), F.col("q_no") == F.col("_n"), "left").select("q_no", "q_n", "at", "q_ints"), bounded, "q_no long, q_bounds binary, reach double")
     every = q.join(known, "q_no").select("*", F.explode(F.expr(f"if({count} > 1, sequence(1L, {max(1, count - 1)}L), array())")).alias("c_no"))
     longest = _side(cand, "c").select(F.col("c_no"), F.col("c_longest").alias("reachable"))
-    near = every.join(longest, "c_no").filter("reachable * (1 + 1e-9) + 1e-6 >= reach").drop("reachable", "reach")
-    pairs = near.join(_side(cand, "c"), "c_no")
+    near = every.hint("merge").join(longest, "c_no").filter("reachable * (1 + 1e-9) + 1e-6 >= reach").drop("reachable", "reach")
+    pairs = near.join(_side(cand, "c").hint("merge"), "c_no")
     found = first.unionByName(_scored(pairs.select(head.columns), dim, k)).select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
