@@ -286,7 +286,8 @@ def encoded(docs: DataFrame, key: Column, path: str | None = None, rate: float =
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
     more = ", ids_crc32 long, decoded_sha256 string" if checked else ""
     out = map_rows(work, run, f"rest struct<{fields}>, ids array<int>, n_tokens long{more}", text="text")
-    return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in rest if c not in out.columns], *[c for c in out.columns if c != "rest"])
+    made = out.columns[1:]
+    return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in rest if c not in made], *made)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
