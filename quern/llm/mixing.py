@@ -199,7 +199,8 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     part = F.struct("from_word", "to_word", "whole", "upto")
     lists = seg.groupBy("src", "off").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     full = laid.filter("size > 0").join(lists, ["src", "off"])
-    pieces = F.expr(r"regexp_extract_all(text, '^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+|[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+', 0)")
+    space, solid = r"[\x20\x09-\x0D]*+", r"[^\x20\x09-\x0D]++"
+    pieces = F.regexp_extract_all("text", F.lit(f"^{space}{solid}{space}|{solid}{space}"), F.lit(0))
     full = full.withColumn("pieces", pieces)
 
     def text(copy: int) -> Column:
