@@ -7,9 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import redact
 from quern.functions.text import SARIF_LEVEL, SARIF_SCORE, context_of, mapped
 from quern.operators import findings as fd
 from quern.operators import lines as ln
+from quern.sources.files import lines
 
 FINDING = "rule string, cwe string, category string, tier string, severity string, confidence string, context string, file string, line int, function string, description string, flow struct<source_line:int,sink_line:int>"
 SCHEMA_VERSION = "3"
@@ -94,5 +96,8 @@ def text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("conf/d"), F.col("doc_id").cast("string"), F.lit(".properties")).alias("rel_path"), F.lit(None).cast("string").alias("language"), F.col("text").alias("content"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("web/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel_path"), F.lit("html").alias("language"), F.col("html").alias("content"))
     found = text_findings(docs.unionByName(pages))
+    config = lines(docs, "content", "rel_path").filter(redact.config_line(F.col("line")) != F.col("line"))
+    values = {"rule": F.lit("any-hardcoded-secret"), "tier": F.lit("text"), "severity": F.lit("critical"), "context": context_of(F.col("rel_path")), "file": F.col("rel_path"), "line": F.col("line_no").cast("int"), "description": F.lit("sensitive value in configuration")}
+    found = found.unionByName(config.select(*[v.alias(k) for k, v in values.items()]), allowMissingColumns=True)
     kept = fd.first_of_each(found, "description").withColumn("baselined", F.lit(False))
     return fd.matrix(kept)
