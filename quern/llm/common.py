@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of results that nothing refers to any more, as after a cut lineage.
+
+    Without it they stay until the driver happens to collect its garbage, so many small steps would pile them up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, written and read again."""
     spark = df.sparkSession

@@ -11,10 +11,12 @@ by taking the larger byte. Two registers agree with a probability close to the J
    its maximum within MARGIN of the threshold; MARGIN is over 4 standard deviations.
 4. The full sets of what is left are read again from the texts and compared exactly.
 5. Links join classes to components (alternating large-star and small-star steps).
-6. Buckets that now hold more than one component are looked at whole: every pair across components is estimated, in
-   blocks of at most BLOCK x BLOCK rows, so a bucket of any size is covered exactly and no task gets all of it.
-   What passes is verified, and components are formed again. So each pair that shares a band is either in one
-   component already or has been tested.
+6. Buckets that now hold more than one component are looked at whole, in cells of about BLOCK x BLOCK rows, so a bucket
+   of any size is covered exactly and no task gets all of it. In a first round a document tries its most likely
+   partners in each other component; after components are formed again, a second round tries every likely pair that is
+   still across components, on the full sets within the cell, and gives at most one link for a document and a
+   component. So each pair that shares a band is either in one component or has been tested, and no step gives more
+   rows than documents times bands.
 
 Defined cases: null or empty text, or text of white space only, has an empty set, is linked with nothing and kept;
 a text with fewer words than a shingle has its whole sequence as its one shingle; rows that repeat a doc_id count as
@@ -28,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, map_rows, mix64, word_hashes, written
+from quern.llm.common import cut, map_rows, mix64, released, slices, word_hashes, written
 
-BANDS, ROWS, BASE, MARGIN, BLOCK = 40, 6, 1.09, 0.12, 512
+BANDS, ROWS, BASE, MARGIN = 40, 6, 1.09, 0.12
+#: Rows and shingles of a side of a cell; pairs of a document and a component that are tried first.
+BLOCK, BLOCK_SIZE, FIRST = 512, 1_000_000, 2
 M = BANDS * ROWS
 _OFFSET = 30  # registers of x up to e**2.6 stay above 0
 #: Documents whose ids may be broadcast to fetch their texts (8 bytes each); above it the join shuffles.
@@ -157,13 +161,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     sets = written(_sets(docs, ids, width), "shingle-sets")
 
     def run(part: pa.RecordBatch) -> dict:
-        keep = []
-        for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist()):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-            keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+        sets_a, sets_b = ([np.frombuffer(x, dtype=np.uint64) for x in part.column(c).to_pylist()] for c in ("set_a", "set_b"))
+        keep = [_confirmed(x, y, percent) for x, y in zip(sets_a, sets_b)]
         keep = np.array(keep, dtype=bool)
         return {"a": part.column("a").to_numpy()[keep], "b": part.column("b").to_numpy()[keep]}
 
@@ -186,6 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small)
+        del both, least, large, near, small
+        released(e.sparkSession)
         now = e.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -194,24 +195,52 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs a, b across components in buckets of three or more; pairs with the bucket's hub were tested before."""
+def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups (key) of rep, hub, label and main, which together hold every pair across components that shares a bucket.
+
+    Of buckets of three or more with several components, the smallest one is the main one. Documents outside it meet
+    all its members that share a bucket with others, in one group for each main component, whatever the number of
+    buckets that they share; what is outside the main component of a bucket meets in a group of its own.
+    """
     m = members.filter("cnt > 2").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     m = m.withColumn("label", F.coalesce("component", "rep")).select("key", "rep", "hub", "label")
-    mixed = m.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count("rep").alias("n")).filter("main != other").drop("other")
-    odd = m.join(mixed, "key").filter("label != main").groupBy("key").agg(F.count("rep").alias("odd"))
-    m = m.join(mixed.join(odd, "key"), "key").withColumn("rbs", F.expr(f"(n - 1) div {BLOCK} + 1")).withColumn("cbs", F.expr(f"(odd - 1) div {BLOCK} + 1"))
+    mixed = m.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("other")).filter("main != other").drop("other")
+    m = cut(m.join(mixed, "key"))
+    whole = m.select(F.xxhash64(F.lit(1), "main").alias("key"), "rep", F.lit(None).cast("long").alias("hub"), "label", "main").distinct()
+    odd = m.filter("label != main").drop("main")
+    again = odd.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("other")).filter("main != other").drop("other")
+    return whole.unionByName(odd.join(again, "key").select("key", "rep", "hub", "label", "main"))
+
+
+def _cells(m: DataFrame, classes: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """The rows of m in cells (key, rb, cb) of bounded rows and set sizes.
+
+    A cell tests some rows of a bucket against some of those outside its main component (col); together the cells of a
+    bucket cover every pair across components.
+    """
     m = m.join(classes.select("rep", F.col("n").alias("size"), "regs"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("rbs"))
-    rows = m.select("key", own.alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cbs") - 1)).alias("cb"), F.lit(False).alias("col"), "rep", "hub", "label", "main", "size", "regs")
-    at = F.pmod(F.xxhash64("rep"), F.col("cbs"))
-    cols = m.filter("label != main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rbs") - 1)).alias("rb"), at.alias("cb"), F.lit(True).alias("col"), "rep", "hub", "label", "main", "size", "regs")
-    cells = rows.unionByName(cols).repartition("key", "rb", "cb").sortWithinPartitions("key", "rb", "cb")
+    odd = F.col("label") != F.col("main")
+    sums = m.groupBy("key").agg(F.count("rep").alias("n"), F.sum("size").alias("s"), F.count(F.when(odd, 1)).alias("on"), F.sum(F.when(odd, F.col("size")).otherwise(0)).alias("os"))
+    blocks = lambda n, s: F.greatest(F.expr(f"({n} - 1) div {BLOCK} + 1"), F.expr(f"{s} div {BLOCK_SIZE} + 1"))
+    m = m.join(sums.select("key", blocks("n", "s").alias("rbs"), blocks("on", "os").alias("cbs")), "key")
+    if sets is not None:
+        m = m.join(sets.select(F.col("id").alias("rep"), "set"), "rep")
+    cols = [c for c in m.columns if c not in ("key", "rbs", "cbs")]
+    zero = F.lit(0).cast("long")
+    rows = m.select("key", F.pmod(F.xxhash64("rep"), F.col("rbs")).alias("rb"), F.explode(F.sequence(zero, F.col("cbs") - 1)).alias("cb"), F.lit(False).alias("col"), *cols)
+    odds = m.filter("label != main").select("key", F.explode(F.sequence(zero, F.col("rbs") - 1)).alias("rb"), F.pmod(F.xxhash64("rep"), F.col("cbs")).alias("cb"), F.lit(True).alias("col"), *cols)
+    return rows.unionByName(odds).repartition("key", "rb", "cb").sortWithinPartitions("key", "rb", "cb")
+
+
+def _tested(cells: DataFrame, threshold: float, percent: int | None) -> DataFrame:
+    """Pairs a, b across components; pairs with a bucket's hub were tested before.
+
+    Without percent: of each col and other component, the FIRST pairs with the highest estimates, if likely. With
+    percent: of each col and other component, a pair that the full sets confirm; all likely ones are tried until then.
+    """
 
     def run(batches):
-        held: list[dict] = []
-
-        def done() -> pa.RecordBatch | None:
+        def done(held: list[dict]) -> pa.RecordBatch | None:
             r, c = [x for x in held if not x["col"]], [x for x in held if x["col"]]
             if not r or not c:
                 return None
@@ -220,33 +249,57 @@ def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold:
             odd = np.array([x["label"] != x["main"] for x in r])
             hub, a, b = held[0]["hub"], [], []
             for x in c:
-                ok = (label != x["label"]) & (~odd | (rep < x["rep"])) & (rep != hub) & (np.minimum(size, x["size"]) >= (threshold - 1e-9) * np.maximum(size, x["size"]))
-                if x["rep"] == hub or not ok.any():
+                if hub is not None and x["rep"] == hub:
                     continue
+                ok = (label != x["label"]) & (~odd | (rep < x["rep"])) & (np.minimum(size, x["size"]) >= (threshold - 1e-9) * np.maximum(size, x["size"]))
+                if hub is not None:
+                    ok &= rep != hub
                 at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
                 mine = np.frombuffer(x["regs"], dtype=np.uint8)
                 greater, less = (mine > regs[at]).sum(axis=1), (mine < regs[at]).sum(axis=1)
-                keep = at[_passes(greater, less, np.full(len(at), float(x["size"])), size[at].astype(float), threshold)]
-                a += [min(x["rep"], int(y)) for y in rep[keep]]
-                b += [max(x["rep"], int(y)) for y in rep[keep]]
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        last = None
+                j = estimate(greater.astype(float), less.astype(float), np.full(len(at), float(x["size"])), size[at].astype(float))
+                likely = j >= threshold - MARGIN
+                at, j = at[likely], j[likely]
+                had: dict[int, int] = {}
+                own = np.frombuffer(x["set"], dtype=np.uint64) if percent is not None else None
+                for k in at[np.argsort(-j, kind="stable")].tolist():
+                    if had.get(label[k], 0) >= (FIRST if own is None else 1):
+                        continue
+                    if own is None or _confirmed(own, np.frombuffer(r[k]["set"], dtype=np.uint64), percent):
+                        had[label[k]] = had.get(label[k], 0) + 1
+                        a.append(min(x["rep"], int(rep[k])))
+                        b.append(max(x["rep"], int(rep[k])))
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) if a else None
+
+        held, last = [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["key"], row["rb"], row["cb"])
-                if now != last and held:
-                    if (out := done()) is not None and out.num_rows:
-                        yield out
-                    held = []
-                last = now
-                held.append(row)
-        if held and (out := done()) is not None and out.num_rows:
+            for part in slices([batch], None):
+                for row in part.to_pylist():
+                    now = (row["key"], row["rb"], row["cb"])
+                    if now != last and held:
+                        if (out := done(held)) is not None:
+                            yield out
+                        held = []
+                    last = now
+                    held.append(row)
+        if held and (out := done(held)) is not None:
             yield out
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def _confirmed(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets, of which one at least isn't empty."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (which has doc_id and text)."""
     threshold = percent / 100
@@ -261,10 +314,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = cut(bands.join(buckets, "key"))
     hubs = members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_linked(cut(_likely(hubs, one, threshold)), docs, width, percent))
+    released(docs.sparkSession)
     labels = components(links)
-    more = cut(_rest(members, labels, one, threshold))
-    if more.limit(1).count():
-        labels = components(links.unionByName(_linked(more, docs, width, percent)))
+    rest = cut(_across(members, labels))
+    if rest.limit(1).count():  # first the most likely pairs, which join most of what belongs together
+        links = cut(links.unionByName(_linked(cut(_tested(_cells(rest, one, None), threshold, None)), docs, width, percent)))
+        labels = components(links)
+        rest = cut(_across(members, labels))
+        released(docs.sparkSession)
+    if rest.limit(1).count():  # then every likely pair that is still across components
+        sets = written(_sets(docs, cut(rest.select(F.col("rep").alias("id")).distinct()), width), "shingle-sets")
+        more = cut(_tested(_cells(rest, one, sets), threshold, percent))
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
     named = signed.join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"], "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(linked == F.col("doc_id"), F.lit(True)).alias("kept"))
