@@ -218,7 +218,7 @@ def _cells(m: DataFrame, classes: DataFrame, sets: DataFrame | None) -> DataFram
     A cell tests some rows of a bucket against some of those outside its main component (col); together the cells of a
     bucket cover every pair across components.
     """
-    m = m.join(classes.select("rep", F.col("n").alias("size"), "regs"), "rep")
+    m = cut(m.join(classes.select("rep", F.col("n").alias("size"), "regs"), "rep"))
     odd = F.col("label") != F.col("main")
     sums = m.groupBy("key").agg(F.count("rep").alias("n"), F.sum("size").alias("s"), F.count(F.when(odd, 1)).alias("on"), F.sum(F.when(odd, F.col("size")).otherwise(0)).alias("os"))
     blocks = lambda n, s: F.greatest(F.expr(f"({n} - 1) div {BLOCK} + 1"), F.expr(f"{s} div {BLOCK_SIZE} + 1"))
