@@ -33,8 +33,10 @@ from quern.llm.pieces import gather
 
 MAGIC, BLOCK, CHUNK, LEVEL, END_ID = b"QPL1", 16384, 65536, 1, 0
 #: Characters of units that a worker remembers.
-MEMORY = 16_000_000
+MEMORY = 15_000_000
 _DIRTY = re.compile(r"\s\x20|<\|")
+_PART = re.compile(r"\x20?[^\W\d_]+|\x20?[!-/:-@\[-`{-~]+|\n")
+_NO_MARKS = {ord(c): None for c in " \n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
 
 
 def default_tokenizer() -> str:
@@ -122,13 +124,25 @@ class Tokens:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.lens, self.end, self.held = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0, 0
 
     def unit(self, u: str) -> list[int]:
-        model, body = self.tok.model, u[1:] if u[:1] == " " else u
-        if body.isalpha():
-            return [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(self.table))]
-        return [t.id for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(u) for t in model.tokenize(s)]
+        """Ids of one unit: letters, marks and line breaks are parted here as the pattern does, anything else by the library."""
+        if "'" not in u and "\n\n" not in u:
+            parts = _PART.findall(u)
+            if len(parts) == 1 and len(parts[0]) == len(u):
+                if u.strip(" ").isalpha():
+                    return self.part(u)
+            elif sum(map(len, parts)) == len(u) and u.translate(_NO_MARKS).isalpha():
+                return [i for p in parts for i in self.part(p)]
+        return [t.id for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(u) for t in self.tok.model.tokenize(s)]
+
+    def part(self, p: str) -> list[int]:
+        got = self.parts.get(p)
+        if got is None:
+            got = self.parts[p] = [t.id for t in self.tok.model.tokenize(p.encode().decode("latin-1").translate(self.table))]
+        return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
