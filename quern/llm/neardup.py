@@ -333,8 +333,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps; of rows that repeat a kept doc_id, one."""
-    kept = cut(near_duplicates(docs, width, percent).filter("kept").select("doc_id").distinct())
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The rows of docs that near_duplicates keeps; of rows that repeat a kept doc_id, one. Rows with a null doc_id all stay."""
+    kept = cut(near_duplicates(docs, width, percent).filter("kept and doc_id is not null").select("doc_id").distinct())
+    named = docs.filter("doc_id is not null")
+    out = named.join(kept, named["doc_id"] == kept["doc_id"], "left_semi")
+    if named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id is null"))

@@ -93,6 +93,13 @@ def test_one_of_each(docs):
     assert sorted(ids, key=str) == sorted(want, key=str) and set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_one_of_each_keeps_every_row_without_an_id(spark):
+    texts = ["first text of its own", "second and different words", "third one unlike both"]
+    df = spark.createDataFrame([*[(None, t) for t in texts], (1, "a b c"), (1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    got = Counter(map(tuple, neardup.one_of_each(df).collect()))
+    assert got == Counter([*[(None, t) for t in texts], (1, "a b c"), (2, "d e f")])
+
+
 def test_mix(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
