@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, MAX_ISLAND, SEED = 18, 160, 5
+MAX_TOKENS, MAX_DIGITS, SEED = 18, 20, 5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -77,6 +78,7 @@ _ISLAND = re.compile(
     r"[+(]{0,2}[0-9](?:[\x20().,/+\[\]-]{0,3}[0-9]){6,}\)?"
     r"|[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\[at\]|\(at\)|\{at\}|[\x20](?:AT|at)[\x20](?=[A-Za-z0-9-]{1,40}[\x20]?(?:\[|\(|\{|[\x20])(?:dot|DOT))|[\x20]@[\x20])[\x20]?"
     r"[A-Za-z0-9-]{1,64}(?:[\x20]?(?:\[dot\]|\(dot\)|\{dot\}|[\x20](?:dot|DOT)[\x20]|\.)[\x20]?[A-Za-z0-9-]{1,24}){1,4}"
+    r"|[0-9]{1,3}(?:[\x20().,/+\[\]-]{1,3}[0-9]{1,3}){3,5}"  # 4 to 6 digits in four groups or more, such as a short address
 )
 _HINT = re.compile(r"[0-9][\x20().,/+\[\]-]{0,3}[0-9][\x20().,/+\[\]-]{0,3}[0-9][\x20().,/+\[\]-]{0,3}[0-9]|\bdot\b|\bDOT\b|[\[({]at[\])}]|\x20@\x20")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s|[^\sA-Za-z0-9]")
@@ -87,12 +89,13 @@ _CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 _TOP = frozenset("com org net edu gov io co info de fr es uk example".split())
 
 
-def _features(text: str, a: int, b: int, left: str, kind: str) -> list[str]:
+def _features(text: str, a: int, b: int, left: str, kinds: tuple[str, ...]) -> list[list[str]]:
+    """The features of a segment for each of the kinds."""
     s = text[a:b]
     digits = re.sub(r"[^0-9]", "", s)
     parts = re.findall(r"[0-9]+", s)
     shape = re.sub(r"[A-Za-z]+", "w", re.sub(r"[0-9]+", lambda m: str(min(9, len(m[0]))), s))
-    out = ["one", f"n{min(20, len(digits))}", f"shape{shape[:24]}" if kind != "email" else "", f"groups{min(9, len(parts))}"]
+    out = ["one", f"n{min(20, len(digits))}", f"shape{shape[:24]}" if "email" not in kinds else "", f"groups{min(9, len(parts))}"]
     out.append("luhn" if 13 <= len(digits) <= 19 and luhn(digits) else "no-luhn")
     dotted = re.sub(r"[\[\]()]", "", s).replace(" ", "")
     out.append("octets" if re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", dotted) and all(int(p) < 256 for p in parts) else "no-octets")
@@ -108,35 +111,50 @@ def _features(text: str, a: int, b: int, left: str, kind: str) -> list[str]:
     more = text[b : b + 3]
     out.append("more-digits" if re.match(r"[\x20().,/-]{1,2}[0-9]", more) else "no-more")
     out.append("prior-digits" if re.search(r"[0-9][\x20().,/-]{1,2}$", text[max(0, a - 3) : a]) else "no-prior")
+    out.append("list-next" if re.match(r"\x20?,\x20{0,2}[0-9(+]", text[b : b + 5]) else "no-list-next")
+    out.append("list-prior" if re.search(r"[0-9],\x20{0,2}$", text[max(0, a - 4) : a]) else "no-list-prior")
     cue = next((_CUE[w] for w in reversed(left.lower().split()) if w in _CUE), "none")
     out.append(f"cue-{cue}")
     out.append("separated" if re.search(r"[0-9][\x20.()-]+[0-9]", s) else "solid")
     out.append("comma" if "," in s or "/" in s else "plain")
-    return [f"{kind}|{x}" for x in out if x]
+    return [[f"{kind}|{x}" for x in out if x] for kind in kinds]
 
 
 class Lattice:
-    """Tokens of an island and its candidate segments: ends[t] holds (from token, kind, features)."""
+    """Tokens of an island (they tile it) and its candidate segments, made as they are asked for.
+
+    taken holds disjoint spans in order, which no candidate may overlap.
+    """
 
     def __init__(self, text: str, start: int, end: int, taken: list[tuple[int, int]] = ()):  # type: ignore[assignment]
         self.text = text
         self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
-        left = " ".join(_WORD.findall(text[max(0, start - 40) : start])[-4:])
-        self.ends: list[list[tuple[int, str, list[str]]]] = [[] for _ in range(len(self.tokens) + 1)]
-        for t in range(1, len(self.tokens) + 1):
-            b = self.tokens[t - 1][1]
-            if not text[b - 1].isalnum():
+        self.left = " ".join(_WORD.findall(text[max(0, start - 40) : start])[-4:])
+        self.digits, self.wordy, self.free, k = [], [], [], 0
+        for a, b in self.tokens:
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            self.free.append(k == len(taken) or taken[k][0] >= b)
+            self.digits.append(b - a if "0" <= text[a] <= "9" else 0)
+            self.wordy.append(text[a].isascii() and text[a].isalpha())
+
+    def candidates(self, t: int) -> list[tuple[int, str, list[str]]]:
+        """(from token, kind, features) of the segments that end with token t - 1, the longest first."""
+        text, b = self.text, self.tokens[t - 1][1]
+        if not text[b - 1].isalnum():
+            return []
+        out, n, wordy = [], 0, False
+        for s in range(t - 1, max(0, t - MAX_TOKENS) - 1, -1):
+            if not self.free[s]:
+                break
+            a = self.tokens[s][0]
+            n, wordy = n + self.digits[s], wordy or self.wordy[s]
+            if text[a] in " \n\t,./-])":
                 continue
-            for s in range(max(0, t - MAX_TOKENS), t):
-                a = self.tokens[s][0]
-                if text[a] in " \n\t,./-])" or any(a < y and x < b for x, y in taken):
-                    continue
-                piece = text[a:b]
-                n = sum(c.isdigit() for c in piece)
-                wordy = any(c.isalpha() for c in piece)
-                kinds = ("email",) if wordy and t - s > 4 else ("ip", "card", "phone") if not wordy and 4 <= n <= 20 else ()
-                for kind in kinds:
-                    self.ends[t].append((s, kind, _features(text, a, b, left, kind)))
+            kinds = ("email",) if wordy and t - s > 4 else ("ip", "card", "phone") if not wordy and 4 <= n <= MAX_DIGITS else ()
+            if kinds:
+                out += [(s, kind, f) for kind, f in zip(kinds, _features(text, a, b, self.left, kinds))][::-1]
+        return out[::-1]
 
     def best(self, weights: dict[str, float]) -> list[tuple[int, int, str]]:
         """The segmentation with the highest score (semi-Markov Viterbi)."""
@@ -144,7 +162,7 @@ class Lattice:
         score, back = [0.0] * (n + 1), [None] * (n + 1)
         for t in range(1, n + 1):
             score[t] = score[t - 1]
-            for s, kind, f in self.ends[t]:
+            for s, kind, f in self.candidates(t):
                 v = score[s] + sum(weights.get(x, 0.0) for x in f)
                 if v > score[t]:
                     score[t], back[t] = v, (s, kind)
@@ -160,7 +178,7 @@ class Lattice:
 
 
 def generated(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Snippets with the spans that hold personal data, from templates; half of them hold none."""
+    """Snippets with the spans that hold personal data (one, or a list), from templates; half of them hold none."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
@@ -180,24 +198,30 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
         return f"{word()}{r.choice(('', '.' + word(), digits(2)))}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de', 'io'))}"
 
     def ip() -> str:
-        return r.choice(("[.]", "(.)", " . ")).join(str(r.randint(0, 255)) for _ in range(4))
+        top = r.choice((255, 255, 9, 20))  # short ones too
+        return r.choice(("[.]", "(.)", " . ")).join(str(r.randint(0, top)) for _ in range(4))
 
     def none() -> str:
         return r.choice((
             f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 9)},{digits(3)},{digits(3)}", f"{digits(2)}/{digits(2)}/{digits(4)}", digits(r.randint(7, 20)), f"{digits(4)}-{digits(4)}",
             f"{digits(3)} {digits(3)} {digits(3)}", f"{r.randint(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(1)}.{digits(2)}.{digits(3)}.{digits(4)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}",
             f"{digits(2)}:{digits(2)}:{digits(2)} {digits(4)}", f"{digits(5)}-{digits(5)}-{digits(5)}", f"{digits(3)}-{digits(2)}-{digits(1)}-{digits(6)}-{digits(1)}", f"{digits(8)}.{digits(4)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}",
+            r.choice((", ", " ", "-", "/", ",", ") ")).join(str(r.randint(0, 12)) for _ in range(r.randint(4, 5))),
             f"meet at {word()} dot {word()}", f"{word()} at {word()}", f"{word()} @ {word()}",
         ))
 
     out = []
     for k in range(count):
         kind = KINDS[k // 2 % 4] if k % 2 else None
-        value = {"email": email, "ip": ip, "card": card, "phone": phone}[kind]() if kind else none()
+        make = {"email": email, "ip": ip, "card": card, "phone": phone}[kind] if kind else none
+        values, sep = [make() for _ in range(r.choice((1, 1, 1, 2, 3, 4)))], r.choice((", ", ", ", " , ", ",  "))
         cue = r.choice(CUES[kind].split()) if kind and r.random() < 0.5 else word()
         head = f"{word()} {word()} {cue}{r.choice((' ', ': ', ' is '))}"
-        text = f"{head}{value}{r.choice((' ', '. ', ', '))}{word()} {word()}."
-        spans = [(len(head), len(head) + len(value), kind)] if kind else []
+        text = f"{head}{sep.join(values)}{r.choice((' ', '. ', ', '))}{word()} {word()}."
+        spans, at = [], len(head)
+        for value in values if kind else ():
+            spans.append((at, at + len(value), kind))
+            at += len(value) + len(sep)
         out.append((text, spans))
     return out
 
@@ -207,19 +231,30 @@ def islands(text: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in _ISLAND.finditer(text)] if _HINT.search(text) else []
 
 
+def united(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The spans (by start) as disjoint ones, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 @lru_cache(maxsize=2)
 def trained(count: int = 600, epochs: int = 14, seed: int = SEED) -> dict[str, float]:
     """Weights of the whole-span features: AdaGrad steps on the conditional likelihood of generated snippets."""
     names: dict[str, int] = {}
     work = []
     for text, spans in generated(count, seed):
-        taken = [(a, b) for a, b, _ in base_spans(text)]
+        taken = united(base_spans(text))
         for a, b in islands(text):
             lat = Lattice(text, a, b, taken)
             gold = {(x, y, k) for x, y, k in spans}
             segs = []
             for t in range(1, len(lat.tokens) + 1):
-                for s, kind, f in lat.ends[t]:
+                for s, kind, f in lat.candidates(t):
                     ids = np.array([names.setdefault(x, len(names)) for x in f])
                     segs.append((s, t, ids, (lat.tokens[s][0], lat.tokens[t - 1][1], kind) in gold))
             if segs:
@@ -252,13 +287,11 @@ def find(text: str | None, weights: dict[str, float]) -> tuple[list[tuple[int, i
     """Base spans, and all spans (by start, then kind in the order of KINDS)."""
     if not text:
         return [], []
-    base = base_spans(text)
-    taken, more = [(a, b) for a, b, _ in base], []
+    base, more = base_spans(text), []
+    taken = united(base)
+    starts, ends = [x[0] for x in taken], [x[1] for x in taken]
     for a, b in islands(text):
-        near = [x for x in taken if x[0] < b and a < x[1]]
-        for at in range(a, b, MAX_ISLAND):  # a very long run of digits is cut into pieces of bounded work
-            to = min(b, at + MAX_ISLAND)
-            more += Lattice(text, at, to, near).best(weights)
+        more += Lattice(text, a, b, taken[bisect_right(ends, a) : bisect_left(starts, b)]).best(weights)
     if not more:
         return base, base
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))

@@ -90,6 +90,16 @@ def test_field_on_generated_snippets():
     assert hit / said > 0.95 and hit / real > 0.95
 
 
+def test_personal_data_in_long_lists():
+    w = pii.trained()
+    for one in ("(415) 555-1234", "415-555-1234"):
+        for sep in (", ", " ,  "):
+            text, step = "call " + sep.join([one] * 40), len(one) + len(sep)
+            assert pii.find(text, w)[1] == [(5 + k * step, 5 + k * step + len(one), "phone") for k in range(40)]
+    assert pii.masked("server 8[.]8[.]8[.]8 and host 10[.]0[.]0[.]1 now", w) == "server <IP> and host <IP> now"
+    assert pii.find("steps 1, 2, 3, 4 and 1-2-3-4 or 5 6 7 8", w)[1] == []
+
+
 def plain_secrets(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), m.end(), 0) for m in assign.finditer(text) if len(m[2]) >= 6]
