@@ -123,6 +123,15 @@ def test_secret_field():
     assert secrets.find("a plain line of prose with 2020 in it", f)[1] == [] and secrets.find(None, f) == ([], [])
 
 
+def test_short_secrets_after_cues():
+    f = secrets.trained()
+    for head, value in (("pwd = ", "hunter2abc9"), ("Authorization: Bearer ", "abc123def456"), ("passphrase: ", "correct-horse-battery-staple")):
+        text = f"some words here\n{head}{value}\nand more of them"
+        at = text.index(value)
+        assert secrets.find(text, f) == ([], [(at, at + len(value), "secret")])
+    assert secrets.find("the key to the house gives access to every private room, note: we met at 10:30 in v2", f)[1] == []
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 16384, 40001])
 def test_planes_round_trip(bits, n):
