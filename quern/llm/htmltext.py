@@ -11,8 +11,9 @@ Runs under script, style, template, noscript, select, textarea, button, svg, tit
 Character references are decoded; white space inside a block becomes one space.
 
 Defined cases: null or empty html gives an empty text; markup that ends early or is not closed is read as far as it
-goes; text outside all tags is a block like any other; pages of any length are read whole (sequences are cut into
-spans of MAX_SEQUENCE blocks only for the recurrence); an empty table gives no rows.
+goes; text outside all tags is a block like any other; pages of any length are read whole (the recurrence goes over
+STRIDE blocks at a time and carries its states on, forwards from the first and backwards from the last); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_rows
 
-#: Buckets of path words and of text words; further numbers; width of the network; blocks of a span.
-PATHS, WORDS, NUMBERS, HIDDEN, MAX_SEQUENCE, SEED = 96, 48, 8, 16, 512, 9
+#: Buckets of path words and of text words; further numbers; width of the network; blocks that the recurrence takes at once.
+PATHS, WORDS, NUMBERS, HIDDEN, STRIDE, SEED = 96, 48, 8, 16, 512, 9
 WIDTH = PATHS + WORDS + NUMBERS
 
 #: Fixed sets of element names of HTML: no content, content that is no text, inside a line, ended by a like one.
@@ -175,13 +176,16 @@ class Network:
         for b in ("bf", "bb"):
             self.p[b][h : 2 * h] = 1.0
 
-    def run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States for x (steps x pages x WIDTH); mask is 1 where a page has a block. way is f or b."""
+    def run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool, state: list[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """States for x (steps x pages x WIDTH); mask is 1 where a page has a block. way is f or b.
+
+        state, if given, holds the two states to start from, and afterwards those at the end.
+        """
         t, n, _ = x.shape
         h = HIDDEN
         z_in = x @ self.p["w" + way] + self.p["b" + way]
         u = self.p["u" + way]
-        s, c = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        s, c = state or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
         out, kept = np.zeros((t, n, h), np.float32), []
         for k in range(t) if way == "f" else range(t - 1, -1, -1):
             z = z_in[k] + s @ u
@@ -195,11 +199,30 @@ class Network:
                 kept.append((k, s, c, i, f, o, g, tc, m))
             s, c = np.where(m > 0, o * tc, s), np.where(m > 0, c_new, c)
             out[k] = s
+        if state is not None:
+            state[:] = s, c
         return out, kept
 
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate((self.run(x, mask, "f", False)[0], self.run(x, mask, "b", False)[0]), axis=2)
-        return (both @ self.p["o"])[..., 0] + self.p["c"]
+    def scores(self, seqs: list[np.ndarray], stride: int = STRIDE) -> list[np.ndarray]:
+        """The score of each block of each sequence; the sequences come in order of length.
+
+        Both directions go over stride blocks at a time, with the sequences that reach so far.
+        """
+        out = [np.full(len(x), self.p["c"][0], np.float32) for x in seqs]
+        lens = np.array([len(x) for x in seqs])
+        starts = range(0, int(lens[-1]) if len(lens) else 0, stride)
+        for way, half in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+            held = np.zeros((2, len(seqs), HIDDEN), np.float32)
+            for at in starts if way == "f" else reversed(starts):
+                first = int(np.searchsorted(lens, at, side="right"))
+                state = list(held[:, first:])
+                got, _ = self.run(*batched([x[at : at + stride] for x in seqs[first:]]), way, False, state)
+                held[:, first:] = state
+                got = (got @ self.p["o"][half])[..., 0]
+                for j, k in enumerate(range(first, len(seqs))):
+                    n = min(stride, len(seqs[k]) - at)
+                    out[k][at : at + n] += got[:n, j]
+        return out
 
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss and gradients for labels y (steps x pages)."""
@@ -343,17 +366,12 @@ def trained(count: int = 450, epochs: int = 14, seed: int = SEED) -> Network:
 def labelled(pages: list[str | None], net: Network) -> list[list[tuple[Block, bool]]]:
     """The blocks of each page, and whether the network takes them for main text."""
     seqs = [blocks(p) for p in pages]
-    spans = [(k, at) for k, s in enumerate(seqs) for at in range(0, len(s), MAX_SEQUENCE)]
-    spans.sort(key=lambda x: min(MAX_SEQUENCE, len(seqs[x[0]]) - x[1]))
-    out: list[list[tuple[Block, bool]]] = [[(b, False) for b in s] for s in seqs]
-    held = {k: vectors(s) for k, s in enumerate(seqs) if s}
-    for at in range(0, len(spans), 64):
-        group = spans[at : at + 64]
-        score = net.scores(*batched([held[k][a : a + MAX_SEQUENCE] for k, a in group]))
-        for j, (k, a) in enumerate(group):
-            n = min(MAX_SEQUENCE, len(seqs[k]) - a)
-            for i in range(n):
-                out[k][a + i] = (seqs[k][a + i], bool(score[i, j] > 0))
+    order = sorted((k for k, s in enumerate(seqs) if s), key=lambda k: len(seqs[k]))
+    out: list[list[tuple[Block, bool]]] = [[] for _ in seqs]
+    for at in range(0, len(order), 64):
+        group = order[at : at + 64]
+        for k, score in zip(group, net.scores([vectors(seqs[k]) for k in group])):
+            out[k] = [(b, bool(x > 0)) for b, x in zip(seqs[k], score)]
     return out
 
 

@@ -217,6 +217,20 @@ def test_labeller_on_held_out_layouts():
     assert ok / n > 0.97
 
 
+def test_long_pages_are_labelled_in_the_context_of_the_whole():
+    net = htmltext.Network(np.random.default_rng(5))
+    rng = np.random.default_rng(6)
+    seqs = [rng.normal(0, 1, (n, htmltext.WIDTH)).astype(np.float32) for n in (1, 700, 1024, 1500)]
+    for x, got in zip(seqs, net.scores(seqs)):
+        one, mask = htmltext.batched([x])
+        both = np.concatenate((net.run(one, mask, "f", False)[0], net.run(one, mask, "b", False)[0]), axis=2)
+        assert np.allclose((both @ net.p["o"])[:, 0, 0] + net.p["c"], got, atol=1e-4)
+    net = htmltext.trained()
+    page = "<article>" + "".join(f"<p>Some words of a story, number {k}.</p>" for k in range(1200)) + "</article>"
+    seq = htmltext.vectors(htmltext.blocks(page))
+    assert (np.abs(net.scores([seq])[0] - net.scores([seq], len(seq))[0]) < 1e-3).all()
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(0)
     net = htmltext.Network(rng)
