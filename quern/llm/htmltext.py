@@ -157,7 +157,7 @@ def vectors(seq: list[Block]) -> np.ndarray:
             if depth >= len(b.path) - 2:
                 i, s = _bucket(w, PATHS, 2)
                 x[k, i] += s * 0.5
-        words = b.text.lower().split(None, 12)[:12]
+        words = b.text.lower().split()
         for w in words:
             i, s = _bucket(w, WORDS, 3)
             x[k, PATHS + i] += s / len(words)
@@ -262,6 +262,13 @@ def batched(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: Words that tell of parts that are not main text.
+TELLING = {
+    "nav": "home news about contact products blog menu login search archive", "notice": "cookie cookies consent accept privacy policy settings browser", "form": "subscribe newsletter email sign up join updates inbox", "comments": "reply replied thanks agree comment posted ago like share",
+    "ad": "buy sale offer discount shop deal free sponsored", "footer": "copyright reserved rights terms imprint privacy",
+}
+
+
 def generated(count: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
     """Pages of many layouts, and for each of their blocks whether it is main text."""
     r = random.Random(seed)
@@ -271,9 +278,17 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
     noise = lambda t: t if r.random() > 0.15 else " ".join(w + r.choice(("&amp;&amp;", "%%%", "###", "***", "!!", " |")) for w in t.split())
     sentence = lambda a=3, b=40: noise(some(a, b).capitalize() + r.choice((".", ".", ".", "", "!", "?")))
     out = []
+    told = {k: v.split() for k, v in TELLING.items()}
+
+    def typical(kind: str, text: str) -> str:
+        """The text with some words of its kind in it, wherever they fall."""
+        words = text.split()
+        for _ in range(r.randint(0, 1 + len(words) // 4)):
+            words.insert(r.randint(0, len(words)), r.choice(told[kind]))
+        return " ".join(words)
 
     def links(n: int) -> str:
-        return "".join(r.choice(('<li><a href="/{0}">{0}</a></li>', '<a href="/{0}">{0}</a> ')).format(some(1, 3)) for _ in range(n))
+        return "".join(r.choice(('<li><a href="/{0}">{0}</a></li>', '<a href="/{0}">{0}</a> ')).format(typical("nav", some(1, 3))) for _ in range(n))
 
     def bare(kind: str) -> str:
         """A part of the page that is not main text."""
@@ -283,12 +298,12 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         body = {
             "nav": lambda: f"<ul>{links(r.randint(3, 9))}</ul>" if tag != "ul" else links(r.randint(3, 9)),
             "header": lambda: f"<h{r.randint(1, 2)}>{some(1, 4)}</h1><p>{sentence(2, 8)}</p>",
-            "footer": lambda: r.choice((f"&copy; {some(1, 3)} &middot; {sentence(2, 9)}", f"<p>&copy; 20{r.randint(10, 30)} {some(1, 3)}</p>{links(3)}")),
+            "footer": lambda: r.choice((f"&copy; {some(1, 3)} &middot; {typical(kind, sentence(2, 9))}", f"<p>&copy; 20{r.randint(10, 30)} {some(1, 3)}</p>{links(3)}")),
             "aside": lambda: f"<h3>{some(1, 3)}</h3>" + r.choice((f"<ul>{links(r.randint(2, 6))}</ul>", f"<p>{sentence(3, 25)}</p>")),
-            "ad": lambda: r.choice((sentence(3, 20), f"<p>{sentence(4, 18)}</p><a href='#'>{some(1, 2)}</a>")),
-            "comments": lambda: f"<h3>{some(1, 2)}</h3>" + "".join(f'<div class="comment"><b>{word()}</b><p>{sentence(3, 40)}</p></div>' for _ in range(r.randint(1, 5))),
-            "form": lambda: f"<label>{some(1, 4)}</label><input type=text><p>{sentence(2, 12)}</p><button>{word()}</button>",
-            "notice": lambda: f"<p>{sentence(4, 25)}</p><button>OK</button>",
+            "ad": lambda: r.choice((typical(kind, sentence(3, 20)), f"<p>{typical(kind, sentence(4, 18))}</p><a href='#'>{some(1, 2)}</a>")),
+            "comments": lambda: f"<h3>{some(1, 2)}</h3>" + "".join(f'<div class="comment"><b>{word()}</b><p>{typical(kind, sentence(3, 40))}</p></div>' for _ in range(r.randint(1, 5))),
+            "form": lambda: f"<label>{some(1, 4)}</label><input type=text><p>{typical(kind, sentence(2, 12))}</p><button>{word()}</button>",
+            "notice": lambda: f"<p>{typical(kind, sentence(4, 25))}</p><button>OK</button>",
         }[kind]()
         return f"<{tag}{attr}>{body}</{tag}>"
 

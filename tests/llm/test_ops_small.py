@@ -217,6 +217,14 @@ def test_labeller_on_held_out_layouts():
     assert ok / n > 0.97
 
 
+def test_every_word_of_a_block_counts():
+    blocks = htmltext.blocks(f"<p>{'one ' * 30}cookie</p><p>{'one ' * 30}harbor</p>")
+    a, b = (htmltext.vectors([x])[0, htmltext.PATHS : htmltext.PATHS + htmltext.WORDS] for x in blocks)
+    assert (a != b).any()
+    kinds = {w for page, _ in htmltext.generated(60) for w in re.sub("<[^>]*>", " ", page).split()}
+    assert {"cookie", "subscribe", "reply"} <= kinds
+
+
 def test_long_pages_are_labelled_in_the_context_of_the_whole():
     net = htmltext.Network(np.random.default_rng(5))
     rng = np.random.default_rng(6)
