@@ -2,7 +2,7 @@
 
 Language identification drops what it rejects; of each group of near duplicates one document stays; personal data is
 masked; sources are mixed to their target weights (a row for each copy that the mix takes); the texts are encoded.
-Every stage but the last gives the columns of documents.
+Every stage but the last gives the columns of documents; the mix adds copy, the number of the copy.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources to their target weights: a row for each copy of a document that the mix takes."""
-    return mixing.mixed_texts(docs)
+    return mixing.mixed_texts(docs, copy="copy")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row, with merge dropout, checked by decoding them again."""
-    return pieces.encoded(docs, F.col("doc_id"))
+    """The token ids of each row, with merge dropout of its own, checked by decoding them again."""
+    return pieces.encoded(docs, F.struct(F.coalesce("doc_id", F.xxhash64("text")), "copy"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -186,11 +186,12 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return some.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(none)
 
 
-def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def mixed_texts(docs: DataFrame, block: int = BLOCK, copy: str | None = None) -> DataFrame:
     """The mix itself, as rows of docs: a document's first and second copy, each with the words that the mix takes.
 
     A copy that is taken whole has the text as it was; of another, the parts taken are joined in their order. White
-    space stays with the word before it (at the start, with the word after it). n_chars, if there, is renewed.
+    space stays with the word before it (at the start, with the word after it). n_chars, if there, is renewed. copy, if
+    given, names a further column with the number of the copy (0 or 1).
     """
     names = docs.columns
     own = [c for c in names if c not in ("doc_id", "source", "text")]
@@ -213,12 +214,12 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         joined = F.array_join(F.transform(got, lambda x: F.array_join(F.slice("pieces", (x["at"] + 1).cast("int"), x["n"].cast("int")), "")), "")
         return F.when(count == F.col("size"), F.col("text")).when(count > 0, joined)
 
-    out = full.withColumn("_text", F.explode(F.array(text(1), text(2)))).filter("_text is not null")
+    out = full.select("*", F.posexplode(F.array(text(1), text(2))).alias("_copy", "_text")).filter("_text is not null")
     out = out.withColumn("text", F.col("_text"))
     kept = {c: F.col(f"own.`{c}`") for c in own}
     if "n_chars" in kept:
         kept["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[kept.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    return out.select(*[kept.get(c, F.col(f"`{c}`")).alias(c) for c in names], *([F.col("_copy").alias(copy)] if copy else []))
 
 
 #: The same in DuckDB: offsets by window, targets by the level of each prefix, the permutation by list_reduce.

@@ -2,17 +2,20 @@
 
 The vocabulary and the scores come from a SentencePiece model file; nothing is trained. A text gets the model's dummy
 space in front and is cut before each run of spaces: no piece of such a model has a space after another character, so
-merges never reach past a cut and equal units are encoded once. In a unit the best-scored pair of neighbours (leftmost
-of equals) is merged until none is left. A candidate merge is skipped if a keyed hash of seed, variant, unit and the
-bounds of both halves falls under the dropout rate, so the same unit is cut in several ways, the same ones in every
-run. A document's key picks its variant. Characters without a piece, and a literal U+2581, become byte pieces, so
-decoding gives back every text exactly. With a rate of 0 the ids are those of the library.
+merges never reach past a cut. In a unit the best-scored pair of neighbours (leftmost of equals) is merged until none
+is left. A candidate merge is skipped if a keyed hash of seed, document, the unit's place in it, the unit and the
+bounds of both halves falls under the dropout rate, so each occurrence of a unit is cut on its own, in the same way in
+every run. Characters without a piece, and a literal U+2581, become byte pieces, so decoding gives back every text
+exactly. With a rate of 0 the ids are those of the library.
 
-All new units of a slice go through the agenda together: each round takes the best candidate of every unit at once
+What a unit gives without dropout is kept, with the merges that are tried on the way; an occurrence of which none of
+these is skipped takes it as it is, the others go through the agenda.
+
+Units go through the agenda together: each round takes the best candidate of every unit at once
 (numpy), which for each unit is the order of an agenda. `agenda` does one unit with a heap; tests compare the two.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to an empty text; texts of any length are
-encoded whole; a null key picks variant 0; an empty table gives no rows.
+encoded whole; a null key counts as 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_rows, mix64
 
-RATE, SEED, VARIANTS = 0.1, 7, 4
+RATE, SEED = 0.1, 7
 #: Characters of units that a worker remembers between slices.
 MEMORY = 8_000_000
 #: Units that go through the agenda together.
 TOGETHER = 8192
+#: Units whose merges are looked at together.
+SPAN = 8192
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -103,11 +108,28 @@ def unit_key(units: list[str], seed: int, variant: int) -> np.ndarray:
         return mix64(np.add.reduceat(each, starts) + mix64(np.uint64([seed * 1_000_003 + variant]))[0])
 
 
+def merge_key(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number of the merge of [start, mid) and [mid, end)."""
+    with np.errstate(over="ignore"):
+        return mix64(start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mid.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+
+
+def place_key(unit_keys: np.ndarray, docs: list[int], sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the occurrences of units in documents (of so many units each), by the document's number and their places."""
+    place = np.arange(1, len(unit_keys) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    with np.errstate(over="ignore"):
+        base = np.repeat(mix64(np.array([d & (1 << 64) - 1 for d in docs], dtype=np.uint64)), sizes)
+        return mix64(unit_keys ^ mix64(base + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def dropped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
     """Whether the merge of [start, mid) and [mid, end) of the unit with that key is skipped."""
-    with np.errstate(over="ignore"):
-        where = start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mid.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-        return (mix64(key ^ mix64(where)) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
+    return hidden(key, merge_key(start, mid, end), rate)
+
+
+def hidden(key: np.ndarray, where: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the merge with the number where is skipped in the unit with that key."""
+    return (mix64(key ^ where) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
 
 
 def agenda(unit: str, p: Pieces, rate: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
@@ -144,14 +166,18 @@ def agenda(unit: str, p: Pieces, rate: float = 0.0, seed: int = SEED, variant: i
     return out
 
 
-def encode_units(units: list[str], p: Pieces, rate: float, seed: int, variant: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the units in order, and the number of ids of each; the same as agenda for each."""
+def encode_units(units: list[str], p: Pieces, rate: float, seed: int, variant: int, key: np.ndarray | None = None, tried: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the units in order, and the number of ids of each; the same as agenda for each.
+
+    key has a number of each unit (else unit_key gives them); tried is given the merges looked at: arrays of units,
+    starts, middles and ends.
+    """
     lens = np.array([len(u) for u in units], dtype=np.int64)
     codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
     starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
     unit = np.repeat(np.arange(len(units)), lens)
     at = np.arange(len(codes)) - starts[unit]
-    key = unit_key(units, seed, variant)
+    key = unit_key(units, seed, variant) if key is None else key
     sym, first, last = p.char[codes].astype(np.int64), at, at + 1
     origin = np.arange(len(codes))  # place of the first character in codes, for byte pieces and the final order
     done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -164,6 +190,10 @@ def encode_units(units: list[str], p: Pieces, rate: float, seed: int, variant: i
             ok = np.flatnonzero(m >= 0)
             a, b = i[ok], j[ok]
             m[ok[dropped(key[unit[a]], first[a], first[b], last[b], rate)]] = -1
+        if tried is not None:
+            ok = np.flatnonzero(m >= 0)
+            a, b = i[ok], j[ok]
+            tried.append((unit[a], first[a], first[b], last[b]))
         return m
 
     cand = candidates(np.arange(len(sym)))
@@ -210,50 +240,84 @@ def encode_units(units: list[str], p: Pieces, rate: float, seed: int, variant: i
     return sym, np.bincount(owner, minlength=len(units))
 
 
+def gather_at(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places start .. start + len - 1, one run after the other."""
+    ends = np.cumsum(lens)
+    return np.arange(int(lens.sum())) + np.repeat(starts - (ends - lens), lens)
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The pieces flat[start : start + len], one after the other."""
-    total = int(lens.sum())
-    ends = np.cumsum(lens)
-    return flat[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
+    return flat[gather_at(starts, lens)]
 
 
 class Encoder:
-    """Encodes texts, keeping the ids of units it has met (up to MEMORY characters)."""
+    """Encodes texts, keeping what units give without dropout (up to MEMORY characters and merges)."""
 
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
         self.p, self.rate, self.seed = Pieces(path), rate, seed
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, dict[str, int]] = {}
-        self.flat, self.lens, self.starts, self.held, self.count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
-        self.end = 0
-
-    def encode(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray]:
-        """Ids of each text, as int32."""
+        self.known: dict[str, int] = {}
+        self.held = 0
+        self.ids, self.lens, self.merges, self.counts, self.keys = (np.zeros(0, t) for t in (np.int32, np.int64, np.uint64, np.int64, np.uint64))
+
+    def learn(self, new: list[str]) -> None:
+        """Keeps the ids of new units, the merges tried for each, and their keys."""
+        ids, lens, merges, counts = [self.ids], [self.lens], [self.merges], [self.counts]
+        for at in range(0, len(new), TOGETHER):
+            part, tried = new[at : at + TOGETHER], []
+            got, n = encode_units(part, self.p, 0.0, self.seed, 0, tried=tried if self.rate > 0 else None)
+            ids.append(got.astype(np.int32))
+            lens.append(n)
+            unit, *where = (np.concatenate(x) for x in zip(*tried)) if tried else [np.zeros(0, np.int64)] * 4
+            order = np.argsort(unit, kind="stable")
+            merges.append(merge_key(*where)[order])
+            counts.append(np.bincount(unit, minlength=len(part)))
+            self.held += sum(map(len, part)) + 8 * len(part) + len(unit)
+        self.keys = np.concatenate((self.keys, unit_key(new, self.seed, 0)))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.ids, self.lens, self.merges, self.counts = (np.concatenate(x) for x in (ids, lens, merges, counts))
+
+    def encode(self, texts: list[str | None], docs: list[int]) -> list[np.ndarray]:
+        """Ids of each text, as int32; docs has a number of each, which its dropout is keyed by."""
         if self.held > MEMORY:
             self.clear()
         cut = [_UNIT.findall(" " + t) if t and ("  " in t or t[0] == " ") else [] if not t else [" " + u for u in t.split(" ")] for t in texts]
-        at: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        for v in sorted(set(variants)):
-            known = self.known.setdefault(v, {})
-            mine = [k for k, x in enumerate(variants) if x == v]
-            new = list({u: None for k in mine for u in cut[k] if u not in known})
-            if new:
-                got = [encode_units(new[k : k + TOGETHER], self.p, self.rate, self.seed, v) for k in range(0, len(new), TOGETHER)]
-                ids, lens = (np.concatenate(x) for x in zip(*got))
-                known.update(zip(new, range(self.count, self.count + len(new))))
-                self.flat.append(ids.astype(np.int32))
-                self.lens.append(lens)
-                self.starts.append(self.end + np.cumsum(lens) - lens)
-                self.count += len(new)
-                self.end += len(ids)
-                self.held += sum(map(len, new)) + 8 * len(new)
-            for k in mine:
-                at[k] = np.fromiter(map(known.__getitem__, cut[k]), dtype=np.int64, count=len(cut[k]))
-        flat, lens, starts = np.concatenate(self.flat), np.concatenate(self.lens), np.concatenate(self.starts)
-        self.flat, self.lens, self.starts = [flat], [lens], [starts]
-        return [gather(flat, starts[a], lens[a]) for a in at]
+        new = list({u: None for x in cut for u in x if u not in self.known})
+        if new:
+            self.learn(new)
+        ids, lens = self._ids([u for x in cut for u in x], np.array([len(x) for x in cut], dtype=np.int64), docs)
+        ends = np.cumsum([len(x) for x in cut], dtype=np.int64)
+        to = np.concatenate(([0], np.cumsum(lens)))[ends]
+        return [ids[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist())]
+
+    def _ids(self, units: list[str], sizes: np.ndarray, docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units of some texts (of so many units each), and how many each unit has; SPAN units at a time."""
+        at = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
+        starts, tries = np.cumsum(self.lens) - self.lens, np.cumsum(self.counts) - self.counts
+        keys = place_key(self.keys[at], docs, sizes) if self.rate > 0 else None
+        out, sizes_out = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(units), SPAN):
+            a = at[k : k + SPAN]
+            first, size, ids = starts[a], self.lens[a], np.zeros(0, np.int64)
+            if keys is not None:
+                key, n = keys[k : k + SPAN], self.counts[a]
+                own = np.repeat(np.arange(len(a)), n)
+                hit = hidden(key[own], gather(self.merges, tries[a], n), self.rate)
+                odd = np.flatnonzero(np.bincount(own[hit], minlength=len(a)))
+                if len(odd):
+                    ids, lens = encode_units([units[k + i] for i in odd.tolist()], self.p, self.rate, self.seed, 0, key[odd])
+                    first[odd], size[odd] = len(self.ids) + np.cumsum(lens) - lens, lens
+            where = gather_at(first, size)
+            new = where >= len(self.ids)
+            got = np.empty(len(where), np.int32)
+            got[~new] = self.ids[where[~new]]
+            got[new] = ids[where[new] - len(self.ids)]
+            out.append(got)
+            sizes_out.append(size)
+        return np.concatenate(out), np.concatenate(sizes_out)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids stand for."""
@@ -265,16 +329,15 @@ def encoded(docs: DataFrame, key: Column, path: str | None = None, rate: float =
     """docs without text, with ids, n_tokens and, if checked, ids_crc32 and the sha256 of the text decoded from the ids."""
     path = path or default_model()
     rest = [c for c in docs.columns if c != "text"]
-    variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(VARIANTS)), F.lit(0)).cast("int")
-    variant = F.when(key.isNull(), F.lit(0)).otherwise(variant)
-    work = docs.select(F.struct(*rest).alias("rest"), F.col("text").cast("string").alias("text"), variant.alias("v"))
+    doc = F.when(key.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(seed), key))
+    work = docs.select(F.struct(*rest).alias("rest"), F.col("text").cast("string").alias("text"), doc.alias("doc"))
     held: list[Encoder] = []
 
     def run(part: pa.RecordBatch) -> dict:
         if not held:
             held.append(_encoder(path, rate, seed))
         enc = held[0]
-        got = enc.encode(part.column("text").to_pylist(), part.column("v").to_pylist())
+        got = enc.encode(part.column("text").to_pylist(), part.column("doc").to_pylist())
         ends = np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, np.zeros(0, np.int32)]).astype(np.int32)))
         out = {"rest": part.column("rest"), "ids": ids, "n_tokens": np.diff(ends).astype(np.int64)}

@@ -182,6 +182,22 @@ def test_rounds_equal_the_agenda_and_vary():
     assert len(seen) > 1
 
 
+def test_dropout_is_drawn_anew_at_each_occurrence():
+    e, plain = pieces.Encoder(pieces.default_model(), 0.1), pieces.Encoder(pieces.default_model(), 0.0)
+    text = "understanding " * 300
+    got = [e.encode([text], [doc])[0] for doc in range(3)]
+    assert len({g.tobytes() for g in got}) == 3 and all(e.decode(g) == text for g in got)
+    assert (e.encode([text], [1])[0] == got[1]).all() and (pieces.Encoder(pieces.default_model(), 0.1).encode(["x y", text], [8, 1])[1] == got[1]).all()
+    key = pieces.place_key(pieces.unit_key([" understanding"] * 300, e.seed, 0), [1], np.array([300]))
+    want, seen = [], set()
+    for k in range(300):
+        ids, _ = pieces.encode_units([" understanding"], e.p, 0.1, e.seed, 0, key[k : k + 1])
+        want += ids.tolist()
+        seen.add(tuple(ids.tolist()))
+    assert got[1].tolist()[: len(want)] == want and len(seen) > 4
+    assert plain.encode([text], [1])[0].tolist() == plain.encode([text], [2])[0].tolist()
+
+
 def test_pictures_round_trip():
     for data in (b"", b"x", b"y" * 576, b"z" * 577):
         p = media.padded(data)

@@ -186,6 +186,19 @@ def test_pieces(docs):
         assert r["rest"] == ("r" if r["doc_id"] is not None else None)
 
 
+def test_copies_in_the_pipeline_are_cut_differently(spark):
+    import corpus_pipeline
+
+    text = " ".join(WORDS * 30)
+    rows = [(k, f"{text} {k}", f"s{k}") for k in range(3)]
+    mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").persist()
+    twice = {r["doc_id"] for r in mixed.filter("copy = 1").collect()}
+    out = defaultdict(dict)
+    for r in corpus_pipeline.encode_pieces(spark, mixed, "").collect():
+        out[r["doc_id"]][r["copy"]] = r["ids"]
+    assert twice and all(out[k][0][:300] != out[k][1][:300] for k in twice)
+
+
 def test_media(docs):
     whole = {r[0]: (r[1] or "").encode() for r in rows()}
     out = media.media_columns(docs).collect()
