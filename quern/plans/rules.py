@@ -271,53 +271,71 @@ def taint(files: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Each round reads the files with the summaries of the round before; a name that is defined more than once in a
     family is ambiguous and not used. Summaries are a row for each function; only those that reach a sink or return
-    input are kept, and their table is broadcast only as long as it is small (SMALL_SUMMARIES rows), else a round
-    keeps to the summaries of the file's own folder.
+    input are kept. Up to SMALL_SUMMARIES of them are shared with all tasks; a larger table is written and joined with
+    the names that files call, so that each file gets what it may use and the result is the same.
     """
-    spark = files.sparkSession
     work = files.filter(F.col("language").isin(*FAMILY) & (F.length("content") <= MAX_FLOW_BYTES)).select("rel_path", "language", "content")
     table: dict[str, dict[str, dict]] = {}
+    large: DataFrame | None = None
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(table)
-
-        def told(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for lang, text in zip(batch.column("language").to_pylist(), batch.column("content").to_pylist()):
-                    unit = source.analysed(text or "", lang)
-                    own = {s["name"]: s for s in flows(unit, lang, {})[1]}
-                    rows += flows(unit, lang, {**own, **shared.value.get(FAMILY[lang], {})})[1]
-                yield pa.RecordBatch.from_pydict({"family": pa.array([r["family"] for r in rows], pa.string()), "name": pa.array([r["name"] for r in rows], pa.string()), "params": pa.array([r["params"] for r in rows], pa.list_(pa.string())), "returns_source": pa.array([r["returns_source"] for r in rows], pa.bool_()), "sinks": pa.array([list(r["sinks"].items()) for r in rows], pa.map_(pa.string(), pa.list_(pa.int32())))})
-
-        every = work.mapInArrow(told, SUMMARY)
+        every = _over(work, table, large, _told, SUMMARY)
         useful = every.groupBy("family", "name").agg(F.count("name").alias("n"), F.first("params").alias("params"), F.first("returns_source").alias("returns_source"), F.first("sinks").alias("sinks")).filter("n = 1 and (returns_source or size(sinks) > 0)")
         rows = useful.limit(SMALL_SUMMARIES + 1).collect()
         if len(rows) > SMALL_SUMMARIES:
+            table, large = {}, useful.checkpoint()
+            continue
+        new = _by_name(rows)
+        if new == table and large is None:
             break
-        new: dict[str, dict[str, dict]] = {}
-        for r in rows:
-            new.setdefault(r["family"], {})[r["name"]] = {"name": r["name"], "params": r["params"], "returns_source": r["returns_source"], "sinks": {k: list(v) for k, v in (r["sinks"] or {}).items()}}
-        if new == table:
-            break
-        table = new
-    shared = spark.sparkContext.broadcast(table)
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, lang, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                unit = source.analysed(text or "", lang)
-                rows += [(path, h["rule"], h["line"], h["function"], h["source_line"], h["write"], h["via"]) for h in flows(unit, lang, shared.value.get(FAMILY[lang], {}))[0]]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(FLOW.split(", "), kinds))})
-
-    found = work.mapInArrow(hits, FLOW)
+        table, large = new, None
+    found = _over(work, table, large, _hits, FLOW)
     one = found.groupBy("rel_path", "rule", "line").agg(F.bool_or("write").alias("write"), F.min_by("function", "source_line").alias("function"), F.min("source_line").alias("source_line"), F.first("via").alias("via"))
     one = one.withColumn("flow", F.struct("source_line", F.col("line").alias("sink_line"))).withColumn("description", F.concat(F.replace(F.col("rule"), F.lit("-"), F.lit(" ")), F.coalesce(F.concat(F.lit(" (via "), "via", F.lit("())")), F.lit(""))))
     metas = {f"{fam}-{KEY_NAMES[k]}": (*v, "taint") for fam in CALLS for k, v in SINKS.items() if (fam, k) not in LACKING}
     return _shaped(one, metas)
 
 
+def _by_name(rows) -> dict[str, dict[str, dict]]:  # noqa: ANN001
+    out: dict[str, dict[str, dict]] = {}
+    for r in rows:
+        out.setdefault(r["family"], {})[r["name"]] = {"name": r["name"], "params": r["params"], "returns_source": r["returns_source"], "sinks": {k: list(v) for k, v in dict(r["sinks"] or {}).items()}}
+    return out
+
+
+def _over(work: DataFrame, table: dict, large: DataFrame | None, fn, schema: str) -> DataFrame:  # noqa: ANN001
+    """The rows that fn makes of each file (path, language, unit and the summaries it may use)."""
+    shared = work.sparkSession.sparkContext.broadcast(table)
+    if large is not None:
+        family = mapped(F.col("language"), FAMILY)
+        called = work.select("rel_path", family.alias("family"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1)))).alias("name")).distinct()
+        own = called.join(large.hint("merge"), ["family", "name"]).groupBy("rel_path").agg(F.collect_list(F.struct("family", "name", "params", "returns_source", "sinks")).alias("own"))
+        work = work.join(own.hint("merge"), "rel_path", "left").select("rel_path", "language", "content", "own")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        kinds = _FLOW_KINDS if fn is _hits else _SUMMARY_KINDS
+        for batch in batches:
+            rows, given = [], batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for path, lang, text, own in zip(*[batch.column(k).to_pylist() for k in range(3)], given):
+                rows += fn(path, lang, source.analysed(text or "", lang), (_by_name(own) if own else shared.value).get(FAMILY[lang], {}))
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(names, kinds))})
+
+    return work.mapInArrow(run, schema)
+
+
+_FLOW_KINDS = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string())
+_SUMMARY_KINDS = (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.map_(pa.string(), pa.list_(pa.int32())))
+
+
+def _told(path: str, lang: str, unit: source.Unit, summaries: dict[str, dict]) -> list[tuple]:
+    own = {s["name"]: s for s in flows(unit, lang, {})[1]}
+    return [(r["family"], r["name"], r["params"], r["returns_source"], list(r["sinks"].items())) for r in flows(unit, lang, {**own, **summaries})[1]]
+
+
+def _hits(path: str, lang: str, unit: source.Unit, summaries: dict[str, dict]) -> list[tuple]:
+    return [(path, h["rule"], h["line"], h["function"], h["source_line"], h["write"], h["via"]) for h in flows(unit, lang, summaries)[0]]
+
+
 #: Functions with a summary up to which the table of summaries is shared with all tasks.
 SMALL_SUMMARIES = 200_000
 

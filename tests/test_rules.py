@@ -47,6 +47,14 @@ def test_flows_across_files(spark):
     assert not twice
 
 
+def test_flows_do_not_depend_on_the_number_of_summaries(spark, monkeypatch):
+    files = table(spark, [("runner.py", "import os\ndef launch(cmd):\n    os.system(cmd)\n"), ("mid.py", "def relay(x):\n    launch(x)\n"), ("app.py", "def view():\n    q = request.args['q']\n    relay(q)\n")])
+    want = sorted(map(tuple, rules.taint(files).select("rule", "file", "line").collect()))
+    monkeypatch.setattr(rules, "SMALL_SUMMARIES", 0)
+    got = sorted(map(tuple, rules.taint(files).select("rule", "file", "line").collect()))
+    assert got == want == [("py-command-injection-taint", "app.py", 3)]
+
+
 def test_audit_drops_structural_twins(spark):
     files = table(spark, [("app.py", "def view(cur):\n    name = request.form['n']\n    cur.execute(\"select a from t where n = \" + name)\n")])
     got = [r["rule"] for r in rules.audit(files).collect()]
