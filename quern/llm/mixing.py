@@ -2,7 +2,8 @@
 
 Every source's words are packed, document after document, into blocks of a fixed number of words. The mix is a
 sequence of slots; a slot takes one block. Slots are thrown over output shards by a keyed hash, so the counts of
-sources in a shard are a multinomial draw under the condition that each source's total is exact. Within a source,
+sources in a shard would be a multinomial draw under the condition that each source's total is exact; but shard and
+place end with the slots, and no output of this module is dealt by shard or ordered by place. Within a source,
 slot k takes block perm(k), where perm is a keyed pseudorandom permutation of the block numbers ("swap or not"),
 applied anew in each pass, so every block is taken once before any is taken twice. Slots and blocks meet in a join
 on (source, block). The last slot of a source takes only the first words of its block, so that a source's words in
