@@ -16,13 +16,13 @@ table gives no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -32,11 +32,16 @@ from quern.llm.common import map_rows, slices, written
 from quern.llm.pieces import gather
 
 MAGIC, BLOCK, CHUNK, LEVEL, END_ID = b"QPL1", 16384, 65536, 1, 0
-#: Characters of units that a worker remembers.
-MEMORY = 15_000_000
-_DIRTY = re.compile(r"\s\x20|<\|")
-_PART = re.compile(r"\x20?[^\W\d_]+|\x20?[!-/:-@\[-`{-~]+|\n")
-_NO_MARKS = {ord(c): None for c in " \n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
+#: Characters of parts that a worker remembers, and 8 more for each.
+MEMORY = 10_000_000
+#: New parts that are looked at together.
+TOGETHER = 20_000
+#: What the cuts do not fit: white space (of Unicode) on both sides of a place, but for two line breaks before other
+#: characters; or what may open a special token. In the syntax of Arrow's expressions.
+_WHITE = r"\x09-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_DIRTY = rf"[{_WHITE}\x20]\x20|[\x20\x09\x0b-\x0d\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{3000}}]\n|\n[\x09\x0b-\x0d\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{3000}}]|\n\n\n|\n\n\z|<\|"
+#: A line break, letters that every version of Unicode counts as such, and marks.
+_PLAIN = r"^(?P<n>\n?)(?P<a>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}\x{5d0}-\x{5ea}\x{3041}-\x{3096}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]*)(?P<b>[!-/:-@\[-`{-~]*)$"
 
 
 def default_tokenizer() -> str:
@@ -99,10 +104,12 @@ def unpack(chunk: bytes, only: int | None = None) -> np.ndarray:
 class Tokens:
     """Ids of texts by the tokenizers library.
 
-    For a byte-level model that splits by its usual pattern, a text is cut at spaces that follow no white space: the
-    pattern never reaches over such a place, so each unit (with its space) goes through the model once and is kept.
-    Texts with other runs of white space, or with what may be a special token, go through the library as a whole, as
-    do all texts for any other kind of tokenizer.
+    For a byte-level model that splits by its usual pattern, a text is cut at single spaces and before line breaks: the
+    pattern never reaches over such a place. The units between are numbered by Arrow, all texts of a slice at once;
+    those of a line break or a space, letters, and marks behind them are parted as the pattern parts them, and each
+    part goes through the library's model once and is kept. Other units go through its splitter first. Texts with
+    other runs of white space, or with what may be a special token, go through the library as a whole, as do all texts
+    for any other kind of tokenizer.
     """
 
     def __init__(self, path: str):
@@ -123,53 +130,81 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.flat, self.lens, self.end, self.held = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0, 0
-
-    def unit(self, u: str) -> list[int]:
-        """Ids of one unit: letters, marks and line breaks are parted here as the pattern does, anything else by the library."""
-        if "'" not in u and "\n\n" not in u:
-            parts = _PART.findall(u)
-            if len(parts) == 1 and len(parts[0]) == len(u):
-                if u.strip(" ").isalpha():
-                    return self.part(u)
-            elif sum(map(len, parts)) == len(u) and u.translate(_NO_MARKS).isalpha():
-                return [i for p in parts for i in self.part(p)]
-        return [t.id for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(u) for t in self.tok.model.tokenize(s)]
-
-    def part(self, p: str) -> list[int]:
-        got = self.parts.get(p)
-        if got is None:
-            got = self.parts[p] = [t.id for t in self.tok.model.tokenize(p.encode().decode("latin-1").translate(self.table))]
-        return got
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as uint32."""
+        """Forgets all parts; number 0 is that of the empty one."""
+        self.spaced, self.bare, self.units = {"": 0}, {"": 0}, {"": 0}
+        self.flat, self.lens, self.held = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def part(self, p: str) -> list:
+        """Tokens of a part that the pattern leaves whole."""
+        return self.tok.model.tokenize(p.encode().decode("latin-1").translate(self.table))
+
+    def spaced_part(self, p: str) -> list:
+        return self.tok.model.tokenize("\u0120" + p) if p.isascii() else self.part(" " + p)
+
+    def unit(self, u: str) -> list:
+        """Tokens of any unit."""
+        return [t for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(u) for t in self.tok.model.tokenize(s)]
+
+    def numbers(self, known: dict[str, int], parts: list[str], tokens: Callable[[str], list]) -> np.ndarray:
+        """The numbers of parts among those known; new ones get theirs, and their ids from tokens."""
+        get = known.get
+        out = np.array([get(p, -1) for p in parts], dtype=np.int64)
+        at = np.flatnonzero(out < 0)
+        for k in range(0, len(at), TOGETHER):
+            some = at[k : k + TOGETHER]
+            new = [parts[j] for j in some.tolist()]
+            made, first = [tokens(p) for p in new], len(self.lens)
+            out[some] = np.arange(first, first + len(new))
+            known.update(zip(new, range(first, first + len(new))))
+            self.held += sum(map(len, new)) + 8 * len(new)
+            self.lens = np.append(self.lens, list(map(len, made)))
+            self.flat = np.append(self.flat, np.array([t.id for ts in made for t in ts], dtype=np.uint32))
+        return out
+
+    def parted(self, units: pa.Array) -> np.ndarray:
+        """The numbers of the three parts of each unit (a space goes before those without a line break in front)."""
+        cut = pc.extract_regex(units, _PLAIN)
+        lines, words, marks = (pc.fill_null(pc.struct_field(cut, k), "") for k in ("n", "a", "b"))
+        breaks = pc.not_equal(lines, "").to_numpy(zero_copy_only=False)
+        empty = pc.equal(words, "").to_numpy(zero_copy_only=False)
+        odd = cut.is_null().to_numpy(zero_copy_only=False) | ~breaks & empty  # a space goes with the marks then
+        out = np.zeros((len(units), 3), dtype=np.int64)
+        out[breaks, 0] = self.numbers(self.bare, ["\n"], self.part)
+        for k, which, known, tokens, column in ((1, ~odd & ~breaks, self.spaced, self.spaced_part, words), (1, ~odd & breaks, self.bare, self.part, words), (2, ~odd, self.bare, self.part, marks)):
+            if which.any():
+                each = column.filter(pa.array(which)).dictionary_encode()
+                out[which, k] = self.numbers(known, each.dictionary.to_pylist(), tokens)[each.indices.to_numpy()]
+        at = np.flatnonzero(odd)
+        if len(at):
+            rest = [u if u[:1] == "\n" else " " + u for u in units.take(pa.array(at)).to_pylist()]
+            out[at] = 0
+            out[at, 0] = self.numbers(self.units, rest, self.unit)
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of each text, as uint32; null counts as empty."""
         if self.held > MEMORY:
             self.clear()
-        whole = [k for k, t in enumerate(texts) if not self.by_unit or _DIRTY.search(t)]
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        whole = pc.match_substring_regex(texts, _DIRTY).to_numpy(zero_copy_only=False) if self.by_unit else np.ones(len(texts), dtype=bool)
         out: list[np.ndarray | None] = [None] * len(texts)
-        for k in whole:
-            out[k] = np.array(self.tok.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
-        cut = {k: t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for k, t in enumerate(texts) if out[k] is None}
-        for k in [k for k, c in cut.items() if c is None]:
-            head, *rest = texts[k].split(" ")
-            cut[k] = [head, *[" " + x for x in rest]]
-        new = list({u: None for c in cut.values() for u in c if u not in self.known})
-        if new:
-            ids = [self.unit(u) if u else [] for u in new]
-            lens = np.array([len(x) for x in ids], dtype=np.int64)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.flat.append(np.array([x for i in ids for x in i], dtype=np.uint32))
-            self.lens.append(lens)
-            self.held += sum(map(len, new)) + 8 * len(new)
-        flat, lens = np.concatenate(self.flat), np.concatenate(self.lens)
-        self.flat, self.lens = [flat], [lens]
-        starts = np.cumsum(lens) - lens
-        for k, c in cut.items():
-            at = np.fromiter(map(self.known.__getitem__, c), dtype=np.int64, count=len(c))
-            out[k] = gather(flat, starts[at], lens[at])
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+        clean = np.flatnonzero(~whole)
+        if len(clean):
+            lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(clean)), "\n", " \n"), " ")
+            ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+            cut = lists.flatten()
+            coded = cut.dictionary_encode()
+            first = np.concatenate(([0], ends[:-1]))
+            at = self.parted(coded.dictionary)[coded.indices.to_numpy()]
+            at[first] = 0
+            at[first, 0] = self.numbers(self.units, cut.take(pa.array(first)).to_pylist(), self.unit)
+            lens = self.lens[at.ravel()]
+            ids = gather(self.flat, (np.cumsum(self.lens) - self.lens)[at.ravel()], lens)
+            to = np.cumsum(lens)[3 * ends - 1].tolist()
+            for k, a, b in zip(clean.tolist(), [0, *to[:-1]], to):
+                out[k] = ids[a:b]
         return out
 
 
@@ -202,7 +237,7 @@ def chunks(docs: DataFrame, path: str | None = None, bits: bool = False) -> Data
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "chunk": [number], "ids_before": [before], "n_ids": [held], "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), "data": pa.array([data], pa.binary())})
 
         for part in slices(batches, "text"):
-            got = _tokens(path).encode([t or "" for t in part.column("text").to_pylist()])
+            got = _tokens(path).encode(part.column("text"))
             for name, one in zip(part.column("doc_id").to_pylist(), got):
                 names.append(name)
                 ids.append(np.append(one, np.uint32(END_ID)).astype(np.uint32))
