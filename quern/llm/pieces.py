@@ -11,8 +11,9 @@ exactly. With a rate of 0 the ids are those of the library.
 What a unit gives without dropout is kept, with the merges that are tried on the way; an occurrence of which none of
 these is skipped takes it as it is, the others go through the agenda.
 
-Units go through the agenda together: each round takes the best candidate of every unit at once
-(numpy), which for each unit is the order of an agenda. `agenda` does one unit with a heap; tests compare the two.
+Units of like length go through the agenda together: each round takes the best candidate of every unit at once
+(numpy), which for each unit is the order of an agenda. `agenda` does one unit with a heap, as units of more than LONG
+characters do; tests compare the two.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to an empty text; texts of any length are
 encoded whole; a null key counts as 0; an empty table gives no rows.
@@ -27,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,12 @@ from quern.llm.common import map_rows, mix64
 RATE, SEED = 0.1, 7
 #: Characters of units that a worker remembers between slices.
 MEMORY = 8_000_000
-#: Units that go through the agenda together.
-TOGETHER = 8192
-#: Units whose merges are looked at together.
-SPAN = 8192
+#: Units that go through the agenda together, and units whose merges are looked at together.
+TOGETHER = SPAN = 65536
+#: Characters of a unit from which it goes through a heap of its own and isn't kept.
+LONG = 256
+#: Widths of the tables in which units go through the agenda.
+WIDTHS = np.array([2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 21, 27, 36, 64, 128, LONG])
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -86,25 +90,49 @@ class Pieces:
                 left, right = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if left is not None and right is not None:
                     pair[left * n + right] = i
-        self.pair_key = np.array(sorted(pair), dtype=np.int64)
-        self.pair_id = np.array([pair[k] for k in self.pair_key.tolist()], dtype=np.int64)
+        self.pairs = pair
+        self._table(np.array(list(pair), dtype=np.int64), np.array(list(pair.values()), dtype=np.int32))
+
+    def _table(self, keys: np.ndarray, ids: np.ndarray) -> None:
+        """A hash table of the pairs: rows of as many places as the fullest one needs."""
+        self.bits = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        row = self._row(keys)
+        order = np.argsort(row, kind="stable")
+        first = np.searchsorted(row[order], row[order])
+        place = np.arange(len(keys)) - first
+        self.pair_key = np.full((int(place.max(initial=0)) + 1, 1 << (64 - int(self.bits))), -1, dtype=np.int64)
+        self.pair_id = np.full(self.pair_key.shape, -1, dtype=np.int32)
+        self.pair_key[place, row[order]], self.pair_id[place, row[order]] = keys[order], ids[order]
+
+    def _row(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.bits).astype(np.int64)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ids of the pieces that pairs merge to; -1 for none."""
-        key = left * self.size + right  # below 0 only if left is: with no right piece it is no pair's key either way
-        key[right < 0] = -1
-        at = np.searchsorted(self.pair_key[:-1], key)
-        return np.where(self.pair_key[at] == key, self.pair_id[at], -1)
-
-
-def unit_key(units: list[str], seed: int, variant: int) -> np.ndarray:
-    """A 64-bit number of each unit, by seed and variant."""
-    codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    lens = np.array([len(u) for u in units], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        """Ids of the pieces that pairs merge to; -1 for none. Neither of a pair without a piece (-1) is in the table."""
+        key = left.astype(np.int64) * self.size + right
+        key[(left < 0) | (right < 0)] = -2
+        row, out = self._row(key), np.full(len(key), -1, dtype=np.int32)
+        for keys, ids in zip(self.pair_key, self.pair_id):
+            hit = keys[row] == key
+            out[hit] = ids[row[hit]]
+        return out
+
+
+def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of units, one after the other, and how many each has."""
+    return np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32), np.array([len(u) for u in units], dtype=np.int64)
+
+
+def unit_key(units: tuple[np.ndarray, np.ndarray], seed: int, variant: int) -> np.ndarray:
+    """A 64-bit number of each unit (coded), by seed and variant."""
+    codes, lens = units
+    starts = np.cumsum(lens) - lens
     place = (np.arange(len(codes)) - np.repeat(starts, lens)).astype(np.uint64)
+    if not len(lens):
+        return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        each = mix64(codes * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xC2B2AE3D27D4EB4F))
+        each = mix64(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xC2B2AE3D27D4EB4F))
         return mix64(np.add.reduceat(each, starts) + mix64(np.uint64([seed * 1_000_003 + variant]))[0])
 
 
@@ -132,18 +160,31 @@ def hidden(key: np.ndarray, where: np.ndarray, rate: float) -> np.ndarray:
     return (mix64(key ^ where) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
 
 
-def agenda(unit: str, p: Pieces, rate: float = 0.0, seed: int = SEED, variant: int = 0) -> list[int]:
-    """Ids of one unit (a run of spaces and what follows it), by a heap of candidate merges."""
-    n = len(unit)
+_FULL = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """mix64 of one number."""
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & _FULL
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & _FULL
+    return x ^ x >> 33
+
+
+def agenda(unit: str, p: Pieces, rate: float = 0.0, seed: int = SEED, variant: int = 0, key: int | None = None) -> list[int]:
+    """Ids of one unit (a run of spaces and what follows it), by a heap of candidate merges; key is its number, else unit_key."""
+    n, most = len(unit), rate * 2.0**53
     sym = [int(p.char[ord(c)]) for c in unit]
-    end, prev, key = list(range(1, n + 1)), list(range(-1, n - 1)), unit_key([unit], seed, variant)
+    end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+    key = int(unit_key(coded([unit]), seed, variant)[0]) if key is None else key
     heap: list[tuple[int, int, int, int, int]] = []
 
     def offer(i: int) -> None:
         j = end[i]
         if j < n and sym[i] >= 0 and sym[j] >= 0:
-            m = int(p.merged(np.array([sym[i]]), np.array([sym[j]]))[0])
-            if m >= 0 and not (rate > 0 and dropped(key, *[np.array([x]) for x in (i, j, end[j])], rate)[0]):
+            m = p.pairs.get(sym[i] * p.size + sym[j], -1)
+            if m >= 0 and not (rate > 0 and _mixed(key ^ _mixed(i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + end[j] * 0x165667B19E3779F9 & _FULL)) >> 11 < most):
                 heapq.heappush(heap, (-int(p.priority[m]), i, j, end[j], m))
 
     for i in range(n):
@@ -166,78 +207,108 @@ def agenda(unit: str, p: Pieces, rate: float = 0.0, seed: int = SEED, variant: i
     return out
 
 
-def encode_units(units: list[str], p: Pieces, rate: float, seed: int, variant: int, key: np.ndarray | None = None, tried: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the units in order, and the number of ids of each; the same as agenda for each.
+def encode_units(units: list[str] | tuple[np.ndarray, np.ndarray], p: Pieces, rate: float, seed: int, variant: int, key: np.ndarray | None = None, tried: list | None = None, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the units (or coded units, of LONG characters at most) in order, and the number of ids of each; as by agenda.
 
     key has a number of each unit (else unit_key gives them); tried is given the merges looked at: arrays of units,
-    starts, middles and ends.
+    starts, middles and ends. pairs has what each character and the next merge to, if that is known.
     """
-    lens = np.array([len(u) for u in units], dtype=np.int64)
-    codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    unit = np.repeat(np.arange(len(units)), lens)
-    at = np.arange(len(codes)) - starts[unit]
-    key = unit_key(units, seed, variant) if key is None else key
-    sym, first, last = p.char[codes].astype(np.int64), at, at + 1
-    origin = np.arange(len(codes))  # place of the first character in codes, for byte pieces and the final order
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def candidates(i: np.ndarray) -> np.ndarray:
-        """Pieces that symbols i merge to with the next ones, or -1."""
-        j = np.minimum(i + 1, len(sym) - 1)
-        m = np.where((j > i) & (unit[j] == unit[i]), p.merged(sym[i], sym[j]), -1)
-        if rate > 0:
-            ok = np.flatnonzero(m >= 0)
-            a, b = i[ok], j[ok]
-            m[ok[dropped(key[unit[a]], first[a], first[b], last[b], rate)]] = -1
-        if tried is not None:
-            ok = np.flatnonzero(m >= 0)
-            a, b = i[ok], j[ok]
-            tried.append((unit[a], first[a], first[b], last[b]))
-        return m
-
-    cand = candidates(np.arange(len(sym)))
-    while len(sym):
-        head = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        rank = np.where(cand >= 0, p.priority[np.maximum(cand, 0)] * (1 << 32) - first, -1)
-        best = np.maximum.reduceat(rank, head)
-        size = np.diff(np.append(head, len(sym)))
-        live = np.repeat(best >= 0, size)
-        if not live.all():  # units without a candidate are ready
-            done.append((origin[~live], sym[~live]))
-            sym, first, last, origin, unit, cand, rank = (x[live] for x in (sym, first, last, origin, unit, cand, rank))
-            if not len(sym):
-                break
-            best = best[best >= 0]
-            head = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            size = np.diff(np.append(head, len(sym)))
-        i = np.flatnonzero(rank == np.repeat(best, size))
-        sym[i], last[i] = cand[i], last[i + 1]
-        keep = np.ones(len(sym), dtype=bool)
-        keep[i + 1] = False
-        moved = np.cumsum(keep) - 1
-        i = moved[i]
-        sym, first, last, origin, unit, cand = (x[keep] for x in (sym, first, last, origin, unit, cand))
-        mark = np.zeros(len(sym) + 1, dtype=bool)
-        mark[i] = True
-        mark[i - 1] = True  # before the first symbol this marks the spare place at the end
-        again = np.flatnonzero(mark[:-1])
-        cand[again] = candidates(again)
-    origin, sym = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(origin, kind="stable")
-    origin, sym = origin[order], sym[order]
+    codes, lens = coded(units) if isinstance(units, list) else units
+    starts, key = np.cumsum(lens) - lens, unit_key((codes, lens), seed, variant) if key is None else key
+    pieces = p.char[codes]
+    wide = np.searchsorted(WIDTHS, lens)
+    order = np.argsort(wide, kind="stable")
+    to = np.searchsorted(wide[order], np.arange(len(WIDTHS) + 1))
+    sym = np.empty(len(codes), dtype=np.int32)
+    for k, width in enumerate(WIDTHS.tolist()):
+        which = order[to[k] : to[k + 1]]
+        if len(which):
+            at = starts[which][:, None] + np.arange(width)
+            real = np.arange(width) < lens[which][:, None]
+            table = np.full((len(which), width + 1), -1, dtype=np.int32)
+            where = at[real]
+            table[:, :width][real] = pieces[where]
+            made = np.full(table.shape, -1, dtype=np.int32)
+            if pairs is not None:
+                made[:, :width][real] = pairs[where]
+            _rounds(table, lens[which], p, rate, key[which], which, tried, made if pairs is not None else None)
+            sym[where] = table[:, :width][real]
+    origin = np.flatnonzero(sym != _DEAD)
+    sym = sym[origin].astype(np.int64)
+    owner = np.repeat(np.arange(len(lens)), lens)[origin]
     rare = np.flatnonzero(sym < 0)
     if len(rare):  # characters without a piece: one symbol each, so origin tells which
         raw = [p.byte[np.frombuffer(chr(c).encode(), dtype=np.uint8)] for c in codes[origin[rare]].tolist()]
         size = np.ones(len(sym), dtype=np.int64)
         size[rare] = [len(r) for r in raw]
-        at = np.concatenate(([0], np.cumsum(size)))[:-1]
+        at = np.cumsum(size) - size
         out = np.repeat(sym, size)
         for k, r in zip(at[rare].tolist(), raw):
             out[k : k + len(r)] = r
-        sym, origin = out, np.repeat(origin, size)
-    owner = np.searchsorted(starts, origin, side="right") - 1
-    return sym, np.bincount(owner, minlength=len(units))
+        sym, owner = out, np.repeat(owner, size)
+    return sym, np.bincount(owner, minlength=len(lens))
+
+
+#: The place of a symbol that was merged into the one before it.
+_DEAD = -2
+
+
+def _rounds(table: np.ndarray, lens: np.ndarray, p: Pieces, rate: float, key: np.ndarray, names: np.ndarray, tried: list | None, pairs: np.ndarray | None) -> None:
+    """Merges the symbols in the rows of table (a unit each, filled up with -1, with a spare column) until no candidate is left."""
+    n, step = table.shape
+    sym = table.reshape(-1)
+    after = np.tile(np.arange(1, step + 1, dtype=np.int32), n)  # column of the next symbol
+    before = np.tile(np.arange(-1, step - 1, dtype=np.int32), n)
+    made = np.full(n * step, -1, dtype=np.int32) if pairs is None else pairs.reshape(-1)
+    rank = np.full((n, step), -1, dtype=np.int32)
+
+    def offer(row: np.ndarray, i: np.ndarray, j: np.ndarray, line: np.ndarray, m: np.ndarray | None = None) -> None:
+        """Looks at the merges of columns i and j in rows; line has the places of those rows in rank, m what they give if known."""
+        base = row * step
+        m = p.merged(sym[base + i], sym[base + j]) if m is None else m
+        ok = np.flatnonzero(m >= 0)
+        if len(ok) and (rate > 0 or tried is not None):
+            r, a, b = row[ok], i[ok], j[ok]
+            e = after[base[ok] + b]
+            if rate > 0:
+                kept = ~dropped(key[r], a, b, e, rate)
+                m[ok[~kept]] = -1
+                ok, r, a, b, e = ok[kept], r[kept], a[kept], b[kept], e[kept]
+            if tried is not None:
+                tried.append((names[r], a, b, e))
+        made[base + i] = m
+        best = np.full(len(m), -1, dtype=np.int32)
+        best[ok] = p.priority[m[ok]]
+        rank[line, i] = best
+
+    if pairs is None:
+        row, col = np.nonzero(np.arange(step) < lens[:, None] - 1)
+        offer(row, col, col + 1, row)
+    else:
+        row, col = np.nonzero(pairs >= 0)
+        offer(row, col, col + 1, row, pairs[row, col])
+    live = np.arange(n)  # the row of table that each row of rank stands for
+    while len(live):
+        i = rank.argmax(axis=1)  # the leftmost of equals
+        on = rank[np.arange(len(live)), i] >= 0
+        if not on.all():
+            live, rank, i = live[on], rank[on], i[on]
+            if not len(live):
+                break
+        line, base = np.arange(len(live)), live * step
+        j = after[base + i]
+        k = after[base + j]
+        sym[base + i], sym[base + j] = made[base + i], _DEAD
+        after[base + i], rank[line, j] = k, -1
+        more = k < lens[live]
+        before[base[more] + k[more]] = i[more]
+        rank[line, i] = -1
+        if more.any():
+            offer(live[more], i[more], k[more], line[more])
+        left = before[base + i]
+        has = left >= 0
+        if has.any():
+            offer(live[has], left[has], i[has], line[has])
 
 
 def gather_at(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -261,60 +332,93 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.ids, self.lens, self.merges, self.counts, self.keys = (np.zeros(0, t) for t in (np.int32, np.int64, np.uint64, np.int64, np.uint64))
+        self.codes, self.pairs, self.sizes, self.ids, self.lens, self.merges, self.counts, self.keys = (np.zeros(0, t) for t in (np.uint32, np.int32, np.int64, np.int32, np.int64, np.uint64, np.int64, np.uint64))
 
     def learn(self, new: list[str]) -> None:
-        """Keeps the ids of new units, the merges tried for each, and their keys."""
-        ids, lens, merges, counts = [self.ids], [self.lens], [self.merges], [self.counts]
+        """Keeps the ids of new units, the merges tried for each, and their keys; of long units the characters alone."""
         for at in range(0, len(new), TOGETHER):
             part, tried = new[at : at + TOGETHER], []
-            got, n = encode_units(part, self.p, 0.0, self.seed, 0, tried=tried if self.rate > 0 else None)
-            ids.append(got.astype(np.int32))
-            lens.append(n)
+            codes, sizes = coded(part)
+            short = sizes <= LONG
+            inside = np.repeat(short, sizes)
+            pieces = self.p.char[codes]
+            pairs = np.append(self.p.merged(pieces[:-1], pieces[1:]), -1).astype(np.int32)
+            pairs[np.cumsum(sizes) - 1] = -1  # the last character of a unit has no next one
+            got, n = encode_units((codes[inside], sizes[short]), self.p, 0.0, self.seed, 0, tried=tried if self.rate > 0 else None, pairs=pairs[inside])
             unit, *where = (np.concatenate(x) for x in zip(*tried)) if tried else [np.zeros(0, np.int64)] * 4
             order = np.argsort(unit, kind="stable")
-            merges.append(merge_key(*where)[order])
-            counts.append(np.bincount(unit, minlength=len(part)))
-            self.held += sum(map(len, part)) + 8 * len(part) + len(unit)
-        self.keys = np.concatenate((self.keys, unit_key(new, self.seed, 0)))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.ids, self.lens, self.merges, self.counts = (np.concatenate(x) for x in (ids, lens, merges, counts))
-
-    def encode(self, texts: list[str | None], docs: list[int]) -> list[np.ndarray]:
-        """Ids of each text, as int32; docs has a number of each, which its dropout is keyed by."""
+            lens, counts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+            lens[short], counts[short] = n, np.bincount(unit, minlength=int(short.sum()))
+            for name, more in (("codes", codes), ("pairs", pairs), ("sizes", sizes), ("ids", got.astype(np.int32)), ("lens", lens), ("merges", merge_key(*where)[order]), ("counts", counts), ("keys", unit_key((codes, sizes), self.seed, 0))):
+                setattr(self, name, np.concatenate((getattr(self, name), more)))
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+            self.held += len(codes) + 8 * len(part) + len(unit)
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """The numbers of units among those kept, new ones learned."""
+        out = np.array([self.known.get(u, -1) for u in units], dtype=np.int64)
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = list({units[k]: None for k in at.tolist()})
+            self.learn(new)
+            out[at] = [self.known[units[k]] for k in at.tolist()]
+        return out
+
+    def cut(self, texts: pa.Array) -> list[np.ndarray]:
+        """The numbers of the units of each text; texts with runs of spaces are cut one by one, the others by Arrow at once."""
+        out = [np.zeros(0, np.int64)] * len(texts)
+        runs = pc.match_substring_regex(texts, r"^\x20|\x20\x20").to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(runs).tolist():
+            out[k] = self.numbers(_UNIT.findall(" " + texts[k].as_py()))
+        at = np.flatnonzero(~runs & pc.not_equal(texts, "").to_numpy(zero_copy_only=False))
+        if len(at):
+            lists = pc.split_pattern(texts.take(pa.array(at)), " ")
+            each = lists.flatten().dictionary_encode()
+            every = self.numbers([" " + u for u in each.dictionary.to_pylist()])[each.indices.to_numpy()]
+            ends = lists.offsets.to_numpy().tolist()
+            for k, a, b in zip(at.tolist(), ends, ends[1:]):
+                out[k] = every[a:b]
+        return out
+
+    def encode(self, texts: pa.Array | list[str | None], docs: list[int]) -> list[np.ndarray]:
+        """Ids of each text, as int32; docs has a number of each, which its dropout is keyed by. Null counts as empty."""
         if self.held > MEMORY:
             self.clear()
-        cut = [_UNIT.findall(" " + t) if t and ("  " in t or t[0] == " ") else [] if not t else [" " + u for u in t.split(" ")] for t in texts]
-        new = list({u: None for x in cut for u in x if u not in self.known})
-        if new:
-            self.learn(new)
-        ids, lens = self._ids([u for x in cut for u in x], np.array([len(x) for x in cut], dtype=np.int64), docs)
-        ends = np.cumsum([len(x) for x in cut], dtype=np.int64)
-        to = np.concatenate(([0], np.cumsum(lens)))[ends]
+        cut = self.cut(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""))
+        sizes = np.array([len(x) for x in cut], dtype=np.int64)
+        ids, lens = self._ids(np.concatenate([np.zeros(0, np.int64), *cut]), sizes, docs)
+        to = np.concatenate(([0], np.cumsum(lens)))[np.cumsum(sizes)]
         return [ids[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist())]
 
-    def _ids(self, units: list[str], sizes: np.ndarray, docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the units of some texts (of so many units each), and how many each unit has; SPAN units at a time."""
-        at = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
-        starts, tries = np.cumsum(self.lens) - self.lens, np.cumsum(self.counts) - self.counts
-        keys = place_key(self.keys[at], docs, sizes) if self.rate > 0 else None
+    def _ids(self, at: np.ndarray, sizes: np.ndarray, docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units with these numbers in some texts (of so many units each), and how many each unit has; SPAN units at a time."""
+        starts, tries, letters = (np.cumsum(x) - x for x in (self.lens, self.counts, self.sizes))
+        keys = place_key(self.keys[at], docs, sizes)
         out, sizes_out = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for k in range(0, len(units), SPAN):
-            a = at[k : k + SPAN]
-            first, size, ids = starts[a], self.lens[a], np.zeros(0, np.int64)
-            if keys is not None:
-                key, n = keys[k : k + SPAN], self.counts[a]
+        for k in range(0, len(at), SPAN):
+            a, key = at[k : k + SPAN], keys[k : k + SPAN]
+            first, size, made = starts[a], self.lens[a], [np.zeros(0, np.int32)]
+            odd = np.zeros(0, np.int64)
+            if self.rate > 0:
+                n = self.counts[a]
                 own = np.repeat(np.arange(len(a)), n)
                 hit = hidden(key[own], gather(self.merges, tries[a], n), self.rate)
                 odd = np.flatnonzero(np.bincount(own[hit], minlength=len(a)))
-                if len(odd):
-                    ids, lens = encode_units([units[k + i] for i in odd.tolist()], self.p, self.rate, self.seed, 0, key[odd])
-                    first[odd], size[odd] = len(self.ids) + np.cumsum(lens) - lens, lens
+            if len(odd):
+                where = gather_at(letters[a[odd]], self.sizes[a[odd]])
+                ids, lens = encode_units((self.codes[where], self.sizes[a[odd]]), self.p, self.rate, self.seed, 0, key[odd], pairs=self.pairs[where])
+                made.append(ids.astype(np.int32))
+                first[odd], size[odd] = len(self.ids) + np.cumsum(lens) - lens, lens
+            for i in np.flatnonzero(self.sizes[a] > LONG).tolist():
+                unit = self.codes[letters[a[i]] : letters[a[i]] + self.sizes[a[i]]].tobytes().decode("utf-32-le")
+                ids = np.array(agenda(unit, self.p, self.rate, key=int(key[i])), dtype=np.int32)
+                first[i], size[i] = len(self.ids) + sum(map(len, made)), len(ids)
+                made.append(ids)
             where = gather_at(first, size)
             new = where >= len(self.ids)
             got = np.empty(len(where), np.int32)
             got[~new] = self.ids[where[~new]]
-            got[new] = ids[where[new] - len(self.ids)]
+            got[new] = np.concatenate(made)[where[new] - len(self.ids)]
             out.append(got)
             sizes_out.append(size)
         return np.concatenate(out), np.concatenate(sizes_out)
@@ -337,7 +441,7 @@ def encoded(docs: DataFrame, key: Column, path: str | None = None, rate: float =
         if not held:
             held.append(_encoder(path, rate, seed))
         enc = held[0]
-        got = enc.encode(part.column("text").to_pylist(), part.column("doc").to_pylist())
+        got = enc.encode(part.column("text"), part.column("doc").to_pylist())
         ends = np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, np.zeros(0, np.int32)]).astype(np.int32)))
         out = {"rest": part.column("rest"), "ids": ids, "n_tokens": np.diff(ends).astype(np.int64)}

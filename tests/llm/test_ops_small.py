@@ -188,7 +188,7 @@ def test_dropout_is_drawn_anew_at_each_occurrence():
     got = [e.encode([text], [doc])[0] for doc in range(3)]
     assert len({g.tobytes() for g in got}) == 3 and all(e.decode(g) == text for g in got)
     assert (e.encode([text], [1])[0] == got[1]).all() and (pieces.Encoder(pieces.default_model(), 0.1).encode(["x y", text], [8, 1])[1] == got[1]).all()
-    key = pieces.place_key(pieces.unit_key([" understanding"] * 300, e.seed, 0), [1], np.array([300]))
+    key = pieces.place_key(pieces.unit_key(pieces.coded([" understanding"] * 300), e.seed, 0), [1], np.array([300]))
     want, seen = [], set()
     for k in range(300):
         ids, _ = pieces.encode_units([" understanding"], e.p, 0.1, e.seed, 0, key[k : k + 1])
