@@ -9,7 +9,8 @@ every run. Characters without a piece, and a literal U+2581, become byte pieces,
 exactly. With a rate of 0 the ids are those of the library.
 
 What a unit gives without dropout is kept, with the merges that are tried on the way; an occurrence of which none of
-these is skipped takes it as it is, the others go through the agenda.
+these is skipped takes it as it is. For units that come often, what they give with one of these merges skipped is kept
+in the same way. The others go through the agenda.
 
 Units of like length go through the agenda together: each round takes the best candidate of every unit at once
 (numpy), which for each unit is the order of an agenda. `agenda` does one unit with a heap, as units of more than LONG
@@ -39,6 +40,8 @@ RATE, SEED = 0.1, 7
 MEMORY = 8_000_000
 #: Units that go through the agenda together, and units whose merges are looked at together.
 TOGETHER = SPAN = 65536
+#: Occurrences from which what a unit gives with one merge skipped is kept; how many such results are kept.
+OFTEN, BRANCHES = 4, 250_000
 #: Characters of a unit from which it goes through a heap of its own and isn't kept.
 LONG = 256
 #: Widths of the tables in which units go through the agenda.
@@ -207,11 +210,12 @@ def agenda(unit: str, p: Pieces, rate: float = 0.0, seed: int = SEED, variant: i
     return out
 
 
-def encode_units(units: list[str] | tuple[np.ndarray, np.ndarray], p: Pieces, rate: float, seed: int, variant: int, key: np.ndarray | None = None, tried: list | None = None, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_units(units: list[str] | tuple[np.ndarray, np.ndarray], p: Pieces, rate: float, seed: int, variant: int, key: np.ndarray | None = None, tried: list | None = None, pairs: np.ndarray | None = None, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the units (or coded units, of LONG characters at most) in order, and the number of ids of each; as by agenda.
 
     key has a number of each unit (else unit_key gives them); tried is given the merges looked at: arrays of units,
-    starts, middles and ends. pairs has what each character and the next merge to, if that is known.
+    starts, middles and ends. pairs has what each character and the next merge to, if that is known; skip the number of
+    a merge of each unit that is skipped.
     """
     codes, lens = coded(units) if isinstance(units, list) else units
     starts, key = np.cumsum(lens) - lens, unit_key((codes, lens), seed, variant) if key is None else key
@@ -224,14 +228,14 @@ def encode_units(units: list[str] | tuple[np.ndarray, np.ndarray], p: Pieces, ra
         which = order[to[k] : to[k + 1]]
         if len(which):
             at = starts[which][:, None] + np.arange(width)
-            real = np.arange(width) < lens[which][:, None]
-            table = np.full((len(which), width + 1), -1, dtype=np.int32)
-            where = at[real]
+            table, made = np.full((2, len(which), width + 1), -1, dtype=np.int32)
+            exact = bool((lens[which] == width).all())
+            real = ... if exact else np.arange(width) < lens[which][:, None]
+            where = at if exact else at[real]
             table[:, :width][real] = pieces[where]
-            made = np.full(table.shape, -1, dtype=np.int32)
             if pairs is not None:
                 made[:, :width][real] = pairs[where]
-            _rounds(table, lens[which], p, rate, key[which], which, tried, made if pairs is not None else None)
+            _rounds(table, lens[which], p, rate, key[which], which, tried, made if pairs is not None else None, None if skip is None else skip[which])
             sym[where] = table[:, :width][real]
     origin = np.flatnonzero(sym != _DEAD)
     sym = sym[origin].astype(np.int64)
@@ -253,7 +257,7 @@ def encode_units(units: list[str] | tuple[np.ndarray, np.ndarray], p: Pieces, ra
 _DEAD = -2
 
 
-def _rounds(table: np.ndarray, lens: np.ndarray, p: Pieces, rate: float, key: np.ndarray, names: np.ndarray, tried: list | None, pairs: np.ndarray | None) -> None:
+def _rounds(table: np.ndarray, lens: np.ndarray, p: Pieces, rate: float, key: np.ndarray, names: np.ndarray, tried: list | None, pairs: np.ndarray | None, skip: np.ndarray | None = None) -> None:
     """Merges the symbols in the rows of table (a unit each, filled up with -1, with a spare column) until no candidate is left."""
     n, step = table.shape
     sym = table.reshape(-1)
@@ -270,8 +274,8 @@ def _rounds(table: np.ndarray, lens: np.ndarray, p: Pieces, rate: float, key: np
         if len(ok) and (rate > 0 or tried is not None):
             r, a, b = row[ok], i[ok], j[ok]
             e = after[base[ok] + b]
-            if rate > 0:
-                kept = ~dropped(key[r], a, b, e, rate)
+            if rate > 0 or skip is not None:
+                kept = ~dropped(key[r], a, b, e, rate) if skip is None else merge_key(a, b, e) != skip[r]
                 m[ok[~kept]] = -1
                 ok, r, a, b, e = ok[kept], r[kept], a[kept], b[kept], e[kept]
             if tried is not None:
@@ -332,7 +336,28 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.codes, self.pairs, self.sizes, self.ids, self.lens, self.merges, self.counts, self.keys = (np.zeros(0, t) for t in (np.uint32, np.int32, np.int64, np.int32, np.int64, np.uint64, np.int64, np.uint64))
+        self.codes, self.pairs, self.sizes, self.ids, self.lens, self.merges, self.counts, self.keys, self.uses = (np.zeros(0, t) for t in (np.uint32, np.int32, np.int64, np.int32, np.int64, np.uint64, np.int64, np.uint64, np.int64))
+        self.forget()
+
+    def forget(self) -> None:
+        """Forgets the results with one merge skipped: branch has the number of that for each merge, or -1."""
+        self.branch = np.full(len(self.merges), -1, dtype=np.int32)
+        self.branch_ids, self.branch_lens, self.branch_merges, self.branch_counts = (np.zeros(0, t) for t in (np.int32, np.int64, np.uint64, np.int64))
+
+    def shrink(self) -> None:
+        """Forgets the units that come least often, so that half the room is free."""
+        weight, least = self.sizes + 8 + self.counts, 2
+        while (keep := self.uses >= least).any() and weight[keep].sum() > MEMORY // 2:
+            least *= 2
+        keep, names = np.flatnonzero(keep), list(self.known)
+        for sizes, flats in ((self.sizes, ("codes", "pairs")), (self.lens, ("ids",)), (self.counts, ("merges",))):
+            at = gather_at((np.cumsum(sizes) - sizes)[keep], sizes[keep])
+            for name in flats:
+                setattr(self, name, getattr(self, name)[at])
+        self.known = {names[k]: n for n, k in enumerate(keep.tolist())}
+        self.sizes, self.lens, self.counts, self.keys, self.uses = (x[keep] for x in (self.sizes, self.lens, self.counts, self.keys, self.uses >> 1))
+        self.held = int(weight[keep].sum())
+        self.forget()
 
     def learn(self, new: list[str]) -> None:
         """Keeps the ids of new units, the merges tried for each, and their keys; of long units the characters alone."""
@@ -349,7 +374,7 @@ class Encoder:
             order = np.argsort(unit, kind="stable")
             lens, counts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
             lens[short], counts[short] = n, np.bincount(unit, minlength=int(short.sum()))
-            for name, more in (("codes", codes), ("pairs", pairs), ("sizes", sizes), ("ids", got.astype(np.int32)), ("lens", lens), ("merges", merge_key(*where)[order]), ("counts", counts), ("keys", unit_key((codes, sizes), self.seed, 0))):
+            for name, more in (("codes", codes), ("pairs", pairs), ("sizes", sizes), ("ids", got.astype(np.int32)), ("lens", lens), ("merges", merge_key(*where)[order]), ("counts", counts), ("keys", unit_key((codes, sizes), self.seed, 0)), ("uses", np.zeros(len(part), np.int64)), ("branch", np.full(len(order), -1, np.int32))):
                 setattr(self, name, np.concatenate((getattr(self, name), more)))
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
             self.held += len(codes) + 8 * len(part) + len(unit)
@@ -383,43 +408,68 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None], docs: list[int]) -> list[np.ndarray]:
         """Ids of each text, as int32; docs has a number of each, which its dropout is keyed by. Null counts as empty."""
         if self.held > MEMORY:
-            self.clear()
+            self.shrink()
+        if len(self.branch_lens) > BRANCHES:
+            self.forget()
         cut = self.cut(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""))
         sizes = np.array([len(x) for x in cut], dtype=np.int64)
         ids, lens = self._ids(np.concatenate([np.zeros(0, np.int64), *cut]), sizes, docs)
         to = np.concatenate(([0], np.cumsum(lens)))[np.cumsum(sizes)]
         return [ids[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist())]
 
+    def branches(self, places: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """The numbers of the results of units with the merge at one of these places skipped; new ones are worked out and kept."""
+        new, first = np.unique(places[self.branch[places] < 0], return_index=True)
+        if len(new):
+            unit = unit[self.branch[places] < 0][first]
+            where, tried = gather_at((np.cumsum(self.sizes) - self.sizes)[unit], self.sizes[unit]), []
+            got, lens = encode_units((self.codes[where], self.sizes[unit]), self.p, 0.0, self.seed, 0, self.keys[unit], tried, self.pairs[where], self.merges[new])
+            own, *at = (np.concatenate(x) for x in zip(*tried)) if tried else [np.zeros(0, np.int64)] * 4
+            order = np.argsort(own, kind="stable")
+            self.branch[new] = len(self.branch_lens) + np.arange(len(new))
+            for name, more in (("ids", got.astype(np.int32)), ("lens", lens), ("merges", merge_key(*at)[order]), ("counts", np.bincount(own, minlength=len(new)))):
+                setattr(self, f"branch_{name}", np.concatenate((getattr(self, f"branch_{name}"), more)))
+        return self.branch[places]
+
     def _ids(self, at: np.ndarray, sizes: np.ndarray, docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units with these numbers in some texts (of so many units each), and how many each unit has; SPAN units at a time."""
+        self.uses += np.bincount(at, minlength=len(self.uses))
         starts, tries, letters = (np.cumsum(x) - x for x in (self.lens, self.counts, self.sizes))
         keys = place_key(self.keys[at], docs, sizes)
         out, sizes_out = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for k in range(0, len(at), SPAN):
             a, key = at[k : k + SPAN], keys[k : k + SPAN]
-            first, size, made = starts[a], self.lens[a], [np.zeros(0, np.int32)]
-            odd = np.zeros(0, np.int64)
+            first, size, made, base = starts[a], self.lens[a], [], len(self.ids)
             if self.rate > 0:
                 n = self.counts[a]
-                own = np.repeat(np.arange(len(a)), n)
-                hit = hidden(key[own], gather(self.merges, tries[a], n), self.rate)
-                odd = np.flatnonzero(np.bincount(own[hit], minlength=len(a)))
-            if len(odd):
+                own, places = np.repeat(np.arange(len(a)), n), gather_at(tries[a], n)
+                hit = hidden(key[own], self.merges[places], self.rate)
+                hits = np.bincount(own[hit], minlength=len(a))
+                one = np.flatnonzero((hits[own[hit]] == 1) & (self.uses[a[own[hit]]] >= OFTEN))
+                one, places = own[hit][one], places[hit][one]
+                branch = self.branches(places, a[one])
+                n = self.branch_counts[branch]
+                own = np.repeat(np.arange(len(one)), n)
+                where = gather_at((np.cumsum(self.branch_counts) - self.branch_counts)[branch], n)
+                more = hidden(key[one][own], self.branch_merges[where], self.rate)
+                fine = np.bincount(own[more], minlength=len(one)) == 0
+                one, branch = one[fine], branch[fine]
+                first[one], size[one] = base + (np.cumsum(self.branch_lens) - self.branch_lens)[branch], self.branch_lens[branch]
+                made.append(self.branch_ids)
+                base += len(self.branch_ids)
+                hits[one] = 0
+                odd = np.flatnonzero(hits)
                 where = gather_at(letters[a[odd]], self.sizes[a[odd]])
                 ids, lens = encode_units((self.codes[where], self.sizes[a[odd]]), self.p, self.rate, self.seed, 0, key[odd], pairs=self.pairs[where])
+                first[odd], size[odd] = base + np.cumsum(lens) - lens, lens
                 made.append(ids.astype(np.int32))
-                first[odd], size[odd] = len(self.ids) + np.cumsum(lens) - lens, lens
+                base += len(ids)
             for i in np.flatnonzero(self.sizes[a] > LONG).tolist():
                 unit = self.codes[letters[a[i]] : letters[a[i]] + self.sizes[a[i]]].tobytes().decode("utf-32-le")
-                ids = np.array(agenda(unit, self.p, self.rate, key=int(key[i])), dtype=np.int32)
-                first[i], size[i] = len(self.ids) + sum(map(len, made)), len(ids)
-                made.append(ids)
-            where = gather_at(first, size)
-            new = where >= len(self.ids)
-            got = np.empty(len(where), np.int32)
-            got[~new] = self.ids[where[~new]]
-            got[new] = np.concatenate(made)[where[new] - len(self.ids)]
-            out.append(got)
+                made.append(np.array(agenda(unit, self.p, self.rate, key=int(key[i])), dtype=np.int32))
+                first[i], size[i] = base, len(made[-1])
+                base += len(made[-1])
+            out.append(np.concatenate([self.ids, *made])[gather_at(first, size)])
             sizes_out.append(size)
         return np.concatenate(out), np.concatenate(sizes_out)
 
