@@ -293,7 +293,7 @@ def test_pruned_search_equals_brute_force():
 
     def block(ids):
         y = x[ids] @ axes
-        return {"ids": np.array(ids, "<i8").tobytes(), "ints": x[ids].astype("<i8").tobytes(), "turned": y[:, : topk.LEAD].astype("<f8").tobytes(), "rest": np.sqrt((y[:, topk.LEAD :] ** 2).sum(1)).astype("<f8").tobytes(), "longest": float(np.sqrt((x[ids] ** 2).sum(1)).max())}
+        return {"ids": np.array(ids, "<i8").tobytes(), "rows": np.array(ids, "<i8").tobytes(), "ints": x[ids].astype("<i8").tobytes(), "turned": y[:, : topk.LEAD].astype("<f8").tobytes(), "rest": np.sqrt((y[:, topk.LEAD :] ** 2).sum(1)).astype("<f8").tobytes(), "longest": float(np.sqrt((x[ids] ** 2).sum(1)).max())}
 
     q, c = list(range(7)), list(range(300))
     place, vec, score = topk.best_of(block(q), block(c), 24, 5, np.full(7, -np.inf))
