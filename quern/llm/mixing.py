@@ -1,19 +1,21 @@
 """Mixing of sources to target weights, with DataFrame operations alone.
 
 Every source's words are packed, document after document, into blocks of a fixed number of words. The mix is a
-sequence of slots; a slot takes one block. Slots are thrown over output shards by a keyed hash, so the counts of
-sources in a shard would be a multinomial draw under the condition that each source's total is exact; but shard and
-place end with the slots, and no output of this module is dealt by shard or ordered by place. Within a source,
-slot k takes block perm(k), where perm is a keyed pseudorandom permutation of the block numbers ("swap or not"),
-applied anew in each pass, so every block is taken once before any is taken twice. Slots and blocks meet in a join
-on (source, block). The last slot of a source takes only the first words of its block, so that a source's words in
-the mix are its target rounded.
+sequence of slots in output shards; a slot takes one block. How many slots of each source a shard has is drawn: each of
+a source's slots falls on a shard by a keyed hash, and the counts by source and shard are multinomial, given that a
+source's total is exact. The slots of a source are then numbered through its counts, shard after shard; slot k takes
+block perm(k), where perm is a keyed pseudorandom permutation of the block numbers ("swap or not"), applied anew in
+each pass, so every block is taken once before any is taken twice. Slots and blocks meet in a join on (source, block).
+The last slot of a source takes only the first words of its block, so that a source's words in the mix are its target
+rounded. Within a shard a keyed hash puts the slots of all sources in order (place).
 
 Weights, targets and offsets come from aggregates: sizes are summed by (source, bucket of documents) before any
-ordering, so a source that holds a third of all rows is spread over as many tasks as it has buckets.
+ordering, so a source that holds a third of all rows is spread over as many tasks as it has buckets, and the number of
+buckets grows with the number of documents.
 
 Defined cases: null or empty text has size 0 and is taken 0 times; a null source is a source of its own, ordered
-last; rows that repeat a doc_id count as documents of their own; an empty table gives an empty result.
+last; rows that repeat a doc_id count as documents of their own; rows without a doc_id are dealt by their text; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from quern.llm.common import cut
 
 #: A modulus below 2**31, so that products of two residues fit in 64 bits.
 P = 2147483647
-#: Words in a block; rounds of the permutation; buckets of a source's documents; factor of the mix; weights.
-BLOCK, ROUNDS, BUCKETS, SHARE, WEIGHTS = 128, 12, 1024, 1.5, (3, 1, 2)
+#: Words in a block; rounds of the permutation; factor of the mix; weights; slots of an output shard.
+BLOCK, ROUNDS, SHARE, WEIGHTS, SHARD = 128, 12, 1.5, (3, 1, 2), 65536
+#: Documents of a bucket, about; fewest buckets.
+BUCKET, BUCKETS = 2048, 64
 #: Distinct sources up to which their table is broadcast (about 100 bytes each).
 SMALL_SOURCES = 50_000
 #: Slots of one row while slots are dealt out.
@@ -45,8 +49,15 @@ def _mod(x: Column, n: Column | int) -> Column:
     return F.pmod(x, F.lit(n) if isinstance(n, int) else n)
 
 
-def _bucket(doc_id: Column, buckets: int) -> Column:
-    return _mod(_mod(_mod(F.coalesce(doc_id.cast("long"), F.lit(0)), P) * 48271, P), buckets)
+def _dealt(doc_id: Column, text: Column) -> Column:
+    """A number that deals documents to buckets: of the doc_id, or else of the text."""
+    own = F.conv(F.substring(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long")
+    return _mod(F.when(doc_id.isNotNull(), _mod(doc_id.cast("long"), P)).otherwise(own) * 48271, P)
+
+
+def buckets_of(documents: int) -> int:
+    """The number of buckets for so many documents: a power of two."""
+    return max(BUCKETS, 1 << max(0, -(-documents // BUCKET) - 1).bit_length())
 
 
 def sources(sized: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
@@ -57,7 +68,7 @@ def sources(sized: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     """
     by = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
     every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("src"))) - 1)
+    by = by.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("src"))).cast("long") - 1)
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     by = by.withColumn("weight", weight).withColumn("total", F.sum("source_size").over(every))
     by = by.withColumn("cap", F.lit(2.0) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
@@ -104,72 +115,99 @@ def permuted(k: Column, n: Column, keys: Column) -> Column:
     return F.aggregate(keys, k.cast("long"), step)
 
 
-def slots(plan: DataFrame, block: int = BLOCK, slots_per_shard: int = 65536) -> DataFrame:
-    """Every slot of the mix: src, pass, block_no, words (how many of the block's it takes), whole, shard and place.
+def drawn(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """plan with shard, n and first: how many slots of a source each output shard has, and the number of the first of them.
 
-    A pass over a source takes all its blocks; the last pass stops at its rest. Only the last block can be short, and
-    the inverse permutation tells which slot of the last pass takes it, so each slot knows how many words came before.
+    Every slot falls on one of the shards by a keyed hash, so a source's counts are a multinomial draw of its total;
+    they are counted where they fall, and only a row for each source and shard is shuffled.
     """
     every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = plan.filter("source_size > 0").withColumn("short", F.col("blocks") * block - F.col("source_size"))
-    p = p.select("*", F.explode(F.expr("sequence(0L, passes)")).alias("pass"))
-    p = p.withColumn("n", F.expr(f"if(pass < passes, blocks, if(rest > 0, least(blocks, (rest + short + {block - 1}) div {block}), 0L))"))
-    p = p.withColumn("shards", F.ceil(F.sum("n").over(every) / slots_per_shard).cast("long")).filter("n > 0")
-    key = F.col("rank") * 7919 + F.col("pass")
+    last = F.expr(f"if(rest > 0, least(blocks, (rest + short + {block - 1}) div {block}), 0L)")
+    p = p.withColumn("slots", F.col("passes") * F.col("blocks") + last)
+    p = p.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(every) / shard)).cast("long")).filter("slots > 0")
+    key = F.col("rank") * 7919 + F.col("passes")
     p = p.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), round_keys(key, F.col("blocks"), inverse=True)))
+    runs = _spread(p.select("src", "rank", "slots", "shards", F.explode(F.expr(f"sequence(0L, (slots - 1) div {RUN})")).alias("run")), "src", "run")
+    each = runs.select("src", "rank", "shards", F.explode(F.expr(f"sequence(run * {RUN}, least(slots, (run + 1) * {RUN}) - 1)")).alias("slot"))
+    counts = each.groupBy("src", F.pmod(F.xxhash64(F.lit(17), "rank", "slot"), F.col("shards")).alias("shard")).agg(F.count("slot").alias("n"))
+    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return p.join(counts, "src").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 4), *by)
+
+
+def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """Every slot of the mix: src, shard, place, pass, block_no, words (how many of the block's it takes) and whole.
+
+    A source's slots are numbered through the drawn counts of the shards. A pass over a source takes all its blocks;
+    the last pass stops at its rest. Only the last block can be short, and the inverse permutation tells which slot of
+    the last pass takes it, so each slot knows how many words came before.
+    """
+    p = drawn(plan, block, shard)
+    keys = F.array(*[round_keys(F.col("rank") * 7919 + F.lit(k), F.col("blocks")) for k in range(3)])  # no source is taken more than twice
     p = p.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("run"))
-    spark = plan.sparkSession
-    p = p.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 4), "src", "pass", "run")
-    s = p.withColumn("keys", round_keys(key, F.col("blocks"))).select("*", F.explode(F.expr(f"sequence(run * {RUN}, least(n, (run + 1) * {RUN}) - 1)")).alias("k"))
-    s = s.withColumn("block_no", permuted(F.col("k"), F.col("blocks"), F.col("keys")))
+    p = _spread(p, "src", "shard", "run").withColumn("keys", keys)
+    s = p.select("*", F.explode(F.expr(f"sequence(first + run * {RUN}, first + least(n, (run + 1) * {RUN}) - 1)")).alias("slot"))
+    s = s.withColumn("pass", F.expr("slot div blocks")).withColumn("k", F.expr("slot % blocks"))
+    s = s.withColumn("block_no", permuted(F.col("k"), F.col("blocks"), F.element_at("keys", (F.col("pass") + 1).cast("int"))))
     s = s.withColumn("fill", F.expr(f"{block} - if(block_no = blocks - 1, short, 0L)"))
     left = F.expr(f"rest - (k * {block} - if(short_at < k, short, 0L))")
-    s = s.withColumn("words", F.when(F.col("pass") < F.col("passes"), F.col("fill")).otherwise(F.least(F.col("fill"), left)))
-    s = s.filter("words > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(17), "rank", "pass", "k"), F.col("shards")))
-    return s.select("src", "pass", "block_no", "words", (F.col("words") == F.col("fill")).alias("whole"), "shard", F.xxhash64(F.lit(23), "rank", "pass", "k").alias("place"))
+    s = s.withColumn("words", F.when(F.col("pass") < F.col("passes"), F.col("fill")).otherwise(F.least(F.col("fill"), left))).filter("words > 0")
+    return s.select("src", "shard", F.xxhash64(F.lit(23), "rank", "slot").alias("place"), "pass", "block_no", "words", (F.col("words") == F.col("fill")).alias("whole"))
 
 
-def laid_out(docs: DataFrame) -> DataFrame:
-    """docs (with doc_id, source, size) with src and bucket, dealt out by them."""
+def laid_out(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (with doc_id, source, size, deal) with src and bucket, dealt out by them."""
     a = docs.withColumn("src", F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
-    return a.withColumn("bucket", _bucket(F.col("doc_id"), BUCKETS)).repartition("src", "bucket")
+    return a.withColumn("bucket", F.col("deal") % buckets).drop("deal").repartition("src", "bucket")
 
 
-def packed(docs: DataFrame, sums: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, sums: DataFrame, *tie: str) -> DataFrame:
     """docs laid out, with off: the words of its source before it.
 
-    Order within a source is by bucket of doc_id, then doc_id. The sums before a bucket come from the small table of
+    Order within a source is by bucket, then doc_id, size and tie. The sums before a bucket come from the small table of
     sizes by (source, bucket), and only rows of one bucket are ever ordered together.
     """
     order = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = sums.select("src", "bucket", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"))
-    within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
     a = docs.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     a = a.join(parts, ["src", "bucket"]).withColumn("off", F.col("base") + F.col("ahead"))
-    return a.drop("bucket", "base", "ahead")
+    return a.drop("bucket", "base", "ahead", *tie)
+
 
+def in_blocks(laid: DataFrame, block: int, *keep: str) -> DataFrame:
+    """The parts of packed documents in blocks: src, off, block_no, from_word and to_word in the document, and the columns keep."""
+    key = laid.filter("size > 0").select("src", "off", "size", *keep, F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")).alias("block_no"))
+    return key.withColumn("from_word", F.expr(f"greatest(0L, block_no * {block} - off)")).withColumn("to_word", F.expr(f"least(size, (block_no + 1) * {block} - off)")).drop("size")
 
-def taken_parts(laid: DataFrame, sums: DataFrame, few_sources: bool, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+
+def taken_parts(laid: DataFrame, sums: DataFrame, few_sources: bool, block: int = BLOCK, *tie: str) -> tuple[DataFrame, DataFrame]:
     """The packed rows with source_size and target; and their parts in blocks that the mix takes.
 
-    A part has src, off and doc_id of its document, from_word and to_word in it, whole (times taken as a whole) and
-    upto (words of it that the cut slot takes once more).
+    A part has src, off and doc_id of its document, from_word and to_word in it, whole (times taken as a whole), upto
+    (words of it that the cut slot takes once more), and at: shard and place of the slots that take it, in order.
     """
     plan = sources(sums, block=block)
     told = plan.select("src", "source_size", "target")
-    laid = packed(laid, sums).join(F.broadcast(told) if few_sources else told, "src")
-    used = slots(plan, block).groupBy("src", "block_no").agg(F.count(F.when(F.col("whole"), 1)).alias("whole"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("cut"))
-    key = laid.filter("size > 0").select("src", "off", "doc_id", "size", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")).alias("block_no"))
-    seg = key.join(used.hint("merge"), ["src", "block_no"])  # Spark takes what it explodes for small and would broadcast it
-    seg = seg.withColumn("from_word", F.expr(f"greatest(0L, block_no * {block} - off)")).withColumn("to_word", F.expr(f"least(size, (block_no + 1) * {block} - off)"))
+    laid = packed(laid, sums, *tie).join(F.broadcast(told) if few_sources else told, "src")
+    at = F.array_sort(F.collect_list(F.struct("pass", "shard", "place")))  # a block is taken twice at most, and once more in part
+    used = slots(plan, block).groupBy("src", "block_no").agg(F.count(F.when(F.col("whole"), 1)).alias("whole"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("cut"), at.alias("at"))
+    seg = in_blocks(laid, block, "doc_id").join(used.hint("merge"), ["src", "block_no"])  # Spark takes what it explodes for small and would broadcast it
     seg = seg.withColumn("upto", F.expr(f"greatest(0L, least(to_word, block_no * {block} + coalesce(cut, 0L) - off) - from_word)"))
-    return laid, seg.select("src", "off", "doc_id", "from_word", "to_word", "whole", "upto")
+    return laid, seg.select("src", "off", "doc_id", "from_word", "to_word", "whole", "upto", "at")
 
 
-def sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, source and size of every row, laid out; and the sizes by source and bucket. The texts are read once."""
-    rows = cut(laid_out(docs.select("doc_id", "source", words(F.col("text")).alias("size"))))
-    return rows, cut(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")))
+def sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, source and size of every row, laid out; the sizes by source and bucket; the number of buckets. The texts are read once."""
+    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _dealt(F.col("doc_id"), F.col("text")).alias("deal")))
+    buckets = buckets_of(sized.count())
+    rows = cut(laid_out(sized, buckets))
+    return rows, cut(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size"))), buckets
 
 
 def few(docs: DataFrame, most: int = SMALL_SOURCES) -> bool:
@@ -179,7 +217,7 @@ def few(docs: DataFrame, most: int = SMALL_SOURCES) -> bool:
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of it in the mix, repeats counted) of every row of docs."""
-    rows, sums = sizes(docs)
+    rows, sums, _ = sizes(docs)
     laid, seg = taken_parts(rows, sums, few(docs), block)
     took = seg.groupBy("src", "off", "doc_id").agg(F.sum(F.expr("(to_word - from_word) * whole + upto")).alias("taken"))
     none = laid.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
@@ -187,47 +225,74 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return some.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(none)
 
 
-def mixed_texts(docs: DataFrame, block: int = BLOCK, copy: str | None = None) -> DataFrame:
-    """The mix itself, as rows of docs: a document's first and second copy, each with the words that the mix takes.
+_SPACE, _SOLID = r"[\x20\x09-\x0D]*+", r"[^\x20\x09-\x0D]++"
+#: The words of a text with the white space behind them (before the first word, too).
+_PIECES = rf"^{_SPACE}{_SOLID}{_SPACE}|{_SOLID}{_SPACE}"
+
+
+def _with_texts(docs: DataFrame, *keep: str) -> DataFrame:
+    """Columns to lay out and pack documents with their texts; tie puts rows that repeat a doc_id in order."""
+    text = F.col("text")
+    return docs.select("doc_id", "source", "text", *keep, words(text).alias("size"), _dealt(F.col("doc_id"), text).alias("deal"), F.xxhash64(text).alias("tie"))
+
+
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix as blocks: shard, place (order in the shard), source, block_no, n_words and text of every slot.
+
+    The parts of a block are put together once; slots and blocks meet on (source, block number). A block's words are
+    those of its documents in order, with one space between words.
+    """
+    _, sums, buckets = sizes(docs)
+    laid = packed(laid_out(_with_texts(docs), buckets), sums, "tie").withColumn("pieces", F.regexp_extract_all("text", F.lit(_SOLID), F.lit(0)))
+    part = F.expr("slice(pieces, cast(from_word + 1 as int), cast(to_word - from_word as int))")
+    parts = in_blocks(laid, block, "source", "pieces").select("src", "source", "block_no", "off", part.alias("part"))
+    whole = parts.groupBy("src", "source", "block_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("off", "part"))), lambda x: x["part"])).alias("words_of"))
+    out = slots(sources(sums, block=block), block, shard).join(whole.hint("merge"), ["src", "block_no"])
+    text = F.array_join(F.slice("words_of", F.lit(1), F.col("words").cast("int")), " ")
+    return out.select("shard", "place", "source", "block_no", F.col("words").alias("n_words"), text.alias("text")).repartition("shard").sortWithinPartitions("shard", "place")
+
+
+def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix as rows of docs: a document's first and second copy, each with the words that the mix takes.
 
     A copy that is taken whole has the text as it was; of another, the parts taken are joined in their order. White
-    space stays with the word before it (at the start, with the word after it). n_chars, if there, is renewed. copy, if
-    given, names a further column with the number of the copy (0 or 1).
+    space stays with the word before it (at the start, with the word after it). n_chars, if there, is renewed. A copy
+    goes to the shard of the slot that takes its first part, and there to that slot's place.
     """
     names = docs.columns
     own = [c for c in names if c not in ("doc_id", "source", "text")]
-    with_texts = docs.select("doc_id", "source", "text", F.struct(*own).alias("own") if own else F.lit(None).alias("own"), words(F.col("text")).alias("size"))
-    laid, seg = taken_parts(laid_out(with_texts), sizes(docs)[1], few(docs), block)
-    part = F.struct("from_word", "to_word", "whole", "upto")
+    _, sums, buckets = sizes(docs)
+    with_texts = _with_texts(docs, F.struct(*own).alias("own") if own else F.lit(None).alias("own"))
+    laid, seg = taken_parts(laid_out(with_texts, buckets), sums, few(docs), block, "tie")
+    part = F.struct("from_word", "to_word", "whole", "upto", "at")
     lists = seg.groupBy("src", "off").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     full = laid.filter("size > 0").join(lists, ["src", "off"])
-    space, solid = r"[\x20\x09-\x0D]*+", r"[^\x20\x09-\x0D]++"
-    pieces = F.regexp_extract_all("text", F.lit(f"^{space}{solid}{space}|{solid}{space}"), F.lit(0))
-    full = full.withColumn("pieces", pieces)
+    full = full.withColumn("pieces", F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0)))
 
-    def text(copy: int) -> Column:
+    def copy(number: int) -> Column:
         def one(p: Column) -> Column:
-            n = F.when(p["whole"] >= copy, p["to_word"] - p["from_word"]).when(p["whole"] == copy - 1, p["upto"]).otherwise(F.lit(0))
-            return F.struct(p["from_word"].alias("at"), n.cast("long").alias("n"))
+            n = F.when(p["whole"] >= number, p["to_word"] - p["from_word"]).when(p["whole"] == number - 1, p["upto"]).otherwise(F.lit(0))
+            return F.struct(p["from_word"].alias("at"), n.cast("long").alias("n"), F.element_at(p["at"], F.least(F.lit(number), F.size(p["at"]))).alias("slot"))
 
-        got = F.transform("parts", one)
+        got = F.filter(F.transform("parts", one), lambda x: x["n"] > 0)
         count = F.aggregate(got, F.lit(0).cast("long"), lambda a, x: a + x["n"])
         joined = F.array_join(F.transform(got, lambda x: F.array_join(F.slice("pieces", (x["at"] + 1).cast("int"), x["n"].cast("int")), "")), "")
-        return F.when(count == F.col("size"), F.col("text")).when(count > 0, joined)
+        return F.struct(F.when(count == F.col("size"), F.col("text")).when(count > 0, joined).alias("text"), F.get(got, F.lit(0))["slot"].alias("slot"))
 
-    out = full.select("*", F.posexplode(F.array(text(1), text(2))).alias("_copy", "_text")).filter("_text is not null")
-    out = out.withColumn("text", F.col("_text"))
-    kept = {c: F.col(f"own.`{c}`") for c in own}
-    if "n_chars" in kept:
-        kept["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[kept.get(c, F.col(f"`{c}`")).alias(c) for c in names], *([F.col("_copy").alias(copy)] if copy else []))
+    out = full.select("doc_id", "source", "own", F.explode(F.array(copy(1), copy(2))).alias("_copy")).filter("_copy.text is not null")
+    out = out.repartition(F.col("_copy.slot.shard")).sortWithinPartitions(F.col("_copy.slot.shard"), F.col("_copy.slot.place"))
+    kept = {c: F.col(f"own.`{c}`") for c in own} | {"text": F.col("_copy.text")}
+    if "n_chars" in own:
+        kept["n_chars"] = F.length("_copy.text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[kept.get(c, F.col(f"`{c}`")).alias(c) for c in names])
 
 
 #: The same in DuckDB: offsets by window, targets by the level of each prefix, the permutation by list_reduce.
 ORACLE = """
 WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS src,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    ((((coalesce(doc_id, 0) % {P} + {P}) % {P}) * 48271) % {P}) % {BUCKETS} AS bucket FROM documents),
+    ((CASE WHEN doc_id IS NULL THEN ('0x' || left(md5(coalesce(text, '')), 7))::BIGINT ELSE (doc_id % {P} + {P}) % {P} END * 48271) % {P})
+    % (SELECT greatest({BUCKETS}, (2 ** ceil(log2(greatest(1, ceil(count(*) / {BUCKET}.0)))))::BIGINT) FROM documents) AS bucket FROM documents),
 laid AS (SELECT *, (coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off FROM d),
 s0 AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 s1 AS (SELECT *, row_number() OVER (ORDER BY src) - 1 AS rank FROM s0),
@@ -260,6 +325,6 @@ _OTHER = "((({SEED}) * 16807 % {P} - x) % blocks + blocks) % blocks"
 
 def oracle() -> str:
     sql = ORACLE.replace("{OTHER}", _OTHER).replace("{SEED}", _SEED)
-    for k, v in (("P", P), ("BUCKETS", BUCKETS), ("BLOCK", BLOCK), ("ROUNDS", ROUNDS)):
+    for k, v in (("P", P), ("BUCKETS", BUCKETS), ("BUCKET", BUCKET), ("BLOCK", BLOCK), ("ROUNDS", ROUNDS)):
         sql = sql.replace("{%s}" % k, str(v))
     return sql.replace("\\\\x", "\\x")
