@@ -87,6 +87,18 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
     return df.mapInArrow(run, schema)
 
 
+def map_whole(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> DataFrame:
+    """mapInArrow over bounded slices of whole rows: fn gives a batch with the columns of df, by place; names may repeat."""
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            yield fn(part)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 

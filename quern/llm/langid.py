@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_rows, mix64
+from quern.llm.common import map_rows, map_whole, mix64
 
 #: Labelled rows of a language that training and calibration take, about; languages at most; rows in all at most.
 PER_LANGUAGE, LANGUAGES, ROWS = 900, 200, 6000
@@ -204,11 +204,11 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose prediction is accepted, with all their columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keep(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: shared.value.predict(t if isinstance(t, str) else None)[2])
+    def keep(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column("text").cast(pa.string()).to_pylist()
+        return part.filter(pa.array([shared.value.predict(t)[2] for t in texts], pa.bool_()))
 
-    return docs.filter(keep(F.col("text").cast("string")))
+    return map_whole(docs, keep)
 
 
 def held_out(doc_id: Column) -> Column:

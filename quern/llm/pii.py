@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_rows
+from quern.llm.common import map_rows, map_whole
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_DIGITS, SEED = 18, 20, 5
@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     if not _ANY.search(text):
         return []
     out = [(a, b, 0) for a, b in _emails(text)]
-    out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(x) < 4 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -302,18 +302,19 @@ def told(spans: list[tuple[int, int, str]]) -> str:
 
 
 def personal(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and spans of every row of docs."""
+    """doc_id, the number of base spans of each kind, base_sha256, spans, and n_spans (how many spans there are in all) of every row of docs."""
     weights = trained() if weights is None else weights
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
     def run(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
+        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")}
         for text in part.column("text").to_pylist():
             base, every = find(text, weights)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(x[2] == k for x in base))
             out["base_sha256"].append(hashlib.sha256(told(base).encode()).hexdigest())
             out["spans"].append(told(every))
+            out["n_spans"].append(len(every))
         return {"doc_id": part.column("doc_id"), **out}
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema, text="text")
@@ -336,13 +337,18 @@ def without_personal(docs: DataFrame, weights: dict[str, float] | None = None) -
     """docs with the personal data in text masked, and n_chars renewed where it changed; other columns as they are."""
     weights = trained() if weights is None else weights
 
-    @F.pandas_udf("string")
-    def mask(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: masked(t, weights) if isinstance(t, str) else None)
-
-    out = docs.withColumn("_new", mask(F.col("text").cast("string")))
-    cols = {"text": F.col("_new")}
-    if "n_chars" in docs.columns:
-        same = F.col("text").eqNullSafe(F.col("_new"))
-        cols["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[cols.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    def mask(part: pa.RecordBatch) -> pa.RecordBatch:
+        old = part.column("text").to_pylist()
+        new = [masked(t, weights) for t in old]
+        changed = [k for k, (a, b) in enumerate(zip(old, new)) if a is not b]
+        if not changed:
+            return part
+        cols = {"text": pa.array(new, part.column("text").type)}
+        if "n_chars" in part.schema.names and pa.types.is_integer(part.column("n_chars").type):
+            n = part.column("n_chars").to_pylist()
+            for k in changed:
+                n[k] = len(new[k])
+            cols["n_chars"] = pa.array(n, part.column("n_chars").type)
+        return pa.RecordBatch.from_arrays([cols.get(c, part.column(i)) for i, c in enumerate(part.schema.names)], names=part.schema.names)
+
+    return map_whole(docs, mask)
