@@ -2,14 +2,20 @@
 
 Language identification drops what it rejects; of each group of near duplicates one document stays; personal data is
 masked; sources are mixed to their target weights (a row for each copy that the mix takes); the texts are encoded.
-Every stage but the last gives the columns of documents; the mix adds copy, the number of the copy.
+Every stage but the last gives the columns of documents, and further columns stay as they are.
+
+Defined cases, in every stage: an empty table gives no rows. A null, empty or letterless text is rejected by the first
+stage; the second keeps such rows (they are linked with nothing), the third leaves them as they are, the fourth takes
+no words of them and so drops them, the last gives them no ids. Rows that repeat a doc_id are judged one by one by the
+first stage, are one document for the second, and documents of their own for the others; rows with a null doc_id all
+pass the second. Texts of any length are read whole. Ties do not matter: no stage depends on the order of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import langid, mixing, neardup, pieces, pii
@@ -33,12 +39,19 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources to their target weights: a row for each copy of a document that the mix takes."""
-    return mixing.mixed_texts(docs, copy="copy")
+    return mixing.mixed_texts(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row, with merge dropout of its own, checked by decoding them again."""
-    return pieces.encoded(docs, F.struct(F.coalesce("doc_id", F.xxhash64("text")), "copy"))
+    """The token ids of each row, with merge dropout of its own, checked by decoding them again.
+
+    The dropout is keyed by doc_id, text and, for rows with a doc_id, the number of the copy among those alike.
+    """
+    same = Window.partitionBy("doc_id", "_text").orderBy("doc_id")
+    docs = docs.withColumn("_text", F.xxhash64("text"))
+    named = docs.filter("doc_id is not null").withColumn("_copy", F.row_number().over(same))
+    every = named.unionByName(docs.filter("doc_id is null").withColumn("_copy", F.lit(1)))
+    return pieces.encoded(every, F.struct("doc_id", "_text", "_copy")).drop("_text", "_copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
