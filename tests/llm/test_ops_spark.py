@@ -192,13 +192,84 @@ def test_copies_in_the_pipeline_are_cut_differently(spark):
     text = " ".join(WORDS * 30)
     rows = [(k, f"{text} {k}", f"s{k}") for k in range(3)]
     mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").persist()
-    twice = {r["doc_id"] for r in mixed.filter("copy = 1").collect()}
-    out = defaultdict(dict)
+    assert mixed.columns == ["doc_id", "text", "source"]
+    twice = {i for i, n in Counter(r["doc_id"] for r in mixed.collect()).items() if n == 2}
+    out = defaultdict(list)
     for r in corpus_pipeline.encode_pieces(spark, mixed, "").collect():
-        out[r["doc_id"]][r["copy"]] = r["ids"]
+        out[r["doc_id"]].append(r["ids"])
     assert twice and all(out[k][0][:300] != out[k][1][:300] for k in twice)
 
 
+def test_shards_hold_the_counts_that_were_drawn(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(rng.choice(WORDS, int(rng.integers(1, 90)))), f"s{k % 3}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, sums, _ = mixing.sizes(docs)
+    plan = mixing.sources(sums, block=8).persist()
+    counts = {(r["src"], r["shard"]): r["n"] for r in mixing.drawn(plan, 8, 200).collect()}
+    blocks = mixing.mixed_blocks(docs, 8, 200).collect()
+    assert Counter(("s" + r["source"], r["shard"]) for r in blocks) == Counter(counts)
+    shards = {s for _, s in counts}
+    total = Counter()
+    for (src, _), n in counts.items():
+        total[src] += n
+    assert len(shards) == -(-sum(total.values()) // 200) > 4
+    for (src, _), n in counts.items():  # multinomial: within 5 standard deviations
+        mean = total[src] / len(shards)
+        assert abs(n - mean) < 5 * mean**0.5 + 1
+    took = {("s" + r["source"]): 0 for r in blocks}
+    for r in blocks:
+        assert len(r["text"].split(" ")) == r["n_words"] <= 8
+        took["s" + r["source"]] += r["n_words"]
+    assert all(abs(took[r["src"]] - r["target"]) <= 1 for r in plan.collect())
+    order = [(r["shard"], r["place"]) for r in sorted(blocks, key=lambda r: (r["shard"], r["place"]))]
+    assert len(set(order)) == len(order)
+    whole = {("s" + s): " ".join(t for k, t, z in rows if z == s).split() for s in ("s0", "s1", "s2")}
+    for r in blocks:
+        assert Counter(r["text"].split(" ")) <= Counter(whole["s" + r["source"]])
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Each stage on all that the one before it kept, against plain Python."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    said = {"en": "the and of with this that from have were they".split(), "de": "der und die nicht sich auch werden nach oder wird".split()}
+    docs = []
+    for k in range(160):
+        y = ("en", "de")[k % 2]
+        docs.append((k, " ".join(rng.choice(said[y], 60)) + (" write to a.b@c.org" if k % 7 == 0 else ""), y, f"s{k % 3}"))
+    docs += [(200, docs[0][1], "en", "s1"), (201, docs[1][1] + " und", "de", "s2"), (202, "12 34 !!", "en", "s0"), (203, None, "en", "s0"), (204, "", None, None)]
+    docs = [(i, t, y, s, len(t) if t is not None else None) for i, t, y, s in docs]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"file://{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    model = langid.fitted(table)
+    one = stages["language"](spark, table, "").collect()
+    assert sorted(map(tuple, one)) == sorted(d for d in docs if model.predict(d[1])[2])
+    assert {r["doc_id"] for r in one} >= set(range(160)) and not {202, 203, 204} & {r["doc_id"] for r in one}
+    near = brute_components([(r["doc_id"], r["text"]) for r in one], 5, 80)
+    two = stages["near_duplicates"](spark, spark.createDataFrame(one, table.schema), "").collect()
+    assert sorted(map(tuple, two)) == sorted(tuple(r) for r in one if near[r["doc_id"]] == r["doc_id"]) and 200 not in near.values()
+    weights = pii.trained()
+    three = stages["personal_data"](spark, spark.createDataFrame(two, table.schema), "").collect()
+    for a, b in zip(sorted(two), sorted(three)):
+        text = pii.masked(a["text"], weights)
+        assert tuple(b) == (a["doc_id"], text, a["lang"], a["source"], len(text)) and "@" not in text
+    before = spark.createDataFrame(three, table.schema).persist()
+    took = {r["doc_id"]: r["taken"] for r in mixing.mix(before).collect()}
+    four = stages["mix"](spark, before, "").collect()
+    words = Counter()
+    for r in four:
+        words[r["doc_id"]] += len(r["text"].split())
+    assert +words == +Counter(took)
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in out) == Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in four)
+    e = pieces.Encoder(pieces.default_model())
+    by_hash = {hashlib.sha256(r["text"].encode()).hexdigest(): r["text"] for r in four}
+    assert all(e.decode(np.array(r["ids"], np.int32)) == by_hash[r["decoded_sha256"]] for r in out) and "text" not in out[0].asDict()
+
+
 def test_media(docs):
     whole = {r[0]: (r[1] or "").encode() for r in rows()}
     out = media.media_columns(docs).collect()
@@ -216,19 +287,36 @@ def test_resolved_sequences_keep_places(spark):
     assert got[2] == []
 
 
+def brute_top(vecs, k=10):
+    good = [(i, [max(-(2**62), min(2**62, int(np.floor(1024.0 * v)) if abs(v) < 1e300 else int(np.sign(v)) * 2**62)) for v in x]) for i, x, *_ in vecs if i is not None and x is not None and None not in x and np.isfinite(x).all()]
+    clamp = lambda v: max(-(2**63), min(2**63 - 1, v))
+    want = Counter()
+    for n, (i, x) in enumerate(good):
+        if i % 100 == 0:
+            best = sorted((-clamp(sum(a * b for a, b in zip(x, y))), j) for m, (j, y) in enumerate(good) if m != n)[:k]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
+    return want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     vecs = [(int(i), [float(x) for x in rng.normal(0, 0.2 + i % 3, 20)], 0) for i in range(400)]
     vecs += [(401, None, 0), (402, [1.0, None], 0), (403, [float("nan")] * 20, 0), (404, [], 0), (405, [float("inf")] * 20, 0), (406, vecs[5][1], 0), (407, vecs[5][1], 0), (None, vecs[1][1], 0), (500, [0.5] * 8, 0), (600, [0.0] * 20, 0)]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int")
-    good = [(i, np.pad(np.floor(1024 * np.array(x)).astype(int), (0, 20 - len(x)))) for i, x, _ in vecs if i is not None and x and None not in x and np.isfinite(x).all()]
-    got = defaultdict(list)
-    for r in topk.search(df, mixing.F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    for i, x in good:
-        if i % 100 == 0:
-            assert got.pop(i) == [(v, -s) for s, v in sorted((-int(x @ y), j) for j, y in good if j != i)[:10]]
-    assert not got
+    vecs += [vecs[100], vecs[100], vecs[7], (700, [], 0)]
+    for more in ([], [(800, [1e306, -3.0], 0), (801, [5e15] * 20, 0), (900, [1e17] * 3, 0)]):
+        df = spark.createDataFrame(vecs + more, "vec_id long, embedding array<double>, label int").repartition(3)
+        got = Counter(map(tuple, topk.search(df, mixing.F.col("vec_id") % 100 == 0).collect()))
+        assert got == brute_top(vecs + more)
+
+
+def test_top_k_over_many_blocks_and_partitions(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "MEETINGS", 2)
+    rng = np.random.default_rng(9)
+    vecs = [(int(i) * 10, [float(x) for x in rng.normal(0, 0.1 + (i % 17) ** 2, 12)], 0) for i in rng.permutation(260)] + [(0, [1.0] * 12, 0)] * 3
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int").repartition(7)
+    assert Counter(map(tuple, topk.search(df, mixing.F.col("vec_id") % 100 == 0).collect())) == brute_top(vecs)
 
 
 def test_languages(docs):
