@@ -37,11 +37,11 @@ from quern.llm.common import map_rows, mix64
 
 RATE, SEED = 0.1, 7
 #: Characters of units that a worker remembers between slices.
-MEMORY = 8_000_000
+MEMORY = 4_000_000
 #: Units that go through the agenda together, and units whose merges are looked at together.
-TOGETHER = SPAN = 65536
+TOGETHER = SPAN = 32768
 #: Occurrences from which what a unit gives with one merge skipped is kept; how many such results are kept.
-OFTEN, BRANCHES = 4, 250_000
+OFTEN, BRANCHES = 4, 120_000
 #: Characters of a unit from which it goes through a heap of its own and isn't kept.
 LONG = 256
 #: Widths of the tables in which units go through the agenda.
@@ -64,6 +64,7 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.size = n
+        self.pairs: dict[int, int] | None = None  # for single units; made when first asked for
         pieces = [sp.id_to_piece(i) for i in range(n)]
         kind = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(pieces) if not kind[i]}
@@ -93,7 +94,6 @@ class Pieces:
                 left, right = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if left is not None and right is not None:
                     pair[left * n + right] = i
-        self.pairs = pair
         self._table(np.array(list(pair), dtype=np.int64), np.array(list(pair.values()), dtype=np.int32))
 
     def _table(self, keys: np.ndarray, ids: np.ndarray) -> None:
@@ -103,7 +103,8 @@ class Pieces:
         order = np.argsort(row, kind="stable")
         first = np.searchsorted(row[order], row[order])
         place = np.arange(len(keys)) - first
-        self.pair_key = np.full((int(place.max(initial=0)) + 1, 1 << (64 - int(self.bits))), -1, dtype=np.int64)
+        kind = np.int32 if self.size**2 < 1 << 31 else np.int64
+        self.pair_key = np.full((int(place.max(initial=0)) + 1, 1 << (64 - int(self.bits))), -1, dtype=kind)
         self.pair_id = np.full(self.pair_key.shape, -1, dtype=np.int32)
         self.pair_key[place, row[order]], self.pair_id[place, row[order]] = keys[order], ids[order]
 
@@ -111,11 +112,19 @@ class Pieces:
         with np.errstate(over="ignore"):
             return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.bits).astype(np.int64)
 
+    def pair(self, left: int, right: int) -> int:
+        """The id of the piece that a pair merges to, or -1."""
+        if self.pairs is None:
+            at = self.pair_key >= 0
+            self.pairs = dict(zip(self.pair_key[at].tolist(), self.pair_id[at].tolist()))
+        return self.pairs.get(left * self.size + right, -1)
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the pieces that pairs merge to; -1 for none. Neither of a pair without a piece (-1) is in the table."""
         key = left.astype(np.int64) * self.size + right
         key[(left < 0) | (right < 0)] = -2
         row, out = self._row(key), np.full(len(key), -1, dtype=np.int32)
+        key = key.astype(self.pair_key.dtype)
         for keys, ids in zip(self.pair_key, self.pair_id):
             hit = keys[row] == key
             out[hit] = ids[row[hit]]
@@ -186,7 +195,7 @@ def agenda(unit: str, p: Pieces, rate: float = 0.0, seed: int = SEED, variant: i
     def offer(i: int) -> None:
         j = end[i]
         if j < n and sym[i] >= 0 and sym[j] >= 0:
-            m = p.pairs.get(sym[i] * p.size + sym[j], -1)
+            m = p.pair(sym[i], sym[j])
             if m >= 0 and not (rate > 0 and _mixed(key ^ _mixed(i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + end[j] * 0x165667B19E3779F9 & _FULL)) >> 11 < most):
                 heapq.heappush(heap, (-int(p.priority[m]), i, j, end[j], m))
 
@@ -344,10 +353,10 @@ class Encoder:
         self.branch = np.full(len(self.merges), -1, dtype=np.int32)
         self.branch_ids, self.branch_lens, self.branch_merges, self.branch_counts = (np.zeros(0, t) for t in (np.int32, np.int64, np.uint64, np.int64))
 
-    def shrink(self) -> None:
-        """Forgets the units that come least often, so that half the room is free."""
+    def shrink(self, room: int = MEMORY // 2) -> None:
+        """Forgets the units that come least often, so that the others fit into the room."""
         weight, least = self.sizes + 8 + self.counts, 2
-        while (keep := self.uses >= least).any() and weight[keep].sum() > MEMORY // 2:
+        while (keep := self.uses >= least).any() and weight[keep].sum() > room:
             least *= 2
         keep, names = np.flatnonzero(keep), list(self.known)
         for sizes, flats in ((self.sizes, ("codes", "pairs")), (self.lens, ("ids",)), (self.counts, ("merges",))):
@@ -502,7 +511,11 @@ def encoded(docs: DataFrame, key: Column, path: str | None = None, rate: float =
 
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
     more = ", ids_crc32 long, decoded_sha256 string" if checked else ""
-    out = map_rows(work, run, f"rest struct<{fields}>, ids array<int>, n_tokens long{more}", text="text")
+    def done() -> None:
+        for enc in held:
+            enc.shrink(MEMORY // 8)
+
+    out = map_rows(work, run, f"rest struct<{fields}>, ids array<int>, n_tokens long{more}", text="text", done=done)
     made = out.columns[1:]
     return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in rest if c not in made], *made)
 
