@@ -169,7 +169,7 @@ def laid_out(docs: DataFrame, buckets: int) -> DataFrame:
 def packed(docs: DataFrame, sums: DataFrame, *tie: str) -> DataFrame:
     """docs laid out, with off: the words of its source before it.
 
-    Order within a source is by bucket, then doc_id, size and tie. The sums before a bucket come from the small table of
+    Order within a source is by bucket, then doc_id, size and the columns tie. The sums before a bucket come from the small table of
     sizes by (source, bucket), and only rows of one bucket are ever ordered together.
     """
     order = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +177,7 @@ def packed(docs: DataFrame, sums: DataFrame, *tie: str) -> DataFrame:
     within = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
     a = docs.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     a = a.join(parts, ["src", "bucket"]).withColumn("off", F.col("base") + F.col("ahead"))
-    return a.drop("bucket", "base", "ahead", *tie)
+    return a.drop("bucket", "base", "ahead")
 
 
 def in_blocks(laid: DataFrame, block: int, *keep: str) -> DataFrame:
@@ -202,9 +202,18 @@ def taken_parts(laid: DataFrame, sums: DataFrame, few_sources: bool, block: int
     return laid, seg.select("src", "off", "doc_id", "from_word", "to_word", "whole", "upto", "at")
 
 
-def sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """doc_id, source and size of every row, laid out; the sizes by source and bucket; the number of buckets. The texts are read once."""
-    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _dealt(F.col("doc_id"), F.col("text")).alias("deal")))
+#: Two numbers of a row of all its columns, as a name for it.
+TIES = ("tie1", "tie2")
+
+
+def _ties(docs: DataFrame) -> list[Column]:
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(F.lit(k), *cols).alias(t) for k, t in enumerate(TIES)]
+
+
+def sizes(docs: DataFrame, *keep: Column) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, source, size and keep of every row, laid out; the sizes by source and bucket; the number of buckets. The texts are read once."""
+    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _dealt(F.col("doc_id"), F.col("text")).alias("deal"), *keep))
     buckets = buckets_of(sized.count())
     rows = cut(laid_out(sized, buckets))
     return rows, cut(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size"))), buckets
@@ -230,10 +239,12 @@ _SPACE, _SOLID = r"[\x20\x09-\x0D]*+", r"[^\x20\x09-\x0D]++"
 _PIECES = rf"^{_SPACE}{_SOLID}{_SPACE}|{_SOLID}{_SPACE}"
 
 
-def _with_texts(docs: DataFrame, *keep: str) -> DataFrame:
-    """Columns to lay out and pack documents with their texts; tie puts rows that repeat a doc_id in order."""
-    text = F.col("text")
-    return docs.select("doc_id", "source", "text", *keep, words(text).alias("size"), _dealt(F.col("doc_id"), text).alias("deal"), F.xxhash64(text).alias("tie"))
+def _named(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with their TIES; of rows alike in every column, one (they are told apart by what is joined to them)."""
+    named = docs.select("*", *_ties(docs))
+    if rows.groupBy(*TIES).count().filter("count > 1").limit(1).count():
+        named = named.dropDuplicates(list(TIES))
+    return named
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -242,49 +253,53 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Dat
     The parts of a block are put together once; slots and blocks meet on (source, block number). A block's words are
     those of its documents in order, with one space between words.
     """
-    _, sums, buckets = sizes(docs)
-    laid = packed(laid_out(_with_texts(docs), buckets), sums, "tie").withColumn("pieces", F.regexp_extract_all("text", F.lit(_SOLID), F.lit(0)))
+    rows, sums, _ = sizes(docs, *_ties(docs))
+    texts = _named(docs, rows).select(*TIES, F.regexp_extract_all("text", F.lit(_SOLID), F.lit(0)).alias("pieces"))
     part = F.expr("slice(pieces, cast(from_word + 1 as int), cast(to_word - from_word as int))")
-    parts = in_blocks(laid, block, "source", "pieces").select("src", "source", "block_no", "off", part.alias("part"))
+    parts = in_blocks(packed(rows, sums, *TIES), block, "source", *TIES).join(texts.hint("merge"), list(TIES)).select("src", "source", "block_no", "off", part.alias("part"))
     whole = parts.groupBy("src", "source", "block_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("off", "part"))), lambda x: x["part"])).alias("words_of"))
     out = slots(sources(sums, block=block), block, shard).join(whole.hint("merge"), ["src", "block_no"])
     text = F.array_join(F.slice("words_of", F.lit(1), F.col("words").cast("int")), " ")
     return out.select("shard", "place", "source", "block_no", F.col("words").alias("n_words"), text.alias("text")).repartition("shard").sortWithinPartitions("shard", "place")
 
 
+def copies(rows: DataFrame, sums: DataFrame, few_sources: bool, block: int = BLOCK) -> DataFrame:
+    """TIES, shard, place, whole and took of each copy of a document that the mix takes: took has the first word and the number of words of each part."""
+    laid, seg = taken_parts(rows, sums, few_sources, block, *TIES)
+    lists = seg.groupBy("src", "off").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word", "whole", "upto", "at"))).alias("parts"))
+
+    def copy(number: int) -> Column:
+        def one(p: Column) -> Column:
+            n = F.when(p["whole"] >= number, p["to_word"] - p["from_word"]).when(p["whole"] == number - 1, p["upto"]).otherwise(F.lit(0))
+            return F.struct((p["from_word"] + 1).cast("int").alias("at"), n.cast("int").alias("n"), F.element_at(p["at"], F.least(F.lit(number), F.size(p["at"]))).alias("slot"))
+
+        return F.filter(F.transform("parts", one), lambda x: x["n"] > 0)
+
+    out = laid.filter("size > 0").join(lists, ["src", "off"]).select(*TIES, "size", F.explode(F.array(copy(1), copy(2))).alias("took")).filter("size(took) > 0")
+    count = F.aggregate("took", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    slot = F.col("took")[0]["slot"]
+    return out.select(*TIES, slot["shard"].alias("shard"), slot["place"].alias("place"), (count == F.col("size")).alias("whole"), F.transform("took", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"))).alias("took"))
+
+
 def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as rows of docs: a document's first and second copy, each with the words that the mix takes.
 
     A copy that is taken whole has the text as it was; of another, the parts taken are joined in their order. White
     space stays with the word before it (at the start, with the word after it). n_chars, if there, is renewed. A copy
-    goes to the shard of the slot that takes its first part, and there to that slot's place.
+    goes to the shard of the slot that takes its first part, and there to that slot's place. Texts are shuffled twice:
+    to their copies, and to the shards.
     """
-    names = docs.columns
-    own = [c for c in names if c not in ("doc_id", "source", "text")]
-    _, sums, buckets = sizes(docs)
-    with_texts = _with_texts(docs, F.struct(*own).alias("own") if own else F.lit(None).alias("own"))
-    laid, seg = taken_parts(laid_out(with_texts, buckets), sums, few(docs), block, "tie")
-    part = F.struct("from_word", "to_word", "whole", "upto", "at")
-    lists = seg.groupBy("src", "off").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    full = laid.filter("size > 0").join(lists, ["src", "off"])
-    full = full.withColumn("pieces", F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0)))
-
-    def copy(number: int) -> Column:
-        def one(p: Column) -> Column:
-            n = F.when(p["whole"] >= number, p["to_word"] - p["from_word"]).when(p["whole"] == number - 1, p["upto"]).otherwise(F.lit(0))
-            return F.struct(p["from_word"].alias("at"), n.cast("long").alias("n"), F.element_at(p["at"], F.least(F.lit(number), F.size(p["at"]))).alias("slot"))
-
-        got = F.filter(F.transform("parts", one), lambda x: x["n"] > 0)
-        count = F.aggregate(got, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        joined = F.array_join(F.transform(got, lambda x: F.array_join(F.slice("pieces", (x["at"] + 1).cast("int"), x["n"].cast("int")), "")), "")
-        return F.struct(F.when(count == F.col("size"), F.col("text")).when(count > 0, joined).alias("text"), F.get(got, F.lit(0))["slot"].alias("slot"))
-
-    out = full.select("doc_id", "source", "own", F.explode(F.array(copy(1), copy(2))).alias("_copy")).filter("_copy.text is not null")
-    out = out.repartition(F.col("_copy.slot.shard")).sortWithinPartitions(F.col("_copy.slot.shard"), F.col("_copy.slot.place"))
-    kept = {c: F.col(f"own.`{c}`") for c in own} | {"text": F.col("_copy.text")}
-    if "n_chars" in own:
-        kept["n_chars"] = F.length("_copy.text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[kept.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    rows, sums, _ = sizes(docs, *_ties(docs))
+    taken = copies(rows, sums, few(docs), block).select(*[F.col(c).alias(f"_{c}") for c in (*TIES, "shard", "place", "whole", "took")])
+    out = _named(docs, rows).join(taken.hint("merge"), (F.col("tie1") == F.col("_tie1")) & (F.col("tie2") == F.col("_tie2")))
+    out = out.withColumn("_pieces", F.when(~F.col("_whole"), F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0))))
+    joined = F.array_join(F.flatten(F.transform("_took", lambda x: F.slice("_pieces", x["at"], x["n"]))), "")
+    out = out.withColumn("_text", F.when(F.col("_whole"), F.col("text")).otherwise(joined))
+    kept = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        kept["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    out = out.select("_shard", "_place", *[kept.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return out.repartition("_shard").sortWithinPartitions("_shard", "_place").drop("_shard", "_place")
 
 
 #: The same in DuckDB: offsets by window, targets by the level of each prefix, the permutation by list_reduce.
