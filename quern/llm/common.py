@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-#: Rows of one slice that a mapping function sees at once, and about how many bytes of text.
-SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
+#: Rows of one slice that a mapping function sees at once, and about how many bytes of text; bytes of an Arrow batch.
+SLICE_ROWS, SLICE_BYTES, BATCH_BYTES = 2048, 4 << 20, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(at)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
+def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of BATCH_BYTES at most (and one row at least), so that neither side holds more of long texts.
+
+    The bound is a setting of the session; it is lowered where it is higher.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?[0-9]+)[bB]?", conf.get(name, "") or "")
+    if now and not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded rows, and of bounded bytes of the column text (one row at least)."""
     for batch in batches:
         n = batch.num_rows
@@ -71,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterat
         ends, at = np.cumsum(sizes), 0
         while at < n:
             before = ends[at - 1] if at else 0.0
-            to = min(n, at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+            to = min(n, at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
@@ -86,11 +100,11 @@ def returned() -> None:
         pass
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, text: str | None = None, done: Callable[[], None] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, text: str | None = None, done: Callable[[], None] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices; fn gives a dict of columns, in the order of schema; done is called when a task's rows end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, most):
             out = fn(part)
             if out:
                 yield pa.RecordBatch.from_pydict(out)
@@ -98,7 +112,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
             done()
             returned()
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def map_whole(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> DataFrame:
@@ -110,7 +124,7 @@ def map_whole(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], tex
             yield fn(part)
         returned()
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_rows, shared_dir, slices
+from quern.llm.common import arrow, map_rows, shared_dir, slices
 
 WIDTH, TILE = 24, 576
 #: Digests that a task remembers, so as not to store a medium twice.
@@ -196,7 +196,7 @@ def store_texts(docs: DataFrame, name: str = "media") -> DataFrame:
 
     spark = docs.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _texts(docs).mapInArrow(run, "digest string, stored binary").write.option("compression", "zstd").parquet(at)
+    arrow(_texts(docs), run, "digest string, stored binary").write.option("compression", "zstd").parquet(at)
     return spark.read.parquet(at)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, map_rows, mix64, released, slices, word_hashes, written
+from quern.llm.common import arrow, cut, map_rows, mix64, released, slices, word_hashes, written
 
 BANDS, ROWS, BASE, MARGIN = 40, 6, 1.09, 0.12
 #: Rows and shingles of a side of a cell; pairs of a document and a component that are tried first.
@@ -287,7 +287,7 @@ def _tested(cells: DataFrame, threshold: float, percent: int | None) -> DataFram
         if held and (out := done(held)) is not None:
             yield out
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return arrow(cells, run, "a long, b long").distinct()
 
 
 def _confirmed(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

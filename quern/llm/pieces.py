@@ -38,6 +38,8 @@ from quern.llm.common import map_rows, mix64
 RATE, SEED = 0.1, 7
 #: Characters of units that a worker remembers between slices.
 MEMORY = 4_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 #: Units that go through the agenda together, and units whose merges are looked at together.
 TOGETHER = SPAN = 32768
 #: Occurrences from which what a unit gives with one merge skipped is kept; how many such results are kept.
@@ -515,7 +517,7 @@ def encoded(docs: DataFrame, key: Column, path: str | None = None, rate: float =
         for enc in held:
             enc.shrink(MEMORY // 8)
 
-    out = map_rows(work, run, f"rest struct<{fields}>, ids array<int>, n_tokens long{more}", text="text", done=done)
+    out = map_rows(work, run, f"rest struct<{fields}>, ids array<int>, n_tokens long{more}", text="text", done=done, most=SLICE)
     made = out.columns[1:]
     return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in rest if c not in made], *made)
 

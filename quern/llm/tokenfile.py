@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_rows, slices, written
+from quern.llm.common import arrow, map_rows, slices, written
 from quern.llm.pieces import gather
 
 MAGIC, BLOCK, CHUNK, LEVEL, END_ID = b"QPL1", 16384, 65536, 1, 0
@@ -248,7 +248,7 @@ def chunks(docs: DataFrame, path: str | None = None, bits: bool = False) -> Data
         if ids:
             yield chunk()
 
-    return dealt.mapInArrow(run, CHUNKS)
+    return arrow(dealt, run, CHUNKS)
 
 
 def read_back(stored: DataFrame) -> DataFrame:

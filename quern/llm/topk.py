@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, map_rows
+from quern.llm.common import arrow, cut, map_rows
 
 K, SCALE, ROWS, QUERIES, LEAD = 10, 1024, 2048, 1024, 16
 #: Query blocks that one task compares with a candidate block; entries of the table of lengths on the driver.
@@ -93,9 +93,9 @@ def rotation(vecs: DataFrame, dim: int) -> np.ndarray:
                 total += np.frombuffer(g)
         yield pa.RecordBatch.from_pydict({"gram": [total.tobytes()]})
 
-    parts = vecs.select("x").mapInArrow(run, "k int, gram binary")
+    parts = arrow(vecs.select("x"), run, "k int, gram binary")
     gram = np.zeros(dim * dim)
-    for r in parts.repartition(8, "k").mapInArrow(add, "gram binary").toLocalIterator():  # a matrix as wide as a vector at a time
+    for r in arrow(parts.repartition(8, "k"), add, "gram binary").toLocalIterator():  # a matrix as wide as a vector at a time
         gram += np.frombuffer(r["gram"])
     _, axes = np.linalg.eigh(gram.reshape(dim, dim))
     return np.ascontiguousarray(axes[:, ::-1])
@@ -139,7 +139,7 @@ def packed(rows: DataFrame, axes: np.ndarray, size: int) -> DataFrame:
         if held:
             yield block()
 
-    return dealt.mapInArrow(run, BLOCK)
+    return arrow(dealt, run, BLOCK)
 
 
 def _ints(block: dict, dim: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def _met(blocks: DataFrame, dim: int, k: int) -> DataFrame:
                     if len(place):
                         yield pa.RecordBatch.from_pydict({"query_id": np.frombuffer(row["ids"], dtype="<i8")[place], "vec_id": vec, "score": score, "q_row": np.frombuffer(row["rows"], dtype="<i8")[place], "q_no": pa.array([row["no"]] * len(place), pa.int64()), "place": place})
 
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score long, q_row long, q_no long, place long")
+    return arrow(dealt, run, "query_id long, vec_id long, score long, q_row long, q_no long, place long")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
