@@ -67,7 +67,7 @@ def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     The bound is a setting of the session; it is lowered where it is higher.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?[0-9]+)[bB]?", conf.get(name, "") or "")
+    now = re.fullmatch(r"(-?[0-9]+)[bB]?", conf.get(name))
     if now and not 0 < int(now[1]) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
