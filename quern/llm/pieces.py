@@ -8,8 +8,8 @@ bounds of both halves falls under the dropout rate, so each occurrence of a unit
 every run. Characters without a piece, and a literal U+2581, become byte pieces, so decoding gives back every text
 exactly. With a rate of 0 the ids are those of the library.
 
-What a unit gives without dropout is kept, with the merges that are tried on the way; an occurrence of which none of
-these is skipped takes it as it is. For units that come often, what they give with one of these merges skipped is kept
+What a unit gives without dropout is kept from its second occurrence on, with the merges that are tried on the way; an
+occurrence of which none of these is skipped takes it as it is. For units that come often, what they give with one of these merges skipped is kept
 in the same way. The others go through the agenda.
 
 Units of like length go through the agenda together: each round takes the best candidate of every unit at once
@@ -41,9 +41,11 @@ MEMORY = 4_000_000
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 20
 #: Units that go through the agenda together, and units whose merges are looked at together.
-TOGETHER = SPAN = 32768
+TOGETHER = SPAN = 131072
 #: Occurrences from which what a unit gives with one merge skipped is kept; how many such results are kept.
-OFTEN, BRANCHES = 4, 120_000
+OFTEN, BRANCHES = 12, 150_000
+#: Bits of the filter that tells which units came before.
+SEEN = 22
 #: Characters of a unit from which it goes through a heap of its own and isn't kept.
 LONG = 256
 #: Widths of the tables in which units go through the agenda.
@@ -346,7 +348,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.held = 0
+        self.held, self.seen = 0, np.zeros(1 << SEEN, dtype=bool)
         self.codes, self.pairs, self.sizes, self.ids, self.lens, self.merges, self.counts, self.keys, self.uses = (np.zeros(0, t) for t in (np.uint32, np.int32, np.int64, np.int32, np.int64, np.uint64, np.int64, np.uint64, np.int64))
         self.forget()
 
@@ -377,9 +379,7 @@ class Encoder:
             codes, sizes = coded(part)
             short = sizes <= LONG
             inside = np.repeat(short, sizes)
-            pieces = self.p.char[codes]
-            pairs = np.append(self.p.merged(pieces[:-1], pieces[1:]), -1).astype(np.int32)
-            pairs[np.cumsum(sizes) - 1] = -1  # the last character of a unit has no next one
+            pairs = self._pairs(codes, sizes)
             got, n = encode_units((codes[inside], sizes[short]), self.p, 0.0, self.seed, 0, tried=tried if self.rate > 0 else None, pairs=pairs[inside])
             unit, *where = (np.concatenate(x) for x in zip(*tried)) if tried else [np.zeros(0, np.int64)] * 4
             order = np.argsort(unit, kind="stable")
@@ -395,11 +395,53 @@ class Encoder:
         out = np.array([self.known.get(u, -1) for u in units], dtype=np.int64)
         at = np.flatnonzero(out < 0)
         if len(at):
-            new = list({units[k]: None for k in at.tolist()})
-            self.learn(new)
+            self.learn(list({units[k]: None for k in at.tolist()}))
             out[at] = [self.known[units[k]] for k in at.tolist()]
         return out
 
+    def counted(self, units: list[str], counts: np.ndarray) -> np.ndarray:
+        """The numbers of different units that come so often; new ones are learned if they came before or come more than once.
+
+        The others go behind the units that are kept, for these texts alone.
+        """
+        get = self.known.get
+        out = np.array([get(u, -1) for u in units], dtype=np.int64)
+        at = np.flatnonzero(out < 0)
+        if not len(at):
+            return out
+        codes, sizes = coded([units[k] for k in at.tolist()])
+        keys = unit_key((codes, sizes), self.seed, 0)
+        bit = (keys >> np.uint64(64 - SEEN)).astype(np.int64)
+        often = ((counts[at] > 1) | self.seen[bit] | (self.rate <= 0)) & (sizes <= LONG)
+        self.seen[bit] = True
+        if self.seen.mean() > 0.4:
+            self.seen[:] = False
+        base = len(self.sizes)
+        out[at[often]] = base + np.arange(int(often.sum()))
+        self.learn([units[k] for k in at[often].tolist()])
+        rest, inside = ~often, np.repeat(~often, sizes)
+        out[at[rest]] = len(self.sizes) + np.arange(int(rest.sum()))
+        pairs = self._pairs(codes, sizes)
+        zeros = np.zeros(int(rest.sum()), np.int64)
+        for name, more in (("codes", codes[inside]), ("pairs", pairs[inside]), ("sizes", sizes[rest]), ("lens", zeros), ("counts", zeros), ("keys", keys[rest]), ("uses", zeros)):
+            setattr(self, name, np.concatenate((getattr(self, name), more)))
+        return out
+
+    def _pairs(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What each character of coded units and the next one merge to, or -1."""
+        pieces = self.p.char[codes]
+        pairs = np.append(self.p.merged(pieces[:-1], pieces[1:]), -1).astype(np.int32)
+        pairs[np.cumsum(sizes) - 1] = -1  # the last character of a unit has no next one
+        return pairs[: len(codes)]
+
+    def tidied(self) -> None:
+        """Forgets the units behind those that are kept."""
+        n = len(self.known)
+        if len(self.sizes) > n:
+            letters = int(self.sizes[:n].sum())
+            self.codes, self.pairs = self.codes[:letters].copy(), self.pairs[:letters].copy()
+            self.sizes, self.lens, self.counts, self.keys, self.uses = (x[:n].copy() for x in (self.sizes, self.lens, self.counts, self.keys, self.uses))
+
     def cut(self, texts: pa.Array) -> list[np.ndarray]:
         """The numbers of the units of each text; texts with runs of spaces are cut one by one, the others by Arrow at once."""
         out = [np.zeros(0, np.int64)] * len(texts)
@@ -410,7 +452,8 @@ class Encoder:
         if len(at):
             lists = pc.split_pattern(texts.take(pa.array(at)), " ")
             each = lists.flatten().dictionary_encode()
-            every = self.numbers([" " + u for u in each.dictionary.to_pylist()])[each.indices.to_numpy()]
+            place = each.indices.to_numpy()
+            every = self.counted([" " + u for u in each.dictionary.to_pylist()], np.bincount(place, minlength=len(each.dictionary)))[place]
             ends = lists.offsets.to_numpy().tolist()
             for k, a, b in zip(at.tolist(), ends, ends[1:]):
                 out[k] = every[a:b]
@@ -425,6 +468,7 @@ class Encoder:
         cut = self.cut(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""))
         sizes = np.array([len(x) for x in cut], dtype=np.int64)
         ids, lens = self._ids(np.concatenate([np.zeros(0, np.int64), *cut]), sizes, docs)
+        self.tidied()
         to = np.concatenate(([0], np.cumsum(lens)))[np.cumsum(sizes)]
         return [ids[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist())]
 
@@ -469,7 +513,7 @@ class Encoder:
                 made.append(self.branch_ids)
                 base += len(self.branch_ids)
                 hits[one] = 0
-                odd = np.flatnonzero(hits)
+                odd = np.flatnonzero((hits > 0) | (a >= len(self.known)) & (self.sizes[a] <= LONG))
                 where = gather_at(letters[a[odd]], self.sizes[a[odd]])
                 ids, lens = encode_units((self.codes[where], self.sizes[a[odd]]), self.p, self.rate, self.seed, 0, key[odd], pairs=self.pairs[where])
                 first[odd], size[odd] = base + np.cumsum(lens) - lens, lens
@@ -515,7 +559,7 @@ def encoded(docs: DataFrame, key: Column, path: str | None = None, rate: float =
     more = ", ids_crc32 long, decoded_sha256 string" if checked else ""
     def done() -> None:
         for enc in held:
-            enc.shrink(MEMORY // 8)
+            enc.shrink()
 
     out = map_rows(work, run, f"rest struct<{fields}>, ids array<int>, n_tokens long{more}", text="text", done=done, most=SLICE)
     made = out.columns[1:]
