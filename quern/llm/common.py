@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of one slice that a mapping function sees at once, and about how many bytes of text; bytes of an Arrow batch.
@@ -73,6 +74,31 @@ def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return df.mapInArrow(fn, schema)
 
 
+#: Rows of one value from which a join deals them to several tasks; most values that are dealt so.
+SPLIT, HOT = 512, 100_000
+
+
+def split_join(many: DataFrame, one: DataFrame, on: str, by: list[Column], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined with one (a row for each value of on) on equality; a value of many rows is dealt to several tasks.
+
+    Values with more than SPLIT rows, and how many tasks each gets, make a small table that is broadcast: there are no
+    more than HOT of them, else the limit rises. Their rows get a salt from by, and the row of one a copy for each
+    salt. counts (on, n) has the rows of each value, if that is known.
+    """
+    counts = many.groupBy(on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(on, "n")
+    most, hot = SPLIT, cut(counts.filter((F.col("n") > SPLIT) & F.col(on).isNotNull()))
+    while (found := hot.count()) > HOT:
+        most *= 2
+        hot = hot.filter(F.col("n") > most)
+    if not found:
+        return many.join(one, on, how)
+    hot = F.broadcast(hot.select(on, F.expr(f"(n - 1) div {most} + 1").alias("_salts")))
+    zero = F.lit(0).cast("long")
+    dealt = many.join(hot, on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), zero).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts")))).drop("_salts")
+    copies = one.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(zero, F.coalesce("_salts", F.lit(1)).cast("long") - 1))).drop("_salts")
+    return dealt.join(copies, [on, "_salt"], how).drop("_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded rows, and of bounded bytes of the column text (one row at least)."""
     for batch in batches:

@@ -1,8 +1,10 @@
 """Media columns: interleaved sequences of text and media references, resolved by digest.
 
-A page is parsed into an ordered list of items: text, or a reference to a medium by the sha256 of its stored form,
-with its caption. Media lie in a store, a table in the shared folder of digest and stored bytes. References and media
-meet in a join on the digest; each item keeps its position, so captions and texts stay with their media.
+A page is parsed into an ordered list of items: text, or a reference to a medium by its source and the sha256 of its
+stored form, with its caption. The digest is in the source of pages made here, and that of the bytes of a data URI;
+media elsewhere keep their source alone. Media lie in a store, a table in the shared folder of digest and stored bytes.
+References and media meet in a join on the digest; each item keeps its position, so captions and texts stay with their
+media. A digest with many references is split over several tasks, and its medium with it.
 
 Here the media are grey pictures in the PGM format: WIDTH x rows of 8-bit samples after a short header. A payload of
 any bytes is padded with bytes 255 to a positive multiple of TILE, which no UTF-8 text ends with, so reading back
@@ -16,24 +18,28 @@ gives no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import html
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, map_rows, shared_dir, slices
+from quern.llm.common import arrow, map_rows, shared_dir, slices, split_join
 
 WIDTH, TILE = 24, 576
 #: Digests that a task remembers, so as not to store a medium twice.
 MEMORY = 200_000
 SCHEME = "media:sha256:"
-ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
+#: Characters of a source that an item keeps; a longer one, such as a data URI, is known by its digest.
+LONGEST_SRC = 2048
+ITEM = "struct<pos:int,kind:string,text:string,src:string,digest:string,caption:string>"
 
 
 def padded(data: bytes) -> bytes:
@@ -69,50 +75,83 @@ def figure(digest: str, caption: str, text: str = "") -> str:
     return f'{lead}<figure><img src="{SCHEME}{digest}"><figcaption>{html.escape(caption)}</figcaption></figure>'
 
 
+def data_bytes(src: str) -> bytes | None:
+    """The bytes of a data URI, or null."""
+    head, comma, body = src.partition(",")
+    if not comma or not head.startswith("data:"):
+        return None
+    try:
+        return base64.b64decode(unquote_to_bytes(body), validate=True) if head.endswith(";base64") else unquote_to_bytes(body)
+    except ValueError:
+        return None
+
+
+def digest_of(src: str) -> str | None:
+    if src.startswith(SCHEME):
+        return src[len(SCHEME) :]
+    data = data_bytes(src)
+    return None if data is None else hashlib.sha256(data).hexdigest()
+
+
+_MEDIA = ("img", "video", "audio", "source")
+_BLOCKS = ("p", "div", "section", "article", "li", "h1", "h2", "h3", "h4", "br", "table", "tr", "ul", "ol", "blockquote", "pre")
+
+
 class _Items(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.caption: list[str] | None = None
-        self.figure: list[dict] = []
+        self.figures: list[dict] = []  # open ones: their media and their caption, whichever comes first
         self.skip = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
         if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "src": None, "digest": None, "caption": None})
         self.run = []
 
+    def captioned(self) -> None:
+        """Ends a caption and, with the figure, gives it to the figure's media."""
+        if self.caption is not None and self.figures:
+            self.figures[-1]["caption"] = " ".join("".join(self.caption).split()) or None
+        self.caption = None
+
+    def ended(self) -> None:
+        self.captioned()
+        figure = self.figures.pop()
+        for item in figure["media"]:
+            item["caption"] = figure["caption"] or item["caption"]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("script", "style"):
             self.skip += 1
         elif tag == "figcaption":
+            self.flush()
             self.caption = []
         elif tag == "figure":
             self.flush()
-            self.figure = []
-        elif tag in ("img", "video", "audio", "source"):
-            src = dict(attrs).get("src") or ""
-            if src.startswith(SCHEME):
+            self.figures.append({"media": [], "caption": None})
+        elif tag in _MEDIA:
+            src = (dict(attrs).get("src") or "").strip()
+            if src:
                 self.flush()
-                item = {"kind": "media", "text": None, "digest": src[len(SCHEME) :], "caption": dict(attrs).get("alt")}
+                item = {"kind": "media", "text": None, "src": src if len(src) <= LONGEST_SRC else None, "digest": digest_of(src), "caption": dict(attrs).get("alt")}
                 self.items.append(item)
-                self.figure.append(item)
-        elif tag in ("p", "div", "section", "article", "li", "h1", "h2", "h3", "h4", "br", "table", "tr", "ul", "ol", "blockquote", "pre"):
+                if self.figures:
+                    self.figures[-1]["media"].append(item)
+        elif tag in _BLOCKS and self.caption is None:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.figure:
-                item["caption"] = text or item["caption"]
-            self.caption = None
-        elif tag == "figure":
-            self.figure, self.caption = [], None
-        elif tag in ("p", "div", "section", "article", "li", "h1", "h2", "h3", "h4", "tr", "blockquote", "pre"):
+        elif tag == "figcaption":
+            self.captioned()
+        elif tag == "figure" and self.figures:
+            self.ended()
+        elif tag in _BLOCKS and self.caption is None:
             self.flush()
 
     def handle_data(self, data: str) -> None:
@@ -127,6 +166,8 @@ def items(page: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(page)
     parser.close()
+    while parser.figures:
+        parser.ended()
     parser.flush()
     return [{"pos": k, **x} for k, x in enumerate(parser.items)]
 
@@ -141,13 +182,13 @@ def sequences(pages: DataFrame, id: str, html_column: str) -> DataFrame:
     return map_rows(pages.select(F.col(id).alias("id"), F.col(html_column).cast("string").alias("html")), run, f"id {kind}, items array<{ITEM}>", text="html")
 
 
-_ITEMS = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+_ITEMS = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
 
 def resolved_items(seqs: DataFrame, media: DataFrame) -> DataFrame:
-    """id, pos, kind, text, digest and caption of every item, and the columns of media (by digest) where it has one."""
+    """id, pos, kind, text, src, digest and caption of every item, and the columns of media (a row for each digest) where it has one."""
     each = seqs.select("id", F.explode_outer("items").alias("item")).select("id", "item.*")
-    return each.join(media, "digest", "left")
+    return split_join(each, media, "digest", [F.col("id"), F.col("pos")], "left")
 
 
 def resolved(seqs: DataFrame, media: DataFrame) -> DataFrame:
