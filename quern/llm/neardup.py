@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow, cut, map_rows, mix64, released, slices, word_hashes, written
+from quern.llm.common import arrow, cut, map_rows, mix64, released, slices, split_join, word_hashes, written
 
 BANDS, ROWS, BASE, MARGIN = 40, 6, 1.09, 0.12
 #: Rows and shingles of a side of a cell; pairs of a document and a component that are tried first.
@@ -136,7 +136,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
         keep = _passes((a > b).sum(axis=1), (a < b).sum(axis=1), n_a, n_b, threshold)
         return {"a": part.column("a").to_numpy()[keep], "b": part.column("b").to_numpy()[keep]}
 
-    near = pairs.join(side("a"), "a").filter(f"n_a > 0").join(side("b"), "b").filter(F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))
+    near = split_join(pairs, side("a"), "a", [F.col("b")]).filter("n_a > 0").join(side("b"), "b").filter(F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))
     return map_rows(near.select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a long, b long")
 
 
@@ -166,7 +166,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         keep = np.array(keep, dtype=bool)
         return {"a": part.column("a").to_numpy()[keep], "b": part.column("b").to_numpy()[keep]}
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    both = split_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a", [F.col("b")]).join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return map_rows(both.select("a", "b", "set_a", "set_b"), run, "a long, b long", text="set_a").distinct()
 
 
@@ -204,12 +204,13 @@ def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     """
     m = members.filter("cnt > 2").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     m = m.withColumn("label", F.coalesce("component", "rep")).select("key", "rep", "hub", "label")
-    mixed = m.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("other")).filter("main != other").drop("other")
-    m = cut(m.join(mixed, "key"))
+    label = (F.min("label").alias("main"), F.max("label").alias("other"), F.count("rep").alias("n"))
+    mixed = cut(m.groupBy("key").agg(*label).filter("main != other"))
+    m = cut(split_join(m, mixed.select("key", "main"), "key", [F.col("rep")], counts=mixed))
     whole = m.select(F.xxhash64(F.lit(1), "main").alias("key"), "rep", F.lit(None).cast("long").alias("hub"), "label", "main").distinct()
     odd = m.filter("label != main").drop("main")
-    again = odd.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("other")).filter("main != other").drop("other")
-    return whole.unionByName(odd.join(again, "key").select("key", "rep", "hub", "label", "main"))
+    again = cut(odd.groupBy("key").agg(*label).filter("main != other"))
+    return whole.unionByName(split_join(odd, again.select("key", "main"), "key", [F.col("rep")], counts=again).select("key", "rep", "hub", "label", "main"))
 
 
 def _cells(m: DataFrame, classes: DataFrame, sets: DataFrame | None) -> DataFrame:
@@ -220,9 +221,9 @@ def _cells(m: DataFrame, classes: DataFrame, sets: DataFrame | None) -> DataFram
     """
     m = cut(m.join(classes.select("rep", F.col("n").alias("size"), "regs"), "rep"))
     odd = F.col("label") != F.col("main")
-    sums = m.groupBy("key").agg(F.count("rep").alias("n"), F.sum("size").alias("s"), F.count(F.when(odd, 1)).alias("on"), F.sum(F.when(odd, F.col("size")).otherwise(0)).alias("os"))
+    sums = cut(m.groupBy("key").agg(F.count("rep").alias("n"), F.sum("size").alias("s"), F.count(F.when(odd, 1)).alias("on"), F.sum(F.when(odd, F.col("size")).otherwise(0)).alias("os")))
     blocks = lambda n, s: F.greatest(F.expr(f"({n} - 1) div {BLOCK} + 1"), F.expr(f"{s} div {BLOCK_SIZE} + 1"))
-    m = m.join(sums.select("key", blocks("n", "s").alias("rbs"), blocks("on", "os").alias("cbs")), "key")
+    m = split_join(m, sums.select("key", blocks("n", "s").alias("rbs"), blocks("on", "os").alias("cbs")), "key", [F.col("rep")], counts=sums)
     if sets is not None:
         m = m.join(sets.select(F.col("id").alias("rep"), "set"), "rep")
     cols = [c for c in m.columns if c not in ("key", "rbs", "cbs")]
@@ -310,8 +311,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if classes.select("rep").distinct().count() == classes.count():
         one = classes
     bands = _bands(one)
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("rep").alias("cnt")).filter("cnt > 1")
-    members = cut(bands.join(buckets, "key"))
+    buckets = cut(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("rep").alias("cnt")).filter("cnt > 1"))
+    members = cut(split_join(bands, buckets, "key", [F.col("rep")], counts=buckets.withColumnRenamed("cnt", "n")))
     hubs = members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_linked(cut(_likely(hubs, one, threshold)), docs, width, percent))
     released(docs.sparkSession)
