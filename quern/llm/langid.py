@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_rows, map_whole, mix64
 
-#: Labelled rows of a language that training and calibration take, about; languages at most; rows in all at most.
-PER_LANGUAGE, LANGUAGES, ROWS = 900, 200, 6000
+#: Labelled rows of a language that training and calibration take, about; rows in all at most.
+PER_LANGUAGE, ROWS = 900, 6000
 BUCKETS, DIM, ORDERS, EPOCHS, RATE, SEED, ALPHA = 1 << 17, 12, (1, 2, 3, 4), 4, 0.6, 11, 0.0005
 #: Characters of a piece of text that is hashed at once.
 SPAN = 1 << 18
@@ -34,21 +34,26 @@ SPAN = 1 << 18
 _TABLE: list[np.ndarray] = []
 
 
+#: Code points from which none is a letter.
+_LAST = 0x32400
+
+
 def _letters() -> np.ndarray:
-    """For each code point below 0x30000: is it a letter or a mark of one."""
+    """For each code point below _LAST: 2 for a letter, 1 for a mark of one, else 0."""
     if not _TABLE:
         import unicodedata
 
-        _TABLE.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x30000)]))
+        _TABLE.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(_LAST)], dtype=np.int8))
     return _TABLE[0]
 
 
 def subwords(text: str) -> np.ndarray:
-    """Bucket numbers of all subwords of the text."""
+    """Bucket numbers of all subwords of the text; none of a text without a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    letter = _letters()[np.minimum(codes, 0x2FFFF)]
-    if not letter.any():
+    kind = _letters()[np.minimum(codes, _LAST - 1)]
+    if not (kind == 2).any():
         return np.zeros(0, dtype=np.int64)
+    letter = kind > 0
     # every run of other characters becomes one mark, with one before the first word and one after the last
     keep = letter | np.concatenate(([False], letter[:-1]))
     mark = np.array([32], dtype=np.uint64)
@@ -177,13 +182,15 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
 def sample(labelled: DataFrame, id: Column, text: Column, lang: Column) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows for train: about PER_LANGUAGE of each language, by a hash of id, ROWS at most.
 
-    Languages are counted first; each row then goes in with the probability that its language's count asks for.
+    Languages are counted first, a row for each on the driver, as the model has a column for each; of many languages
+    each gives fewer rows. Each row then goes in with the probability that its language's count asks for.
     """
     at = labelled.filter(lang.isNotNull() & text.isNotNull())
-    counts = at.groupBy(lang.alias("y")).count().orderBy(F.desc("count"), "y").limit(LANGUAGES).collect()
+    counts = at.groupBy(lang.alias("y")).count().orderBy(F.desc("count"), "y").collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, PER_LANGUAGE / r["count"]))])
+    each = min(PER_LANGUAGE, max(1, ROWS // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, each / r["count"]))])
     drawn = F.pmod(F.xxhash64(F.lit(SEED), id), F.lit(1 << 40)) / float(1 << 40)
     rows = at.filter(drawn < F.element_at(share, lang)).select(text.alias("t"), lang.alias("y"), F.xxhash64(F.lit(SEED + 1), id).alias("h")).orderBy("h", "t").limit(ROWS)
     return [(r["t"], r["y"]) for r in rows.collect()]
