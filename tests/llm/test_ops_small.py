@@ -1,5 +1,6 @@
 """Small cases of the corpus operators that need no Spark."""
 
+import hashlib
 import re
 import zlib
 
@@ -72,6 +73,14 @@ def test_personal_base_spans_equal_plain_patterns():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_addresses_with_parts_of_any_length():
+    text = "0" * 5000 + "5.1.1.1 and 1.2.3." + "9" * 6000 + " x"
+    assert pii.base_spans(text) == [(0, 5007, "ip")]
+    many = "call " + "7," * 200_000 + " (212) 555-0199 ok"
+    got = pii.find(many, pii.trained())[1]
+    assert (len(many) - 17, len(many) - 3, "phone") in got
+
+
 def test_field_adds_spans_and_keeps_base_ones():
     w = pii.trained()
     base, every = pii.find("write to joe [at] site [dot] org or a@b.com, call 555-867-5309 now", w)
@@ -214,6 +223,16 @@ def test_items_keep_order_and_captions():
     assert [x["pos"] for x in got] == list(range(5)) and media.items(None) == media.items("") == []
 
 
+def test_captions_and_sources_of_all_kinds():
+    page = "<figure><figcaption>before</figcaption><img src='media:sha256:d1'><img src='https://a.org/x.png'></figure><p>t</p><figure><img src='data:text/plain;base64,aGk='><figcaption>after <b>it</b></figcaption></figure><img alt='z' src='data:,x%20y'><figure><img src='data:;base64,*'><figcaption>open"
+    got = media.items(page)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert [(x["kind"], x["src"], x["digest"], x["caption"]) for x in got] == [
+        ("media", "media:sha256:d1", "d1", "before"), ("media", "https://a.org/x.png", None, "before"), ("text", None, None, None), ("media", "data:text/plain;base64,aGk=", sha(b"hi"), "after it"), ("media", "data:,x%20y", sha(b"x y"), "z"), ("media", "data:;base64,*", None, "open"),
+    ]
+    assert media.items("<img src='data:," + "x" * 5000 + "'>")[0]["src"] is None
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var x="<p>no</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="ad">Buy these fine things now.</div><article><h1>A heading of the day</h1><p>First part &amp; more,
 with   space and a good many words that make a paragraph.<p>Second <b>part</b> follows it closely.</p></article><div class="comments"><p>I like this.</p></div><footer>&copy; site</footer></body></html>"""
@@ -281,6 +300,7 @@ def test_language_model_on_small_texts():
     assert m.predict("Und die werden nicht über")[0] == "de" and m.predict("et les une")[0] == "fr"
     assert m.predict("") == m.predict(None) == m.predict("123 !? 4") == ("und", 0.0, False)
     assert langid.train([]).predict("text")[0] == "und"
+    assert m.predict("\u0301\u0302 1")[0] == "und" and m.predict(chr(0x30010) * 5)[0] != "und"
     p = m.predict("the and of with")
     assert p[0] == "en" and 0 <= p[1] <= 1 and p[2]
     assert not m.predict("ждать больше нельзя")[2]

@@ -309,6 +309,18 @@ def test_top_k(spark):
         assert got == brute_top(vecs + more)
 
 
+def test_split_joins_equal_plain_ones(spark, monkeypatch):
+    from quern.llm import common
+
+    monkeypatch.setattr(common, "SPLIT", 4)
+    many = spark.createDataFrame([(k % 3 if k % 7 else None, k) for k in range(60)] + [(9, 99)], "k int, v int")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k int, w string")
+    for how in ("inner", "left"):
+        for most in (100, 1):
+            monkeypatch.setattr(common, "HOT", most)
+            assert Counter(map(tuple, common.split_join(many, one, "k", [mixing.F.col("v")], how).select("k", "v", "w").collect())) == Counter(map(tuple, many.join(one, "k", how).select("k", "v", "w").collect()))
+
+
 def test_top_k_over_many_blocks_and_partitions(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 16)
     monkeypatch.setattr(topk, "QUERIES", 4)
@@ -341,3 +353,31 @@ def test_no_rows(spark, none):
     assert langid.identify(none, langid.fitted(none)).count() == 0
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), mixing.F.col("vec_id") % 100 == 0).count() == 0
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="the driver's tables are not here")
+def test_languages_of_rows_held_out(spark):
+    from quern.llm.queries import op1_langid
+
+    lang = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = op1_langid(spark, DATA).collect()
+    assert len(got) == len(lang) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    judged = [r for r in got if r["held_out"] and lang[r["doc_id"]][0] is not None and r["lang_pred"] != "und"]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]][0] for r in judged) >= 0.97 * len(judged) > 0
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="the driver's tables are not here")
+def test_pages_of_the_table(spark):
+    """Every page's text is that of its article's blocks; menus, adverts and footers stay out."""
+    from quern.llm.queries import op2_htmltext
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in op2_htmltext(spark, DATA).collect()}
+    assert set(got) == set(pages)
+    for page, html in pages.items():
+        blocks = htmltext.blocks(html)
+        want = " ".join(b.text for b in blocks if "article" in b.path and "comments" not in b.path)
+        assert got[page]["text"] == want and got[page]["n_chars"] == len(want)
