@@ -39,7 +39,7 @@ RATE, SEED = 0.1, 7
 #: Characters of units that a worker remembers between slices.
 MEMORY = 4_000_000
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Units that go through the agenda together, and units whose merges are looked at together.
 TOGETHER = SPAN = 131072
 #: Occurrences from which what a unit gives with one merge skipped is kept; how many such results are kept.
