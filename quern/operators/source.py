@@ -7,6 +7,7 @@ assignments. It runs in Arrow batches, a file at a time, and each file's rows de
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,8 +17,19 @@ from pyspark.sql import functions as F
 
 BRACES = ("rust", "go", "java", "javascript", "typescript", "tsx", "kotlin", "csharp", "c")
 _HASH = ("python",)
-_WORDS_BEFORE_PAREN = frozenset("if for while switch catch return match when else do try with elif and or not in sizeof typeof new await yield throw using lock synchronized fn func fun function defer select case assert import".split())
-_TYPE_WORDS = {"rust": "struct enum trait union type impl", "go": "type", "java": "class interface enum record @interface", "javascript": "class", "typescript": "class interface enum type", "tsx": "class interface enum type", "kotlin": "class interface object", "csharp": "class interface struct enum record", "python": "class", "c": "struct union enum"}
+_WORDS_BEFORE_PAREN = frozenset((
+    "if", "for", "while", "switch", "catch", "return", "match", "when", "else", "do", "try", "with", "elif", "and", "or", "not", "in", "sizeof", "typeof", "new", "await", "yield",
+    "throw", "using", "lock", "synchronized", "fn", "func", "fun", "function", "defer", "select", "case", "assert", "import", "async",
+))
+_TYPE_WORDS = {
+    "rust": ("struct", "enum", "trait", "union", "type", "impl"), "go": ("type",), "java": ("class", "interface", "enum", "record", "@interface"), "javascript": ("class",), "typescript": ("class", "interface", "enum", "type"),
+    "tsx": ("class", "interface", "enum", "type"), "kotlin": ("class", "interface", "object"), "csharp": ("class", "interface", "struct", "enum", "record"), "python": ("class",), "c": ("struct", "union", "enum"),
+}
+#: Words that open a block which may not run.
+_BRANCH_WORDS = frozenset(("if", "else", "elif", "for", "foreach", "while", "switch", "case", "match", "when", "catch", "try", "except", "finally", "loop", "select", "do"))
+#: The comment that asks for a function's body to be left out of what is shown.
+STRIP = "@quern-strip"
+_SCRIPTS = ("javascript", "typescript", "tsx")
 _FN_WORDS = {"rust": "fn", "go": "func", "kotlin": "fun", "javascript": "function", "typescript": "function", "tsx": "function", "python": "def"}
 _TOKEN = re.compile(
     r'(?P<comment>//[^\n]*|/\*.*?(?:\*/|$)|#[^\n]*)|(?P<string>"""(?:.*?)(?:"""|$)|\'\'\'(?:.*?)(?:\'\'\'|$)|[rbfuRBFU$@]{0,2}"(?:\\.|[^"\\\n])*(?:"|(?=\n)|$)|[rbfuRBFU]{0,2}\'(?:\\.|[^\'\\\n])*(?:\'|(?=\n)|$)|`(?:\\.|[^`\\])*(?:`|$))'
@@ -46,6 +58,8 @@ class Unit:
     calls: list[dict] = field(default_factory=list)
     assigns: list[dict] = field(default_factory=list)
     comments: list[dict] = field(default_factory=list)
+    tests: list[dict] = field(default_factory=list)
+    module_doc: str | None = None
 
 
 def tokens(text: str, language: str) -> list[Token]:
@@ -65,16 +79,34 @@ def tokens(text: str, language: str) -> list[Token]:
     return out
 
 
-def _match(toks: list[Token], k: int) -> int:
-    """The place of the bracket that closes the one at k, or the last place."""
-    pairs, depth = {"(": ")", "[": "]", "{": "}"}, 0
-    open_, close = toks[k].text, pairs[toks[k].text]
-    for j in range(k, len(toks)):
-        if toks[j].kind == "op":
-            depth += (toks[j].text == open_) - (toks[j].text == close)
-            if depth == 0:
-                return j
-    return len(toks) - 1
+class Text:
+    """A text with the places of its line breaks, and its lines."""
+
+    def __init__(self, text: str):
+        self.text, self.rows = text, text.split("\n")
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def line(self, at: int) -> int:
+        """The number of the line (from 1) that the place is in."""
+        return bisect_right(self.breaks, at - 1) + 1
+
+
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+
+
+def _brackets(toks: list[Token]) -> dict[int, int]:
+    """For each bracket the place of its partner; one that is never closed ends at the last token. Kinds are matched one by one."""
+    out: dict[int, int] = {}
+    for open_, close in _CLOSING.items():
+        held: list[int] = []
+        for k, t in enumerate(toks):
+            if t.kind == "op" and t.text == open_:
+                held.append(k)
+            elif t.kind == "op" and t.text == close and held:
+                j = held.pop()
+                out[j], out[k] = k, j
+        out.update((j, len(toks) - 1) for j in held)
+    return out
 
 
 def is_public(language: str, name: str, before: str) -> bool:
@@ -101,20 +133,21 @@ _IMPORTS = {
 _IMPORTS["typescript"] = _IMPORTS["tsx"] = _IMPORTS["javascript"]
 
 
-def imports(text: str, language: str) -> list[dict]:
-    pattern = _IMPORTS.get(language)
+def imports(text: str, language: str, at: Text | None = None) -> list[dict]:
+    pattern, at = _IMPORTS.get(language), at or Text(text)
     out = []
+    open_ = [m.span() for m in re.finditer(r"(?m)^\s*import\s*\([^)]*", text)] if language == "go" else []
     for m in pattern.finditer(text) if pattern else ():
-        if language == "go" and not re.search(r"import\s*\(?[^)]*$", text[: m.start() + 8]) and "import" not in m[0]:
+        if language == "go" and "import" not in m[0] and not any(a <= m.start() < b for a, b in open_):
             continue
         path = next(g for g in m.groups() if g)
-        out.append({"raw": m[0].strip(), "path": path, "line": text.count("\n", 0, m.start(1) if m[1] else m.start()) + 1})
+        out.append({"raw": m[0].strip(), "path": path, "line": at.line(m.start(1) if m[1] else m.start())})
     return out
 
 
-def _doc(text: str, line: int, language: str) -> str | None:
+def _doc(at: Text, line: int, language: str) -> str | None:
     """The comment lines right above a line."""
-    rows, out, k = text.split("\n"), [], line - 2
+    rows, out, k = at.rows, [], line - 2
     sign = ("#", "@") if language == "python" else ("//", "/*", "*", "*/", "#[", "@", "[")
     while k >= 0 and rows[k].strip().startswith(sign):
         if not rows[k].strip().startswith(("#[", "@", "[")):
@@ -123,12 +156,82 @@ def _doc(text: str, line: int, language: str) -> str | None:
     return "\n".join(reversed(out)) or None
 
 
-def _python(text: str, toks: list[Token], unit: Unit) -> None:
-    rows = text.split("\n")
+def module_doc(at: Text, language: str) -> str | None:
+    """The comment at the head of a file: inner doc lines of Rust, a Python docstring, a block comment of Java and scripts."""
+    first = next((k for k, r in enumerate(at.rows) if r.strip()), None)
+    if first is None:
+        return None
+    head = at.rows[first].strip()
+    if language == "rust":
+        run = []
+        for r in at.rows:
+            if r.strip() and not r.strip().startswith("//!"):
+                break
+            run += [r] if r.strip() else []
+        return "\n".join(run) or None
+    mark = {"python": ('"""', "'''"), "java": ("/*",), "javascript": ("/*",), "typescript": ("/*",), "tsx": ("/*",)}.get(language, ())
+    opened = next((m for m in mark if head.startswith(m)), None)
+    if opened is None:
+        return None
+    close, out = "*/" if opened == "/*" else opened, []
+    for k in range(first, len(at.rows)):
+        out.append(at.rows[k])
+        if close in (head[len(opened) :] if k == first else at.rows[k]):
+            break
+    return "\n".join(out)
+
+
+def test_ranges(toks: list[Token], pairs: dict[int, int]) -> list[dict]:
+    """start_line and end_line of the modules and functions of Rust that carry a test attribute; those inside are not listed."""
+    out, marked, k = [], False, 0
+    while k < len(toks):
+        t = toks[k]
+        if t.text == "#" and k + 1 < len(toks) and toks[k + 1].text == "[":
+            end = pairs.get(k + 1, k + 1)
+            words = "".join(x.text for x in toks[k + 2 : end])
+            marked |= "cfg(test)" in words or words.startswith("test") or "::test" in words
+            k = end + 1
+            continue
+        if t.text in ("pub", "async", "unsafe", "const", "extern") or t.kind == "string" or t.text == "(" and toks[k - 1].text == "pub":
+            k = pairs.get(k, k) + 1
+            continue
+        if marked and t.text in ("mod", "fn"):
+            body = next((j for j in range(k, len(toks)) if toks[j].text in ("{", ";")), len(toks) - 1)
+            end = pairs.get(body, body)
+            start = k
+            while start and toks[start - 1].text in ("pub", "async", "unsafe", "const", "extern"):
+                start -= 1
+            out.append({"start_line": toks[start].line, "end_line": toks[end].line})
+            k = end
+        marked = False
+        k += 1
+    return out
+
+
+def _stripped(rows: list[str], line: int, body: int, marker: str) -> bool:
+    """Whether the comment right above a function's line, or one before the first statement of its body, holds the marker."""
+    above = rows[line - 2].strip() if line > 1 else ""
+    if marker in above and above.startswith(("//", "#", "/*", "*")):
+        return True
+    for row in rows[body:]:
+        row = row.strip()
+        if row and not row.startswith(("//", "#", "/*", "*")):
+            return False
+        if marker in row:
+            return True
+    return False
+
+
+def _size(text: str) -> int:
+    return len(text.encode())
+
+
+def _python(at: Text, unit: Unit, marker: str) -> None:
+    text, rows = at.text, at.rows
     heads = re.compile(r"^([ \t]*)(?:async\s+)?(def|class)\s+(\w+)", re.M)
     stack: list[tuple[int, str, str]] = []
     for m in heads.finditer(text):
-        indent, line = len(m[1].expandtabs()), text.count("\n", 0, m.start(2)) + 1
+        indent, line = len(m[1].expandtabs()), at.line(m.start(2))
         stack = [x for x in stack if x[0] < indent]
         end, depth = line, 0
         open_to = m.end()
@@ -137,7 +240,7 @@ def _python(text: str, toks: list[Token], unit: Unit) -> None:
             if text[k] == ":" and depth == 0:
                 open_to = k
                 break
-        first = text.count("\n", 0, open_to) + 1
+        first = at.line(open_to)
         for n in range(first, len(rows)):
             if rows[n].strip() and len(rows[n].expandtabs()) - len(rows[n].expandtabs().lstrip()) <= indent:
                 break
@@ -147,16 +250,38 @@ def _python(text: str, toks: list[Token], unit: Unit) -> None:
         owner = ".".join(x[1] for x in stack if x[2] == "class") or None
         if m[2] == "def":
             sig = " ".join(text[m.start(2) : open_to].split())
-            unit.functions.append({"name": m[3], "qualified_name": f"{owner}.{m[3]}" if owner else m[3], "owner": owner, "signature": sig, "start_line": line, "end_line": end, "body": "\n".join(rows[line - 1 : end]), "doc": _doc(text, line, "python"), "is_public": not m[3].startswith("_"), "params": [p.strip().lstrip("*").split(":")[0].split("=")[0].strip() for p in re.split(r",(?![^\[(]*[\])])", sig[sig.find("(") + 1 : sig.rfind(")")]) if p.strip()]})
+            body = "\n".join(rows[line - 1 : end])
+            head = _size("\n".join(rows[line - 1 : first])) + 1
+            params = [p.strip().lstrip("*").split(":")[0].split("=")[0].strip() for p in re.split(r",(?![^\[(]*[\])])", sig[sig.find("(") + 1 : sig.rfind(")")]) if p.strip()]
+            unit.functions.append({"name": m[3], "qualified_name": f"{owner}.{m[3]}" if owner else m[3], "owner": owner, "signature": sig, "start_line": line, "end_line": end, "body": body, "doc": _doc(at, line, "python"), "is_public": not m[3].startswith("_"), "params": params, "body_start": head if end > first else None, "body_end": _size(body) if end > first else None, "is_stripped": _stripped(rows, line, first, marker)})
         else:
-            unit.types.append({"name": m[3], "kind": "class", "start_line": line, "end_line": end, "doc": _doc(text, line, "python"), "is_public": not m[3].startswith("_")})
+            unit.types.append({"name": m[3], "kind": "class", "start_line": line, "end_line": end, "doc": _doc(at, line, "python"), "is_public": not m[3].startswith("_")})
         stack.append((indent, m[3], m[2]))
 
 
-def _braces(text: str, toks: list[Token], language: str, unit: Unit) -> None:
-    kinds, words = frozenset(_TYPE_WORDS.get(language, "").split()), _FN_WORDS.get(language)
+def _bound(toks: list[Token], k: int, pairs: dict[int, int]) -> int | None:
+    """The place of the name that the arrow or nameless function at k is bound to, as a variable, key or target."""
+    j = k - 1
+    if toks[k].text == "=>":
+        j = pairs.get(j, j) - 1 if toks[j].text == ")" else j - 1
+    if j >= 0 and toks[j].text == "async":
+        j -= 1
+    return j - 1 if j >= 1 and toks[j].text in ("=", ":") and toks[j - 1].kind == "name" else None
+
+
+def _braces(at: Text, toks: list[Token], language: str, unit: Unit, pairs: dict[int, int], marker: str) -> None:
+    text, kinds, words = at.text, frozenset(_TYPE_WORDS.get(language, ())), _FN_WORDS.get(language)
     owners: list[tuple[int, str]] = []
     n = len(toks)
+
+    def function(name: Token, owner: list[str], head: str, body: int, end: int, params: list[Token]) -> None:
+        start = text.rfind("\n", 0, name.start) + 1
+        sep = "::" if language == "rust" else "."
+        names = [[x.text for x in part if x.kind == "name"] for part in _split(params)]
+        last = language in ("java", "csharp", "c")
+        inside = (_size(text[start : toks[body].end]), _size(text[start : toks[end].start])) if toks[body].text == "{" and toks[end].text == "}" else (_size(text[start : toks[body].end]), _size(text[start : toks[end].end]))
+        unit.functions.append({"name": name.text, "qualified_name": sep.join([*owner, name.text]), "owner": sep.join(owner) or None, "signature": " ".join(head.split()), "start_line": name.line, "end_line": toks[end].line, "body": text[start : toks[end].end], "doc": _doc(at, name.line, language), "is_public": is_public(language, name.text, head), "params": [p[-1] if last else next((x for x in p if x not in ("mut", "self", "val", "var")), p[0]) for p in names if p], "body_start": inside[0], "body_end": inside[1], "is_stripped": _stripped(at.rows, name.line, toks[body].line, marker)})
+
     for k, t in enumerate(toks):
         owners = [o for o in owners if o[0] > k]
         if t.kind == "name" and t.text in kinds and k + 1 < n and toks[k + 1].kind == "name":
@@ -168,11 +293,21 @@ def _braces(text: str, toks: list[Token], language: str, unit: Unit) -> None:
             kind = t.text
             if language == "go" and open_ is not None and toks[k + 2].text in ("struct", "interface"):
                 kind = toks[k + 2].text
-            end = _match(toks, open_) if open_ is not None and toks[open_].text == "{" else k + 1
+            end = pairs[open_] if open_ is not None and toks[open_].text == "{" else k + 1
             before = text[text.rfind("\n", 0, t.start) + 1 : t.start]
-            unit.types.append({"name": name, "kind": kind, "start_line": t.line, "end_line": toks[end].line, "doc": _doc(text, t.line, language), "is_public": is_public(language, name, before)})
+            unit.types.append({"name": name, "kind": kind, "start_line": t.line, "end_line": toks[end].line, "doc": _doc(at, t.line, language), "is_public": is_public(language, name, before)})
             if end > k + 1:
                 owners.append((end, name))
+        if language in _SCRIPTS and t.text in ("=>", "function") and k + 1 < n and (bound := _bound(toks, k, pairs)) is not None:
+            given = toks[k - 1].text == ")" and t.text == "=>"
+            params = toks[pairs[k - 1] + 1 : k - 1] if given else toks[k - 1 : k] if t.text == "=>" else toks[k + 2 : pairs.get(k + 1, k + 1)]
+            body = k + 1 if t.text == "=>" else pairs.get(k + 1, k + 1) + 1
+            if body < n and toks[body].text == "{":
+                function(toks[bound], [o[1] for o in owners], text[text.rfind("\n", 0, toks[bound].start) + 1 : toks[body].start], body, pairs[body], params)
+            elif body < n:
+                end = next((j for j in range(body, n) if toks[j].text == ";" or toks[j].line > toks[body].line), n - 1)
+                function(toks[bound], [o[1] for o in owners], text[text.rfind("\n", 0, toks[bound].start) + 1 : t.end], body, max(body, end - 1), params)
+            continue
         if t.kind != "op" or t.text != "(" or not k:
             continue
         name_at = k - 1
@@ -186,7 +321,7 @@ def _braces(text: str, toks: list[Token], language: str, unit: Unit) -> None:
         name = toks[name_at]
         if name.kind != "name" or name.text in _WORDS_BEFORE_PAREN:
             continue
-        close = _match(toks, k)
+        close = pairs[k]
         keyword = words and name_at and (toks[name_at - 1].text == words or language == "go" and toks[name_at - 1].text == ")" and any(x.text == "func" for x in toks[max(0, name_at - 12) : name_at]))
         if words and not keyword and not (language in ("javascript", "typescript", "tsx") and owners):
             continue
@@ -203,17 +338,13 @@ def _braces(text: str, toks: list[Token], language: str, unit: Unit) -> None:
                 break
         if body is None:
             continue
-        end = _match(toks, body) if toks[body].text == "{" else next((j for j in range(body, n) if toks[j].line > toks[body].line), n - 1)
-        line_start = text.rfind("\n", 0, name.start) + 1
-        head = text[line_start : toks[body].start]
+        end = pairs[body] if toks[body].text == "{" else next((j for j in range(body, n) if toks[j].line > toks[body].line), n) - 1
+        head = text[text.rfind("\n", 0, name.start) + 1 : toks[body].start]
         owner = [o[1] for o in owners]
         if language == "go" and keyword and toks[name_at - 1].text == ")":
             receiver = [x.text for x in toks[max(0, name_at - 6) : name_at - 1] if x.kind == "name"]
             owner = [receiver[-1]] if receiver else owner
-        sep = "::" if language == "rust" else "."
-        params = [[x.text for x in part if x.kind == "name"] for part in _split(toks[k + 1 : close])]
-        last = language in ("java", "csharp", "c")
-        unit.functions.append({"name": name.text, "qualified_name": sep.join([*owner, name.text]), "owner": sep.join(owner) or None, "signature": " ".join(head.split()), "start_line": name.line, "end_line": toks[end].line, "body": text[line_start : toks[end].end], "doc": _doc(text, name.line, language), "is_public": is_public(language, name.text, head), "params": [p[-1] if last else next((x for x in p if x not in ("mut", "self", "val", "var")), p[0]) for p in params if p]})
+        function(name, owner, head, body, end, toks[k + 1 : close])
 
 
 def _split(toks: list[Token]) -> list[list[Token]]:
@@ -230,45 +361,65 @@ def _split(toks: list[Token]) -> list[list[Token]]:
     return [p for p in out if p]
 
 
-def _enclosing(unit: Unit, line: int) -> dict | None:
-    best = None
-    for f in unit.functions:
-        if f["start_line"] <= line <= f["end_line"] and (best is None or f["start_line"] >= best["start_line"]):
-            best = f
-    return best
+def _around(unit: Unit, lines: int) -> list[str | None]:
+    """For each line (from 1) the name of the function around it that starts last."""
+    out: list[str | None] = [None] * (lines + 2)
+    for f in sorted(unit.functions, key=lambda f: f["start_line"]):
+        out[f["start_line"] : f["end_line"] + 1] = [f["name"]] * (f["end_line"] + 1 - f["start_line"])
+    return out
 
 
-def _uses(text: str, toks: list[Token], unit: Unit) -> None:
-    """Calls with their receiver and arguments, and assignments."""
-    code = [t for t in toks if t.kind != "comment"]
-    heads = {(f["start_line"], f["name"]) for f in unit.functions}
+def _branches(at: Text, code: list[Token], language: str, pairs: dict[int, int]) -> list[tuple[int, int]]:
+    """Places (from, to) of the blocks and statements that may not run."""
+    out = []
+    if language == "python":
+        head = re.compile(r"([ \t]*)(?:if|elif|else|for|while|try|except|finally|match|case)\b")
+        starts = [0, *(b + 1 for b in at.breaks), len(at.text) + 1]
+        held: list[tuple[int, int]] = []  # indentation, start of the block
+        for k, row in enumerate(at.rows):
+            if not row.strip():
+                continue
+            indent = len(row.expandtabs()) - len(row.expandtabs().lstrip())
+            while held and held[-1][0] >= indent:
+                out.append((held.pop()[1], starts[k]))
+            if head.match(row):
+                held.append((indent, starts[k]))
+        return out + [(a, len(at.text)) for _, a in held]
+    for k, t in enumerate(code):
+        if t.kind == "name" and t.text in _BRANCH_WORDS:
+            j = k + 1
+            if j < len(code) and code[j].text == "(":
+                j = pairs[j] + 1
+            while j < len(code) and code[j].text not in ("{", ";", "}") and code[j].line == t.line and code[j].text != "=":
+                j += 1
+            to = pairs[j] if j < len(code) and code[j].text == "{" else next((x for x in range(j, len(code)) if code[x].text in (";", "}")), len(code) - 1)
+            out.append((t.start, code[to].end))
+    return out
+
+
+def _uses(at: Text, code: list[Token], language: str, unit: Unit, pairs: dict[int, int]) -> None:
+    """Calls with their receiver and arguments, and assignments, with whether they stand in a block that may not run."""
+    text, around, opened, open_to = at.text, _around(unit, len(at.rows)), sorted(_branches(at, code, language, pairs)), -1
+    heads, branch = {(f["start_line"], f["name"]) for f in unit.functions}, 0
     for k, t in enumerate(code):
         if t.text == "(" and t.kind == "op" and k and code[k - 1].kind == "name" and (code[k - 1].text not in _WORDS_BEFORE_PAREN or k > 1 and code[k - 2].text in (".", "::")) and (code[k - 1].line, code[k - 1].text) not in heads and not (k > 1 and code[k - 2].text in ("class", "def")):
             name, j = code[k - 1], k - 2
             bang = False
-            close = _match(code, k)
+            close = pairs[k]
             while j >= 1 and code[j].text in (".", "::", "?") or j >= 1 and code[j].text == "!":
                 bang |= code[j].text == "!"
                 j -= 1
                 if code[j].text == ")":
-                    depth = 0
-                    while j > 0:
-                        depth += (code[j].text == ")") - (code[j].text == "(")
-                        if depth == 0:
-                            break
-                        j -= 1
-                    j -= 1
+                    j = pairs.get(j, 1) - 1
                 if code[j].kind in ("name", "string") or code[j].text == "]":
                     j -= 1
             receiver = text[code[j + 1].start : name.start].rstrip(".:? ") if j + 1 < k - 1 else ""
             new = j >= 0 and code[j].text == "new"
             args = [text[p[0].start : p[-1].end] for p in _split(code[k + 1 : close])]
-            fn = _enclosing(unit, name.line)
-            unit.calls.append({"callee": name.text, "receiver": receiver, "is_new": new, "args": args, "line": name.line, "pos": name.start, "function": fn["name"] if fn else None})
+            unit.calls.append({"callee": name.text, "receiver": receiver, "is_new": new, "args": args, "line": name.line, "pos": name.start, "function": around[name.line]})
         elif t.text == "!" and k and code[k - 1].kind == "name" and k + 1 < len(code) and code[k + 1].text in ("(", "[", "{") and t.start == code[k - 1].end:  # a macro
-            close = _match(code, k + 1)
-            fn = _enclosing(unit, t.line)
-            unit.calls.append({"callee": code[k - 1].text + "!", "receiver": "", "is_new": False, "args": [text[p[0].start : p[-1].end] for p in _split(code[k + 2 : close])], "line": t.line, "pos": t.start, "function": fn["name"] if fn else None})
+            close = pairs[k + 1]
+            unit.calls.append({"callee": code[k - 1].text + "!", "receiver": "", "is_new": False, "args": [text[p[0].start : p[-1].end] for p in _split(code[k + 2 : close])], "line": t.line, "pos": t.start, "function": around[t.line]})
         elif t.kind == "op" and t.text in ("=", ":=", "+=") and k and (code[k - 1].kind == "name" or code[k - 1].text in ("]", "?")) and (k + 1 >= len(code) or code[k + 1].text != "="):
             depth, end = 0, k
             while end + 1 < len(code) and (depth > 0 or code[end + 1].line == code[end].line or code[end].kind == "op" and code[end].text not in (")", "]", "}")):
@@ -277,47 +428,52 @@ def _uses(text: str, toks: list[Token], unit: Unit) -> None:
                 end += 1
                 depth += (code[end].text in ("(", "[", "{")) - (code[end].text in (")", "]", "}"))
             j = k - 1
-            while j >= 1 and (code[j - 1].text in (".", "[", "]", "::") or code[j].text in (".", "]", "[")):
+            while j >= 1 and code[j - 1].line == t.line and (code[j - 1].text in (".", "[", "]", "::") or code[j].text in (".", "]", "[")):
                 j -= 1
             target = text[code[j].start : code[k - 1].end]
-            fn = _enclosing(unit, t.line)
-            unit.assigns.append({"target": target, "value": text[code[k + 1].start : code[end].end] if end > k else "", "op": t.text, "line": t.line, "pos": t.start, "function": fn["name"] if fn else None})
+            while branch < len(opened) and opened[branch][0] <= t.start:
+                open_to, branch = max(open_to, opened[branch][1]), branch + 1
+            unit.assigns.append({"target": target, "value": text[code[k + 1].start : code[end].end] if end > k else "", "op": t.text, "line": t.line, "pos": t.start, "function": around[t.line], "branch": t.start < open_to})
 
 
-def analysed(text: str, language: str) -> Unit:
+def analysed(text: str, language: str, marker: str = STRIP) -> Unit:
     """All tables of one file."""
-    unit = Unit()
+    unit, at = Unit(), Text(text)
     toks = tokens(text, language)
     code = [t for t in toks if t.kind != "comment"]
+    pairs = _brackets(code)
     if language == "python":
-        _python(text, code, unit)
+        _python(at, unit, marker)
     elif language in BRACES:
-        _braces(text, code, language, unit)
-    unit.imports = imports(text, language)
+        _braces(at, code, language, unit, pairs, marker)
+    unit.imports = imports(text, language, at)
     unit.strings = [{"value": t.text, "line": t.line} for t in toks if t.kind == "string"]
     unit.comments = [{"text": t.text, "line": t.line} for t in toks if t.kind == "comment"]
-    _uses(text, toks, unit)
+    unit.tests = test_ranges(code, pairs) if language == "rust" else []
+    unit.module_doc = module_doc(at, language)
+    _uses(at, code, language, unit, pairs)
     return unit
 
 
 SCHEMA = (
-    "rel_path string, language string, functions array<struct<name:string,qualified_name:string,owner:string,signature:string,start_line:int,end_line:int,body:string,doc:string,is_public:boolean,params:array<string>>>, types array<struct<name:string,kind:string,start_line:int,end_line:int,doc:string,is_public:boolean>>, "
+    "rel_path string, language string, functions array<struct<name:string,qualified_name:string,owner:string,signature:string,start_line:int,end_line:int,body:string,doc:string,is_public:boolean,params:array<string>,body_start:int,body_end:int,is_stripped:boolean>>, types array<struct<name:string,kind:string,start_line:int,end_line:int,doc:string,is_public:boolean>>, "
     "imports array<struct<raw:string,path:string,line:int>>, strings array<struct<value:string,line:int>>, calls array<struct<callee:string,receiver:string,is_new:boolean,args:array<string>,line:int,pos:int,function:string>>, "
-    "assigns array<struct<target:string,value:string,op:string,line:int,pos:int,function:string>>, comments array<struct<text:string,line:int>>"
+    "assigns array<struct<target:string,value:string,op:string,line:int,pos:int,function:string,branch:boolean>>, comments array<struct<text:string,line:int>>, tests array<struct<start_line:int,end_line:int>>, module_doc string"
 )
 
 
-def analysis(files: DataFrame) -> DataFrame:
+def analysis(files: DataFrame, marker: str = STRIP) -> DataFrame:
     """One row for each file (rel_path, language, content) with nested tables; files without text or language have empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                units = [analysed(c or "", lang or "") for c, lang in zip(part.column("content").to_pylist(), part.column("language").to_pylist())]
+                units = [analysed(c or "", lang or "", marker) for c, lang in zip(part.column("content").to_pylist(), part.column("language").to_pylist())]
                 cols = {"rel_path": part.column("rel_path"), "language": part.column("language")}
-                for name in ("functions", "types", "imports", "strings", "calls", "assigns", "comments"):
+                for name in _ARROW:
                     cols[name] = pa.array([getattr(u, name) for u in units], _ARROW[name])
+                cols["module_doc"] = pa.array([u.module_doc for u in units], pa.string())
                 yield pa.RecordBatch.from_pydict(cols)
 
     return files.select("rel_path", "language", "content").mapInArrow(run, SCHEMA)
@@ -329,8 +485,8 @@ def _list(**fields: pa.DataType) -> pa.DataType:
 
 _S, _I, _B = pa.string(), pa.int32(), pa.bool_()
 _ARROW = {
-    "functions": _list(name=_S, qualified_name=_S, owner=_S, signature=_S, start_line=_I, end_line=_I, body=_S, doc=_S, is_public=_B, params=pa.list_(_S)), "types": _list(name=_S, kind=_S, start_line=_I, end_line=_I, doc=_S, is_public=_B), "imports": _list(raw=_S, path=_S, line=_I),
-    "strings": _list(value=_S, line=_I), "calls": _list(callee=_S, receiver=_S, is_new=_B, args=pa.list_(_S), line=_I, pos=_I, function=_S), "assigns": _list(target=_S, value=_S, op=_S, line=_I, pos=_I, function=_S), "comments": _list(text=_S, line=_I),
+    "functions": _list(name=_S, qualified_name=_S, owner=_S, signature=_S, start_line=_I, end_line=_I, body=_S, doc=_S, is_public=_B, params=pa.list_(_S), body_start=_I, body_end=_I, is_stripped=_B), "types": _list(name=_S, kind=_S, start_line=_I, end_line=_I, doc=_S, is_public=_B), "imports": _list(raw=_S, path=_S, line=_I),
+    "strings": _list(value=_S, line=_I), "calls": _list(callee=_S, receiver=_S, is_new=_B, args=pa.list_(_S), line=_I, pos=_I, function=_S), "assigns": _list(target=_S, value=_S, op=_S, line=_I, pos=_I, function=_S, branch=_B), "comments": _list(text=_S, line=_I), "tests": _list(start_line=_I, end_line=_I),
 }
 
 
