@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quern.functions.text import comment_sign
 
 MARK = "[REDACTED]"
 
@@ -84,17 +89,33 @@ def config_value(value: Column, mark: str = MARK) -> Column:
     return value
 
 
+def addresses(value: Column) -> Column:
+    """The IPv4 addresses in a text, but for loopback and 0.0.0.0."""
+    return F.filter(F.regexp_extract_all(value, F.lit(CONFIG_IPV4), F.lit(0)), lambda x: ~x.isin("127.0.0.1", "0.0.0.0"))
+
+
+#: Characters or words without which no pattern of a value fits.
+_MAY = r"(?i)[0-9]|://|-----|sk-|gh[pousr]_|eyj|akia|passw|pwd|secret|api_?key|auth_token|access_token|private_key|\.(internal|corp|local|lan|intranet)"
+
+
 def config_line(line: Column, mark: str = MARK) -> Column:
-    """A line of a configuration file: comments and empty values stay, sensitive keys lose their value, the rest is searched."""
+    """A line of a configuration file: comments and empty values stay, sensitive keys lose their value, the rest is searched.
+
+    Key and value are cut off by one search each; the patterns run only over values that may hold what they look for.
+    """
     start = F.substring(F.ltrim(line), 1, 1)
-    indent, key, sep, value = (F.regexp_extract(line, CONFIG_LINE, k) for k in (1, 2, 3, 4))
-    head = F.concat(indent, key, sep)
+    split = F.regexp_instr(line, F.lit("[:=]"))
+    key = F.substring(line, F.lit(1), split - 1)
+    keyed = (split > 1) & F.regexp_like(key, F.lit(r"\S"))
+    head = F.regexp_extract(F.substring(line, split, F.length(line)), r"^([:=]\s*)", 1)
+    value = F.substring(line, split + F.length(head), F.length(line))
+    searched = lambda v: F.when(F.regexp_like(v, F.lit(_MAY)), config_value(v, mark)).otherwise(v)
     return (
         F.when((F.trim(line) == "") | start.isin("#", "!"), line)
-        .when(~F.regexp_like(line, F.lit(CONFIG_LINE)), config_value(line, mark))
+        .when(~keyed, searched(line))
         .when(F.trim(value) == "", line)
-        .when(F.regexp_like(key, F.lit(CONFIG_KEY)), F.concat(head, F.lit(mark)))
-        .otherwise(F.concat(head, config_value(value, mark)))
+        .when(F.regexp_like(key, F.lit(CONFIG_KEY)), F.concat(key, head, F.lit(mark)))
+        .otherwise(F.concat(key, head, searched(value)))
     )
 
 
@@ -109,16 +130,75 @@ def without_remarks(text: Column, to: str = REMARK_TEXT) -> Column:
     return F.regexp_replace(text, F.lit(REMARK), _to(to))
 
 
+PLACEHOLDER = "Body left out"
+
+
+def stripped_body(body: Column, start: Column, end: Column, language: Column, placeholder: str = PLACEHOLDER) -> Column:
+    """A function's text with its body, the bytes from start to end, replaced by a remark; as it is where the range does not fit.
+
+    Python bodies become a comment and pass at the body's own indentation; what stands between braces, or after a sign,
+    becomes a comment one level deeper than the line before it.
+    """
+    raw = F.encode(body, "UTF-8")
+    fits = start.isNotNull() & (start >= 0) & (start <= end) & (end <= F.octet_length(body))
+    piece = lambda a, n: F.decode(F.substring(raw, a, n), "UTF-8")
+    before, inside, after = piece(F.lit(1), start), piece(start + 1, end - start), piece(end + 1, F.octet_length(body) - end)
+    indent = F.regexp_extract(inside, r"(?m)^([ \t]*)\S", 1)
+    deeper = F.concat(F.regexp_extract(F.regexp_extract(F.rtrim(before), r"([^\n]*)$", 1), r"^([ \t]*)", 1), F.lit("    "))
+    python = F.concat(before, F.when(indent == "", deeper).otherwise(indent), F.lit(f"# [{placeholder}]\n"), F.when(indent == "", deeper).otherwise(indent), F.lit("pass"), after)
+    braces = F.concat(before, F.lit("\n"), deeper, F.lit(f"/* {placeholder} */\n"), after)
+    other = F.concat(before, F.lit("\n"), deeper, comment_sign(language), F.lit(f" [{placeholder}]\n"), after)
+    return F.when(~F.coalesce(fits, F.lit(False)), body).when(language == "python", python).when(F.rtrim(before).endswith("{"), braces).otherwise(other)
+
+
 def function_source(text: Column, custom: Iterable[str] = (), mark: str = MARK) -> Column:
     """The body of a function: remarks, then secrets."""
     return redacted(without_remarks(text), custom, mark)
 
 
+def shown_functions(functions: DataFrame, custom: Iterable[str] = (), placeholder: str = PLACEHOLDER, mark: str = MARK) -> DataFrame:
+    """functions (of an analysis) with body as it may be shown: left out where that is asked for, else without remarks, then without secrets."""
+    bare = F.when(F.col("is_stripped"), stripped_body(F.col("body"), F.col("body_start"), F.col("body_end"), F.col("language"), placeholder)).otherwise(F.col("body"))
+    return functions.withColumn("body", function_source(bare, custom, mark))
+
+
 def redacted_map(values: Column, mark: str = MARK) -> Column:
     """A map of strings: values of sensitive keys are replaced, others are searched."""
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), F.lit(mark)).otherwise(redacted(v, mark=mark)))
 
 
+def redacted_json(text: Column, custom: Iterable[str] = (), mark: str = MARK) -> Column:
+    """JSON text of any depth: values of sensitive keys are replaced, other strings are searched; null where it is no JSON."""
+    patterns = [(re.compile(p, re.A), mark) for _, p in secrets(custom)]
+
+    def clean(x):  # noqa: ANN001, ANN202
+        if isinstance(x, dict):
+            return {k: mark if k.lower() in SENSITIVE_KEYS else clean(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [clean(v) for v in x]
+        if isinstance(x, str):
+            for p, m in patterns:
+                x = p.sub(lambda _: m, x)
+        return x
+
+    @F.pandas_udf(StringType())
+    def one(texts: pd.Series) -> pd.Series:
+        def redact(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(clean(json.loads(t)), separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return texts.map(redact)
+
+    return one(text)
+
+
+def redacted_edges(edges: DataFrame, custom: Iterable[str] = (), on: bool = True) -> DataFrame:
+    """A dependency graph with both ends of its edges, and their labels if there are any, redacted."""
+    return redacted_columns(edges, *[c for c in ("src", "dst", "label") if c in edges.columns], custom=custom, on=on)
+
+
 def redacted_columns(df: DataFrame, *columns: str, custom: Iterable[str] = (), on: bool = True) -> DataFrame:
     """df with the columns redacted, or as it is if the policy is off."""
     return df.withColumns({c: redacted(F.col(c), custom) for c in columns}) if on else df

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ def one_line(signature: Column) -> Column:
 def first_line(doc: Column) -> Column:
     """The first line of a comment that says something, without its signs."""
     lines = F.transform(F.split(doc, r"\r?\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(///?!?|//!|/\*\*?|\*/|\*|#+|\"\"\"|''')\s?", "")))
-    return F.element_at(F.filter(lines, lambda x: x != ""), 1)
+    return F.get(F.filter(lines, lambda x: x != ""), F.lit(0))
 
 
 def normal_path(path: Column) -> Column:
@@ -80,6 +83,48 @@ def backoff_ms(failures: Column) -> Column:
     return F.when(failures < 3, F.lit(0)).otherwise(F.least(F.lit(2000), (F.lit(250) * F.pow(F.lit(2), F.least(F.lit(4), failures - 3))).cast("int")))
 
 
+def under(path: Column, root: Column) -> Column:
+    """Whether a path, its . and .. steps taken, is a root or lies below it."""
+    p, r = normal_path(path), F.regexp_replace(normal_path(root), "(?<=.)/+$", "")
+    return (p == r) | p.startswith(F.concat(F.when(r == "/", F.lit("")).otherwise(r), F.lit("/")))
+
+
+def uri_path(uri: Column) -> Column:
+    """The path of a file URI, or of what begins with a slash; null for others and for broken escapes."""
+    rest = F.regexp_replace(uri, "^file://(localhost)?", "")
+    broken = F.regexp_like(rest, F.lit("%(?![0-9A-Fa-f]{2})"))
+    path = F.when(~broken, F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B"))))
+    path = F.regexp_replace(path, "^/([A-Za-z]:)", "$1")
+    return F.when(uri.startswith("file://"), path).when(uri.startswith("/"), uri)
+
+
+def token_digest(token: Column) -> Column:
+    """A digest of fixed length of a token, by which tokens are compared."""
+    return F.sha2(token.cast("binary"), 256)
+
+
+def utilisation(entries: Column, most: Column) -> Column:
+    """Entries as a percentage of the most there may be; 0 where that is 0."""
+    return F.when(most == 0, F.lit(0.0)).otherwise(entries * 100.0 / most)
+
+
 def sorted_json(values: Column) -> Column:
     """A map as compact JSON with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text of any depth, compact and with the keys of each object in order; null where it is no JSON."""
+    from pyspark.sql.types import StringType
+
+    @F.pandas_udf(StringType())
+    def one(texts: pd.Series) -> pd.Series:
+        def canonical(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return texts.map(canonical)
+
+    return one(text)
