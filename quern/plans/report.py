@@ -11,6 +11,7 @@ from quern.functions import redact
 from quern.functions.text import SARIF_LEVEL, SARIF_SCORE, context_of, mapped
 from quern.operators import findings as fd
 from quern.operators import lines as ln
+from quern.plans import catalogue
 from quern.sources.files import lines
 
 FINDING = "rule string, cwe string, category string, tier string, severity string, confidence string, context string, file string, line int, function string, description string, flow struct<source_line:int,sink_line:int>"
@@ -34,7 +35,7 @@ def text_findings(files: DataFrame) -> DataFrame:
 
 def assembled(found: DataFrame, directives: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept and suppressed findings: deduplicated, with stable ids and baseline marks."""
-    marked = fd.with_suppression(found, directives)
+    marked = fd.with_suppression(found, directives, catalogue.LEGACY)
     kept = fd.with_baseline(fd.with_stable_ids(fd.first_of_each(marked.filter("reason is null").drop("reason"), "description"), "rule"), ids)
     silent = fd.with_stable_ids(fd.first_of_each(marked.filter("reason is not null"), "description"), "rule")
     return kept, silent
@@ -59,9 +60,9 @@ def sarif(kept: DataFrame, silent: DataFrame, tool: str = "quern") -> str:
     found = [r.asDict(recursive=True) for r in both.collect()]  # of a report's size
     rules = sorted({r["rule"] for r in found})
     place = lambda f, n: {"physicalLocation": {"artifactLocation": {"uri": f}, "region": {"startLine": n}}}
-    results = []
+    place_of, results = {r: k for k, r in enumerate(rules)}, []
     for r in found:
-        one = {"ruleId": r["rule"], "ruleIndex": rules.index(r["rule"]), "level": r["level"], "message": {"text": r["description"]}, "locations": [place(r["file"], r["line"])], "partialFingerprints": {"stableId/v1": r["stable_id"]}, "properties": {"context": r["context"]}}
+        one = {"ruleId": r["rule"], "ruleIndex": place_of[r["rule"]], "level": r["level"], "message": {"text": r["description"]}, "locations": [place(r["file"], r["line"])], "partialFingerprints": {"stableId/v1": r["stable_id"]}, "properties": {"context": r["context"]}}
         if r["flow"]:
             one["codeFlows"] = [{"threadFlows": [{"locations": [{"location": place(r["file"], r["flow"][k])} for k in ("source_line", "sink_line")]}]}]
         if r["kind"]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -14,14 +15,15 @@ from quern.operators import findings as fd
 from quern.operators import source
 from quern.plans import catalogue
 from quern.sources.files import MAX_FLOW_BYTES, lines
+from quern.sources.store import kept
 
 COLUMNS = ("callee", "receiver", "is_new", "args", "args2", "arg0", "arg1", "arg2", "any_arg", "whole", "path", "target", "value", "text", "block")
 
 
-def catalogue_table(spark: SparkSession) -> DataFrame:
+def catalogue_table(spark: SparkSession, rules: tuple = catalogue.RULES) -> DataFrame:
     """rule, language, table, gate, an expression and its sense for each of COLUMNS: a bounded dimension."""
     rows = []
-    for rule, languages, table, exprs, gate in catalogue.RULES:
+    for rule, languages, table, exprs, gate in rules:
         for language in languages.split(","):
             cells = []
             for c in COLUMNS:
@@ -62,11 +64,12 @@ def catches(text: str, language: str) -> list[tuple[int, str]]:
     return out
 
 
+def facts(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row for each call, assignment, comment, handler, function and line of code, in the columns that rules name.
 
-
-def facts(files: DataFrame) -> DataFrame:
-    """One row for each call, assignment, comment, handler, function and line of code, in the columns that rules name."""
-    found = source.analysis(files)
+    found has the analysis of the files, if it is there already; each of its tables is read from it.
+    """
+    found = source.analysis(files) if found is None else found
     base = ["rel_path", "language"]
     null = F.lit(None).cast("string")
 
@@ -99,15 +102,24 @@ def facts(files: DataFrame) -> DataFrame:
     return out.unionByName(shaped(code, "code", "line", F.col("name"), text=F.col("text")))
 
 
-def structural(files: DataFrame) -> DataFrame:
-    """The findings of the catalogue in files (rel_path, language, content).
+def parsed(files: DataFrame) -> DataFrame:
+    """The analysis of the files, worked out once: written, and read column by column by all that follow."""
+    return kept(source.analysis(files.filter("language is not null")))
+
+
+def structural(files: DataFrame, found: DataFrame | None = None, more: tuple = ()) -> DataFrame:
+    """The findings of the catalogue in files (rel_path, language, content), whose analysis found has if it is there.
 
     Facts meet rules by language and table (a broadcast of the bounded catalogue) and each expression then decides.
-    Gates look at the function around: its name, the names assigned on the line, or words in its body.
+    Gates look at the function around: its name, the names assigned on the line, or words in its body. more are further
+    rules: (id, languages, table, expressions, gate, (weakness, category, severity, confidence, tier)).
     """
     spark = files.sparkSession
-    f = facts(files.filter("language is not null"))
-    rules = F.broadcast(catalogue_table(spark))
+    files = files.filter("language is not null")
+    found = parsed(files) if found is None else found
+    f = facts(files, found)
+    every = (*catalogue.RULES, *(r[:5] for r in more))
+    rules = F.broadcast(catalogue_table(spark, every))
     both = f.alias("f").join(rules.alias("r"), (F.col("f.table") == F.col("r.table")) & ((F.col("f.language") == F.col("r.language")) | (F.col("r.language") == "*")))
     for c in COLUMNS:
         if c == "any_arg":
@@ -115,14 +127,14 @@ def structural(files: DataFrame) -> DataFrame:
         else:
             both = both.filter(_fits(F.col(c), c))
     hit = both.select("rel_path", "rule", "gate", "line", "function")
-    bodies = source.exploded(source.analysis(files), "functions").groupBy("rel_path", F.col("name").alias("function")).agg(F.max("body").alias("body"))
-    names = source.exploded(source.analysis(files), "assigns").groupBy("rel_path", "line").agg(F.concat_ws(" ", F.collect_set("target")).alias("names"))
+    bodies = source.exploded(found, "functions").groupBy("rel_path", F.col("name").alias("function")).agg(F.max("body").alias("body"))
+    names = source.exploded(found, "assigns").groupBy("rel_path", "line").agg(F.concat_ws(" ", F.collect_set("target")).alias("names"))
     hit = hit.join(bodies, ["rel_path", "function"], "left").join(names, ["rel_path", "line"], "left")
     around = F.lower(F.concat_ws(" ", "function", "names"))
     holds = lambda words, col: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: col.contains(w))
     gate = F.when(F.col("gate") == "security", holds(catalogue.SECURITY_NAMES, around)).when(F.col("gate") == "auth", holds(catalogue.AUTH_NAMES, around))
     gate = gate.when(F.col("gate") == "hardening", ~holds(catalogue.HARDENING, F.lower(F.coalesce("body", F.lit(""))))).when(F.col("gate") == "development", ~F.coalesce("body", F.lit("")).contains("IsDevelopment")).otherwise(True)
-    return _shaped(hit.filter(gate).select("rel_path", "rule", "line", "function").distinct(), {r[0]: catalogue.meta(r[0]) for r in catalogue.RULES})
+    return _shaped(hit.filter(gate).select("rel_path", "rule", "line", "function").distinct(), {**{r[0]: catalogue.meta(r[0]) for r in catalogue.RULES}, **{r[0]: r[5] for r in more}})
 
 
 def _shaped(hit: DataFrame, metas: dict[str, tuple]) -> DataFrame:
@@ -162,7 +174,7 @@ CALLS: dict[str, list[tuple[str, str, str, int, bool]]] = {
     "cs": [("sql", r"^(SqlCommand|NpgsqlCommand|MySqlCommand|SqliteCommand|FromSqlRaw|ExecuteSqlRaw|ExecuteSqlRawAsync|Query|Execute)$", r"", 0, False), ("cmd", r"^(Start|ProcessStartInfo)$", r"^(|Process)$", -1, False), ("path", r"^(ReadAllText|ReadAllBytes|OpenRead|Open|FileStream|StreamReader|PhysicalFile)$", r"^(|File|System\.IO\.File)$", 0, False), ("path", r"^(WriteAllText|WriteAllBytes|Delete|Move|Copy|AppendAllText|Create)$", r"^(File|Directory|System\.IO\.File)$", 0, True), ("ssrf", r"^(GetAsync|GetStringAsync|PostAsync|GetStreamAsync|DownloadString|Create)$", r"(?i)(client|http|WebRequest)", 0, False), ("redirect", r"^(Redirect|RedirectPermanent)$", r"", 0, False), ("ssti", r"^(Parse|Compile|RunCompile)$", r"(?i)(template|razor|engine)", 0, False), ("log", r"^Log(Trace|Debug|Information|Warning|Error|Critical)$", r"", -1, False)],
     "rust": [("sql", r"^(query|query_as|sql_query|prepare|query_row|batch_execute)$", r"", 0, False), ("sql", r"^execute$", r".", 0, True), ("cmd", r"^(arg|args)$", r"Command::new", -1, False), ("cmd", r"^new$", r"Command$", 0, False), ("ssrf", r"^(get|post|put|delete)$", r"^(reqwest|reqwest::blocking|client)$", 0, False), ("redirect", r"^(to|temporary|permanent)$", r"Redirect$", 0, False)],
 }
-SANITIZERS = {"": r"\b(int|float|Number|parseInt|parseFloat|Integer\.parseInt|Long\.parseLong|strconv\.Atoi|strconv\.ParseInt|int\.Parse|Guid\.Parse|UUID\.fromString|toInt|parse::<)\b", "cmd": r"\b(shlex\.quote|quote|escapeshellarg|shellescape)\b", "path": r"\b(secure_filename|basename|path\.basename|filepath\.Base|Path\.GetFileName|getFileName|FilenameUtils\.getName)\b", "log": r"\b(replace|replaceAll|encode|strip|escape\w*)\s*\(", "redirect": r"\b(url_for|is_safe_url|url_has_allowed_host_and_scheme)\b", "ssrf": r"\bvalidate_url\b", "sql": r"\b(escape|quote_ident|mysql_real_escape_string)\b", "ssti": r"\bescape\b"}
+SANITIZERS = {"": r"\b(Integer\.parseInt|Long\.parseLong|strconv\.Atoi|strconv\.ParseInt|int\.Parse|Guid\.Parse|UUID\.fromString|int|float|Number|parseInt|parseFloat|toInt|parse::<)\b", "cmd": r"\b(shlex\.quote|quote|escapeshellarg|shellescape)\b", "path": r"\b(secure_filename|basename|path\.basename|filepath\.Base|Path\.GetFileName|getFileName|FilenameUtils\.getName)\b", "log": r"\b(replace|replaceAll|encode|strip|escape\w*)\s*\(", "redirect": r"\b(url_for|is_safe_url|url_has_allowed_host_and_scheme)\b", "ssrf": r"\bvalidate_url\b", "sql": r"\b(escape|quote_ident|mysql_real_escape_string)\b", "ssti": r"\bescape\b"}
 GUARDS = {"path": r"(startswith|startsWith|StartsWith|HasPrefix|starts_with|is_relative_to)\s*\("}
 ROUNDS = 3
 _NAME = re.compile(r"(?<![\w.\"'])[A-Za-z_]\w*")
@@ -176,6 +188,37 @@ def _names(value: str) -> set[str]:
     return {n for n in _NAME.findall(bare + " " + " ".join(x.split(".")[0] for x in inner.split()))}
 
 
+_CALLED = re.compile(r"[\w:<>, ]*\(")
+_OPENING = {")": "(", "]": "[", "}": "{"}
+
+
+def cleaned(text: str, sanitizers: re.Pattern) -> str:
+    """text without the calls of sanitizers: their arguments and, for methods, what they are called on."""
+    while m := sanitizers.search(text):
+        open_ = _CALLED.match(text, m.end() - (m[0][-1] == "("))
+        if open_ is None:
+            text = text[: m.start()] + "\0" * (m.end() - m.start()) + text[m.end() :]
+            continue
+        depth, end = 1, open_.end()
+        while end < len(text) and depth:
+            depth += (text[end] in "([{") - (text[end] in ")]}")
+            end += 1
+        start = m.start()
+        while start and text[start - 1] == ".":  # a method: back over names, calls and places
+            start -= 1
+            while start and (text[start - 1].isalnum() or text[start - 1] in "_\"')]"):
+                start -= 1
+                if text[start] in _OPENING:
+                    depth = 1
+                    while start and depth:
+                        start -= 1
+                        depth += (text[start] in ")]}") - (text[start] in "([{")
+                elif text[start] in "\"'":
+                    start = max(0, text.rfind(text[start], 0, start))
+        text = text[:start] + "0" + text[end:]
+    return text
+
+
 def flows(unit: source.Unit, language: str, summaries: dict[str, dict]) -> tuple[list[dict], list[dict]]:
     """Findings and function summaries of one file: a fold over its assignments and calls in order, for each kind of sink.
 
@@ -186,9 +229,13 @@ def flows(unit: source.Unit, language: str, summaries: dict[str, dict]) -> tuple
         return [], []
     found, out = [], []
     scopes = {f["name"]: f for f in unit.functions}
+    inside: dict[str | None, list[tuple[str, dict]]] = {}
+    for what, rows in (("assign", unit.assigns), ("call", unit.calls)):
+        for e in rows:
+            inside.setdefault(e["function"], []).append((what, e))
     for scope in [None, *scopes]:
         f = scopes.get(scope) if scope else None
-        events = sorted([("assign", a) for a in unit.assigns if a["function"] == scope] + [("call", c) for c in unit.calls if c["function"] == scope], key=lambda e: (e[1]["line"], e[0] == "assign", e[1]["pos"]))
+        events = sorted(inside.get(scope, []), key=lambda e: e[1]["pos"] + (len(e[1]["value"]) + 1 if e[0] == "assign" else 0))  # a name is bound when its value is done
         guarded = {k for k, g in GUARDS.items() if f and re.search(r"\b(if|when|unless)\b[^\n]*" + g, f["body"])}
         sinks: dict[str, set[int]] = {}
         returns: set[int] = set()
@@ -205,8 +252,7 @@ def flows(unit: source.Unit, language: str, summaries: dict[str, dict]) -> tuple
                         held[p] = (f["start_line"], {k})
 
             def value(text: str, line: int) -> tuple[int, set[int]]:
-                if clean.search(text):
-                    return 0, set()
+                text = cleaned(text, clean)
                 at, froms = (line, set()) if re.search(SOURCES[fam], text) else (0, set())
                 for n in _names(text):
                     if n in held:
@@ -223,7 +269,7 @@ def flows(unit: source.Unit, language: str, summaries: dict[str, dict]) -> tuple
                     if v[0] or v[1]:
                         old = held.get(e["target"], (0, set()))
                         held[e["target"]] = v if e["op"] != "+=" else (v[0] or old[0], v[1] | old[1])
-                    elif e["op"] != "+=":
+                    elif e["op"] != "+=" and not e["branch"]:  # what may not run clears nothing
                         held.pop(e["target"], None)
                     continue
                 if kind in guarded:
@@ -266,23 +312,30 @@ FLOW = "rel_path string, rule string, line int, function string, source_line int
 SUMMARY = "family string, name string, params array<string>, returns_source boolean, sinks map<string,array<int>>"
 
 
+def unambiguous(table: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a table whose keys stand in no other row."""
+    rest = [c for c in table.columns if c not in keys]
+    one = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_r")).filter("_n = 1")
+    return one.select(*keys, "_r.*")
+
+
 def taint(files: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Findings of flows from inputs to sinks in files, through functions of the whole tree.
 
-    Each round reads the files with the summaries of the round before; a name that is defined more than once in a
+    Files are analysed once. Each round takes them with the summaries of the round before; a name that is defined more than once in a
     family is ambiguous and not used. Summaries are a row for each function; only those that reach a sink or return
     input are kept. Up to SMALL_SUMMARIES of them are shared with all tasks; a larger table is written and joined with
     the names that files call, so that each file gets what it may use and the result is the same.
     """
-    work = files.filter(F.col("language").isin(*FAMILY) & (F.length("content") <= MAX_FLOW_BYTES)).select("rel_path", "language", "content")
+    work = kept(units(files.filter(F.col("language").isin(*FAMILY) & (F.length("content") <= MAX_FLOW_BYTES))))
     table: dict[str, dict[str, dict]] = {}
     large: DataFrame | None = None
     for _ in range(rounds):
         every = _over(work, table, large, _told, SUMMARY)
-        useful = every.groupBy("family", "name").agg(F.count("name").alias("n"), F.first("params").alias("params"), F.first("returns_source").alias("returns_source"), F.first("sinks").alias("sinks")).filter("n = 1 and (returns_source or size(sinks) > 0)")
+        useful = unambiguous(every, "family", "name").filter("returns_source or size(sinks) > 0")
         rows = useful.limit(SMALL_SUMMARIES + 1).collect()
         if len(rows) > SMALL_SUMMARIES:
-            table, large = {}, useful.checkpoint()
+            table, large = {}, kept(useful)
             continue
         new = _by_name(rows)
         if new == table and large is None:
@@ -295,6 +348,20 @@ def taint(files: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return _shaped(one, metas)
 
 
+def units(files: DataFrame) -> DataFrame:
+    """rel_path, language, unit (the analysis of the file, pickled for the rounds that follow) and called (the names that it calls)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                done = [source.analysed(t or "", lang) for lang, t in zip(part.column("language").to_pylist(), part.column("content").to_pylist())]
+                called = [sorted({c["callee"] for c in u.calls} | set(re.findall(r"([A-Za-z_]\w*)\s*\(", " ".join([a["value"] for a in u.assigns] + [f["body"] for f in u.functions])))) for u in done]
+                yield pa.RecordBatch.from_pydict({"rel_path": part.column("rel_path"), "language": part.column("language"), "unit": pa.array([pickle.dumps(u) for u in done], pa.binary()), "called": pa.array(called, pa.list_(pa.string()))})
+
+    return files.select("rel_path", "language", "content").mapInArrow(run, "rel_path string, language string, unit binary, called array<string>")
+
+
 def _by_name(rows) -> dict[str, dict[str, dict]]:  # noqa: ANN001
     out: dict[str, dict[str, dict]] = {}
     for r in rows:
@@ -307,17 +374,17 @@ def _over(work: DataFrame, table: dict, large: DataFrame | None, fn, schema: str
     shared = work.sparkSession.sparkContext.broadcast(table)
     if large is not None:
         family = mapped(F.col("language"), FAMILY)
-        called = work.select("rel_path", family.alias("family"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1)))).alias("name")).distinct()
+        called = work.select("rel_path", family.alias("family"), F.explode("called").alias("name")).distinct()
         own = called.join(large.hint("merge"), ["family", "name"]).groupBy("rel_path").agg(F.collect_list(F.struct("family", "name", "params", "returns_source", "sinks")).alias("own"))
-        work = work.join(own.hint("merge"), "rel_path", "left").select("rel_path", "language", "content", "own")
+        work = work.join(own.hint("merge"), "rel_path", "left").select("rel_path", "language", "unit", "called", "own")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
         kinds = _FLOW_KINDS if fn is _hits else _SUMMARY_KINDS
         for batch in batches:
-            rows, given = [], batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for path, lang, text, own in zip(*[batch.column(k).to_pylist() for k in range(3)], given):
-                rows += fn(path, lang, source.analysed(text or "", lang), (_by_name(own) if own else shared.value).get(FAMILY[lang], {}))
+            rows, given = [], batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * batch.num_rows
+            for path, lang, unit, own in zip(*[batch.column(k).to_pylist() for k in range(3)], given):
+                rows += fn(path, lang, pickle.loads(unit), (_by_name(own) if own else shared.value).get(FAMILY[lang], {}))
             yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(names, kinds))})
 
     return work.mapInArrow(run, schema)
@@ -344,11 +411,12 @@ def audit(files: DataFrame) -> DataFrame:
     """All findings in files (rel_path, language, content): text rules, structure without its twins among the flows, flows."""
     from quern.plans import report
 
-    flow = taint(files)
-    structure = structural(files)
+    flow, found = taint(files), parsed(files)
+    structure = structural(files, found)
     covered = flow.select("file", "line", "category").distinct()
-    kept = structure.join(covered, ["file", "line", "category"], "left_anti")
-    return report.text_findings(files).unionByName(kept.select(*flow.columns)).unionByName(flow)
+    rest = structure.join(covered, ["file", "line", "category"], "left_anti")
+    tests = source.exploded(found, "tests").select(F.col("rel_path").alias("file"), "start_line", "end_line")
+    return fd.reclassified(report.text_findings(files).unionByName(rest.select(*flow.columns)).unionByName(flow), tests).select(*flow.columns)
 
 
 def rule_rank(severity: Column) -> Column:
