@@ -53,11 +53,24 @@ def directives(lines: DataFrame, marker: str = DIRECTIVE) -> DataFrame:
     return at.filter("id != '' and reason != ''").select("file", "line_no", "id", "reason")
 
 
-def with_suppression(findings: DataFrame, found: DataFrame) -> DataFrame:
+def removed(findings: DataFrame) -> DataFrame:
+    """findings and removed: how many there are, and how many of them first_of_each leaves out."""
+    return findings.agg(F.count("rule").alias("findings"), (F.count("rule") - F.countDistinct(F.struct("rule", "file", "line"))).alias("removed"))
+
+
+def with_suppression(findings: DataFrame, found: DataFrame, legacy: dict[str, str] | None = None) -> DataFrame:
     """Findings with reason: of a directive (file, line_no, id, reason) on their line or else the line above, or null.
 
-    Directives are dealt to the two lines that they speak for, so the join is on equality.
+    Directives are dealt to the two lines that they speak for, and to the rules that had their id before (legacy: rule
+    to old id), so the join is on equality.
     """
+    olds: dict[str, list[str]] = {}
+    for rule, old in (legacy or {}).items():
+        olds.setdefault(old, []).append(rule)
+    if olds:
+        table = F.create_map(*[x for old, rules in olds.items() for x in (F.lit(old), F.array(*[F.lit(r) for r in rules]))])
+        ids = F.explode(F.concat(F.array("id"), F.coalesce(F.element_at(table, F.col("id")), F.array().cast("array<string>"))))
+        found = found.select("file", "line_no", ids.alias("id"), "reason")
     near = found.select("file", F.explode(F.array(F.struct(F.col("line_no").alias("line"), F.lit(0).alias("away")), F.struct((F.col("line_no") + 1).alias("line"), F.lit(1).alias("away")))).alias("t"), "id", "reason")
     near = near.select("file", F.col("t.line").alias("line"), F.col("id").alias("rule"), F.col("t.away").alias("away"), "reason")
     best = near.groupBy("file", "line", "rule").agg(F.min_by("reason", F.struct("away", "reason")).alias("reason"))
@@ -80,19 +93,39 @@ def ranked_functions(findings: DataFrame, k: int = TOP) -> DataFrame:
     return by.select("file", "function", score.alias("score"), "findings", "exposed").orderBy(F.desc("score"), "file", "function").limit(k)
 
 
+def baselined_by_rule(findings: DataFrame) -> DataFrame:
+    """rule, n and baselined: findings of each rule, and how many of them the baseline holds."""
+    return findings.groupBy("rule").agg(F.count("file").alias("n"), F.count_if("baselined").alias("baselined"))
+
+
 def by_rule(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule").agg(F.count("file").alias("findings")).orderBy("rule")
 
 
+#: Lines of a bucket in joins of lines with ranges.
+BUCKET = 256
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """ranges with _bucket: a row for each bucket of lines that a range (start_line, end_line) reaches into."""
+    return ranges.select("*", F.explode(F.expr(f"sequence(start_line div {BUCKET}, greatest(start_line, end_line) div {BUCKET})")).alias("_bucket"))
+
+
 def reclassified(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     """Production findings within a test range (file, start_line, end_line) become test findings."""
-    hit = findings.join(ranges, "file").filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("file", "line").distinct().withColumn("_in", F.lit(True))
+    near = findings.select("file", "line", F.expr(f"line div {BUCKET}").alias("_bucket")).distinct().join(_dealt(ranges), ["file", "_bucket"])
+    hit = near.filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("file", "line").distinct().withColumn("_in", F.lit(True))
     out = findings.join(hit, ["file", "line"], "left")
     return out.withColumn("context", F.when(F.col("_in") & (F.col("context") == "production"), "test").otherwise(F.col("context"))).drop("_in")
 
 
 def enclosing(points: DataFrame, ranges: DataFrame, *keys: str) -> DataFrame:
-    """points with name: of the innermost range (keys, name, start_line, end_line) around their line, or null."""
-    inner = points.join(ranges, list(keys)).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    """points with name: of the innermost range (keys, name, start_line, end_line) around their line, or null.
+
+    Lines and ranges meet by keys and bucket of lines, so a line meets only the ranges near it, and a large file is
+    dealt to as many tasks as it has buckets.
+    """
+    lines = points.select(*keys, "line", F.expr(f"line div {BUCKET}").alias("_bucket")).distinct()
+    inner = lines.join(_dealt(ranges), [*keys, "_bucket"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     best = inner.groupBy(*keys, "line").agg(F.max_by("name", F.struct("start_line", "name")).alias("name"))
     return points.join(best, [*keys, "line"], "left")

@@ -78,11 +78,15 @@ def masked(line: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else one(x, y) for x, y in zip(line, language)])
 
 
+def first_marker(line: Column, markers: tuple[str, ...] = MARKERS) -> Column:
+    """The first of the markers, in their order, that a line holds, or null."""
+    return F.coalesce(*[F.when(line.contains(m), F.lit(m)) for m in markers])
+
+
 def lint(files: DataFrame) -> DataFrame:
     """rel_path, line_no, col, severity, message, rule_id of marks and rules, in order; files has rel_path, language, content."""
     each = lines(files, "content", "rel_path", "language")
-    marker = F.coalesce(*[F.when(F.col("line").contains(m), F.lit(m)) for m in MARKERS])
-    marks = each.withColumn("m", marker).filter("m is not null").select("rel_path", "line_no", F.lit(1).alias("col"), F.lit("info").alias("severity"), F.concat("m", F.lit(" found in comment or code")).alias("message"), F.lower("m").alias("rule_id"))
+    marks = each.withColumn("m", first_marker(F.col("line"))).filter("m is not null").select("rel_path", "line_no", F.lit(1).alias("col"), F.lit("info").alias("severity"), F.concat("m", F.lit(" found in comment or code")).alias("message"), F.lower("m").alias("rule_id"))
     rules = files.sparkSession.createDataFrame(list(LINT), "language string, pattern string, message string, rule_id string")
     hits = each.withColumn("scan", masked("line", "language")).join(F.broadcast(rules), "language").withColumn("col", F.expr("locate(pattern, scan)")).filter("col > 0")
     return marks.unionByName(hits.select("rel_path", "line_no", "col", F.lit("warning").alias("severity"), "message", "rule_id")).orderBy("rel_path", "line_no", "col", "rule_id")
