@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = ("path", "line", "col", "severity", "message", "rule_id", "source")
@@ -59,3 +59,14 @@ def of_file(found: DataFrame, rel_path: str) -> DataFrame:
     """The rows of one file, whose path may be absolute or begin with a dot, in order."""
     p = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), r"^\./", "")
     return found.filter((p == rel_path) | p.endswith("/" + rel_path)).orderBy("line", "col", "source")
+
+
+def merged(*found: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of several checkers together, by line, column and source; at most so many of each file, if most is given."""
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    if most is not None:
+        w = Window.partitionBy("path").orderBy("line", "col", "source", "rule_id", "message")
+        out = out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    return out.orderBy("path", "line", "col", "source")

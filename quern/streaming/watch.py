@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +19,18 @@ def action(kind: Column, path: Column, restrictions: str = RESTRICTIONS) -> Colu
     return F.when(kind.isin("create", "remove", "rename"), "refresh").when((kind == "modify") & own, "refresh").when(kind == "modify", "invalidate").otherwise("ignore")
 
 
+def invalidated(cache: DataFrame, changes: DataFrame) -> DataFrame:
+    """The cache entries (root, tool, args: canonical JSON) that changes (root, path) touch: args hold the path, absolute or below the root.
+
+    Strings in args are pulled out once and meet the paths on equality.
+    """
+    held = F.regexp_extract_all("args", F.lit(r'"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1))
+    strings = cache.select("root", "tool", "args", F.explode(F.array_distinct(held)).alias("string"))
+    both = F.array(F.col("path"), F.when(F.col("path").startswith(F.concat("root", F.lit("/"))), F.expr("substring(path, length(root) + 2)")))
+    paths = changes.select("root", F.explode(F.array_compact(both)).alias("string")).distinct()
+    return strings.join(paths, ["root", "string"], "left_semi").select("root", "tool", "args").distinct()
+
+
 def _walk(times: list[int], armed: int | None, delay: int) -> tuple[list[tuple[int, int]], int | None, int]:
     """(first, number) of the refreshes that end within times, and the one still open: its first time and number."""
     out, count = [], 0
@@ -32,15 +45,34 @@ def _walk(times: list[int], armed: int | None, delay: int) -> tuple[list[tuple[i
 
 
 def debounced(events: DataFrame, key: str, time_ms: str, delay: int = DELAY_MS) -> DataFrame:
-    """key, first_ms and events: the first event arms a timer, those within delay of it join it (batch)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, armed, count = _walk(sorted(pdf[time_ms].tolist()), None, delay)
-        done += [] if armed is None else [(armed, count)]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(done), "first_ms": [d[0] for d in done], "events": [d[1] for d in done]})
+    """key, first_ms and events: the first event arms a timer, those within delay of it join it (batch).
 
+    A fold over the sorted rows of a partition, which holds one open refresh however many events a key has.
+    """
+    dealt = events.select(F.col(key), F.col(time_ms).cast("long").alias(time_ms)).filter(F.col(time_ms).isNotNull()).repartition(key).sortWithinPartitions(key, time_ms)
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, time_ms).groupBy(key).applyInPandas(run, f"{key} {kind}, first_ms long, events long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, armed, count, begun = None, None, 0, False
+        for batch in batches:
+            done: list[tuple] = []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if begun and (name != at or t >= armed + delay):
+                    done.append((at, armed, count))
+                    armed, count = t, 1
+                elif begun:
+                    count += 1
+                else:
+                    armed, count = t, 1
+                at, begun = name, True
+            yield rows(done, batch.schema.field(0).type)
+        if begun:
+            yield rows([(at, armed, count)], batch.schema.field(0).type)
+
+    def rows(done: list[tuple], type_: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({key: pa.array([d[0] for d in done], type_), "first_ms": pa.array([d[1] for d in done], pa.int64()), "events": pa.array([d[2] for d in done], pa.int64())})
+
+    return dealt.mapInArrow(run, f"{key} {kind}, first_ms long, events long")
 
 
 def debounced_stream(events: DataFrame, key: str, time_ms: str, delay: int = DELAY_MS) -> DataFrame:
