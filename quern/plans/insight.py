@@ -21,7 +21,14 @@ CLI = (("clap", "clap"), ("structopt", "structopt"), ("argparse", "argparse"), (
 HTTP = (
     ("actix_web", "actix-web"), ("actix-web", "actix-web"), ("axum", "axum"), ("warp", "warp"), ("rocket", "rocket"), ("fastapi", "fastapi"), ("flask", "flask"), ("django", "django"), ("express", "express"), ("fastify", "fastify"), ("springframework", "spring-boot"), ("spring-boot", "spring-boot"), ("quarkus", "quarkus"), ("hyper", "hyper"),
 )
+# Phrases of comments that tell what something is for, in order.
+PHRASES = ("use this", "useful for", "allows", "enables", "use when", "use it to", "can be used", "is used to", "provides", "supports")
+# Names that design patterns are told by.
+SINGLE, BUILT = ("instance", "get_instance", "singleton", "getInstance"), ("build", "finish")
+WATCHED, TOLD, KEPT, DROPPED = ("subscribe", "register"), ("notify", "emit", "publish", "dispatch"), ("save", "insert", "persist"), ("delete", "remove")
 MOST_USE_CASES = 8
+#: Most files and matches of a search for patterns, and most matches of its summary.
+MOST_FILES, MOST_MATCHES, MOST_SHOWN = 500, 2000, 100
 
 
 def patterns(found: DataFrame) -> DataFrame:
@@ -30,22 +37,28 @@ def patterns(found: DataFrame) -> DataFrame:
     count = lambda test: F.size(F.filter("functions", lambda f: test(f["name"])))
     line = lambda test: F.coalesce(F.get(F.filter("functions", lambda f: test(f["name"])), F.lit(0))["start_line"], F.lit(0))
     typed = lambda word: F.exists("types", lambda t: F.lower(t["name"]).contains(word))
-    single = lambda n: n.isin("instance", "get_instance", "singleton", "getInstance")
+    single = lambda n: n.isin(*SINGLE)
     maker = lambda n: n.startswith("create_") | n.startswith("make_") | n.startswith("new_")
     finder = lambda n: n.startswith("find_") | n.startswith("get_by")
     none = F.lit(0)
     rules: list[tuple[str, Column, Column]] = [
         ("Singleton", count(single) > 0, line(single)),
-        ("Builder", (count(lambda n: n.startswith("with_")) >= 2) & names("build", "finish"), line(lambda n: n.startswith("with_"))),
+        ("Builder", (count(lambda n: n.startswith("with_")) >= 2) & names(*BUILT), line(lambda n: n.startswith("with_"))),
         ("Factory", typed("factory") | (count(maker) >= 2), none),
-        ("Observer", names("subscribe", "register") & names("notify", "emit", "publish", "dispatch"), none),
-        ("Repository", (count(finder) >= 1) & names("save", "insert", "persist") & names("delete", "remove"), none),
+        ("Observer", names(*WATCHED) & names(*TOLD), none),
+        ("Repository", (count(finder) >= 1) & names(*KEPT) & names(*DROPPED), none),
         ("Strategy", typed("strategy"), F.coalesce(F.get(F.filter("types", lambda t: F.lower(t["name"]).contains("strategy")), none)["start_line"], none)),
     ]
     each = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(k).alias("pattern"), at.cast("int").alias("line"))) for k, test, at in rules]))
     return found.select("rel_path", F.explode(each).alias("p")).select(F.col("p.pattern").alias("pattern"), F.col("rel_path").alias("file"), F.col("p.line").alias("line"))
 
 
+def sorted_patterns(matches: DataFrame, by: str = "pattern", most: int = MOST_MATCHES, summary: bool = False) -> DataFrame:
+    """The first matches by pattern, file or line, then by the others; most of them at most, and fewer in a summary."""
+    order = {"pattern": ("pattern", "file", "line"), "file": ("file", "line", "pattern"), "line": ("line", "file", "pattern")}[by]
+    return matches.orderBy(*order).limit(min(most, MOST_MATCHES, MOST_SHOWN if summary else MOST_MATCHES))
+
+
 def pattern_counts(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return matches.groupBy("pattern").count(), matches.groupBy("file").count()
 
@@ -66,13 +79,27 @@ def entrypoints(found: DataFrame) -> DataFrame:
     return out
 
 
+def verb_groups(functions: DataFrame, name: str, prefixes: tuple[str, ...], *order: str, least: int = 2) -> DataFrame:
+    """place (of the first prefix that a name begins with) and names, in order, of the groups of two or more."""
+    place = F.coalesce(*[F.when(F.col(name).startswith(p), F.lit(k)) for k, p in enumerate(prefixes)])
+    each = functions.withColumn("place", place).filter("place is not null")
+    names = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(name).alias("_name")))), lambda x: x["_name"])
+    return each.groupBy("place").agg(names.alias("names")).filter(F.size("names") >= least)
+
+
 def use_cases(found: DataFrame) -> DataFrame:
-    """title, functions and confidence of the groups of two or more public functions that begin with the same verb."""
+    """title, description, functions and confidence: what comments say that public functions are for (high), then groups of two or more that begin with the same verb (medium)."""
     f = source.exploded(found, "functions").filter("is_public")
-    place = F.coalesce(*[F.when(F.col("name").startswith(p), F.lit(k)) for k, (p, _) in enumerate(VERBS)])
+    line = F.array_compact(F.transform(F.split("doc", "\n"), lambda x: F.when(F.regexp_like(x, F.lit("(?i)" + "|".join(PHRASES))), x)))
+    said = F.trim(F.regexp_replace(F.trim(F.get(line, F.lit(0))), r"^(?:///|//|#)+", ""))
+    high = f.withColumn("description", said).filter(F.octet_length("description") > 10)
+    high = high.groupBy("name").agg(F.min_by("description", F.struct("rel_path", "start_line")).alias("description"), F.min(F.struct("rel_path", "start_line")).alias("first"))
+    out = high.select(F.lit(0).alias("rank"), "first", F.lit(0).alias("place"), F.concat(F.lit("Using `"), "name", F.lit("`")).alias("title"), "description", F.array("name").alias("functions"), F.lit("high").alias("confidence"))
     label = F.element_at(F.array(*[F.lit(v) for _, v in VERBS]), F.col("place") + 1)
-    by = f.withColumn("place", place).filter("place is not null").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("rel_path", "start_line", "name"))).alias("fs")).filter(F.size("fs") >= 2)
-    return by.orderBy("place").limit(MOST_USE_CASES).select(F.concat(label, F.lit(" data")).alias("title"), F.transform("fs", lambda x: x["name"]).alias("functions"), F.lit("medium").alias("confidence"))
+    by = verb_groups(f, "name", tuple(p for p, _ in VERBS), "rel_path", "start_line")
+    nothing = F.lit(None).cast("struct<rel_path:string,start_line:int>").alias("first")
+    out = out.unionByName(by.select(F.lit(1).alias("rank"), nothing, "place", F.concat(label, F.lit(" data")).alias("title"), F.concat(label, F.lit(" data through "), F.size("names").cast("string"), F.lit(" functions")).alias("description"), F.col("names").alias("functions"), F.lit("medium").alias("confidence")))
+    return out.orderBy("rank", "first", "place").limit(MOST_USE_CASES).select("title", "description", "functions", "confidence")
 
 
 def outline(found: DataFrame, rel_path: str, public_only: bool = False) -> DataFrame:
@@ -96,6 +123,18 @@ def structure(files: DataFrame, depth: int = 2, most: int = 8) -> DataFrame:
     return by.filter((F.col("d") <= depth) & (F.col("n") <= most)).select("folder", F.col("d").alias("depth"), "files", "folders", "restricted", "more").orderBy("folder")
 
 
+def tool_counts(calls: DataFrame, tool: str) -> DataFrame:
+    """tool and calls, the most called first."""
+    return calls.groupBy(F.col(tool).alias("tool")).agg(F.count(F.lit(1)).alias("calls")).orderBy(F.desc("calls"), "tool")
+
+
+def folder_counts(paths: DataFrame, path: str) -> DataFrame:
+    """prefix and files: how many paths lie below each folder, at any depth."""
+    p = paths.select(F.split(path, "/").alias("p")).filter(F.size("p") > 1)
+    each = p.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", F.lit(1), k), "/"))).alias("prefix"))
+    return each.groupBy("prefix").agg(F.count("prefix").alias("files"))
+
+
 def page(files: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of files, shallow ones first, and whether more follow."""
     rows = files.withColumn("depth", F.size(F.split("rel_path", "/"))).orderBy("depth", "rel_path").offset(offset).limit(limit + 1)
@@ -110,20 +149,30 @@ def languages(found: DataFrame) -> DataFrame:
 
 
 LABELS = {
-    "en": {"title": "Project documentation", "languages": "Languages", "entry": "Entry points", "uses": "Use cases", "api": "Public interface"},
-    "es": {"title": "Documentación del proyecto", "languages": "Lenguajes", "entry": "Puntos de entrada", "uses": "Casos de uso", "api": "Interfaz pública"},
-    "ca": {"title": "Documentació del projecte", "languages": "Llenguatges", "entry": "Punts d'entrada", "uses": "Casos d'ús", "api": "Interfície pública"},
+    "en": {"title": "Project documentation", "languages": "Languages", "entry": "Entry points", "uses": "Use cases", "api": "Public interface", "usage": "Usage", "main_function": "Run the program", "cli_framework": "Call it from the command line", "http_framework": "Start the server", "library": "Use it as a library"},
+    "es": {"title": "Documentación del proyecto", "languages": "Lenguajes", "entry": "Puntos de entrada", "uses": "Casos de uso", "api": "Interfaz pública", "usage": "Uso", "main_function": "Ejecutar el programa", "cli_framework": "Usarlo desde la línea de órdenes", "http_framework": "Iniciar el servidor", "library": "Usarlo como biblioteca"},
+    "ca": {"title": "Documentació del projecte", "languages": "Llenguatges", "entry": "Punts d'entrada", "uses": "Casos d'ús", "api": "Interfície pública", "usage": "Ús", "main_function": "Executar el programa", "cli_framework": "Fer-lo servir des de la línia d'ordres", "http_framework": "Iniciar el servidor", "library": "Fer-lo servir com a biblioteca"},
 }
 API_ENTRIES, MOST_BYTES = 30, 2 * 1024 * 1024
 
 
+def usage(found: DataFrame) -> DataFrame:
+    """kind and entries (file or library, in order) of each kind of entry point."""
+    kind = F.substring_index("kind", ":", 1)
+    what = F.when(F.col("kind").contains(":"), F.substring_index("kind", ":", -1)).otherwise(F.col("file"))
+    return entrypoints(found).select(kind.alias("kind"), what.alias("entry")).groupBy("kind").agg(F.array_sort(F.collect_set("entry")).alias("entries")).orderBy("kind")
+
+
 def documents(found: DataFrame, language: str = "en") -> str:
     """Documentation of a tree as Markdown, in one of three languages; the interface is listed up to API_ENTRIES."""
     t = LABELS.get(language, LABELS["en"])
     out = [f"# {t['title']}", "", f"## {t['languages']}", ""]
     out += [f"- {r['language']}: {r['files']} ({r['public_functions']} / {r['public_types']})" for r in languages(found).orderBy(F.desc("files"), "language").collect()]
     out += ["", f"## {t['entry']}", ""] + [f"- {r['kind']} `{r['file']}` {r['signature'] or ''}".rstrip() for r in entrypoints(found).orderBy("kind", "file").collect()]
-    out += ["", f"## {t['uses']}", ""] + [f"- {r['title']} ({r['confidence']}): `{'`, `'.join(r['functions'][:3])}`" for r in use_cases(found).collect()]
+    out += ["", f"## {t['usage']}", ""]
+    for r in usage(found).collect():  # a row for each kind of entry
+        out += [f"### {t.get(r['kind'], r['kind'])}", "", *[f"- `{x}`" for x in r["entries"]], ""]
+    out += ["", f"## {t['uses']}", ""] + [f"- {r['title']} ({r['confidence']}): {r['description']}: `{'`, `'.join(r['functions'][:3])}`" for r in use_cases(found).collect()]
     api = source.exploded(found, "functions").filter("is_public").orderBy("rel_path", "start_line").limit(API_ENTRIES)
     out += ["", f"## {t['api']}", ""] + [f"- `{r['signature']}` — `{r['rel_path']}:{r['start_line']}`" for r in api.select("signature", "rel_path", "start_line").collect()]
     return ("\n".join(out) + "\n").encode()[:MOST_BYTES].decode(errors="ignore")
@@ -131,7 +180,11 @@ def documents(found: DataFrame, language: str = "en") -> str:
 
 def component_triads(files: DataFrame) -> DataFrame:
     """ts_file, selector, template and styles of decorated components, their paths resolved next to the file."""
-    c = files.filter(F.col("rel_path").endswith(".ts") & F.col("content").contains("@Component")).withColumn("d", F.regexp_extract("content", r"(?s)@Component\s*\(\s*\{(.*?)\}\s*\)", 1))
+    body = r"(?:[^(){}\"'`]|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|%s)*+"
+    nested = r"[({](?:[^(){}\"'`]|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)*+[)}]"
+    for _ in range(3):  # brackets within brackets, four deep
+        nested = r"[({]" + body % nested + r"[)}]"
+    c = files.filter(F.col("rel_path").endswith(".ts") & F.col("content").contains("@Component")).withColumn("d", F.regexp_extract("content", r"(?s)@Component\s*\((" + body % nested + r")\)", 1))
     folder = F.regexp_extract("rel_path", r"^(.*/)?[^/]*$", 1)
     next_to = lambda p: normal_path(F.concat(folder, p))
     template = F.nullif(F.regexp_extract("d", r"templateUrl\s*:\s*['\"`]([^'\"`]+)['\"`]", 1), F.lit(""))

@@ -14,8 +14,9 @@ from quern.functions import redact
 from quern.functions.text import backoff_ms, context_of, escalated, namespace, normal_path
 from quern.operators import findings as fd
 from quern.operators import graph, lines, markov, markup
+from quern.plans import cases, insight, rules
 from quern.sources.files import lines as explode_lines
-from quern.sources.files import restriction
+from quern.sources.files import in_scope, restriction
 from quern.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,18 @@ def secret_detection(spark, d):
     return carrier(spark, d).select(F.explode(redact.detected(F.col("text"))).alias("x")).groupBy(F.col("x.label").alias("label")).agg(F.count("x").alias("n"))
 
 
+@q("SELECT c_custkey, 3 AS fired, 4 AS detected FROM customer")  # an address, two assigned secrets and a host name, of three kinds
+def redact_sequence_vs_detect(spark, d):
+    text = F.col("text")
+    return carrier(spark, d).select("c_custkey", F.size(redact.fired(text)).alias("fired"), F.size(redact.detected(text)).alias("detected"))
+
+
+@q(f"SELECT doc_id, line_no, array_to_string(list_filter(regexp_extract_all(line, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}'), lambda x: x NOT IN ('127.0.0.1', '0.0.0.0')), ',') AS addresses FROM {LINES} WHERE len(list_filter(regexp_extract_all(line, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}'), lambda x: x NOT IN ('127.0.0.1', '0.0.0.0'))) > 0")
+def public_ip_lines(spark, d):
+    out = _doc_lines(spark, d).withColumn("found", redact.addresses(F.col("line"))).filter("size(found) > 0")
+    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.array_join("found", ",").alias("addresses"))
+
+
 def _stages() -> str:
     at, out = "text", []
     for k, p in _SECRETS:
@@ -127,7 +140,7 @@ def json_props_redact(spark, d):
 
 @q(f"SELECT doc_id, line_no, marker FROM (SELECT doc_id, line_no, CASE WHEN contains(line, 'License') THEN 'License' WHEN contains(line, 'token') THEN 'token' WHEN contains(line, '|') THEN '|' END AS marker FROM {LINES}) WHERE marker IS NOT NULL")
 def first_marker_lines(spark, d):
-    marker = F.coalesce(*[F.when(F.col("line").contains(m), F.lit(m)) for m in ("License", "token", "|")])
+    marker = lines.first_marker(F.col("line"), ("License", "token", "|"))
     return _doc_lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), marker.alias("marker")).filter("marker is not null")
 
 
@@ -165,9 +178,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 @q(f"SELECT prefix, count(*) AS files FROM (SELECT unnest([array_to_string(p[1:k], '/') for k in range(1, len(p))]) AS prefix FROM (SELECT string_split({_PATH}, '/') AS p FROM pages)) GROUP BY prefix")
 def url_tree_rollup(spark, d):
-    p = _paths(spark, d).withColumn("p", F.split("path", "/")).filter(F.size("p") > 1)
-    each = p.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", F.lit(1), k), "/"))).alias("prefix"))
-    return each.groupBy("prefix").agg(F.count("prefix").alias("files"))
+    return insight.folder_counts(_paths(spark, d), "path")
 
 
 _RESTRICT = ["# languages", "fr", "/m.ththth.example.net", "*2?"]
@@ -180,8 +191,8 @@ def url_glob_restrict(spark, d):
 
 @q(f"SELECT page_id, len(string_split({_PATH}, '/')) AS depth FROM pages WHERE contains({_PATH}, '/en/') ORDER BY depth, {_PATH}, page_id LIMIT 20 OFFSET 10")
 def scope_filter_page(spark, d):
-    p = _paths(spark, d).filter(F.col("path").contains("/en/")).withColumn("depth", F.size(F.split("path", "/")))
-    return p.orderBy("depth", "path", "page_id").offset(10).limit(20).select("page_id", F.col("depth").cast("long").alias("depth"))
+    p = _paths(spark, d).filter(in_scope(F.col("path"), "/en/")).select("page_id", F.concat("path", F.lit("#"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("rel_path"))
+    return insight.page(p, 10, 20).select("page_id", F.col("depth").cast("long").alias("depth"))
 
 
 @q(f"SELECT page_id, split_part({_PATH}, '/', 1) AS host FROM pages")
@@ -224,7 +235,7 @@ def findings_stable_id(spark, d):
 def findings_baseline_split(spark, d):
     f = fd.with_stable_ids(_findings(spark, d).drop("baselined"), "event_id")
     out = fd.with_baseline(f, f.filter("event_id % 2 = 0").select("stable_id"))
-    return out.groupBy("rule").agg(F.count("file").alias("n"), F.count_if("baselined").alias("baselined"))
+    return fd.baselined_by_rule(out)
 
 
 @q("""WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag AS category FROM lineitem WHERE l_quantity > 10), b AS (SELECT l_orderkey, l_linenumber, l_returnflag AS category FROM lineitem WHERE l_discount > 0.05)
@@ -347,8 +358,9 @@ _PREFIX = ("CASE " + " ".join(f"WHEN starts_with(p_name, '{x}') THEN '{x}'" for
 
 @q(f"SELECT prefix, count(*) AS n FROM (SELECT {_PREFIX} AS prefix FROM part) WHERE prefix IS NOT NULL GROUP BY prefix HAVING count(*) >= 2")
 def verb_prefix_groups(spark, d):
-    prefix = F.coalesce(*[F.when(F.col("p_name").startswith(x), F.lit(x)) for x in ("part", "p", "a", "s")])
-    return t(spark, d, "part").select(prefix.alias("prefix")).filter("prefix is not null").groupBy("prefix").agg(F.count("prefix").alias("n")).filter("n >= 2")
+    prefixes = ("part", "p", "a", "s")
+    got = insight.verb_groups(t(spark, d, "part"), "p_name", prefixes, "p_partkey")
+    return got.select(F.element_at(F.array(*map(F.lit, prefixes)), F.col("place") + 1).alias("prefix"), F.size("names").cast("long").alias("n"))
 
 
 @q("WITH x AS (SELECT lag(event_type, 2) OVER w AS parent, lag(event_type) OVER w AS current, event_type AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT parent, current, next, count(*) AS cnt FROM x WHERE parent IS NOT NULL GROUP BY ALL")
@@ -388,13 +400,13 @@ def logical_line_join(spark, d):
 
 @q("SELECT c_custkey, u.n_name FROM customer JOIN (SELECT n_nationkey % 20 AS k, min(n_name) AS n_name FROM nation GROUP BY n_nationkey % 20 HAVING count(*) = 1) u ON u.k = c_nationkey")
 def unique_name_only_join(spark, d):
-    n = t(spark, d, "nation").groupBy(F.expr("n_nationkey % 20").alias("k")).agg(F.min("n_name").alias("n_name"), F.count("n_name").alias("c")).filter("c = 1")
+    n = rules.unambiguous(t(spark, d, "nation").select(F.expr("n_nationkey % 20").alias("k"), "n_name"), "k")
     return t(spark, d, "customer").join(n, F.expr("c_nationkey = k")).select("c_custkey", "n_name")
 
 
 @q("SELECT event_type AS tool, count(*) AS calls FROM events GROUP BY event_type")
 def tool_counts(spark, d):
-    return t(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("event_id").alias("calls")).orderBy(F.desc("calls"), "tool")
+    return insight.tool_counts(t(spark, d, "events"), "event_type")
 
 
 @q(r"""SELECT event_id, CASE WHEN k = 'refresh' OR (k = 'modify' AND event_id % 10 = 0) THEN 'refresh' WHEN k = 'modify' THEN 'invalidate' ELSE 'ignore' END AS action FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'modify' WHEN 1 THEN 'refresh' WHEN 2 THEN 'refresh' WHEN 3 THEN 'refresh' ELSE 'access' END AS k FROM events)""")
@@ -403,7 +415,9 @@ def event_actions(spark, d):
     return e.select("event_id", watch.action(F.col("kind"), F.col("path")).alias("action"))
 
 
-@q()
+@q("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts::TIMESTAMP) // 1000 AS ms FROM events),
+arm AS (SELECT user_id, min(ms) AS first_ms FROM e GROUP BY user_id UNION ALL SELECT e.user_id, min(e.ms) FROM arm JOIN e ON e.user_id = arm.user_id AND e.ms >= arm.first_ms + 3600000 GROUP BY e.user_id)
+SELECT arm.user_id, arm.first_ms, count(*) AS events FROM arm JOIN e ON e.user_id = arm.user_id AND e.ms >= arm.first_ms AND e.ms < arm.first_ms + 3600000 GROUP BY arm.user_id, arm.first_ms""")
 def event_debounce(spark, d):
     e = t(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return watch.debounced(e, "user_id", "ms", 3_600_000)
@@ -423,3 +437,7 @@ def severity_escalation(spark, d):
 def path_contexts(spark, d):
     path = F.expr("CASE page_id % 5 WHEN 0 THEN 'x/tests/fixtures/a.md' WHEN 1 THEN 'tests/readme.md' WHEN 2 THEN 'tests/a.py' WHEN 3 THEN 'src/a_test.go' ELSE 'src/' || page_id || '.py' END")
     return t(spark, d, "pages").groupBy(context_of(path).alias("context")).agg(F.count("page_id").alias("n"))
+
+
+QUERIES.update(cases.QUERIES)
+SQL.update(cases.SQL)
