@@ -439,8 +439,8 @@ class Encoder:
         n = len(self.known)
         if len(self.sizes) > n:
             letters = int(self.sizes[:n].sum())
-            self.codes, self.pairs = self.codes[:letters].copy(), self.pairs[:letters].copy()
-            self.sizes, self.lens, self.counts, self.keys, self.uses = (x[:n].copy() for x in (self.sizes, self.lens, self.counts, self.keys, self.uses))
+            self.codes, self.pairs = self.codes[:letters], self.pairs[:letters]
+            self.sizes, self.lens, self.counts, self.keys, self.uses = (x[:n] for x in (self.sizes, self.lens, self.counts, self.keys, self.uses))
 
     def cut(self, texts: pa.Array) -> list[np.ndarray]:
         """The numbers of the units of each text; texts with runs of spaces are cut one by one, the others by Arrow at once."""
