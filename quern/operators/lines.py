@@ -110,15 +110,16 @@ def infra(files: DataFrame) -> DataFrame:
     every = docker.unionByName(each.filter("target != 'dockerfile' and not startswith(ltrim(line), '#')").select("rel_path", "target", "line_no", "line"))
     stage = F.lower(F.regexp_extract("line", r"(?i)^\s*FROM\s+.*\s+AS\s+(\S+)", 1))
     every = every.withColumn("stages", F.collect_set(F.nullif(stage, F.lit(""))).over(Window.partitionBy("rel_path")))
-    out = None
+    hits = []
     for rule, cwe, category, severity, targets, pattern in INFRA:
-        hit = every.filter(F.col("target").isin(*targets) & F.regexp_like("line", F.lit(pattern)))
+        hit = F.col("target").isin(*targets) & F.regexp_like("line", F.lit(pattern))
         if rule == "docker-unpinned-base-image":
-            image, tag = (F.regexp_extract("line", pattern, k) for k in (2, 3))
-            hit = hit.filter((F.lower(image) != "scratch") & ~F.array_contains("stages", F.lower(image)) & ~image.contains("$") & F.lower(tag).isin("", ":latest"))
-        hit = hit.select(F.col("rel_path").alias("file"), F.col("line_no").alias("line"), F.lit(rule).alias("rule"), F.lit(cwe).alias("cwe"), F.lit(category).alias("category"), F.lit(severity).alias("severity"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.orderBy("file", "line", "rule")
+            image, tag = (F.lower(F.regexp_extract("line", pattern, k)) for k in (2, 3))
+            hit = hit & (image != "scratch") & ~F.array_contains("stages", image) & ~image.contains("$") & tag.isin("", ":latest")
+        named = ((rule, "rule"), (cwe, "cwe"), (category, "category"), (severity, "severity"))
+        hits.append(F.when(hit, F.struct(*[F.lit(v).alias(n) for v, n in named])))
+    found = every.select(F.col("rel_path").alias("file"), F.col("line_no").alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("r"))
+    return found.select("file", "line", "r.*").orderBy("file", "line", "rule")
 
 
 def secret_findings(files: DataFrame) -> DataFrame:

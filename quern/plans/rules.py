@@ -411,7 +411,7 @@ def audit(files: DataFrame) -> DataFrame:
     """All findings in files (rel_path, language, content): text rules, structure without its twins among the flows, flows."""
     from quern.plans import report
 
-    flow, found = taint(files), parsed(files)
+    flow, found = kept(taint(files)), parsed(files)
     structure = structural(files, found)
     covered = flow.select("file", "line", "category").distinct()
     rest = structure.join(covered, ["file", "line", "category"], "left_anti")
