@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_rows, map_whole, mix64
+from quern.llm.common import map_rows, map_whole, mix64, returned
 
 #: Labelled rows of a language that training and calibration take, about; rows in all at most.
 PER_LANGUAGE, ROWS = 900, 6000
@@ -225,4 +225,6 @@ def held_out(doc_id: Column) -> Column:
 
 def fitted(docs: DataFrame) -> Model:
     """A model from the rows of docs that are not held out."""
-    return train(sample(docs.filter(~held_out(F.col("doc_id"))), F.col("doc_id"), F.col("text"), F.col("lang")))
+    model = train(sample(docs.filter(~held_out(F.col("doc_id"))), F.col("doc_id"), F.col("text"), F.col("lang")))
+    returned()  # what the sample and the training took on the driver
+    return model
