@@ -535,7 +535,10 @@ class Encoder:
 
 
 def encoded(docs: DataFrame, key: Column, path: str | None = None, rate: float = RATE, seed: int = SEED, checked: bool = True) -> DataFrame:
-    """docs without text, with ids, n_tokens and, if checked, ids_crc32 and the sha256 of the text decoded from the ids."""
+    """docs without text, with ids, n_tokens and, if checked, ids_crc32 and the sha256 of the text decoded from the ids.
+
+    A column of docs that has the name of one of these gives way to it; all other columns stay as they are.
+    """
     path = path or default_model()
     rest = [c for c in docs.columns if c != "text"]
     doc = F.when(key.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(seed), key))
