@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import htmltext, langid, media, mixing, neardup, pieces, pii, secrets, tokenfile, topk
+from quern.llm import htmltext, langid, media, mixing, neardup, pieces, pii, secrets, tokenfile, topk, vectorcodes
 from quern.llm.common import table
 
 
@@ -54,5 +54,9 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op2_htmltext": op2_htmltext, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup}
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(), "op5_topk": topk.ORACLE}
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op2_htmltext": op2_htmltext, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup, "op11_vectorcodes": op11_vectorcodes}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(), "op5_topk": topk.ORACLE, "op11_vectorcodes": vectorcodes.oracle()}
