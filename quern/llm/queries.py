@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import htmltext, langid, linededup, media, mixing, neardup, pieces, pii, secrets, tokenfile, topk, vectorcodes
+from quern.llm import collocations, htmltext, langid, linededup, media, mixing, neardup, pieces, pii, secrets, tokenfile, topk, vectorcodes
 from quern.llm.common import table
 
 
@@ -63,5 +63,9 @@ def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op2_htmltext": op2_htmltext, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup, "op11_vectorcodes": op11_vectorcodes, "op12_linededup": op12_linededup}
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(), "op5_topk": topk.ORACLE, "op11_vectorcodes": vectorcodes.oracle(), "op12_linededup": linededup.ORACLE}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_langid": op1_langid, "op2_htmltext": op2_htmltext, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_topk": op5_topk, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_sentencepiece": op8_sentencepiece, "op9_secrets": op9_secrets, "op10_neardup": op10_neardup, "op11_vectorcodes": op11_vectorcodes, "op12_linededup": op12_linededup, "op13_collocations": op13_collocations}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(), "op5_topk": topk.ORACLE, "op11_vectorcodes": vectorcodes.oracle(), "op12_linededup": linededup.ORACLE, "op13_collocations": collocations.oracle()}
