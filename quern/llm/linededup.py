@@ -45,16 +45,22 @@ class Runs:
     def _run(self, rows: DataFrame) -> str:
         self.count += 1
         name = f"{self.name}_{self.count}"
-        at = f"{shared_dir(self.spark).rstrip('/')}/{name}"
-        rows.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", at).saveAsTable(name)
+        rows.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", self._at(name)).saveAsTable(name)
         return name
 
-    def add(self, rows: DataFrame) -> DataFrame:
-        """h and top (its largest doc_id) of the hashes in rows (h, doc_id) that no run holds yet; rows become a run."""
+    def _at(self, name: str) -> str:
+        return f"{shared_dir(self.spark).rstrip('/')}/{name}"
+
+    def read(self, names: list[str]) -> DataFrame:
+        """The rows of several runs. Their files are read without their buckets, as a union of tables in buckets may be taken for one."""
+        return self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*map(self._at, names))
+
+    def add(self, rows: DataFrame) -> str:
+        """The name of a run with h and top (its largest doc_id) of the hashes in rows (h, doc_id) that no run holds yet; rows become a run."""
         own = self.spark.table(table := self._run(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))))
         for run in [r for level in self.levels for r in level]:
             own = own.join(self.spark.table(run).select("h").hint("merge"), "h", "left_anti")
-        fresh = self.spark.table(self._run(own.select("h", "top")))
+        fresh = self._run(own.select("h", "top"))
         self.levels = self.levels or [[]]
         self.levels[0].append(table)
         self._compact()
@@ -72,10 +78,7 @@ class Runs:
     def merged(self, runs: list[str] | None = None) -> DataFrame:
         """h and n over all runs, or those given."""
         runs = [r for level in self.levels for r in level] if runs is None else runs
-        rows = self.spark.table(runs[0]).select("h", "n")
-        for r in runs[1:]:
-            rows = rows.unionByName(self.spark.table(r).select("h", "n"))
-        return rows.groupBy("h").agg(F.sum("n").alias("n"))
+        return self.read(runs).select("h", "n").groupBy("h").agg(F.sum("n").alias("n"))
 
     def drop(self) -> None:
         """Takes the runs' names out of the catalogue; their files lie in the shared folder like those of other steps."""
@@ -105,10 +108,7 @@ def repeated(facts: DataFrame, documents: int = DOCUMENTS, batches: int = BATCHE
             these = these & (F.col("doc_id") <= cuts[k - 1])
         tops.append(runs.add(facts.filter(these).select("h", "doc_id")))
     often = runs.merged().filter(F.col("n") >= documents)
-    first = tops[0]
-    for t in tops[1:]:
-        first = first.unionByName(t)  # each hash is in one of them
-    out = written(often.join(first, "h"), "repeated-lines")
+    out = written(often.join(runs.read(tops), "h"), "repeated-lines")  # each hash is in one of tops
     runs.drop()
     return out
 
