@@ -3,10 +3,10 @@
 1. Texts are cut into pieces at punctuation and line ends, pieces into words; all contiguous sequences of 1 to MAX_WORDS
    words become rows of language, phrase and count, added up within a slice of text first and then by Spark's hash
    aggregation, which adds up within a task before it shuffles. So a word of a third of all rows is no hot key.
-2. Most sequences occur once or twice, and their rows would be several times the text. A first pass therefore counts
-   the hashes of all sequences in a table of fixed size, summed over the tasks; a sequence whose cell stays below the
-   minimum cannot reach it, and makes no row. Cells are shared, so this never loses a sequence: the second pass counts
-   the others exactly, by their words. The size of the table changes the number of rows only, not the result; it rises
+2. Most sequences of two words or more occur once or twice, and their rows would be several times the text. A first
+   pass therefore counts the hashes of all of them in a table of fixed size, summed over the tasks; a sequence whose
+   cell stays below the minimum cannot reach it, and makes no row. Cells are shared, so this never loses a sequence: the
+   second pass counts the others exactly, by their words, and all single words. The size of the table changes the number of rows only, not the result; it rises
    with the number of documents up to MOST_CELLS, whose bits (2 MB) are all that is broadcast.
 3. Each way to cut a candidate into a first part and a rest is a row; joins give the counts of both (they occur at
    least as often as the candidate, so they are in the table). Scores are exact in Decimal.
@@ -59,16 +59,15 @@ class Words:
         self.bytes = buf
 
     def sequences(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For n from 1 to most: n, where sequences of n words begin, and their hashes (with the language)."""
+        """For n from 2 to most: n, where sequences of n words begin, and their hashes (with the language)."""
         seed = np.array([zlib.crc32(n.encode()) for n in self.names], dtype=np.uint64)
         with np.errstate(over="ignore"):
             h = mix64(self.hashes ^ (seed[self.lang] * np.uint64(0x9E3779B97F4A7C15)))
             at = np.arange(len(h))
-            for n in range(1, most + 1):
-                if n > 1:
-                    on = self.left[at] >= n
-                    at, h = at[on], h[on]
-                    h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + self.hashes[at + n - 1])
+            for n in range(2, most + 1):
+                on = self.left[at] >= n
+                at, h = at[on], h[on]
+                h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + self.hashes[at + n - 1])
                 yield n, at, h
 
     def strings(self) -> pa.Array:
@@ -120,10 +119,7 @@ def frequent_cells(docs: DataFrame, least: int, most: int, cells: int) -> np.nda
 
 
 def counted(docs: DataFrame, least: int = MIN_COUNT, most: int = MAX_WORDS, cells: int | None = None) -> DataFrame:
-    """lang, words, phrase and f of all sequences of 1 to most words that occur least times in a language.
-
-    A row of 0 words for each language has the number of all its word occurrences.
-    """
+    """lang, words, phrase and f of all single words, and of all sequences of 2 to most words that occur least times in a language."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     if cells is None:
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_A_DOCUMENT * docs.count()).bit_length()))
@@ -139,22 +135,22 @@ def counted(docs: DataFrame, least: int = MIN_COUNT, most: int = MAX_WORDS, cell
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = _texts(part)
-            strings, may = words.strings(), np.zeros(0, dtype=bool)
-            yield from rows(words, 0, words.lang, pa.array([""] * len(strings), pa.string()))
+            strings = words.strings()
+            may = np.ones(len(strings), dtype=bool)
+            yield from rows(words, 1, words.lang, strings)
             for n, at, h in words.sequences(most):
                 cell = h >> shift
                 fine = (shared.value[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
-                if n > 1:  # so must be the sequences without the last and without the first word
-                    fine &= may[at] & may[at + 1]
+                fine &= may[at] & may[at + 1]  # so must be the sequences without the last and without the first word
                 on, may = at[fine], np.zeros(len(strings), dtype=bool)
                 may[on] = True
                 if len(on):
-                    phrase = strings.take(pa.array(on)) if n == 1 else pc.binary_join_element_wise(*(strings.take(pa.array(on + k)) for k in range(n)), " ")
+                    phrase = pc.binary_join_element_wise(*(strings.take(pa.array(on + k)) for k in range(n)), " ")
                     yield from rows(words, n, words.lang[on], phrase)
         returned()
 
     found = arrow(docs, run, "lang string, words int, phrase string, c long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
+    return found.groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 1))
 
 
 def collocations(docs: DataFrame, least: int = MIN_COUNT, most: int = MAX_WORDS, top: int = TOP, percent: int = 100, cells: int | None = None) -> DataFrame:
@@ -164,8 +160,8 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, most: int = MAX_WORDS,
     """
     whole = written(counted(docs, least, most, cells), "sequences")
     key = F.concat(F.length("lang").cast("string"), F.lit(":"), F.col("lang"), F.col("phrase"))
-    known = whole.filter("words > 0").withColumn("key", key)
-    size = whole.filter("words = 0").select("lang", F.col("f").alias("n"))  # a row for each language
+    known = whole.filter(F.col("f") >= least).withColumn("key", key)
+    size = whole.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))  # a row for each language
     phrases = known.filter("words > 1")
     part = F.split("phrase", " ")
 
