@@ -240,8 +240,8 @@ _PIECES = rf"^{_SPACE}{_SOLID}{_SPACE}|{_SOLID}{_SPACE}"
 
 
 def _named(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with their TIES; of rows alike in every column, one (they are told apart by what is joined to them)."""
-    named = docs.select("*", *_ties(docs))
+    """The rows of docs as one column `row` with their TIES, so that no name of theirs clashes; of rows alike, one (they are told apart by what is joined to them)."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_ties(docs))
     if rows.groupBy(*TIES).count().filter("count > 1").limit(1).count():
         named = named.dropDuplicates(list(TIES))
     return named
@@ -254,7 +254,7 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Dat
     those of its documents in order, with one space between words.
     """
     rows, sums, _ = sizes(docs, *_ties(docs))
-    texts = _named(docs, rows).select(*TIES, F.regexp_extract_all("text", F.lit(_SOLID), F.lit(0)).alias("pieces"))
+    texts = _named(docs, rows).select(*TIES, F.regexp_extract_all(F.col("row")["text"], F.lit(_SOLID), F.lit(0)).alias("pieces"))
     part = F.expr("slice(pieces, cast(from_word + 1 as int), cast(to_word - from_word as int))")
     parts = in_blocks(packed(rows, sums, *TIES), block, "source", *TIES).join(texts.hint("merge"), list(TIES)).select("src", "source", "block_no", "off", part.alias("part"))
     whole = parts.groupBy("src", "source", "block_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("off", "part"))), lambda x: x["part"])).alias("words_of"))
@@ -292,14 +292,14 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows, sums, _ = sizes(docs, *_ties(docs))
     taken = copies(rows, sums, few(docs), block).select(*[F.col(c).alias(f"_{c}") for c in (*TIES, "shard", "place", "whole", "took")])
     out = _named(docs, rows).join(taken.hint("merge"), (F.col("tie1") == F.col("_tie1")) & (F.col("tie2") == F.col("_tie2")))
-    out = out.withColumn("_pieces", F.when(~F.col("_whole"), F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0))))
+    whole = F.col("row")["text"]
+    out = out.withColumn("_pieces", F.when(~F.col("_whole"), F.regexp_extract_all(whole, F.lit(_PIECES), F.lit(0))))
     joined = F.array_join(F.flatten(F.transform("_took", lambda x: F.slice("_pieces", x["at"], x["n"]))), "")
-    out = out.withColumn("_text", F.when(F.col("_whole"), F.col("text")).otherwise(joined))
+    out = out.withColumn("_text", F.when(F.col("_whole"), whole).otherwise(joined)).select("_shard", "_place", "_text", "row").repartition("_shard").sortWithinPartitions("_shard", "_place")
     kept = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         kept["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    out = out.select("_shard", "_place", *[kept.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_place").drop("_shard", "_place")
+    return out.select(*[kept.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: The same in DuckDB: offsets by window, targets by the level of each prefix, the permutation by list_reduce.

@@ -200,6 +200,25 @@ def test_copies_in_the_pipeline_are_cut_differently(spark):
     assert twice and all(out[k][0][:300] != out[k][1][:300] for k in twice)
 
 
+CLASHING = ("_text", "_copy", "copy", "text_hash", "tie1", "tie2", "row", "_shard", "_place", "_pieces", "_whole", "_took", "_tie1", "size", "src", "off", "ids", "rest", "doc", "key", "label", "rep", "hub")
+
+
+def test_stages_leave_columns_of_any_name_as_they_are(spark):
+    """Every stage gives back further columns, whatever they are called; the last one's own results come first."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    said = {"en": "the and of with this that from have were they".split(), "de": "der und die nicht sich auch werden nach oder wird".split()}
+    rows = [(k, " ".join(rng.choice(said[y], 50)), y, f"s{k % 3}", *[f"{c}{k}" for c in CLASHING]) for k in range(120) for y in [("en", "de")[k % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        own = {"ids", "n_tokens"} if name == "sentencepiece" else set()
+        assert set(docs.columns) - {"text"} <= set(out.columns) and (own or out.columns == docs.columns)
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHING if c not in own)
+
+
 def test_shards_hold_the_counts_that_were_drawn(spark):
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(rng.choice(WORDS, int(rng.integers(1, 90)))), f"s{k % 3}") for k in range(300)]
