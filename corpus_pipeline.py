@@ -47,11 +47,20 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The dropout is keyed by doc_id, text and, for rows with a doc_id, the number of the copy among those alike.
     """
-    same = Window.partitionBy("doc_id", "_text").orderBy("doc_id")
-    docs = docs.withColumn("_text", F.xxhash64("text"))
-    named = docs.filter("doc_id is not null").withColumn("_copy", F.row_number().over(same))
-    every = named.unionByName(docs.filter("doc_id is null").withColumn("_copy", F.lit(1)))
-    return pieces.encoded(every, F.struct("doc_id", "_text", "_copy")).drop("_text", "_copy")
+    text, copy = _free(docs, "text_hash"), _free(docs, "copy")
+    same = Window.partitionBy("doc_id", text).orderBy("doc_id")
+    docs = docs.withColumn(text, F.xxhash64("text"))
+    named = docs.filter("doc_id is not null").withColumn(copy, F.row_number().over(same))
+    every = named.unionByName(docs.filter("doc_id is null").withColumn(copy, F.lit(1)))
+    return pieces.encoded(every, F.struct("doc_id", text, copy)).drop(text, copy)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name like that one which no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
