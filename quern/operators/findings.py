@@ -120,12 +120,12 @@ def reclassified(findings: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, ranges: DataFrame, *keys: str) -> DataFrame:
-    """points with name: of the innermost range (keys, name, start_line, end_line) around their line, or null.
+    """points with name and within: of the innermost range (keys, name, start_line, end_line) around their line, and its first line, or null.
 
     Lines and ranges meet by keys and bucket of lines, so a line meets only the ranges near it, and a large file is
     dealt to as many tasks as it has buckets.
     """
     lines = points.select(*keys, "line", F.expr(f"line div {BUCKET}").alias("_bucket")).distinct()
     inner = lines.join(_dealt(ranges), [*keys, "_bucket"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    best = inner.groupBy(*keys, "line").agg(F.max_by("name", F.struct("start_line", "name")).alias("name"))
+    best = inner.groupBy(*keys, "line").agg(F.max_by("name", F.struct("start_line", "name")).alias("name"), F.max("start_line").alias("within"))
     return points.join(best, [*keys, "line"], "left")

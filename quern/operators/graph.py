@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import import_kind, internal_reference, namespace, normal_path
+from quern.operators.scans import running
 from quern.sources.store import kept
 
 MAX_DEPTH, MAX_NODES, MAX_EDGES = 5, 200, 100
@@ -98,9 +99,8 @@ def capped(edges: DataFrame, k: int) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, size: str, limit: int, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The rows whose running sum of size, in order (within by), stays within limit."""
-    w = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= limit)
+    """The rows whose running sum of size, in order (within by), stays within limit; order must tell the rows of a key apart."""
+    return running(rows, by, order, size, "used").filter(F.col("used") <= limit)
 
 
 def typed(edges: DataFrame, external: bool = False, unresolved: bool = False) -> DataFrame:
@@ -163,15 +163,20 @@ SCRIPTS, SUFFIXES = ("javascript", "typescript", "tsx"), ("ts", "tsx", "js", "js
 def aliased(imports: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:
     """src, path and dst (a file) of the imports of scripts that path aliases resolve, and hit: whether an alias or the direct path led to a file.
 
-    Only names that begin with @ or src/ are looked at. A pattern is its text around one star; patterns meet imports by
-    that text's first segment where it has one. A target may stand for a file, a file without its ending, or a folder's
+    Only names that begin with @ or src/ are looked at. A pattern is its text around one star; an import is dealt to the
+    prefixes of its segments, and meets the patterns by the whole segments of the text before their star, on equality. A target may stand for a file, a file without its ending, or a folder's
     index; the deepest configuration comes first, then the pattern, the target's place, the ending; last the name as a
     path next to the importing file.
     """
     i = imports.filter(F.col("language").isin(*SCRIPTS) & (F.col("path").startswith("@") | F.col("path").startswith("src/"))).select("src", "path").distinct()
     star = F.instr("pattern", "*") > 0
     a = aliases.select("config_dir", "depth", "base_url", "pattern", "pos", "target", F.when(star, F.substring_index("pattern", "*", 1)).otherwise(F.col("pattern")).alias("front"), F.when(star, F.expr("substring(pattern, instr(pattern, '*') + 1)")).alias("back"))
-    both = i.join(F.broadcast(a), F.when(F.col("back").isNull(), F.col("path") == F.col("front")).otherwise(F.col("path").startswith(F.col("front")) & F.col("path").endswith(F.col("back")) & (F.length("path") >= F.length("front") + F.length("back"))))
+    a = a.withColumn("stem", F.when(F.col("back").isNull(), F.concat(F.lit("="), F.col("pattern"))).otherwise(F.regexp_extract("front", "^(.*/)", 1)))
+    parts = F.split("path", "/")
+    stems = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.concat(F.slice(parts, F.lit(1), k - 1), F.array(F.lit(""))), "/"))
+    dealt = i.select("src", "path", F.explode(F.concat(stems, F.array(F.concat(F.lit("="), F.col("path"))))).alias("stem"))
+    fits = F.col("back").isNull() | (F.col("path").startswith(F.col("front")) & F.col("path").endswith(F.col("back")) & (F.length("path") >= F.length("front") + F.length("back")))
+    both = dealt.join(a, "stem").filter(fits)
     wild = F.when(F.col("back").isNull(), F.lit("")).otherwise(F.expr("substring(path, length(front) + 1, length(path) - length(front) - length(back))"))
     target = F.when(F.instr("target", "*") > 0, F.concat(F.substring_index("target", "*", 1), wild, F.expr("substring(target, instr(target, '*') + 1)"))).otherwise(F.col("target"))
     base = normal_path(F.concat_ws("/", F.nullif("config_dir", F.lit("")), "base_url", target))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.scans import lagged
+
 #: Observations below which nothing is pruned.
 LEAST = 3
 
 
 def transitions(events: DataFrame, key: str, order: tuple[str, ...], state: str) -> DataFrame:
-    """parent, current, next and cnt: how often next followed parent and current in a key's sequence."""
-    w = Window.partitionBy(key).orderBy(*order)
-    each = events.select(F.lag(state, 2).over(w).alias("parent"), F.lag(state, 1).over(w).alias("current"), F.col(state).alias("next"))
+    """parent, current, next and cnt: how often next followed parent and current in a key's sequence, however long."""
+    each = lagged(events.select(key, *order, state), (key,), order, state, ("current", "parent")).withColumnRenamed(state, "next")
     return each.filter("parent is not null").groupBy("parent", "current", "next").agg(F.count("next").alias("cnt"))
 
 

@@ -253,9 +253,9 @@ def _python(at: Text, unit: Unit, marker: str) -> None:
             body = "\n".join(rows[line - 1 : end])
             head = _size("\n".join(rows[line - 1 : first])) + 1
             params = [p.strip().lstrip("*").split(":")[0].split("=")[0].strip() for p in re.split(r",(?![^\[(]*[\])])", sig[sig.find("(") + 1 : sig.rfind(")")]) if p.strip()]
-            unit.functions.append({"name": m[3], "qualified_name": f"{owner}.{m[3]}" if owner else m[3], "owner": owner, "signature": sig, "start_line": line, "end_line": end, "body": body, "doc": _doc(at, line, "python"), "is_public": not m[3].startswith("_"), "params": params, "body_start": head if end > first else None, "body_end": _size(body) if end > first else None, "is_stripped": _stripped(rows, line, first, marker)})
+            unit.functions.append({"name": m[3], "qualified_name": f"{owner}.{m[3]}" if owner else m[3], "owner": owner, "signature": sig, "start_line": line, "end_line": end, "body": body, "doc": _doc(at, line, "python"), "is_public": not m[3].startswith("_"), "params": params, "body_start": head if end > first else None, "body_end": _size(body) if end > first else None, "is_stripped": _stripped(rows, line, first, marker), "span": (m.start(2), at.breaks[end - 1] if end <= len(at.breaks) else len(text)), "inside": at.breaks[first - 1] if first <= len(at.breaks) else len(text)})
         else:
-            unit.types.append({"name": m[3], "kind": "class", "start_line": line, "end_line": end, "doc": _doc(at, line, "python"), "is_public": not m[3].startswith("_")})
+            unit.types.append({"name": m[3], "kind": "class", "start_line": line, "end_line": end, "doc": _doc(at, line, "python"), "is_public": not m[3].startswith("_"), "span": (m.start(2), at.breaks[end - 1] if end <= len(at.breaks) else len(text))})
         stack.append((indent, m[3], m[2]))
 
 
@@ -280,7 +280,7 @@ def _braces(at: Text, toks: list[Token], language: str, unit: Unit, pairs: dict[
         names = [[x.text for x in part if x.kind == "name"] for part in _split(params)]
         last = language in ("java", "csharp", "c")
         inside = (_size(text[start : toks[body].end]), _size(text[start : toks[end].start])) if toks[body].text == "{" and toks[end].text == "}" else (_size(text[start : toks[body].end]), _size(text[start : toks[end].end]))
-        unit.functions.append({"name": name.text, "qualified_name": sep.join([*owner, name.text]), "owner": sep.join(owner) or None, "signature": " ".join(head.split()), "start_line": name.line, "end_line": toks[end].line, "body": text[start : toks[end].end], "doc": _doc(at, name.line, language), "is_public": is_public(language, name.text, head), "params": [p[-1] if last else next((x for x in p if x not in ("mut", "self", "val", "var")), p[0]) for p in names if p], "body_start": inside[0], "body_end": inside[1], "is_stripped": _stripped(at.rows, name.line, toks[body].line, marker)})
+        unit.functions.append({"name": name.text, "qualified_name": sep.join([*owner, name.text]), "owner": sep.join(owner) or None, "signature": " ".join(head.split()), "start_line": name.line, "end_line": toks[end].line, "body": text[start : toks[end].end], "doc": _doc(at, name.line, language), "is_public": is_public(language, name.text, head), "params": [p[-1] if last else next((x for x in p if x not in ("mut", "self", "val", "var")), p[0]) for p in names if p], "body_start": inside[0], "body_end": inside[1], "is_stripped": _stripped(at.rows, name.line, toks[body].line, marker), "span": (name.start, toks[end].end), "inside": toks[body].start})
 
     for k, t in enumerate(toks):
         owners = [o for o in owners if o[0] > k]
@@ -295,7 +295,7 @@ def _braces(at: Text, toks: list[Token], language: str, unit: Unit, pairs: dict[
                 kind = toks[k + 2].text
             end = pairs[open_] if open_ is not None and toks[open_].text == "{" else k + 1
             before = text[text.rfind("\n", 0, t.start) + 1 : t.start]
-            unit.types.append({"name": name, "kind": kind, "start_line": t.line, "end_line": toks[end].line, "doc": _doc(at, t.line, language), "is_public": is_public(language, name, before)})
+            unit.types.append({"name": name, "kind": kind, "start_line": t.line, "end_line": toks[end].line, "doc": _doc(at, t.line, language), "is_public": is_public(language, name, before), "span": (t.start, toks[end].end)})
             if end > k + 1:
                 owners.append((end, name))
         if language in _SCRIPTS and t.text in ("=>", "function") and k + 1 < n and (bound := _bound(toks, k, pairs)) is not None:
@@ -361,11 +361,11 @@ def _split(toks: list[Token]) -> list[list[Token]]:
     return [p for p in out if p]
 
 
-def _around(unit: Unit, lines: int) -> list[str | None]:
-    """For each line (from 1) the name of the function around it that starts last."""
-    out: list[str | None] = [None] * (lines + 2)
+def _around(unit: Unit, lines: int) -> list[tuple[str | None, int | None]]:
+    """For each line (from 1) the name and first line of the function around it that starts last."""
+    out: list[tuple[str | None, int | None]] = [(None, None)] * (lines + 2)
     for f in sorted(unit.functions, key=lambda f: f["start_line"]):
-        out[f["start_line"] : f["end_line"] + 1] = [f["name"]] * (f["end_line"] + 1 - f["start_line"])
+        out[f["start_line"] : f["end_line"] + 1] = [(f["name"], f["start_line"])] * (f["end_line"] + 1 - f["start_line"])
     return out
 
 
@@ -416,10 +416,10 @@ def _uses(at: Text, code: list[Token], language: str, unit: Unit, pairs: dict[in
             receiver = text[code[j + 1].start : name.start].rstrip(".:? ") if j + 1 < k - 1 else ""
             new = j >= 0 and code[j].text == "new"
             args = [text[p[0].start : p[-1].end] for p in _split(code[k + 1 : close])]
-            unit.calls.append({"callee": name.text, "receiver": receiver, "is_new": new, "args": args, "line": name.line, "pos": name.start, "function": around[name.line]})
+            unit.calls.append({"callee": name.text, "receiver": receiver, "is_new": new, "args": args, "line": name.line, "pos": name.start, "function": around[name.line][0], "within": around[name.line][1]})
         elif t.text == "!" and k and code[k - 1].kind == "name" and k + 1 < len(code) and code[k + 1].text in ("(", "[", "{") and t.start == code[k - 1].end:  # a macro
             close = pairs[k + 1]
-            unit.calls.append({"callee": code[k - 1].text + "!", "receiver": "", "is_new": False, "args": [text[p[0].start : p[-1].end] for p in _split(code[k + 2 : close])], "line": t.line, "pos": t.start, "function": around[t.line]})
+            unit.calls.append({"callee": code[k - 1].text + "!", "receiver": "", "is_new": False, "args": [text[p[0].start : p[-1].end] for p in _split(code[k + 2 : close])], "line": t.line, "pos": t.start, "function": around[t.line][0], "within": around[t.line][1]})
         elif t.kind == "op" and t.text in ("=", ":=", "+=") and k and (code[k - 1].kind == "name" or code[k - 1].text in ("]", "?")) and (k + 1 >= len(code) or code[k + 1].text != "="):
             depth, end = 0, k
             while end + 1 < len(code) and (depth > 0 or code[end + 1].line == code[end].line or code[end].kind == "op" and code[end].text not in (")", "]", "}")):
@@ -433,7 +433,7 @@ def _uses(at: Text, code: list[Token], language: str, unit: Unit, pairs: dict[in
             target = text[code[j].start : code[k - 1].end]
             while branch < len(opened) and opened[branch][0] <= t.start:
                 open_to, branch = max(open_to, opened[branch][1]), branch + 1
-            unit.assigns.append({"target": target, "value": text[code[k + 1].start : code[end].end] if end > k else "", "op": t.text, "line": t.line, "pos": t.start, "function": around[t.line], "branch": t.start < open_to})
+            unit.assigns.append({"target": target, "value": text[code[k + 1].start : code[end].end] if end > k else "", "op": t.text, "line": t.line, "pos": t.start, "function": around[t.line][0], "within": around[t.line][1], "branch": t.start < open_to})
 
 
 def analysed(text: str, language: str, marker: str = STRIP) -> Unit:
@@ -457,8 +457,8 @@ def analysed(text: str, language: str, marker: str = STRIP) -> Unit:
 
 SCHEMA = (
     "rel_path string, language string, functions array<struct<name:string,qualified_name:string,owner:string,signature:string,start_line:int,end_line:int,body:string,doc:string,is_public:boolean,params:array<string>,body_start:int,body_end:int,is_stripped:boolean>>, types array<struct<name:string,kind:string,start_line:int,end_line:int,doc:string,is_public:boolean>>, "
-    "imports array<struct<raw:string,path:string,line:int>>, strings array<struct<value:string,line:int>>, calls array<struct<callee:string,receiver:string,is_new:boolean,args:array<string>,line:int,pos:int,function:string>>, "
-    "assigns array<struct<target:string,value:string,op:string,line:int,pos:int,function:string,branch:boolean>>, comments array<struct<text:string,line:int>>, tests array<struct<start_line:int,end_line:int>>, module_doc string"
+    "imports array<struct<raw:string,path:string,line:int>>, strings array<struct<value:string,line:int>>, calls array<struct<callee:string,receiver:string,is_new:boolean,args:array<string>,line:int,pos:int,function:string,within:int>>, "
+    "assigns array<struct<target:string,value:string,op:string,line:int,pos:int,function:string,within:int,branch:boolean>>, comments array<struct<text:string,line:int>>, tests array<struct<start_line:int,end_line:int>>, module_doc string"
 )
 
 
@@ -486,7 +486,7 @@ def _list(**fields: pa.DataType) -> pa.DataType:
 _S, _I, _B = pa.string(), pa.int32(), pa.bool_()
 _ARROW = {
     "functions": _list(name=_S, qualified_name=_S, owner=_S, signature=_S, start_line=_I, end_line=_I, body=_S, doc=_S, is_public=_B, params=pa.list_(_S), body_start=_I, body_end=_I, is_stripped=_B), "types": _list(name=_S, kind=_S, start_line=_I, end_line=_I, doc=_S, is_public=_B), "imports": _list(raw=_S, path=_S, line=_I),
-    "strings": _list(value=_S, line=_I), "calls": _list(callee=_S, receiver=_S, is_new=_B, args=pa.list_(_S), line=_I, pos=_I, function=_S), "assigns": _list(target=_S, value=_S, op=_S, line=_I, pos=_I, function=_S, branch=_B), "comments": _list(text=_S, line=_I), "tests": _list(start_line=_I, end_line=_I),
+    "strings": _list(value=_S, line=_I), "calls": _list(callee=_S, receiver=_S, is_new=_B, args=pa.list_(_S), line=_I, pos=_I, function=_S, within=_I), "assigns": _list(target=_S, value=_S, op=_S, line=_I, pos=_I, function=_S, within=_I, branch=_B), "comments": _list(text=_S, line=_I), "tests": _list(start_line=_I, end_line=_I),
 }
 
 

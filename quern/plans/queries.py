@@ -14,7 +14,7 @@ from quern.functions import redact
 from quern.functions.text import backoff_ms, context_of, escalated, namespace, normal_path
 from quern.operators import findings as fd
 from quern.operators import graph, lines, markov, markup
-from quern.plans import cases, insight, rules
+from quern.plans import insight, rules, treequeries
 from quern.sources.files import lines as explode_lines
 from quern.sources.files import in_scope, restriction
 from quern.streaming import watch
@@ -439,5 +439,5 @@ def path_contexts(spark, d):
     return t(spark, d, "pages").groupBy(context_of(path).alias("context")).agg(F.count("page_id").alias("n"))
 
 
-QUERIES.update(cases.QUERIES)
-SQL.update(cases.SQL)
+QUERIES.update(treequeries.QUERIES)
+SQL.update(treequeries.SQL)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,27 +13,134 @@ from pyspark.sql import functions as F
 from quern.functions.text import context_of, escalated, mapped
 from quern.operators import findings as fd
 from quern.operators import source
-from quern.plans import catalogue
-from quern.sources.files import MAX_FLOW_BYTES, lines
+from quern.plans import catalogue, flows
+from quern.sources.files import EXTENSIONS, MAX_FLOW_BYTES, lines
 from quern.sources.store import kept
 
 COLUMNS = ("callee", "receiver", "is_new", "args", "args2", "arg0", "arg1", "arg2", "any_arg", "whole", "path", "target", "value", "text", "block")
 
 
 def catalogue_table(spark: SparkSession, rules: tuple = catalogue.RULES) -> DataFrame:
-    """rule, language, table, gate, an expression and its sense for each of COLUMNS: a bounded dimension."""
+    """rule_no, rule, language, table, gate, an expression and its sense for each of COLUMNS: a bounded dimension. A rule for all languages has a row for each."""
     rows = []
-    for rule, languages, table, exprs, gate in rules:
-        for language in languages.split(","):
+    for no, (rule, languages, table, exprs, gate) in enumerate(rules):
+        for language in sorted(set(EXTENSIONS.values())) if languages == "*" else languages.split(","):
             cells = []
             for c in COLUMNS:
                 e = exprs.get(c)
                 cells += [None if e is None else e.removeprefix("!"), e is None or not e.startswith("!")]
-            rows.append((rule, language, table, gate, *cells))
-    schema = "rule string, language string, table string, gate string, " + ", ".join(f"p_{c} string, s_{c} boolean" for c in COLUMNS)
+            rows.append((no, rule, language, table, gate, *cells))
+    schema = "rule_no int, rule string, language string, table string, gate string, " + ", ".join(f"p_{c} string, s_{c} boolean" for c in COLUMNS)
     return spark.createDataFrame(rows, schema)
 
 
+#: Texts that a part of an expression may stand for, at most, for its words to be listed.
+MOST_TEXTS = 256
+
+
+def _texts(items: list) -> set[str] | None:
+    """All texts that parsed items of an expression stand for; None where they are not few."""
+    out = {""}
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL":
+            found = {chr(value)}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in value):
+            found = {chr(v) for _, v in value}
+        elif name == "SUBPATTERN":
+            found = _texts(list(value[3]))
+        elif name == "BRANCH":
+            parts = [_texts(list(x)) for x in value[1]]
+            found = None if None in parts else set().union(*parts)
+        elif name == "MAX_REPEAT" and value[1] == 1:
+            found = _texts(list(value[2]))
+            found = None if found is None else found | {""}
+        else:
+            found = None
+        if found is None or len(out) * len(found) > MOST_TEXTS:
+            return None
+        out = {a + b for a in out for b in found}
+    return out
+
+
+def _bounded(items: list, k: int, step: int) -> bool:
+    """Whether what stands at place k, or beyond it in steps, cannot go on a word: an end, a boundary, a sign, or space."""
+    while 0 <= k < len(items):
+        name, value = str(items[k][0]), items[k][1]
+        if name == "AT":
+            return True
+        if name == "LITERAL":
+            return not re.match(r"\w", chr(value))
+        if name == "IN":
+            return all(str(o) == "LITERAL" and not re.match(r"\w", chr(v)) for o, v in value)
+        inner = value[2][0] if name == "MAX_REPEAT" else (None, None)
+        if str(inner[0]) != "IN" or [str(x[1]) for x in inner[1]] != ["CATEGORY_SPACE"]:
+            return False
+        if value[0]:
+            return True
+        k += step
+    return False
+
+
+def required_words(expression: str) -> frozenset[str] | None:
+    """Words of which a text must hold one, as a whole word and in lower case, for the expression to fit; None where none is sure.
+
+    Stretches of an expression that stand for few texts are taken between boundaries (an end, a word boundary, a sign).
+    """
+    items = [(op, value) for op, value in _parser.parse(expression)]
+    best, k = None, 0
+    while k < len(items):
+        j, found = k, None
+        while j < len(items) and (more := _texts(items[k : j + 1])) is not None:
+            j, found = j + 1, more
+        if found is not None:
+            left, right = _bounded(items, k - 1, -1), _bounded(items, j, 1)
+            words = set()
+            for text in found:
+                whole = [m[0].lower() for m in re.finditer(r"[A-Za-z0-9_]+", text) if (m.start() or left) and (m.end() < len(text) or right)]
+                if not whole:
+                    break
+                words.add(max(whole, key=len))
+            else:
+                if best is None or len(words) < len(best):
+                    best = frozenset(words)
+        k = max(j, k + 1)
+    return best
+
+
+def literal_index(rules: tuple = catalogue.RULES) -> tuple[list[tuple[int, str, str]], set[int]]:
+    """(rule_no, column, word) of the rules that need a word, and the numbers of the others: the fewest words decide the column."""
+    rows, rest = [], set()
+    for no, (_, _, _, exprs, _) in enumerate(rules):
+        found = [(len(w), c, w) for c, e in exprs.items() if not e.startswith("!") and c in COLUMNS and (w := required_words(e))]
+        if found:
+            _, column, words = min(found, key=lambda x: x[:2])
+            rows += [(no, column, w) for w in sorted(words)]
+        else:
+            rest.add(no)
+    return rows, rest
+
+
+def candidates(f: DataFrame, rules: tuple = catalogue.RULES) -> DataFrame:
+    """Facts with the rules whose expressions they might fit: those of their language and table that need a word which they hold.
+
+    The words of each fact meet the index on equality; only rules without a sure word meet all facts of their table.
+    """
+    rows, rest = literal_index(rules)
+    spark = f.sparkSession
+    table = catalogue_table(spark, rules)
+    index = table.join(spark.createDataFrame(rows, "rule_no int, _column string, _word string"), "rule_no")
+
+    def held(c: str) -> Column:
+        words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9_]+)"), F.lit(1)))
+        return F.transform(words, lambda w: F.struct(F.lit(c).alias("_column"), w.alias("_word")))
+
+    words = f.withColumn("_w", F.explode(F.concat(*[held(c) for c in sorted({r[1] for r in rows})]))).withColumn("_column", F.col("_w._column")).withColumn("_word", F.col("_w._word")).drop("_w")
+    met = words.join(F.broadcast(index), ["language", "table", "_column", "_word"]).drop("_column", "_word")
+    left = f.join(F.broadcast(table.filter(F.col("rule_no").isin(*rest))), ["language", "table"])
+    return met.unionByName(left)
+
+
 def _fits(column: Column, c: str) -> Column:
     """Whether a column fits the rule's expression for it, if it has one."""
     p = F.col(f"p_{c}")
@@ -53,6 +160,7 @@ def catches(text: str, language: str) -> list[tuple[int, str]]:
                     n += 1
                 out.append((k + 1, "\n".join(b for b in body if b.strip() and not b.strip().startswith("#"))))
     else:
+        at = source.Text(text)
         for m in re.finditer(r"\bcatch\s*(?:\([^)]*\))?\s*(?:when\s*\([^)]*\)\s*)?\{", text):
             depth, end = 0, len(text)
             for k in range(m.end() - 1, len(text)):
@@ -60,7 +168,7 @@ def catches(text: str, language: str) -> list[tuple[int, str]]:
                 if depth == 0:
                     end = k + 1
                     break
-            out.append((text.count("\n", 0, m.start()) + 1, text[m.end() - 1 : end]))
+            out.append((at.line(m.start()), text[m.end() - 1 : end]))
     return out
 
 
@@ -73,20 +181,20 @@ def facts(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     base = ["rel_path", "language"]
     null = F.lit(None).cast("string")
 
-    def shaped(df: DataFrame, table: str, line: str, function: Column, **own: Column) -> DataFrame:
-        return df.select(*base, F.lit(table).alias("table"), F.col(line).cast("int").alias("line"), function.alias("function"), *[own.get(c, null).alias(c) for c in COLUMNS])
+    def shaped(df: DataFrame, table: str, line: str, function: Column, within: Column, **own: Column) -> DataFrame:
+        return df.select(*base, F.lit(table).alias("table"), F.col(line).cast("int").alias("line"), function.alias("function"), within.cast("int").alias("within"), *[own.get(c, null).alias(c) for c in COLUMNS])
 
     calls = source.exploded(found, "calls")
     args = F.array_join("args", ", ")
     at = lambda k: F.get("args", F.lit(k))
     path = F.when(F.col("receiver") == "", F.col("callee")).otherwise(F.concat_ws("::", "receiver", "callee"))
-    out = shaped(calls, "call", "line", F.col("function"), callee=F.col("callee"), receiver=F.col("receiver"), is_new=F.col("is_new").cast("string"), args=args, args2=args, arg0=at(0), arg1=at(1), arg2=at(2), any_arg=F.array_join("args", "\n"), whole=F.concat_ws(" ", "receiver", args), path=path)
+    out = shaped(calls, "call", "line", F.col("function"), F.col("within"), callee=F.col("callee"), receiver=F.col("receiver"), is_new=F.col("is_new").cast("string"), args=args, args2=args, arg0=at(0), arg1=at(1), arg2=at(2), any_arg=F.array_join("args", "\n"), whole=F.concat_ws(" ", "receiver", args), path=path)
     assigns = source.exploded(found, "assigns")
-    out = out.unionByName(shaped(assigns, "assign", "line", F.col("function"), target=F.col("target"), value=F.col("value")))
+    out = out.unionByName(shaped(assigns, "assign", "line", F.col("function"), F.col("within"), target=F.col("target"), value=F.col("value")))
     comments = source.exploded(found, "comments")
-    out = out.unionByName(shaped(comments, "comment", "line", null, text=F.col("text"), block=F.col("text")))
+    out = out.unionByName(shaped(comments, "comment", "line", null, null, text=F.col("text"), block=F.col("text")))
     functions = source.exploded(found, "functions")
-    out = out.unionByName(shaped(functions, "function", "start_line", F.col("name"), text=F.col("body")))
+    out = out.unionByName(shaped(functions, "function", "start_line", F.col("name"), F.col("start_line"), text=F.col("body")))
 
     def handlers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,10 +204,10 @@ def facts(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     caught = files.select(*base, "content").mapInArrow(handlers, "rel_path string, language string, line int, body string")
     held = functions.select("rel_path", "name", "start_line", "end_line")
     caught = fd.enclosing(caught, held, "rel_path")
-    out = out.unionByName(shaped(caught, "catch", "line", F.col("name"), text=F.col("body")))
+    out = out.unionByName(shaped(caught, "catch", "line", F.col("name"), F.col("within"), text=F.col("body")))
     code = lines(files, "content", *base).filter(~F.regexp_like(F.ltrim("line"), F.lit(r"^(//|\*|/\*)")))
     code = fd.enclosing(code.withColumnRenamed("line_no", "at").withColumnRenamed("line", "text").withColumnRenamed("at", "line"), held, "rel_path")
-    return out.unionByName(shaped(code, "code", "line", F.col("name"), text=F.col("text")))
+    return out.unionByName(shaped(code, "code", "line", F.col("name"), F.col("within"), text=F.col("text")))
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -110,26 +218,24 @@ def parsed(files: DataFrame) -> DataFrame:
 def structural(files: DataFrame, found: DataFrame | None = None, more: tuple = ()) -> DataFrame:
     """The findings of the catalogue in files (rel_path, language, content), whose analysis found has if it is there.
 
-    Facts meet rules by language and table (a broadcast of the bounded catalogue) and each expression then decides.
+    Facts meet the rules of their language and table whose words they hold (candidates), and each expression then decides.
     Gates look at the function around: its name, the names assigned on the line, or words in its body. more are further
     rules: (id, languages, table, expressions, gate, (weakness, category, severity, confidence, tier)).
     """
-    spark = files.sparkSession
     files = files.filter("language is not null")
     found = parsed(files) if found is None else found
     f = facts(files, found)
     every = (*catalogue.RULES, *(r[:5] for r in more))
-    rules = F.broadcast(catalogue_table(spark, every))
-    both = f.alias("f").join(rules.alias("r"), (F.col("f.table") == F.col("r.table")) & ((F.col("f.language") == F.col("r.language")) | (F.col("r.language") == "*")))
+    both = candidates(f, every)
     for c in COLUMNS:
         if c == "any_arg":
             both = both.filter(F.col("p_any_arg").isNull() | F.exists(F.split("any_arg", "\n"), lambda x: F.regexp_like(F.trim(x), F.col("p_any_arg"))))
         else:
             both = both.filter(_fits(F.col(c), c))
-    hit = both.select("rel_path", "rule", "gate", "line", "function")
-    bodies = source.exploded(found, "functions").groupBy("rel_path", F.col("name").alias("function")).agg(F.max("body").alias("body"))
+    hit = both.select("rel_path", "rule", "gate", "line", "function", "within")
+    bodies = source.exploded(found, "functions").groupBy("rel_path", F.col("name").alias("function"), F.col("start_line").alias("within")).agg(F.max("body").alias("body"))
     names = source.exploded(found, "assigns").groupBy("rel_path", "line").agg(F.concat_ws(" ", F.collect_set("target")).alias("names"))
-    hit = hit.join(bodies, ["rel_path", "function"], "left").join(names, ["rel_path", "line"], "left")
+    hit = hit.join(bodies, ["rel_path", "function", "within"], "left").join(names, ["rel_path", "line"], "left")
     around = F.lower(F.concat_ws(" ", "function", "names"))
     holds = lambda words, col: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: col.contains(w))
     gate = F.when(F.col("gate") == "security", holds(catalogue.SECURITY_NAMES, around)).when(F.col("gate") == "auth", holds(catalogue.AUTH_NAMES, around))
@@ -176,142 +282,6 @@ CALLS: dict[str, list[tuple[str, str, str, int, bool]]] = {
 }
 SANITIZERS = {"": r"\b(Integer\.parseInt|Long\.parseLong|strconv\.Atoi|strconv\.ParseInt|int\.Parse|Guid\.Parse|UUID\.fromString|int|float|Number|parseInt|parseFloat|toInt|parse::<)\b", "cmd": r"\b(shlex\.quote|quote|escapeshellarg|shellescape)\b", "path": r"\b(secure_filename|basename|path\.basename|filepath\.Base|Path\.GetFileName|getFileName|FilenameUtils\.getName)\b", "log": r"\b(replace|replaceAll|encode|strip|escape\w*)\s*\(", "redirect": r"\b(url_for|is_safe_url|url_has_allowed_host_and_scheme)\b", "ssrf": r"\bvalidate_url\b", "sql": r"\b(escape|quote_ident|mysql_real_escape_string)\b", "ssti": r"\bescape\b"}
 GUARDS = {"path": r"(startswith|startsWith|StartsWith|HasPrefix|starts_with|is_relative_to)\s*\("}
-ROUNDS = 3
-_NAME = re.compile(r"(?<![\w.\"'])[A-Za-z_]\w*")
-_QUOTED = re.compile(r"[rbuRBU]?\"(?:\\.|[^\"\\])*\"|[rbuRBU]?'(?:\\.|[^'\\])*'")
-
-
-def _names(value: str) -> set[str]:
-    """Names that a value refers to, those inside interpolated text among them."""
-    inner = " ".join(x for m in re.finditer(r"[fF]\"((?:\\.|[^\"\\])*)\"|[fF]'((?:\\.|[^'\\])*)'|`([^`]*)`|\$\"((?:\\.|[^\"\\])*)\"|format!\(\s*\"((?:\\.|[^\"\\])*)\"|\"((?:\\.|[^\"\\])*\$\{?\w[^\"]*)\"", value) for g in m.groups() if g for x in re.findall(r"\$?\{+\s*([\w.]+)|\$(\w+)", g) for x in x if x)
-    bare = _QUOTED.sub(" ", re.sub(r"[fF](?=[\"'])", "", value))
-    return {n for n in _NAME.findall(bare + " " + " ".join(x.split(".")[0] for x in inner.split()))}
-
-
-_CALLED = re.compile(r"[\w:<>, ]*\(")
-_OPENING = {")": "(", "]": "[", "}": "{"}
-
-
-def cleaned(text: str, sanitizers: re.Pattern) -> str:
-    """text without the calls of sanitizers: their arguments and, for methods, what they are called on."""
-    while m := sanitizers.search(text):
-        open_ = _CALLED.match(text, m.end() - (m[0][-1] == "("))
-        if open_ is None:
-            text = text[: m.start()] + "\0" * (m.end() - m.start()) + text[m.end() :]
-            continue
-        depth, end = 1, open_.end()
-        while end < len(text) and depth:
-            depth += (text[end] in "([{") - (text[end] in ")]}")
-            end += 1
-        start = m.start()
-        while start and text[start - 1] == ".":  # a method: back over names, calls and places
-            start -= 1
-            while start and (text[start - 1].isalnum() or text[start - 1] in "_\"')]"):
-                start -= 1
-                if text[start] in _OPENING:
-                    depth = 1
-                    while start and depth:
-                        start -= 1
-                        depth += (text[start] in ")]}") - (text[start] in "([{")
-                elif text[start] in "\"'":
-                    start = max(0, text.rfind(text[start], 0, start))
-        text = text[:start] + "0" + text[end:]
-    return text
-
-
-def flows(unit: source.Unit, language: str, summaries: dict[str, dict]) -> tuple[list[dict], list[dict]]:
-    """Findings and function summaries of one file: a fold over its assignments and calls in order, for each kind of sink.
-
-    A summary tells which parameters of a function reach which sinks, and whether it returns input or a parameter.
-    """
-    fam = FAMILY.get(language)
-    if fam is None:
-        return [], []
-    found, out = [], []
-    scopes = {f["name"]: f for f in unit.functions}
-    inside: dict[str | None, list[tuple[str, dict]]] = {}
-    for what, rows in (("assign", unit.assigns), ("call", unit.calls)):
-        for e in rows:
-            inside.setdefault(e["function"], []).append((what, e))
-    for scope in [None, *scopes]:
-        f = scopes.get(scope) if scope else None
-        events = sorted(inside.get(scope, []), key=lambda e: e[1]["pos"] + (len(e[1]["value"]) + 1 if e[0] == "assign" else 0))  # a name is bound when its value is done
-        guarded = {k for k, g in GUARDS.items() if f and re.search(r"\b(if|when|unless)\b[^\n]*" + g, f["body"])}
-        sinks: dict[str, set[int]] = {}
-        returns: set[int] = set()
-        returns_source = False
-        params = f["params"] if f else []
-        for kind in SINKS:
-            if (fam, kind) in LACKING:
-                continue
-            clean = re.compile(SANITIZERS[""] + "|" + SANITIZERS.get(kind, "$^"))
-            held: dict[str, tuple[int, set[int]]] = {p: (0, {k}) for k, p in enumerate(params)}  # name: line of the input (0: none), parameters
-            if f and fam in PARAM_SOURCES:
-                for k, p in enumerate(params):
-                    if re.search(PARAM_SOURCES[fam] + r"[^,)]*\b" + re.escape(p) + r"\b", f["signature"]):
-                        held[p] = (f["start_line"], {k})
-
-            def value(text: str, line: int) -> tuple[int, set[int]]:
-                text = cleaned(text, clean)
-                at, froms = (line, set()) if re.search(SOURCES[fam], text) else (0, set())
-                for n in _names(text):
-                    if n in held:
-                        at, froms = at or held[n][0], froms | held[n][1]
-                for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", text):
-                    s = summaries.get(m[1])
-                    if s and s["returns_source"]:
-                        at = at or line
-                return at, froms
-
-            for what, e in events:
-                if what == "assign":
-                    v = value(e["value"], e["line"])
-                    if v[0] or v[1]:
-                        old = held.get(e["target"], (0, set()))
-                        held[e["target"]] = v if e["op"] != "+=" else (v[0] or old[0], v[1] | old[1])
-                    elif e["op"] != "+=" and not e["branch"]:  # what may not run clears nothing
-                        held.pop(e["target"], None)
-                    continue
-                if kind in guarded:
-                    continue
-                for k2, callee, receiver, arg, write in CALLS[fam]:
-                    if k2 != kind or not re.search(callee, e["callee"]) or not re.search(receiver, e["receiver"]):
-                        continue
-                    args = e["args"] if arg < 0 else e["args"][arg : arg + 1]
-                    for a in args:
-                        at, froms = value(a, e["line"])
-                        if at:
-                            found.append({"rule": f"{fam}-{KEY_NAMES[kind]}", "line": e["line"], "function": scope, "source_line": at, "write": write, "via": None})
-                        for p in froms:
-                            sinks.setdefault(kind, set()).add(p)
-                s = summaries.get(e["callee"])
-                if s and e["callee"] != scope:
-                    for p in s["sinks"].get(kind, ()):
-                        names = s["params"]
-                        a = next((x.split("=", 1)[1] for x in e["args"] if p < len(names) and re.match(re.escape(names[p]) + r"\s*=[^=]", x)), e["args"][p] if p < len(e["args"]) else None)
-                        if names[:1] in (["self"], ["this"]) and a is None or names[:1] == ["self"] and e["receiver"] and p:
-                            a = e["args"][p - 1] if 0 < p <= len(e["args"]) else a
-                        if a is None:
-                            continue
-                        at, froms = value(a, e["line"])
-                        if at:
-                            found.append({"rule": f"{fam}-{KEY_NAMES[kind]}", "line": e["line"], "function": scope, "source_line": at, "write": False, "via": e["callee"]})
-                        for q in froms:
-                            sinks.setdefault(kind, set()).add(q)
-            if f:
-                for m in re.finditer(r"\breturn\b([^\n;]*)", f["body"]):
-                    at, froms = value(m[1], f["start_line"])
-                    returns_source |= bool(at)
-                    returns |= froms
-        if f:
-            out.append({"family": fam, "name": scope, "params": params, "returns_source": returns_source, "sinks": {k: sorted(v) for k, v in sinks.items()}})
-    return found, out
-
-
-FLOW = "rel_path string, rule string, line int, function string, source_line int, write boolean, via string"
-SUMMARY = "family string, name string, params array<string>, returns_source boolean, sinks map<string,array<int>>"
-
-
 def unambiguous(table: DataFrame, *keys: str) -> DataFrame:
     """The rows of a table whose keys stand in no other row."""
     rest = [c for c in table.columns if c not in keys]
@@ -319,94 +289,15 @@ def unambiguous(table: DataFrame, *keys: str) -> DataFrame:
     return one.select(*keys, "_r.*")
 
 
-def taint(files: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Findings of flows from inputs to sinks in files, through functions of the whole tree.
-
-    Files are analysed once. Each round takes them with the summaries of the round before; a name that is defined more than once in a
-    family is ambiguous and not used. Summaries are a row for each function; only those that reach a sink or return
-    input are kept. Up to SMALL_SUMMARIES of them are shared with all tasks; a larger table is written and joined with
-    the names that files call, so that each file gets what it may use and the result is the same.
-    """
-    work = kept(units(files.filter(F.col("language").isin(*FAMILY) & (F.length("content") <= MAX_FLOW_BYTES))))
-    table: dict[str, dict[str, dict]] = {}
-    large: DataFrame | None = None
-    for _ in range(rounds):
-        every = _over(work, table, large, _told, SUMMARY)
-        useful = unambiguous(every, "family", "name").filter("returns_source or size(sinks) > 0")
-        rows = useful.limit(SMALL_SUMMARIES + 1).collect()
-        if len(rows) > SMALL_SUMMARIES:
-            table, large = {}, kept(useful)
-            continue
-        new = _by_name(rows)
-        if new == table and large is None:
-            break
-        table, large = new, None
-    found = _over(work, table, large, _hits, FLOW)
-    one = found.groupBy("rel_path", "rule", "line").agg(F.bool_or("write").alias("write"), F.min_by("function", "source_line").alias("function"), F.min("source_line").alias("source_line"), F.first("via").alias("via"))
+def taint(files: DataFrame) -> DataFrame:
+    """Findings of flows from inputs to sinks in files, through functions of the whole tree (plans/flows.py)."""
+    found = flows.hits(files.filter(F.col("language").isin(*FAMILY) & (F.length("content") <= MAX_FLOW_BYTES)))
+    one = found.groupBy("rel_path", "rule", "line").agg(F.bool_or("write").alias("write"), F.min_by("function", "source_line").alias("function"), F.min("source_line").alias("source_line"), F.min("via").alias("via"))
     one = one.withColumn("flow", F.struct("source_line", F.col("line").alias("sink_line"))).withColumn("description", F.concat(F.replace(F.col("rule"), F.lit("-"), F.lit(" ")), F.coalesce(F.concat(F.lit(" (via "), "via", F.lit("())")), F.lit(""))))
     metas = {f"{fam}-{KEY_NAMES[k]}": (*v, "taint") for fam in CALLS for k, v in SINKS.items() if (fam, k) not in LACKING}
     return _shaped(one, metas)
 
 
-def units(files: DataFrame) -> DataFrame:
-    """rel_path, language, unit (the analysis of the file, pickled for the rounds that follow) and called (the names that it calls)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                done = [source.analysed(t or "", lang) for lang, t in zip(part.column("language").to_pylist(), part.column("content").to_pylist())]
-                called = [sorted({c["callee"] for c in u.calls} | set(re.findall(r"([A-Za-z_]\w*)\s*\(", " ".join([a["value"] for a in u.assigns] + [f["body"] for f in u.functions])))) for u in done]
-                yield pa.RecordBatch.from_pydict({"rel_path": part.column("rel_path"), "language": part.column("language"), "unit": pa.array([pickle.dumps(u) for u in done], pa.binary()), "called": pa.array(called, pa.list_(pa.string()))})
-
-    return files.select("rel_path", "language", "content").mapInArrow(run, "rel_path string, language string, unit binary, called array<string>")
-
-
-def _by_name(rows) -> dict[str, dict[str, dict]]:  # noqa: ANN001
-    out: dict[str, dict[str, dict]] = {}
-    for r in rows:
-        out.setdefault(r["family"], {})[r["name"]] = {"name": r["name"], "params": r["params"], "returns_source": r["returns_source"], "sinks": {k: list(v) for k, v in dict(r["sinks"] or {}).items()}}
-    return out
-
-
-def _over(work: DataFrame, table: dict, large: DataFrame | None, fn, schema: str) -> DataFrame:  # noqa: ANN001
-    """The rows that fn makes of each file (path, language, unit and the summaries it may use)."""
-    shared = work.sparkSession.sparkContext.broadcast(table)
-    if large is not None:
-        family = mapped(F.col("language"), FAMILY)
-        called = work.select("rel_path", family.alias("family"), F.explode("called").alias("name")).distinct()
-        own = called.join(large.hint("merge"), ["family", "name"]).groupBy("rel_path").agg(F.collect_list(F.struct("family", "name", "params", "returns_source", "sinks")).alias("own"))
-        work = work.join(own.hint("merge"), "rel_path", "left").select("rel_path", "language", "unit", "called", "own")
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-        kinds = _FLOW_KINDS if fn is _hits else _SUMMARY_KINDS
-        for batch in batches:
-            rows, given = [], batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * batch.num_rows
-            for path, lang, unit, own in zip(*[batch.column(k).to_pylist() for k in range(3)], given):
-                rows += fn(path, lang, pickle.loads(unit), (_by_name(own) if own else shared.value).get(FAMILY[lang], {}))
-            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(names, kinds))})
-
-    return work.mapInArrow(run, schema)
-
-
-_FLOW_KINDS = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string())
-_SUMMARY_KINDS = (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.map_(pa.string(), pa.list_(pa.int32())))
-
-
-def _told(path: str, lang: str, unit: source.Unit, summaries: dict[str, dict]) -> list[tuple]:
-    own = {s["name"]: s for s in flows(unit, lang, {})[1]}
-    return [(r["family"], r["name"], r["params"], r["returns_source"], list(r["sinks"].items())) for r in flows(unit, lang, {**own, **summaries})[1]]
-
-
-def _hits(path: str, lang: str, unit: source.Unit, summaries: dict[str, dict]) -> list[tuple]:
-    return [(path, h["rule"], h["line"], h["function"], h["source_line"], h["write"], h["via"]) for h in flows(unit, lang, summaries)[0]]
-
-
-#: Functions with a summary up to which the table of summaries is shared with all tasks.
-SMALL_SUMMARIES = 200_000
-
-
 def audit(files: DataFrame) -> DataFrame:
     """All findings in files (rel_path, language, content): text rules, structure without its twins among the flows, flows."""
     from quern.plans import report

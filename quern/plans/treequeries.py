@@ -1,0 +1,301 @@
+"""Queries over trees of source files that are built from the rows of the given tables, and the SQL that works out their rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.operators import graph, nodes, scans, source
+from quern.plans import rules, samples
+from quern.sources.files import language_of
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def q(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def s(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def numbered(cases: list, *columns: str) -> str:
+    """The cases that have a first cell as rows of SQL: their number and the columns named."""
+    rows = ", ".join(f"({n}, {', '.join(s(x) if isinstance(x, str) else str(x) for x in c[: len(columns)])})" for n, c in enumerate(cases) if c[0])
+    return f"(VALUES {rows}) c(n, {', '.join(columns)})"
+
+
+STATEMENTS, FLOWS = samples.statement_cases(), samples.flow_cases()
+WAYS = [(line, end, text) for end, text, line in samples.WAYS]
+
+
+@q(f"SELECT o_orderkey, rule FROM orders JOIN {numbered(STATEMENTS, 'rule')} ON o_orderkey % {len(STATEMENTS)} = n")
+def rules_over_orders(spark, d):
+    """Every structural rule, in every shape of its language, over a file for each order."""
+    hit = rules.structural(samples.dealt(t(spark, d, "orders"), "o_orderkey", STATEMENTS))
+    return hit.select(samples.key_of(F.col("file")).alias("o_orderkey"), "rule").distinct()
+
+
+@q(f"SELECT c_custkey, rule FROM customer JOIN {numbered(FLOWS, 'rule')} ON c_custkey % {len(FLOWS)} = n")
+def flow_rules_over_customers(spark, d):
+    """Every flow rule over a file for each customer."""
+    hit = rules.taint(samples.dealt(t(spark, d, "customer"), "c_custkey", FLOWS))
+    return hit.select(samples.key_of(F.col("file")).alias("c_custkey"), "rule").distinct()
+
+
+@q(f"SELECT p_partkey, line FROM part JOIN {numbered(WAYS, 'line')} ON p_partkey % {len(WAYS)} = n")
+def flow_ways_over_parts(spark, d):
+    """Flows through what calls change, places, targets taken apart, fields, guards and returned values, over a file for each part."""
+    hit = rules.taint(samples.dealt(t(spark, d, "part"), "p_partkey", WAYS))
+    return hit.select(samples.key_of(F.col("file")).alias("p_partkey"), "line")
+
+
+# A function for each customer, whose statements are its orders: names v0 to v4 are bound, added to, cleaned and used.
+_VARS = 5
+_TEXT = {0: "v# = request.args['k']", 1: "v# = v~", 2: "v#.append(v~)", 3: "v#['k'] = v~", 4: "v# = int(v~)", 5: "c.execute('x' + v~)", 6: "v#, w = v~, 1"}
+
+
+@q(f"""WITH RECURSIVE o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 7 AS kind, (o_orderkey // 7) % {_VARS} AS x, (o_orderkey // 35) % {_VARS} AS y FROM orders),
+r(o_custkey, n, held, hit) AS (SELECT DISTINCT o_custkey, 0::BIGINT, [false, false, false, false, false], false FROM o
+ UNION ALL SELECT r.o_custkey, o.n, CASE WHEN kind = 5 THEN held ELSE list_transform(range(0, {_VARS}), lambda k: CASE WHEN k <> x THEN held[k + 1] WHEN kind = 0 THEN true WHEN kind = 4 THEN false WHEN kind IN (2, 3) THEN held[k + 1] OR held[y + 1] ELSE held[y + 1] END) END, kind = 5 AND held[y + 1]
+ FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.n = r.n + 1)
+SELECT o_custkey, (n + 1)::INTEGER AS line FROM r WHERE hit""")
+def flows_of_statements(spark, d):
+    """Flows in a function for each customer, whose statements are its orders, against a recursive fold of them."""
+    key = F.col("o_orderkey")
+    text = F.element_at(F.array(*[F.lit(_TEXT[k]) for k in range(7)]), (key % 7 + 1).cast("int"))
+    text = F.replace(F.replace(text, F.lit("#"), F.expr(f"cast((o_orderkey div 7) % {_VARS} as string)")), F.lit("~"), F.expr(f"cast((o_orderkey div 35) % {_VARS} as string)"))
+    rows = t(spark, d, "orders").select("o_custkey", F.struct(key, F.concat(F.lit("    "), text).alias("line")).alias("r"))
+    body = rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("body"))  # a customer's orders
+    files = body.select(F.format_string("src/%d/a.py", "o_custkey").alias("rel_path"), F.concat(F.format_string("def f%d(c):\n", "o_custkey"), "body", F.lit("\n")).alias("content"), F.lit("python").alias("language"))
+    return rules.taint(files).select(samples.key_of(F.col("file")).alias("o_custkey"), "line")
+
+
+# A file for each supplier, whose function calls that of the next one; every sixth hands its parameter to a sink.
+@q("""SELECT a.s_suppkey, min(b.s_suppkey) - a.s_suppkey AS steps FROM supplier a JOIN supplier b ON b.s_suppkey > a.s_suppkey AND b.s_suppkey % 6 = 5
+WHERE a.s_suppkey % 6 <> 5 AND a.s_suppkey % 2 = 0 GROUP BY a.s_suppkey""")
+def flows_through_files(spark, d):
+    """Flows through chains of functions, a file for each supplier: even ones hand an input to the function of the next."""
+    key = F.col("s_suppkey")
+    step = F.when(key % 6 == 5, F.lit("os.system(x)")).otherwise(F.concat(F.lit("step"), (key + 1).cast("string"), F.lit("(x)")))
+    ask = F.when((key % 2 == 0) & (key % 6 != 5), F.concat(F.lit("def ask"), key.cast("string"), F.lit("():\n    step"), (key + 1).cast("string"), F.lit("(request.args['x'])\n"))).otherwise(F.lit(""))
+    files = t(spark, d, "supplier").select("s_suppkey", F.format_string("src/%d/a.py", key).alias("rel_path"), F.concat(F.lit("import os\ndef step"), key.cast("string"), F.lit("(x):\n    "), step, F.lit("\n"), ask).alias("content"), F.lit("python").alias("language"))
+    hit = rules.taint(files)
+    to = F.ceil((samples.key_of(F.col("file")) + 1 - 5) / 6) * 6 + 5
+    return hit.select(samples.key_of(F.col("file")).alias("s_suppkey"), (to - samples.key_of(F.col("file"))).cast("long").alias("steps"))
+
+
+# A source file for each part k, in Python, Java or Rust by k modulo 3: a type with k modulo 4 functions; even ones loop and call pack, odd ones call seal with a text.
+_PY = ("import depot.parts\n# part § of the depot\nclass Part§:\n", "    def f§_¤(self, x):\n        for y in x:\n            pack(y)\n", "    def f§_¤(self, x):\n        seal(\"s¤\")\n", "")
+_JAVA = ("import depot.Parts;\n// part § of the depot\npublic class Part§ {\n", "    public int f§_¤(int x) {\n        for (int y : x) { pack(y); }\n        return x;\n    }\n", "    int f§_¤(int x) {\n        seal(\"s¤\");\n        return x;\n    }\n", "}\n")
+_RUST = ("use depot::parts;\n// part § of the depot\nimpl Part§ {\n", "    pub fn f§_¤(x: u32) -> u32 {\n        for y in x { pack(y); }\n        x\n    }\n", "    fn f§_¤(x: u32) -> u32 {\n        seal(\"s¤\");\n        x\n    }\n", "}\n")
+_ENDS = ("py", "java", "rs")
+
+
+def parts_tree(spark: SparkSession, d: str) -> DataFrame:
+    """p_partkey, rel_path, content and language of the file of each part."""
+    k = F.col("p_partkey").cast("string")
+
+    def text(templates: tuple[str, str, str, str]) -> Column:
+        head, even, odd, tail = (F.replace(F.lit(x), F.lit("§"), k) for x in templates)
+        body = F.transform(F.expr("CASE WHEN p_partkey % 4 > 0 THEN sequence(0L, p_partkey % 4 - 1) ELSE array() END"), lambda j: F.replace(F.when(j % 2 == 0, even).otherwise(odd), F.lit("¤"), j.cast("string")))
+        return F.concat(head, F.array_join(body, ""), tail)
+
+    which = F.col("p_partkey") % 3
+    content = F.when(which == 0, text(_PY)).when(which == 1, text(_JAVA)).otherwise(text(_RUST))
+    path = F.concat(F.lit("src/"), k, F.lit("/part."), F.element_at(F.array(*map(F.lit, _ENDS)), (which + 1).cast("int")))
+    return t(spark, d, "part").select("p_partkey", path.alias("rel_path"), content.alias("content")).withColumn("language", language_of(F.col("rel_path")))
+
+
+_F = "(SELECT p_partkey AS k, p_partkey % 3 AS g, unnest(range(0, p_partkey % 4)) AS j FROM part)"
+#: The first line of function j, and its last.
+_START = "CASE WHEN g = 0 THEN 4 + 3 * ((j + 1) // 2) + 2 * (j // 2) ELSE 4 + 4 * j END"
+_LAST = f"({_START}) + CASE WHEN g <> 0 THEN 3 WHEN j % 2 = 0 THEN 2 ELSE 1 END"
+
+
+def _found(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return source.exploded(source.analysis(parts_tree(spark, d)), table).withColumn("p_partkey", samples.key_of(F.col("rel_path")))
+
+
+@q(f"""SELECT k AS p_partkey, 'f' || k || '_' || j AS name, CASE g WHEN 2 THEN 'Part' || k || '::' ELSE 'Part' || k || '.' END || 'f' || k || '_' || j AS qualified_name, 'Part' || k AS owner,
+({_START})::INTEGER AS start_line, ({_LAST})::INTEGER AS end_line, CASE g WHEN 0 THEN 'self,x' ELSE 'x' END AS params, g = 0 OR j % 2 = 0 AS is_public,
+CASE g WHEN 0 THEN 'def f' || k || '_' || j || '(self, x)' WHEN 1 THEN CASE WHEN j % 2 = 0 THEN 'public ' ELSE '' END || 'int f' || k || '_' || j || '(int x)' ELSE CASE WHEN j % 2 = 0 THEN 'pub ' ELSE '' END || 'fn f' || k || '_' || j || '(x: u32) -> u32' END AS signature FROM {_F}""")
+def functions_over_parts(spark, d):
+    """Functions with their owner, range, parameters, visibility and signature."""
+    return _found(spark, d, "functions").select("p_partkey", "name", "qualified_name", "owner", "start_line", "end_line", F.array_join("params", ",").alias("params"), "is_public", "signature")
+
+
+@q("SELECT p_partkey, 'Part' || p_partkey AS name, CASE p_partkey % 3 WHEN 2 THEN 'impl' ELSE 'class' END AS kind, 3::INTEGER AS start_line, '# part ' || p_partkey || ' of the depot' AS doc FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'Part' || p_partkey, CASE p_partkey % 3 WHEN 2 THEN 'impl' ELSE 'class' END, 3, '// part ' || p_partkey || ' of the depot' FROM part WHERE p_partkey % 3 <> 0")
+def types_over_parts(spark, d):
+    """Types with their kind and the comment before them."""
+    return _found(spark, d, "types").select("p_partkey", "name", "kind", "start_line", "doc")
+
+
+@q("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'depot.parts' WHEN 1 THEN 'depot.Parts' ELSE 'depot::parts' END AS path, 1::INTEGER AS line FROM part")
+def imports_over_parts(spark, d):
+    return _found(spark, d, "imports").select("p_partkey", "path", "line")
+
+
+@q(f"SELECT k AS p_partkey, '\"s' || j || '\"' AS value, (({_START}) + 1)::INTEGER AS line FROM {_F} WHERE j % 2 = 1")
+def strings_over_parts(spark, d):
+    return _found(spark, d, "strings").select("p_partkey", "value", "line")
+
+
+@q("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '# part ' ELSE '// part ' END || p_partkey || ' of the depot' AS text, 2::INTEGER AS line FROM part")
+def comments_over_parts(spark, d):
+    return _found(spark, d, "comments").select("p_partkey", "text", "line")
+
+
+@q(f"SELECT k AS p_partkey, CASE WHEN j % 2 = 0 THEN 'pack' ELSE 'seal' END AS callee, 'f' || k || '_' || j AS function, CASE WHEN j % 2 = 0 THEN 'y' ELSE '\"s' || j || '\"' END AS args, (({_START}) + CASE WHEN j % 2 = 0 AND g = 0 THEN 2 ELSE 1 END)::INTEGER AS line FROM {_F}")
+def calls_over_parts(spark, d):
+    """Calls with their arguments and the function around them."""
+    return _found(spark, d, "calls").select("p_partkey", "callee", "function", F.array_join("args", ", ").alias("args"), "line")
+
+
+@q("SELECT CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'rust' END AS language, count(*) AS files, sum(p_partkey % 4)::BIGINT AS functions FROM part GROUP BY 1")
+def languages_over_parts(spark, d):
+    """Files and functions by language."""
+    found = source.analysis(parts_tree(spark, d))
+    return found.groupBy("language").agg(F.count("rel_path").alias("files"), F.sum(F.size("functions")).cast("long").alias("functions"))
+
+
+@q(f"SELECT k AS p_partkey, 'f' || k || '_' || j AS name FROM {_F} WHERE g <> 0 AND j % 2 = 0 OR g = 0")
+def public_outline_over_parts(spark, d):
+    """The public functions of every file."""
+    return _found(spark, d, "functions").filter("is_public").select("p_partkey", "name")
+
+
+@q(f"SELECT k AS p_partkey, 'Part' || k AS owner, 'f' || k || '_' || j AS function, 'pack' AS callee FROM {_F} WHERE j % 2 = 0")
+def nested_code_nodes(spark, d):
+    """Patterns four levels deep: types with a function with a branch with a call, their captures named."""
+    n = nodes.code_nodes(parts_tree(spark, d)).persist()
+    call = nodes.Pattern("call", "text = 'pack'", "call")
+    p = nodes.Pattern("type", None, "type", (nodes.Pattern("function", None, "function", (nodes.Pattern("branch", "text = 'for'", None, (call,)),)),))
+    got = nodes.matches(n, p, "rel_path").join(n.filter("kind = 'type'").select("rel_path", F.col("pre").alias("type"), F.col("text").alias("owner")), ["rel_path", "type"])
+    for c in ("function", "call"):
+        got = got.join(n.filter(F.col("kind") == c).select("rel_path", F.col("pre").alias(c), F.col("text").alias(f"{c}_name")), ["rel_path", c])
+    return got.select(samples.key_of(F.col("rel_path")).alias("p_partkey"), "owner", F.col("function_name").alias("function"), F.col("call_name").alias("callee"))
+
+
+@q(f"SELECT k AS p_partkey, 'f' || k || '_' || j AS function FROM {_F} WHERE j % 2 = 1")
+def code_nodes_without(spark, d):
+    """Functions with a call of seal whose argument is a text, and without a branch."""
+    n = nodes.code_nodes(parts_tree(spark, d)).persist()
+    p = nodes.Pattern("function", None, "function", (nodes.Pattern("call", "text = 'seal'", None, (nodes.Pattern("string"),)),), (nodes.Pattern("branch"),))
+    got = nodes.matches(n, p, "rel_path").join(n.filter("kind = 'function'").select("rel_path", F.col("pre").alias("function"), F.col("text").alias("name")), ["rel_path", "function"])
+    return got.select(samples.key_of(F.col("rel_path")).alias("p_partkey"), F.col("name").alias("function"))
+
+
+_TAGS = r"""<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\s+[^\s=<>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?)*)\s*/?>"""
+_BARE = r"regexp_replace(html, '(?s)<!--.*?-->|(<script\b[^>]*>).*?</script>|(<style\b[^>]*>).*?</style>', '\1\2', 'g')"
+#: Elements with their ends, by a recursive walk over the tags of a page that holds a stack of the open ones of each name.
+_NODES = f"""t0 AS (SELECT page_id, unnest(range(len(x))) AS pos, unnest(x) AS text FROM (SELECT page_id, regexp_extract_all({_BARE}, {s(_TAGS)}) AS x FROM pages)),
+t AS (SELECT page_id, pos, text, lower(regexp_extract(text, {s(_TAGS)}, 2)) AS kind, text LIKE '</%' AS closes FROM t0),
+v AS (SELECT *, kind IN ({", ".join(s(x) for x in nodes.VOID)}) AS void, max(pos) OVER (PARTITION BY page_id) + 1 AS last FROM t),
+r(page_id, pos, kind, opened, shut, shut_at) AS (SELECT page_id, -1::BIGINT, kind, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT page_id, kind FROM v WHERE NOT void)
+ UNION ALL SELECT r.page_id, m.pos, r.kind, CASE WHEN NOT m.closes THEN list_append(r.opened, m.pos) WHEN len(r.opened) > 0 THEN r.opened[:-2] ELSE r.opened END, CASE WHEN m.closes AND len(r.opened) > 0 THEN r.opened[-1] END, m.pos
+ FROM r JOIN (SELECT page_id, kind, pos, closes, coalesce(lag(pos) OVER (PARTITION BY page_id, kind ORDER BY pos), -1) AS before FROM v WHERE NOT void) m ON m.page_id = r.page_id AND m.kind = r.kind AND m.before = r.pos),
+e AS (SELECT v.page_id, v.pos AS pre, v.kind, v.text, CASE WHEN void THEN v.pos ELSE coalesce(r.shut_at, v.last) END AS post FROM v LEFT JOIN r ON r.page_id = v.page_id AND r.shut = v.pos WHERE NOT v.closes)"""
+
+
+@q(f"WITH RECURSIVE {_NODES} SELECT page_id, pre, post, kind FROM e")
+def html_tree_nodes(spark, d):
+    """Every element of pages with its place and its end."""
+    n = nodes.html_nodes(t(spark, d, "pages"), "html", "page_id")
+    return n.select("page_id", F.col("pre").cast("long").alias("pre"), F.col("post").cast("long").alias("post"), "kind")
+
+
+@q(f"""WITH RECURSIVE {_NODES} SELECT DISTINCT a.page_id, a.pre AS nav, l.pre AS item, x.pre AS link FROM e a JOIN e u ON u.page_id = a.page_id AND u.kind = 'ul' AND u.pre > a.pre AND u.pre < a.post
+JOIN e l ON l.page_id = a.page_id AND l.kind = 'li' AND l.pre > u.pre AND l.pre < u.post JOIN e x ON x.page_id = a.page_id AND x.kind = 'a' AND x.pre > l.pre AND x.pre < l.post AND x.text LIKE '%href="/t%' WHERE a.kind = 'nav'""")
+def html_nested_links(spark, d):
+    """Patterns four levels deep over HTML: links whose address begins so, in items of lists of menus, with three captures."""
+    n = nodes.html_nodes(t(spark, d, "pages"), "html", "page_id")
+    link = nodes.Pattern("a", "text like '%href=\"/t%'", "link")
+    p = nodes.Pattern("nav", None, "nav", (nodes.Pattern("ul", None, None, (nodes.Pattern("li", None, "item", (link,)),)),))
+    return nodes.matches(n, p, "page_id").select("page_id", *[F.col(c).cast("long").alias(c) for c in ("nav", "item", "link")])
+
+
+# A tree of modules: a file for each part, that imports the module of half its number, a library, and a name that is nowhere.
+def _modules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("use std::fmt;\nuse crate::depot::m"), F.expr("p_partkey div 2").cast("string"), F.lit(";\n"), F.when(k % 5 == 0, F.lit("use crate::depot::gone;")).otherwise(F.lit("fn f() {}")), F.lit("\n"))
+    return t(spark, d, "part").select(F.concat(F.lit("depot/m"), k.cast("string"), F.lit(".rs")).alias("rel_path"), text.alias("content"), F.lit("rust").alias("language"), (k % 9 == 0).alias("restricted"))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    files = _modules(spark, d)
+    return graph.dependency_edges(source.exploded(source.analysis(files), "imports"), files.select("rel_path", "restricted"))
+
+
+_HALF = "SELECT a.p_partkey AS k, a.p_partkey // 2 AS h, b.p_partkey IS NOT NULL AS there FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey // 2"
+
+
+@q(f"""SELECT 'depot/m' || k || '.rs' AS src, CASE WHEN there THEN 'depot/m' || h || '.rs' ELSE 'crate::depot::m' || h END AS dst, CASE WHEN NOT there THEN 'unresolved' WHEN h % 9 = 0 THEN 'restricted' ELSE 'internal' END AS kind, 2::INTEGER AS line FROM ({_HALF})
+UNION ALL SELECT 'depot/m' || p_partkey || '.rs', 'std::fmt', 'external', 1 FROM part UNION ALL SELECT 'depot/m' || p_partkey || '.rs', 'crate::depot::gone', 'unresolved', 3 FROM part WHERE p_partkey % 5 = 0""")
+def import_graph_over_parts(spark, d):
+    """Imports of a tree of modules, resolved to files, libraries and open ends."""
+    return _edges(spark, d).select("src", "dst", "kind", "line")
+
+
+@q(f"SELECT count(*) AS files, sum(2 + (k % 5 = 0)::INT)::BIGINT AS imports, count(*) FILTER (there)::BIGINT AS resolved FROM ({_HALF})")
+def import_coverage_over_parts(spark, d):
+    """How many imports of the tree lead to a file."""
+    lists = graph.dependency_lists(_edges(spark, d))
+    return lists.agg(F.count("src").alias("files"), F.sum("imports_total").alias("imports"), F.sum("resolved_internal").alias("resolved"))
+
+
+# Aliases: a configuration for each nation, with a pattern of its own and one by its region; an import of scripts for each page's address.
+@q(f"""WITH i AS (SELECT page_id, 'src/p' || page_id || '.ts' AS src, '@n' || (page_id % 25) || '/r' || (page_id % 5) || '/m' || page_id AS path FROM pages),
+a AS (SELECT n_nationkey AS n, 1 AS rank, '@n' || n_nationkey || '/r' || (n_nationkey % 3) || '/*' AS pattern, '@n' || n_nationkey || '/r' || (n_nationkey % 3) || '/' AS front, 'deep/' || n_nationkey || '/' AS target FROM nation
+ UNION ALL SELECT n_nationkey, 2, '@n' || n_nationkey || '/*', '@n' || n_nationkey || '/', 'flat/' || n_nationkey || '/' FROM nation),
+m AS (SELECT i.src, i.path, a.rank, a.pattern, a.target || substr(i.path, length(a.front) + 1) || '.ts' AS dst FROM i JOIN a ON starts_with(i.path, a.front)),
+f AS (SELECT 'deep/' || (page_id % 25) || '/m' || page_id || '.ts' AS rel_path FROM pages WHERE page_id % 2 = 0 UNION SELECT 'flat/' || (page_id % 25) || '/r' || (page_id % 5) || '/m' || page_id || '.ts' FROM pages WHERE page_id % 3 <> 0)
+SELECT src, path, arg_min(dst, pattern) AS dst FROM m JOIN f ON f.rel_path = m.dst GROUP BY src, path""")
+def alias_stems_over_pages(spark, d):
+    """Imports that patterns with a star resolve: they meet the patterns by whole segments, on equality."""
+    p = t(spark, d, "pages").selectExpr("concat('src/p', page_id, '.ts') AS src", "concat('@n', page_id % 25, '/r', page_id % 5, '/m', page_id) AS path", "'typescript' AS language", "page_id")
+    n = t(spark, d, "nation").selectExpr("'' AS config_dir", "0 AS depth", "'.' AS base_url", "0 AS pos", "n_nationkey AS n")
+    deep = n.selectExpr("config_dir", "depth", "base_url", "concat('@n', n, '/r', n % 3, '/*') AS pattern", "pos", "concat('deep/', n, '/*') AS target")
+    flat = n.selectExpr("config_dir", "depth", "base_url", "concat('@n', n, '/*') AS pattern", "pos", "concat('flat/', n, '/*') AS target")
+    files = p.filter("page_id % 2 = 0").selectExpr("concat('deep/', page_id % 25, '/m', page_id, '.ts') AS rel_path").unionByName(p.filter("page_id % 3 != 0").selectExpr("concat('flat/', page_id % 25, '/r', page_id % 5, '/m', page_id, '.ts') AS rel_path")).withColumn("restricted", F.lit(False))
+    out = graph.aliased(p.drop("page_id"), deep.unionByName(flat), files)
+    return out.select("src", "path", F.col("hit.rel_path").alias("dst"))
+
+
+_HALVES = "(SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS key, event_type, ts, value FROM events)"
+
+
+def _halves(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS key", "event_type", "ts", "CAST(floor(value * 100) AS BIGINT) AS size")
+
+
+@q(f"SELECT event_id, sum(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY key ORDER BY ts, event_id)::BIGINT AS used FROM {_HALVES}")
+def running_sums_of_a_hot_key(spark, d):
+    """Running sums by key, one of which has a third of all rows: its rows are dealt to many tasks."""
+    return scans.running(_halves(spark, d), ("key",), ("ts", "event_id"), "size", "used").select("event_id", "used")
+
+
+@q(f"SELECT event_id, lag(event_type) OVER w AS one, lag(event_type, 2) OVER w AS two, lag(event_type, 3) OVER w AS three FROM {_HALVES} WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)")
+def lags_of_a_hot_key(spark, d):
+    return scans.lagged(_halves(spark, d), ("key",), ("ts", "event_id"), "event_type", ("one", "two", "three")).select("event_id", "one", "two", "three")
+
+
+@q("SELECT event_id FROM (SELECT event_id, sum(CAST(floor(value) AS BIGINT)) OVER (ORDER BY ts, event_id) AS used FROM events) WHERE used <= 40000")
+def budget_of_a_whole_table(spark, d):
+    """The events whose values, added up over the whole table, stay within a budget; no task orders them all."""
+    rows = t(spark, d, "events").selectExpr("event_id", "ts", "CAST(floor(value) AS BIGINT) AS size")
+    return graph.within_budget(rows, "size", 40_000, "ts", "event_id").select("event_id")

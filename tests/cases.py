@@ -1,4 +1,4 @@
-"""Queries over small inline trees and tables, each with the rows that it must give, written by hand as SQL values."""
+"""Small inline trees and tables for tests, each with the rows that a query must give of it, written by hand as SQL values."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import redact, text
 from quern.operators import findings as fd
 from quern.operators import graph, lines, markov, source
-from quern.plans import catalogue, corpus, insight, report, rules
+from quern.plans import catalogue, insight, report, rules
 from quern.sources import files as fs
 from quern.sources import linters
 from quern.sources import settings as st
@@ -59,24 +59,6 @@ def rendered(spark: SparkSession, out: str) -> DataFrame:
 
 # ---- rules
 
-
-def _audited(spark: SparkSession, rows: tuple, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    cases = spark.createDataFrame(corpus.cases(rows), "rule string, kind string, rel_path string, content string")
-    hit = found(cases.select("rel_path", "content", fs.language_of(F.col("rel_path")).alias("language")))
-    hit = hit.select("rule", F.col("file").alias("rel_path")).distinct().withColumn("reported", F.lit(True))
-    return cases.join(hit, ["rule", "rel_path"], "left").select("rule", "kind", F.coalesce("reported", F.lit(False)).alias("reported"))
-
-
-@gives("rule:s kind:s reported:b", *[(r, k, k != "safe") for r, k, _, _ in corpus.cases(corpus.STRUCTURAL)])
-def rule_catalogue_audit(spark):
-    return _audited(spark, corpus.STRUCTURAL, rules.structural)
-
-
-@gives("rule:s kind:s reported:b", *[(r, k, k != "safe") for r, k, _, _ in corpus.cases(corpus.FLOWS)])
-def flow_catalogue_audit(spark):
-    return _audited(spark, corpus.FLOWS, rules.taint)
-
-
 CROSS = {
     "runner.py": "import os\n\ndef launch(cmd):\n    os.system(cmd)\n", "relay.py": "def relay(x):\n    launch(x)\n", "far.py": "def far(y):\n    relay(y)\n",
     "app.py": "def view():\n    q = request.args['q']\n    far(q)\n", "inputs.py": "def given():\n    return request.form['n']\n", "sql.py": "def view2(cur):\n    cur.execute('select a from t where n = ' + given())\n",

@@ -4,8 +4,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quern.plans import cases, corpus, catalogue, rules
+from quern.plans import catalogue, rules, samples
+from tests import cases
 
 
 def rows(columns, found):
@@ -20,10 +22,17 @@ def test_case(spark, name):
     assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
 
 
-def test_corpus_covers_every_rule():
-    assert {r[0] for r in corpus.STRUCTURAL} == {r[0] for r in catalogue.RULES}
-    assert {r[0] for r in corpus.FLOWS} == {f"{a}-{rules.KEY_NAMES[k]}" for a in rules.CALLS for k in rules.SINKS if (a, k) not in rules.LACKING}
-    assert all(len(set(r[2:])) == 3 for r in corpus.STRUCTURAL + corpus.FLOWS)
+def test_samples_cover_every_rule():
+    assert {r[0] for r in samples.FRAGMENTS} == {r[0] for r in catalogue.RULES}
+    assert {r[0] for r in samples.FLOWS} == {f"{a}-{rules.KEY_NAMES[k]}" for a in rules.CALLS for k in rules.SINKS if (a, k) not in rules.LACKING}
+    assert all(bad and fine for _, _, bad, fine in samples.FRAGMENTS) and all(len(set(r[2:])) == 3 for r in samples.FLOWS)
+
+
+def test_every_sample_is_reported_as_it_should_be(spark):
+    for cases_, found in ((samples.statement_cases(), rules.structural), (samples.flow_cases(), rules.taint)):
+        ids = spark.range(len(cases_)).withColumnRenamed("id", "k")
+        got = found(samples.dealt(ids, "k", cases_)).select(samples.key_of(F.col("file")).alias("k"), "rule").distinct().collect()
+        assert Counter(map(tuple, got)) == Counter((n, c[0]) for n, c in enumerate(cases_) if c[0])
 
 
 def test_fixed_lists():

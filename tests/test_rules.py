@@ -47,12 +47,62 @@ def test_flows_across_files(spark):
     assert not twice
 
 
-def test_flows_do_not_depend_on_the_number_of_summaries(spark, monkeypatch):
-    files = table(spark, [("runner.py", "import os\ndef launch(cmd):\n    os.system(cmd)\n"), ("mid.py", "def relay(x):\n    launch(x)\n"), ("app.py", "def view():\n    q = request.args['q']\n    relay(q)\n")])
-    want = sorted(map(tuple, rules.taint(files).select("rule", "file", "line").collect()))
-    monkeypatch.setattr(rules, "SMALL_SUMMARIES", 0)
-    got = sorted(map(tuple, rules.taint(files).select("rule", "file", "line").collect()))
-    assert got == want == [("py-command-injection-taint", "app.py", 3)]
+MORE = {
+    "m.java": "class A { void f(HttpServletRequest request, Statement st) {\n StringBuilder sb = new StringBuilder();\n sb.append(request.getParameter(\"q\"));\n st.executeQuery(sb.toString()); } }\n",
+    "places.py": "def a(c):\n    d['k'] = request.args['q']\n    c.execute('x' + d['k'])\ndef b(c):\n    x, y = request.args['q'], 1\n    c.execute(y)\n    c.execute(x)\n",
+    "guards.py": "def g(name):\n    open(request.args['p'])\n    if name.startswith('a'):\n        pass\ndef h():\n    p, r = request.args['p'], request.args['r']\n    if not p.startswith('/a'):\n        return\n    open(p)\n    open(r)\ndef i():\n    p = request.args['p']\n    log(p.startswith('/a'))\n    open(p)\n",
+    "fields.py": "class X:\n    def one(self):\n        self.q = request.args['q']\n        c.execute(self.q)\n    def two(self):\n        c.execute(self.q)\n    def three(self):\n        self.q = 'a'\n        c.execute(self.q)\n",
+    "same.py": "class A:\n    def run(self):\n        q = request.args['q']\n        print(q)\nclass B:\n    def run(self, cur, q):\n        cur.execute(q)\n",
+    "chain.py": "def f1(a):\n    f2(a)\ndef f2(b):\n    f3(b)\ndef f3(c):\n    f4(c)\ndef f4(d):\n    f5(d)\ndef f5(e):\n    f6(e)\ndef f6(g):\n    os.system(g)\ndef go():\n    f1(request.args['q'])\n",
+    "tail.rs": "fn given(req: Request) -> String {\n    req.query(\"q\")\n}\nfn same(x: String) -> String { format!(\"a {x}\") }\nfn other(x: String) -> String { let a = x; \"b\".to_string() }\nfn run(c: Conn) {\n    let s = same(given());\n    sqlx::query(&s);\n    let t = other(given());\n    sqlx::query(&t);\n}\n",
+    "parts.js": "function v(req, res) { const {q} = req.query;\n db.query('s' + q);\n const n = Number(q);\n db.query('s' + n);\n for (const x of req.body) {\n db.query(x); } }\n",
+    "deep.py": "def z(c):\n    q = request.args['q']\n    c.execute(" + "f(" * 40 + "q" + ")" * 40 + ")\n    c.execute(" + "f(" * 20 + "int(q)" + ")" * 20 + ")\n",
+}
+
+
+def test_flows_through_changes_places_guards_fields_and_returns(spark):
+    got = {(r["file"], r["line"], r["flow"]["source_line"], r["function"]) for r in rules.taint(table(spark, list(MORE.items()))).collect()}
+    assert got == {
+        ("m.java", 4, 3, "f"), ("places.py", 3, 2, "a"), ("places.py", 7, 5, "b"), ("guards.py", 2, 2, "g"), ("guards.py", 10, 6, "h"), ("guards.py", 14, 12, "i"), ("fields.py", 4, 3, "one"), ("fields.py", 6, 3, "two"),
+        ("chain.py", 14, 14, "go"), ("tail.rs", 8, 7, "run"), ("parts.js", 2, 1, "v"), ("parts.js", 6, 5, "v"), ("deep.py", 3, 2, "z"),
+    }
+
+
+def test_extraction_is_linear_in_the_file():
+    import time
+
+    from quern.operators import dataflow
+
+    def took(text):
+        began = time.process_time()
+        dataflow.found(text, "python")
+        return time.process_time() - began
+
+    many = "def f{0}(a):\n    b = a + {0}\n    return g(b)\n\n"
+    took("".join(many.format(k) for k in range(200)))
+    assert took("".join(many.format(k) for k in range(4000))) < 25 * max(took("".join(many.format(k) for k in range(500))), 0.01)
+    assert took("x = " + "f(" * 20000 + "q" + ")" * 20000) < 25 * max(took("x = " + "f(" * 2500 + "q" + ")" * 2500), 0.01)
+
+
+def test_rules_meet_facts_by_their_words(spark):
+    from quern.operators import source
+
+    files = table(spark, [(f"src/{p}", s) for _, p, s in POSITIVE] + [(f"ok/{p}", s) for p, s in SAFE])
+    facts = rules.facts(files, source.analysis(files)).persist()
+    every = facts.count() * len(catalogue.RULES)
+    assert rules.candidates(facts).count() * 50 < every
+    for rule, _, _, exprs, _ in catalogue.RULES:  # a text that fits an expression holds one of its words
+        for e in exprs.values():
+            words = None if e.startswith("!") else rules.required_words(e)
+            assert words is None or all(w == w.lower() and w for w in words)
+    assert rules.required_words(r"^(md5|md4|sha1)$") == {"md5", "md4", "sha1"} and rules.required_words(r"\bunsafe\s*\{") == {"unsafe"}
+    assert rules.required_words(r"innerHTML") is None and rules.required_words(r"(^|\.)DEBUG$") == {"debug"} and rules.required_words(r"^.*$") is None and rules.required_words(r"x?eval\(") is None
+
+
+def test_gates_look_at_the_function_around(spark):
+    text = "class X {\n void f() {\n  q = DocumentBuilderFactory.newInstance();\n  q.setFeature(\"external-general-entities\", false); }\n}\nclass Y {\n void f() {\n  q = DocumentBuilderFactory.newInstance(); }\n}\n"
+    got = [(r["rule"], r["line"]) for r in rules.structural(table(spark, [("a.java", text)])).collect()]
+    assert got == [("java-xxe-unhardened-parser", 8)]
 
 
 def test_audit_drops_structural_twins(spark):
