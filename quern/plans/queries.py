@@ -14,7 +14,7 @@ from quern.functions import redact
 from quern.functions.text import backoff_ms, context_of, escalated, namespace, normal_path
 from quern.operators import findings as fd
 from quern.operators import graph, lines, markov, markup
-from quern.plans import insight, rules, treequeries
+from quern.plans import insight, report, rules, treequeries
 from quern.sources.files import lines as explode_lines
 from quern.sources.files import in_scope, restriction
 from quern.streaming import watch
@@ -439,5 +439,41 @@ def path_contexts(spark, d):
     return t(spark, d, "pages").groupBy(context_of(path).alias("context")).agg(F.count("page_id").alias("n"))
 
 
+# Reports over the findings of events: some are suppressed, some accepted before.
+def _reported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = _findings(spark, d).withColumns({"cwe": F.concat(F.lit("CWE-"), F.length("rule").cast("string")), "category": F.col("rule"), "description": F.concat(F.lit('said "so" of '), "rule")})
+    once = fd.with_stable_ids(fd.first_of_each(found, "event_id"), "event_id")
+    silent = once.filter("event_id % 19 = 0").drop("baselined").withColumn("reason", F.lit("known"))
+    return once.filter("event_id % 19 != 0"), silent
+
+
+_ONCE = f"(SELECT * FROM {_FINDINGS} QUALIFY row_number() OVER (PARTITION BY rule, file, line ORDER BY event_id) = 1)"
+
+
+def _read_back(document: DataFrame, schema: str) -> DataFrame:
+    """The elements of lists of a report that was written, parsed again."""
+    import uuid
+
+    spark = document.sparkSession
+    at = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/report-{uuid.uuid4().hex}"
+    report.written(document, at)
+    return spark.read.text(at).select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("r")).filter("r is not null").select("r.*")
+
+
+@q(f"""SELECT rule, dense_rank() OVER (ORDER BY rule) - 1 AS place, level, suppression, flow, n FROM (SELECT rule, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
+CASE WHEN event_id % 19 = 0 THEN 'inSource' WHEN baselined THEN 'external' END AS suppression, event_id % 17 = 0 AS flow, count(*) AS n FROM {_ONCE} GROUP BY ALL)""")
+def sarif_of_events(spark, d):
+    """A SARIF report that executors wrote, read again: its results by rule, level and suppression."""
+    r = _read_back(report.sarif(*_reported(spark, d)), "ruleId string, ruleIndex long, level string, suppressions array<struct<kind:string>>, codeFlows array<struct<threadFlows:array<struct<locations:array<string>>>>>").filter("ruleId is not null")
+    return r.groupBy(F.col("ruleId").alias("rule"), F.col("ruleIndex").alias("place"), "level", F.get("suppressions", F.lit(0))["kind"].alias("suppression"), F.col("codeFlows").isNotNull().alias("flow")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q(f"SELECT event_id, file, line, rule, CASE WHEN event_id % 19 = 0 THEN 'suppressed' WHEN tier = 'pattern' THEN 'pattern' ELSE 'risk' END AS part FROM {_ONCE} WHERE event_id % 19 = 0 OR context = 'production' AND NOT baselined")
+def summary_of_events(spark, d):
+    """A JSON summary that executors wrote, read again: the findings that it lists."""
+    r = _read_back(report.summary(*_reported(spark, d), 7), "event_id long, file string, line int, rule string, tier string, reason string").filter("event_id is not null")
+    return r.select("event_id", "file", "line", "rule", F.when(F.col("reason").isNotNull(), "suppressed").when(F.col("tier") == "pattern", "pattern").otherwise("risk").alias("part"))
+
+
 QUERIES.update(treequeries.QUERIES)
 SQL.update(treequeries.SQL)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import redact
@@ -41,55 +39,117 @@ def assembled(found: DataFrame, directives: DataFrame, ids: DataFrame) -> tuple[
     return kept, silent
 
 
-def summary(kept: DataFrame, silent: DataFrame, files_scanned: int) -> str:
-    """The JSON summary: totals, counts by context, risks in production, top functions, suppressed findings."""
-    gate = kept.filter("context = 'production' and tier != 'pattern' and not baselined")
-    rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]  # noqa: E731  of a report's size
-    by = {r["context"]: {s: r[s] for s in fd.SEVERITIES} for r in fd.matrix(kept).collect()}
-    top = [{**r.asDict(), "score": r["score"] / 10} for r in fd.ranked_functions(kept).collect()]
-    return json.dumps({
-        "schema_version": SCHEMA_VERSION, "files_scanned": files_scanned, "findings_total": kept.count(), "suppressed_total": silent.count(), "baselined_total": kept.filter("baselined").count(), "by_context": by,
-        "production_risk": rows(gate.orderBy("file", "line", "rule")), "risk_patterns": rows(kept.filter("context = 'production' and tier = 'pattern' and not baselined").orderBy("file", "line", "rule")), "top_risk_functions": top, "suppressed": rows(silent.orderBy("file", "line", "rule")),
-    }, sort_keys=True)
+ORDER = ("file", "line", "rule", "stable_id")
+
+
+def _section(rows: DataFrame, text: Column, listed: bool = True) -> DataFrame:
+    """Rows as lines of a document, in ORDER; as elements of a list each but the first begins with a comma."""
+    keyed = rows.select(*[F.col(c) for c in ORDER], text.alias("text"))
+    if not listed:
+        return keyed
+    first = keyed.agg(F.min(F.struct(*ORDER)).alias("k")).first()["k"]  # one row
+    if first is None:
+        return keyed
+    same = F.lit(True)
+    for c in ORDER:
+        same = same & F.col(c).eqNullSafe(F.lit(first[c]))
+    return keyed.withColumn("text", F.when(same, F.col("text")).otherwise(F.concat(F.lit(","), F.col("text"))))
+
+
+def _line(df: DataFrame, text: Column) -> DataFrame:
+    """The one row of df as a line of a document."""
+    return df.select(F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("").alias("rule"), F.lit("").alias("stable_id"), text.alias("text"))
+
+
+def _document(spark: SparkSession, *parts: DataFrame | str) -> DataFrame:
+    """section, ORDER and text: the lines of a document, part by part. Executors make the lines; nothing of a report's size is collected."""
+    one, out = spark.range(1), None
+    for n, part in enumerate(parts):
+        rows = _line(one, F.lit(part)) if isinstance(part, str) else part
+        rows = rows.select(F.lit(n).alias("section"), F.col("file"), F.col("line").cast("int").alias("line"), F.col("rule"), F.col("stable_id"), "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def written(document: DataFrame, path: str) -> None:
+    """A document as text files under path, dealt by ranges: one after the other, by name, they are the document."""
+    keys = ["section", *ORDER]
+    document.repartitionByRange(*keys).sortWithinPartitions(*keys).select("text").write.mode("errorifexists").text(path)
+
+
+def text_of(document: DataFrame) -> str:
+    """A document of a size to be held at once, as text."""
+    return "\n".join(r["text"] for r in document.orderBy("section", *ORDER).collect()) + "\n"
+
+
+def _whole(rows: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
+
+
+def summary(kept: DataFrame, silent: DataFrame, files_scanned: int) -> DataFrame:
+    """The JSON summary, as a document: totals, counts by context, risks in production, patterns, top functions, suppressed findings."""
+    spark = kept.sparkSession
+    n = kept.agg(F.count(F.lit(1)).alias("findings_total"), F.count_if("baselined").alias("baselined_total"))
+    n = n.join(F.broadcast(silent.agg(F.count(F.lit(1)).alias("suppressed_total"))), F.lit(True))  # one row and one row
+    totals = F.concat(F.lit('{"schema_version":"' + SCHEMA_VERSION + f'","files_scanned":{files_scanned},"findings_total":'), F.col("findings_total").cast("string"), F.lit(',"baselined_total":'), F.col("baselined_total").cast("string"), F.lit(',"suppressed_total":'), F.col("suppressed_total").cast("string"))
+    by = fd.matrix(kept).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("context", F.struct(*fd.SEVERITIES))))).alias("m"))  # a row for each context
+    top = fd.ranked_functions(kept).withColumn("score", F.col("score") / 10)
+    top = top.select(F.col("file"), F.lit(0).alias("line"), F.format_string("%020d", (F.lit(10**9) - F.col("score") * 10).cast("long")).alias("rule"), F.col("function").alias("stable_id"), _whole(top).alias("text"))
+    top = top.withColumn("file", F.concat("rule", F.lit(" "), "file"))  # by falling score
+    gate = kept.filter("context = 'production' and not baselined")
+    risk, patterns = gate.filter("tier != 'pattern'"), gate.filter("tier = 'pattern'")
+    return _document(
+        spark, _line(n, totals), _line(by, F.concat(F.lit(',"by_context":'), F.to_json("m"))), ',"production_risk":[', _section(risk, _whole(risk)), '],"risk_patterns":[', _section(patterns, _whole(patterns)),
+        '],"top_risk_functions":[', _section(top, F.col("text")), '],"suppressed":[', _section(silent, _whole(silent)), "]}",
+    )
 
 
-def sarif(kept: DataFrame, silent: DataFrame, tool: str = "quern") -> str:
-    """SARIF 2.1.0: rules by sorted id, results that point at them, flows as code flows, suppressions by kind."""
+def sarif(kept: DataFrame, silent: DataFrame, tool: str = "quern") -> DataFrame:
+    """SARIF 2.1.0, as a document: rules by sorted id, results that point at them, flows as code flows, suppressions by kind."""
     both = kept.withColumns({"kind": F.when(F.col("baselined"), "external"), "reason": F.lit(None).cast("string")}).unionByName(silent.withColumn("kind", F.lit("inSource")), allowMissingColumns=True)
-    both = both.withColumns({"level": mapped(F.col("severity"), SARIF_LEVEL), "score": mapped(F.col("severity"), SARIF_SCORE)}).orderBy("file", "line", "rule")
-    found = [r.asDict(recursive=True) for r in both.collect()]  # of a report's size
-    rules = sorted({r["rule"] for r in found})
-    place = lambda f, n: {"physicalLocation": {"artifactLocation": {"uri": f}, "region": {"startLine": n}}}
-    place_of, results = {r: k for k, r in enumerate(rules)}, []
-    for r in found:
-        one = {"ruleId": r["rule"], "ruleIndex": place_of[r["rule"]], "level": r["level"], "message": {"text": r["description"]}, "locations": [place(r["file"], r["line"])], "partialFingerprints": {"stableId/v1": r["stable_id"]}, "properties": {"context": r["context"]}}
-        if r["flow"]:
-            one["codeFlows"] = [{"threadFlows": [{"locations": [{"location": place(r["file"], r["flow"][k])} for k in ("source_line", "sink_line")]}]}]
-        if r["kind"]:
-            one["suppressions"] = [{"kind": r["kind"], **({"justification": r["reason"]} if r["reason"] else {})}]
-        results.append(one)
-    meta = {r["rule"]: r for r in found}
-    driver = {"name": tool, "rules": [{"id": k, "properties": {"security-severity": meta[k]["score"], "tags": [x for x in (meta[k]["cwe"], meta[k]["category"]) if x]}} for k in rules]}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]})
-
-
-def baseline(kept: DataFrame, tool: str = "quern") -> str:
-    """The baseline that accepts all that was kept."""
-    ids = kept.agg(F.array_sort(F.collect_set("stable_id")).alias("ids")).first()["ids"]
-    return json.dumps({"version": 1, "generated_by": tool, "findings": ids}, indent=2)
-
-
-def markdown(kept: DataFrame, silent: DataFrame) -> str:
-    """The report for people: the table of counts, risks in production, the riskiest functions, suppressed findings."""
-    out = ["# Audit", "", "| Context | Critical | High | Medium | Low |", "|---|---|---|---|---|"]
-    by = {r["context"]: r for r in fd.matrix(kept).collect()}
-    out += [f"| {c} | " + " | ".join(str(by[c][s]) for s in fd.SEVERITIES) + " |" for c in fd.CONTEXTS]
-    out += ["", "## Production risk", ""]
-    for r in kept.filter("context = 'production' and tier != 'pattern' and not baselined").orderBy("file", "line", "rule").collect():
-        out.append(f"- `{r['file']}:{r['line']}` {r['severity']} {r['rule']}: {r['description']}")
-    out += ["", "## Riskiest functions", ""] + [f"- `{r['function']}` in `{r['file']}`: {r['score'] / 10}" + (" (exposed)" if r["exposed"] else "") for r in fd.ranked_functions(kept).collect()]
-    out += ["", "## Suppressed", ""] + [f"- `{r['file']}:{r['line']}` {r['rule']}: {r['reason']}" for r in silent.orderBy("file", "line", "rule").collect()]
-    return "\n".join(out) + "\n"
+    both = both.withColumns({"level": mapped(F.col("severity"), SARIF_LEVEL), "score": mapped(F.col("severity"), SARIF_SCORE)})
+    rules = both.groupBy("rule").agg(F.max("score").alias("score"), F.min("cwe").alias("cwe"), F.min("category").alias("category"))
+    rules = rules.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rule")) - 1)  # a row for each rule that fired
+    tags = F.filter(F.array("cwe", "category"), lambda x: x.isNotNull())
+    told = F.struct(F.col("rule").alias("id"), F.struct(F.col("score").alias("security-severity"), tags.alias("tags")).alias("properties"))
+    listed = rules.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", told.alias("told")))), lambda x: x["told"]).alias("rules"))
+    driver = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'), F.to_json(F.struct(F.lit(tool).alias("name"), "rules")), F.lit('},"results":['))
+
+    def place(line: Column) -> Column:
+        return F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation"))
+
+    steps = F.array(*[F.struct(place(F.col("flow")[k]).alias("location")) for k in ("source_line", "sink_line")])
+    flows = F.when(F.col("flow").isNotNull(), F.array(F.struct(F.array(F.struct(steps.alias("locations"))).alias("threadFlows"))))
+    result = F.struct(
+        F.col("rule").alias("ruleId"), F.col("place").alias("ruleIndex"), "level", F.struct(F.col("description").alias("text")).alias("message"), F.array(place(F.col("line"))).alias("locations"), F.create_map(F.lit("stableId/v1"), F.col("stable_id")).alias("partialFingerprints"),
+        F.struct("context").alias("properties"), flows.alias("codeFlows"), F.when(F.col("kind").isNotNull(), F.array(F.struct("kind", F.col("reason").alias("justification")))).alias("suppressions"),
+    )
+    found = both.join(F.broadcast(rules.select("rule", "place")), "rule")  # the catalogue's rules at most, and one's own
+    return _document(kept.sparkSession, _line(listed, driver), _section(found, F.to_json(result)), "]}]}")
+
+
+def baseline(kept: DataFrame, tool: str = "quern") -> DataFrame:
+    """The baseline that accepts all that was kept, as a document."""
+    ids = kept.select("stable_id").distinct().select(F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("").alias("rule"), "stable_id")
+    text = F.expr("substring(to_json(array(stable_id)), 2, length(to_json(array(stable_id))) - 2)")
+    return _document(kept.sparkSession, '{"version": 1, "generated_by": "' + tool + '", "findings": [', _section(ids, text), "]}")
+
+
+def markdown(kept: DataFrame, silent: DataFrame) -> DataFrame:
+    """The report for people, as a document: the table of counts, risks in production, the riskiest functions, suppressed findings."""
+    at = F.concat(F.lit("- `"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("` "))
+    by = fd.matrix(kept)
+    row = F.concat(F.lit("| "), F.col("context"), *[F.concat(F.lit(" | "), F.col(c).cast("string")) for c in fd.SEVERITIES], F.lit(" |"))
+    by = by.select(mapped(F.col("context"), {c: str(k) for k, c in enumerate(fd.CONTEXTS)}).alias("file"), F.lit(0).alias("line"), F.lit("").alias("rule"), F.lit("").alias("stable_id"), row.alias("text"))
+    risk = kept.filter("context = 'production' and tier != 'pattern' and not baselined")
+    top = fd.ranked_functions(kept)
+    told = F.concat(F.lit("- `"), "function", F.lit("` in `"), "file", F.lit("`: "), (F.col("score") / 10).cast("string"), F.when(F.col("exposed"), F.lit(" (exposed)")).otherwise(F.lit("")))
+    top = top.select(F.concat(F.format_string("%020d", F.lit(10**9) - F.col("score")), F.lit(" "), "file").alias("file"), F.lit(0).alias("line"), F.lit("").alias("rule"), F.col("function").alias("stable_id"), told.alias("text"))
+    quiet = F.concat(at, "rule", F.lit(": "), F.coalesce("reason", F.lit("None")))
+    return _document(
+        kept.sparkSession, "# Audit\n\n| Context | Critical | High | Medium | Low |\n|---|---|---|---|---|", by, "\n## Production risk\n", _section(risk, F.concat(at, "severity", F.lit(" "), "rule", F.lit(": "), "description"), False),
+        "\n## Riskiest functions\n", top, "\n## Suppressed\n", _section(silent, quiet, False),
+    )
 
 
 def text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

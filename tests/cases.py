@@ -451,14 +451,14 @@ def duplicates_removed(spark):
 
 @gives("findings_total:i suppressed_total:i baselined_total:i risks:s patterns:s top:s score:d", (3, 1, 1, "r1", "r2", "f", 6.0))
 def report_as_json(spark):
-    got = json.loads(report.summary(*_report(spark), files_scanned=3))
+    got = json.loads(report.text_of(report.summary(*_report(spark), files_scanned=3)))
     best = got["top_risk_functions"][0]
     return spark.createDataFrame([(got["findings_total"], got["suppressed_total"], got["baselined_total"], ",".join(r["rule"] for r in got["production_risk"]), ",".join(r["rule"] for r in got["risk_patterns"]), best["function"], best["score"])], "findings_total int, suppressed_total int, baselined_total int, risks string, patterns string, top string, score double")
 
 
 @gives("rule:s rule_index:i level:s uri:s line:i fingerprint:s flow:i suppression:s reason:s score:s", ("r1", 0, "error", "a.py", 3, "r1:a.py:f:1", 0, None, None, "7.5"), ("r2", 1, "note", "a.py", 5, "r2:a.py:-:1", 0, None, None, "2.0"), ("r3", 2, "error", "b.py", 1, "r3:b.py:g:1", 2, "external", None, "9.5"), ("rust-unsafe-code-block", 3, "error", "c.rs", 2, "rust-unsafe-code-block:c.rs:h:1", 0, "inSource", "checked by hand", "7.5"))
 def report_as_sarif(spark):
-    run = json.loads(report.sarif(*_report(spark)))["runs"][0]
+    run = json.loads(report.text_of(report.sarif(*_report(spark))))["runs"][0]
     score = {r["id"]: r["properties"]["security-severity"] for r in run["tool"]["driver"]["rules"]}
     rows = []
     for r in run["results"]:
@@ -471,12 +471,12 @@ def report_as_sarif(spark):
 
 @gives("n:i line:s", (0, "# Audit"), (1, "| Context | Critical | High | Medium | Low |"), (2, "|---|---|---|---|---|"), (3, "| production | 0 | 1 | 0 | 0 |"), (4, "| test | 0 | 0 | 0 | 0 |"), (5, "| fixture | 0 | 0 | 0 | 0 |"), (6, "| detector_definition | 0 | 0 | 0 | 0 |"), (7, "## Production risk"), (8, "- `a.py:3` high r1: one"), (9, "## Riskiest functions"), (10, "- `f` in `a.py`: 6.0"), (11, "## Suppressed"), (12, "- `c.rs:2` rust-unsafe-code-block: checked by hand"))
 def report_as_markdown(spark):
-    return rendered(spark, report.markdown(*_report(spark)))
+    return rendered(spark, report.text_of(report.markdown(*_report(spark))))
 
 
 @gives("version:i ids:s", (1, "r1:a.py:f:1,r2:a.py:-:1,r3:b.py:g:1"))
 def report_as_baseline(spark):
-    got = json.loads(report.baseline(_report(spark)[0]))
+    got = json.loads(report.text_of(report.baseline(_report(spark)[0])))
     return spark.createDataFrame([(got["version"], ",".join(got["findings"]))], "version int, ids string")
 
 

@@ -98,13 +98,13 @@ def test_report(spark):
     kept, silent = report.assembled(found, fd.directives(text), ids)
     rows = {r["stable_id"]: r["baselined"] for r in kept.collect()}
     assert rows == {"r1:a.py:f:1": True, "r1:a.py:f:2": False, "r2:a.py:-:1": False} and silent.first()["reason"] == "known"
-    s = json.loads(report.summary(kept, silent, 2))
+    s = json.loads(report.text_of(report.summary(kept, silent, 2)))
     assert s["by_context"]["production"] == {"critical": 0, "high": 1, "medium": 0, "low": 0} and s["suppressed_total"] == 1 and s["baselined_total"] == 1
     assert s["top_risk_functions"] == [{"file": "a.py", "function": "f", "score": 16.0, "findings": 1, "exposed": True}]
-    run = json.loads(report.sarif(kept, silent))["runs"][0]
+    run = json.loads(report.text_of(report.sarif(kept, silent)))["runs"][0]
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["r1", "r2", "r3"] and len(run["results"]) == 4
     assert {r["suppressions"][0]["kind"] for r in run["results"] if "suppressions" in r} == {"external", "inSource"} and sum("codeFlows" in r for r in run["results"]) == 1
-    assert json.loads(report.baseline(kept))["findings"] == ["r1:a.py:f:1", "r1:a.py:f:2", "r2:a.py:-:1"] and "| production | 0 | 1 | 0 | 0 |" in report.markdown(kept, silent)
+    assert json.loads(report.text_of(report.baseline(kept)))["findings"] == ["r1:a.py:f:1", "r1:a.py:f:2", "r2:a.py:-:1"] and "| production | 0 | 1 | 0 | 0 |" in report.text_of(report.markdown(kept, silent))
 
 
 def test_stable_ids_outlive_moved_lines(spark):
