@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quern.functions.text import comment_sign
 
@@ -167,31 +164,36 @@ def redacted_map(values: Column, mark: str = MARK) -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), F.lit(mark)).otherwise(redacted(v, mark=mark)))
 
 
-def redacted_json(text: Column, custom: Iterable[str] = (), mark: str = MARK) -> Column:
-    """JSON text of any depth: values of sensitive keys are replaced, other strings are searched; null where it is no JSON."""
-    patterns = [(re.compile(p, re.A), mark) for _, p in secrets(custom)]
+_JSON = r'"(?:\\.|[^"\\])*"|[{}\[\],:]|[^\s{}\[\],:"]+'
 
-    def clean(x):  # noqa: ANN001, ANN202
-        if isinstance(x, dict):
-            return {k: mark if k.lower() in SENSITIVE_KEYS else clean(v) for k, v in x.items()}
-        if isinstance(x, list):
-            return [clean(v) for v in x]
-        if isinstance(x, str):
-            for p, m in patterns:
-                x = p.sub(lambda _: m, x)
-        return x
 
-    @F.pandas_udf(StringType())
-    def one(texts: pd.Series) -> pd.Series:
-        def redact(t: str | None) -> str | None:
-            try:
-                return None if t is None else json.dumps(clean(json.loads(t)), separators=(",", ":"), ensure_ascii=False)
-            except ValueError:
-                return None
+def redacted_json(df: DataFrame, column: str, custom: Iterable[str] = (), mark: str = MARK) -> DataFrame:
+    """df with JSON text of any depth redacted: values of sensitive keys are replaced, other strings are searched; null where it is no JSON.
 
-        return texts.map(redact)
-
-    return one(text)
+    Each distinct text is dealt to its tokens; windows over them find keys and where the value of a sensitive one ends,
+    and what is left is put together again, without space between. Texts with a key twice in an object are no JSON.
+    """
+    w = Window.partitionBy("_key").orderBy("pos")
+    key = F.sha2(F.col(column), 256)
+    rows = df.select(column).filter(F.try_parse_json(F.col(column)).isNotNull()).distinct().select(key.alias("_key"), F.posexplode(F.regexp_extract_all(column, F.lit(_JSON), F.lit(0))).alias("pos", "tok"))
+    said = F.get_json_object(F.concat(F.lit("["), "tok", F.lit("]")), "$[0]")
+    opens, closes = F.col("tok").isin("{", "["), F.col("tok").isin("}", "]")
+    rows = rows.withColumn("text", F.when(F.col("tok").startswith('"'), said)).withColumn("is_key", F.col("text").isNotNull() & F.coalesce(F.lead("tok").over(w) == ":", F.lit(False)))
+    rows = rows.withColumn("named", F.coalesce(F.lag(F.col("is_key") & F.lower("text").isin(*SENSITIVE_KEYS), 2).over(w), F.lit(False)) & (F.lag("tok").over(w) == ":"))
+    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("level", depth + F.when(closes, 1).otherwise(0))
+    ends = F.lead("pos").over(Window.partitionBy("_key", "level", opens | closes).orderBy("pos"))  # what closes a bracket is the next bracket of its level
+    rows = rows.withColumn("end", F.when(F.col("named"), F.when(opens, ends).otherwise(F.col("pos"))))
+    gone = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("pos"), F.lit(False))
+
+    def quoted(text: Column) -> Column:
+        whole = F.to_json(F.array(text))
+        return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+    out = F.when(F.col("named"), quoted(F.lit(mark))).when(F.col("is_key"), quoted(F.col("text"))).when(F.col("text").isNotNull(), quoted(redacted(F.col("text"), custom, mark))).otherwise(F.col("tok"))
+    left = rows.withColumn("gone", gone).filter(~F.col("gone")).select("_key", "pos", out.alias("out"))
+    whole = left.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("_json"))  # the tokens of one text
+    return df.withColumn("_key", key).join(whole, "_key", "left").withColumn(column, F.col("_json")).select(*df.columns)
 
 
 def redacted_edges(edges: DataFrame, custom: Iterable[str] = (), on: bool = True) -> DataFrame:

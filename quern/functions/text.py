@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,17 +112,5 @@ def sorted_json(values: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON text of any depth, compact and with the keys of each object in order; null where it is no JSON."""
-    from pyspark.sql.types import StringType
-
-    @F.pandas_udf(StringType())
-    def one(texts: pd.Series) -> pd.Series:
-        def canonical(t: str | None) -> str | None:
-            try:
-                return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-            except ValueError:
-                return None
-
-        return texts.map(canonical)
-
-    return one(text)
+    """JSON text of any depth, compact and with the keys of each object in order; null where it is no JSON, or has a key twice in an object."""
+    return F.to_json(F.try_parse_json(text))
