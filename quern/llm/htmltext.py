@@ -47,42 +47,124 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-class Block:
-    __slots__ = ("path", "text", "linked")
+class Element:
+    """An open element: its words (its name, and those of its class, id and role) and the element around it.
+
+    Elements share what is above them, so a page takes memory and time in proportion to its length, however deep it is.
+    """
+
+    __slots__ = ("tag", "words", "up", "_sum", "_count")
+
+    def __init__(self, tag: str, words: tuple[str, ...], up: "Element | None"):
+        self.tag, self.words, self.up = tag, () if tag in INLINE else words, up
+        self._sum: np.ndarray | None = None
+        self._count = 0
+
+    def told(self) -> tuple[np.ndarray, int]:
+        """The hashed words of the element and all around it, added up, and how many there are."""
+        chain, e = [], self
+        while e is not None and e._sum is None:
+            chain.append(e)
+            e = e.up
+        total, count = (np.zeros(PATHS, np.float32), 0) if e is None else (e._sum, e._count)
+        for e in reversed(chain):
+            if e.words:
+                total = total.copy()
+                for w in e.words:
+                    i, sign = _bucket(w, PATHS, 1)
+                    total[i] += sign
+                count += len(e.words)
+            e._sum, e._count = total, count
+        return total, count
+
+    def last(self, n: int) -> list[str]:
+        """The last n words of the path."""
+        out, e = [], self
+        while e is not None and len(out) < n:
+            out += reversed(e.words[-(n - len(out)) :] if e.words else ())
+            e = e.up
+        return out
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+
+class Block:
+    __slots__ = ("element", "text", "linked")
+
+    def __init__(self, element: Element | None, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The words of the elements around it, from the outermost."""
+        out, e = [], self.element
+        while e is not None:
+            out.append(e.words)
+            e = e.up
+        return tuple(w for words in reversed(out) for w in words)
+
+
+class _Open:
+    """The open elements of a page, with counts and places by name."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.raw = 0
+
+    def top(self) -> Element | None:
+        return self.stack[-1] if self.stack else None
+
+    def has(self, *tags: str) -> bool:
+        return any(self.at.get(t) for t in tags)
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.raw += tag in RAW
+        self.stack.append(Element(tag, words, self.top()))
+
+    def pop(self) -> None:
+        tag = self.stack.pop().tag
+        self.at[tag].pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+        self.raw -= tag in RAW
+
+    def close(self, tag: str) -> None:
+        """Closes the last element of that name and all in it; one inside a line is not sought beyond the block around."""
+        places = self.at.get(tag)
+        if not places or tag in INLINE and self.blocks and self.blocks[-1] > places[-1]:
+            return
+        to = places[-1]
+        while len(self.stack) > to:
+            self.pop()
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf sequence of a page: text runs of blocks with the words of the tags above them."""
+    """The leaf sequence of a page: text runs of blocks, each with the element that it stands in."""
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = _Open()
     run: list[str] = []
-    state = {"linked": 0, "path": ()}
-
-    def path() -> tuple[str, ...]:
-        return tuple(w for tag, words in stack if tag not in INLINE for w in words)
+    state: dict = {"linked": 0, "element": None}
 
     def flush() -> None:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                out.append(Block(state["path"], text, state["linked"]))
+                out.append(Block(state["element"], text, state["linked"]))
         run.clear()
         state["linked"] = 0
 
     def add(text: str) -> None:
-        if not text:
-            return
-        if any(t in RAW for t, _ in stack):
+        if not text or opened.raw:
             return
         if not run:
-            state["path"] = path()
+            state["element"] = opened.top()
         run.append(text)
-        if any(t == "a" for t, _ in stack):
+        if opened.has("a"):
             state["linked"] += len(text)
 
     at = 0
@@ -104,12 +186,7 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            opened.close(tag)
             continue
         if tag == "br" or tag not in INLINE and tag not in VOID:
             if tag == "br":
@@ -120,22 +197,22 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        if tag in _BLOCKS_END_P and stack and any(t == "p" for t, _ in stack):
-            while stack and any(t == "p" for t, _ in stack):
-                stack.pop()
+        if tag in _BLOCKS_END_P:
+            while opened.has("p"):
+                opened.pop()
         if tag in ENDS:
-            while stack and (stack[-1][0] in ENDS[tag] or stack[-1][0] in INLINE and any(t in ENDS[tag] for t, _ in stack)):
-                stack.pop()
+            while opened.stack and (opened.top().tag in ENDS[tag] or opened.top().tag in INLINE and opened.has(*ENDS[tag])):
+                opened.pop()
         if m[3].rstrip().endswith("/") and tag in INLINE:
             continue
         words = [tag]
         for a, b, c in _NAMES.findall(m[3]):
             words += [w for w in _SPLIT.split((a or b or c).lower()) if w]
-        stack.append((tag, tuple(words)))
+        opened.push(tag, tuple(words))
         if tag in TEXT_ONLY:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            stack.pop()
+            opened.pop()
     flush()
     return out
 
@@ -151,10 +228,10 @@ def vectors(seq: list[Block]) -> np.ndarray:
     x = np.zeros((len(seq), WIDTH), dtype=np.float32)
     n = max(1, len(seq))
     for k, b in enumerate(seq):
-        for depth, w in enumerate(b.path):
-            i, s = _bucket(w, PATHS, 1)
-            x[k, i] += s
-            if depth >= len(b.path) - 2:
+        depth = 0
+        if b.element is not None:
+            x[k, :PATHS], depth = b.element.told()
+            for w in b.element.last(2):
                 i, s = _bucket(w, PATHS, 2)
                 x[k, i] += s * 0.5
         words = b.text.lower().split()
@@ -162,7 +239,7 @@ def vectors(seq: list[Block]) -> np.ndarray:
             i, s = _bucket(w, WORDS, 3)
             x[k, PATHS + i] += s / len(words)
         t, size = PATHS + WORDS, len(b.text)
-        x[k, t : t + 8] = (np.log1p(size) / 6, min(1.0, b.linked / max(1, size)), k / n, 1.0 if size > 200 else 0.0, 1.0 if b.text[-1] in ".!?\"'" else 0.0, min(1.0, b.text.count(",") / 5), min(1.0, len(b.path) / 12), 1.0)
+        x[k, t : t + 8] = (np.log1p(size) / 6, min(1.0, b.linked / max(1, size)), k / n, 1.0 if size > 200 else 0.0, 1.0 if b.text[-1] in ".!?\"'" else 0.0, min(1.0, b.text.count(",") / 5), min(1.0, depth / 12), 1.0)
     return x
 
 
@@ -262,6 +339,8 @@ def batched(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: How many of the generated wrappers have names that tell nothing of what they hold.
+SILENT = 0.3
 #: Words that tell of parts that are not main text.
 TELLING = {
     "nav": "home news about contact products blog menu login search archive", "notice": "cookie cookies consent accept privacy policy settings browser", "form": "subscribe newsletter email sign up join updates inbox", "comments": "reply replied thanks agree comment posted ago like share",
@@ -295,6 +374,8 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         c = {"nav": ("nav menu navbar topnav", "nav div ul"), "header": ("header masthead topbar banner", "header div"), "footer": ("footer site-footer bottom copyright", "footer div"), "aside": ("sidebar aside related widget", "aside div section"), "ad": ("ad ads advert sponsor promo banner-ad", "div aside section"), "comments": ("comments comment-list replies discussion", "section div ol"), "form": ("subscribe newsletter signup search", "form div"), "notice": ("cookie notice consent banner alert", "div section")}[kind]
         cls, tag = r.choice(c[0].split()), r.choice(c[1].split())
         attr = r.choice((f' class="{cls}"', f' id="{cls}"', f' class="{cls} box"')) if tag in ("div", "section", "ul", "ol") or r.random() < 0.5 else ""
+        if r.random() < SILENT:  # a wrapper whose name tells nothing
+            tag, attr = r.choice(("div", "div", "section")), silent()
         body = {
             "nav": lambda: f"<ul>{links(r.randint(3, 9))}</ul>" if tag != "ul" else links(r.randint(3, 9)),
             "header": lambda: f"<h{r.randint(1, 2)}>{some(1, 4)}</h1><p>{sentence(2, 8)}</p>",
@@ -307,13 +388,17 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         }[kind]()
         return f"<{tag}{attr}>{body}</{tag}>"
 
+    def silent() -> str:
+        return r.choice(("", f' class="{r.choice("abcdehkmxyz")}{r.randint(1, 99)}"', f' class="{word()}"', f' id="{r.choice("abcxyz")}-{r.randint(1, 9)}"'))
+
     def main() -> str:
+        style = r.choice((("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p><i>{}</i></p>"),) * 7 + (("<div>{}</div>",), ("<span>{}</span><br>", "{}<br><br>"), (f"<div{silent()}>{{}}</div>", "<p>{}</p>")))
         parts = [f"<h1>{noise(some(2, 12))}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 1, 2, 3, 6, 12, 20))):
             kind = r.random()
             if kind < 0.75:
                 text = sentence(1, 12) if r.random() < 0.25 else " ".join(sentence() for _ in range(r.randint(1, 7)))
-                parts.append(r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p><i>{}</i></p>")).format(text))
+                parts.append(r.choice(style).format(text))
             elif kind < 0.83:
                 parts.append(f"<h{r.randint(2, 4)}>{some(1, 6)}</h2>")
             elif kind < 0.9:
@@ -331,9 +416,12 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
         after = [bare(k) for k in ("ad", "aside", "comments", "form", "footer") if r.random() < (0.85 if k == "footer" else 0.4)]
         r.shuffle(before)
         open_, close = r.choice(wraps)
+        if r.random() < SILENT:
+            tag = r.choice(("div", "div", "section", "main"))
+            open_, close = f"<{tag}{silent()}>", f"</{tag}>"
         body = main()
         if r.random() < 0.35:  # something foreign in the midst
-            spots = [m.start() for m in re.finditer(r"<p>", body)]
+            spots = [m.start() for m in re.finditer(r"<p>|<div>", body)]
             spot = r.choice(spots) if spots else len(body)
             body = body[:spot] + marks[1] + bare(r.choice(("ad", "form", "aside", "notice"))) + marks[0] + body[spot:]
         page = f"<!DOCTYPE html><html><head><title>{some(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{''.join(before)}{open_}{marks[0]}{body}{marks[1]}{close}{''.join(after)}"
@@ -353,7 +441,7 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(count: int = 450, epochs: int = 14, seed: int = SEED) -> Network:
+def trained(count: int = 1800, epochs: int = 20, seed: int = SEED) -> Network:
     """The network fitted to generated pages (Adam, batches of pages of like length)."""
     rng = np.random.default_rng(seed)
     work = [(vectors(blocks(p)), np.array(y, np.float32)) for p, y in generated(count, seed)]

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quern.llm import collocations, linededup, vectorcodes
+from quern.llm import collocations, htmltext, linededup, vectorcodes
 
 VECTORS = "vec_id long, embedding array<double>, label int, code string, error string, x int, n int"
 
@@ -207,3 +207,59 @@ def test_scores_beyond_64_bits(spark):
     assert got == brute_phrases(rows, 100, 2, 2000)
     big = spark.range(1).selectExpr("(cast(1000 as decimal(10,0)) * cast(cast(9000000000000 as decimal(19,0)) * cast(9000000000000 as decimal(19,0)) as decimal(28,0))) div cast(cast(9000000000 as decimal(19,0)) * cast(9000000000001 as decimal(19,0)) as decimal(38,0)) as x")
     assert big.first()["x"] == 1000 * 9000000000000**2 // (9000000000 * 9000000000001)
+
+
+def test_pages_cost_in_proportion_to_their_length():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        htmltext.vectors(htmltext.blocks(page))
+        return time.process_time() - began
+
+    took("<div>x" * 2000)
+    for part, end in (("<div>x", ""), ("<div class=a><p>x<b>y", ""), ("<b>x", "</i>"), ("<i><div><i>x", "</i></p>")):
+        assert took(part * 40000 + end * 40000) < 25 * max(took(part * 5000 + end * 5000), 0.02)
+    deep = htmltext.blocks("<div>x" * 3000)
+    assert len(deep) == 3000 and deep[-1].path == ("div",) * 3000 and deep[0].path == ("div",)
+
+
+SAID = "The depot opened its second dock in the spring of that year. Crates were weighed by hand until the scale arrived. Nobody expected the lanes to fill so quickly."
+MORE = [
+    *SAID.split(". "), "Two clerks kept the books of the western lane", "Rain closed the yard for most of March", "A new crane came by rail in April", "The union asked for shorter shifts, and got them", "Prices fell again in the autumn", "Nobody remembers who painted the gate green", "The last ship left on a Tuesday",
+]
+LAYOUTS = [
+    '<div class="hdr">Depot news</div><div class="x1"><a href="/a">home</a> <a href="/b">news</a> <a href="/c">about</a></div><div class="c2"><h1>The second dock</h1>{}</div><div class="z9">Copyright 2020 Depot</div>',
+    '<body><div class="q1"><a href=x>home</a><a href=y>blog</a></div><section class="k7"><h2>Dock</h2>{}</section><div>&copy; 2021 All rights reserved</div>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("form", ["<div>{}</div>", "<span>{}</span><br>", "<p>{}</p>", "{}<br><br>"])
+def test_articles_in_wrappers_that_tell_nothing(layout, form):
+    """Most of an article is found although no name tells of it, and nothing else."""
+    parts = [" ".join(MORE[k % len(MORE)].rstrip(".") + "." for k in range(i, i + 3)) for i in range(8)]
+    text = htmltext.texts([layout.format("".join(form.format(x) for x in parts))], htmltext.trained())[0]
+    assert sum(x in text for x in parts) >= 6 and not any(x in text for x in ("opyright", "reserved", "home", "blog"))
+
+
+def test_layouts_held_out():
+    pages = htmltext.generated(150, seed=404)
+    wrong = sum(a != b for (_, want), got in zip(pages, htmltext.labelled([p for p, _ in pages], htmltext.trained())) for a, (_, b) in zip(want, got))
+    assert wrong < 0.02 * sum(len(y) for _, y in pages)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_pages_against_an_extraction_by_patterns(spark):
+    """What stands between the tags of the article, without comments, scripts and foreign parts, by regular expressions alone."""
+    import html
+
+    from quern.llm.queries import op2_htmltext
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in op2_htmltext(spark, "/root/testdata/sf0.01").collect()}
+    for page, text in pages.items():
+        inner = re.search(r"(?s)<article[^>]*>(.*)</article>", re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", text))
+        bare = re.sub(r"(?s)<(div|aside|section|form|nav|footer|ul|ol) class=\"?(?:ad|comments|related|share|promo)[^>]*>.*?</\1>", " ", inner[1] if inner else "")
+        want = html.unescape(re.sub(r"</?(?:b|i|em|strong|a|span|u|s|code|small|mark)\b[^>]*>", "", re.sub(r"</?(?:p|h[1-6]|br|li|ul|ol|blockquote|div|table|tr|td|pre|figure|figcaption|hr)\b[^>]*>", " ", bare)))
+        assert "".join(got[page].split()) == "".join(want.split()), (page, text)
