@@ -156,7 +156,7 @@ def hits(files: DataFrame) -> DataFrame:
     e = Edges(files)
     needed = bool(e.needs.limit(1).count())
     facts, arrivals = e.seeds()
-    new, past = facts.unionByName(_arrived(arrivals)), None
+    new, past, rounds = facts.unionByName(_arrived(arrivals)), None, 0
     while True:
         new = new.groupBy(*_KEY).agg(F.min("at").alias("at"), F.min("line").alias("line"))
         if past is not None:
@@ -166,7 +166,9 @@ def hits(files: DataFrame) -> DataFrame:
         tags = {r["tag"] for r in new.groupBy("tag").count().collect()}  # five at most
         if not tags:
             break
-        past = new if past is None else past.unionByName(new)
+        past, rounds = (new if past is None else past.unionByName(new)), rounds + 1
+        if rounds % 8 == 0:  # the plan stays small, however long the flows are
+            past = kept(past)
         new = _step(e, new, past, tags, needed)
     found = (past if past is not None else spark.createDataFrame([], new.schema)).filter("tag = 'hit'")
     names = e.functions.select("rel_path", "scope", F.col("name").alias("function"))

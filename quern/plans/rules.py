@@ -224,7 +224,7 @@ def structural(files: DataFrame, found: DataFrame | None = None, more: tuple = (
     """
     files = files.filter("language is not null")
     found = parsed(files) if found is None else found
-    f = facts(files, found)
+    f = kept(facts(files, found))  # read twice
     every = (*catalogue.RULES, *(r[:5] for r in more))
     both = candidates(f, every)
     for c in COLUMNS:
