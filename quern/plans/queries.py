@@ -423,6 +423,26 @@ def event_debounce(spark, d):
     return watch.debounced(e, "user_id", "ms", 3_600_000)
 
 
+def event_debounce_stream(spark, d):
+    """The same over a stream of files, in four batches, whose state closes a refresh by a timer; a last event lets all time pass."""
+    import uuid
+
+    at = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/events-{uuid.uuid4().hex}"
+    e = t(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    low, high = e.agg(F.min("ms"), F.max("ms")).first()
+    step = ((high or 0) - (low or 0)) // 4 + 1
+    for k in range(4):  # files come in the order of their time
+        e.filter(F.expr(f"(ms - {low or 0}) div {step} = {k}")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    spark.createDataFrame([(-1, (high or 0) + 10 * 3_600_000)], "user_id long, ms long").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    run = watch.debounced_stream(stream, "user_id", "ms", 3_600_000).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/out")
+    run.awaitTermination()
+    return spark.read.schema("user_id long, first_ms long, events long").parquet(f"{at}/out").filter("user_id >= 0")
+
+
+QUERIES["event_debounce_stream"], SQL["event_debounce_stream"] = event_debounce_stream, SQL["event_debounce"]
+
+
 @q("SELECT event_id, CASE WHEN event_id % 9 < 3 THEN 0 ELSE CAST(least(2000, 250 * 2 ** least(4, event_id % 9 - 3)) AS INTEGER) END AS delay FROM events")
 def rate_limit_backoff(spark, d):
     return t(spark, d, "events").select("event_id", backoff_ms(F.col("event_id") % 9).cast("int").alias("delay"))

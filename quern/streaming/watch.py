@@ -75,27 +75,34 @@ def debounced(events: DataFrame, key: str, time_ms: str, delay: int = DELAY_MS)
     return dealt.mapInArrow(run, f"{key} {kind}, first_ms long, events long")
 
 
-def debounced_stream(events: DataFrame, key: str, time_ms: str, delay: int = DELAY_MS) -> DataFrame:
-    """The same on a stream: the state is the open refresh, and a processing-time timer closes it."""
+def debounced_stream(events: DataFrame, key: str, time_ms: str, delay: int = DELAY_MS, late: str = "0 seconds") -> DataFrame:
+    """The same on a stream, by the events' own time: the state is the open refresh, and a timer closes it when the watermark has passed its end.
+
+    Events of a key that come in one batch may be in any order; those behind the watermark (late behind the latest event) are dropped.
+    """
+    own = events.select(F.col(key), F.col(time_ms).cast("long").alias(time_ms), F.timestamp_millis(F.col(time_ms)).alias("_at")).filter(F.col(time_ms).isNotNull()).withWatermark("_at", late)
 
     def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         armed, count = state.get if state.exists else (None, 0)
         done: list[tuple[int, int]] = []
         if state.hasTimedOut:
-            done, armed = [(armed, count)], None
+            done = [(armed, count)]
             state.remove()
         else:
-            times = sorted(t for p in parts for t in p[time_ms].tolist())
-            kept = 0 if armed is None else count
-            done, armed_now, n = _walk(times, armed, delay)
+            times = sorted(int(t) for p in parts for t in p[time_ms].tolist())
+            done, now, n = _walk(times, armed, delay)
             if done and armed is not None:
-                done[0] = (done[0][0], done[0][1] + kept)
-            elif armed is not None and armed_now == armed:
-                n += kept
-            state.update((armed_now, n))
-            state.setTimeoutDuration(delay)
+                done[0] = (done[0][0], done[0][1] + count)
+            elif armed is not None:
+                n += count
+            if now + delay <= state.getCurrentWatermarkMs():  # over already
+                done.append((now, n))
+                state.remove()
+            else:
+                state.update((now, n))
+                state.setTimeoutTimestamp(now + delay)
         if done:
             yield pd.DataFrame({key: [name[0]] * len(done), "first_ms": [d[0] for d in done], "events": [d[1] for d in done]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, time_ms).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, first_ms long, events long", "armed long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return own.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, first_ms long, events long", "armed long, count long", "append", GroupStateTimeout.EventTimeTimeout)
