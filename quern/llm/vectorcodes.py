@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import arrow, cut, map_rows, split_join
 from quern.llm.topk import _vectors
 
-SCALE, PARTS, ENTRIES, ROUNDS, LEAF = 1024, 4, 256, 4, 8
+SCALE, PARTS, ENTRIES, ROUNDS, LEAF = 1024, 4, 256, 4, 32
 _MOST, _LONG = 2.0**62, (1 << 63) - 1
 
 
@@ -98,6 +98,7 @@ def nearest(parts: np.ndarray, book: np.ndarray, root: Node) -> tuple[np.ndarray
     q, c = parts.astype(kind), book.astype(kind)
     best = np.full(len(q), np.inf if kind is np.float64 else _LONG if kind is np.int64 else 1 << 200, dtype=kind)
     index = np.full(len(q), len(book), dtype=np.int64)
+    squares = ((q**2).sum(axis=1), (c**2).sum(axis=1))
     stack = [(root, np.arange(len(q)), np.zeros(len(q), dtype=kind))]
     while stack:
         node, rows, bound = stack.pop()
@@ -105,7 +106,10 @@ def nearest(parts: np.ndarray, book: np.ndarray, root: Node) -> tuple[np.ndarray
         if not len(rows):
             continue
         if node.sides is None:
-            away = ((q[rows][:, None, :] - c[node.entries][None, :, :]) ** 2).sum(axis=2)
+            if kind is np.float64:  # by products, whose terms are whole numbers below 2**53
+                away = squares[0][rows][:, None] - 2 * (q[rows] @ c[node.entries].T) + squares[1][node.entries]
+            else:
+                away = ((q[rows][:, None, :] - c[node.entries][None, :, :]) ** 2).sum(axis=2)
             at = away.argmin(axis=1)  # the first of equal ones
             d, e = away[np.arange(len(rows)), at], node.entries[at]
             better = (d < best[rows]) | ((d == best[rows]) & (e < index[rows]))
