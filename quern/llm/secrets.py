@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
 Patterns give the base spans (assign, access, hex). What could be a secret or tells of one opens a window of REACH
-characters to either side: a long token of mixed characters, a key block's dashes, a cue word, and any token of mixed
+characters to either side: a token of 16 characters or more, a key block's dashes, a cue word, and any token of mixed
 characters, however short, after a colon or an equals sign. Windows that touch are one chain. Each token of a chain is
 tagged begin, inside or outside from its shape, the words around it and features of the whole text; Viterbi
 decodes the tags. Tokens outside windows are not tagged. The weights maximise the conditional likelihood of generated files with known secrets (forward and backward sums, numpy).
@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from quern.llm.common import map_rows
 
 KINDS, FIELD = ("assign", "access", "hex"), "secret"
-REACH, SEED, LONGEST = 48, 3, 4096
+REACH, SEED = 48, 3
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEYS = ("passw", "secret", "token", "api_key", "apikey")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.~-]+(?:={1,2}(?![A-Za-z0-9=]))?|[^\sA-Za-z0-9+/_.~-]")
-#: A run that may be a secret: 16 characters or more with a digit among them, or a key block's dashes.
-_MAYBE = re.compile(r"(?<![A-Za-z0-9+/_.~-])(?=[A-Za-z+/_.~-]{0,64}[0-9])[A-Za-z0-9+/_.~-]{16,}|-----BEGIN[A-Z ]*-----")
+#: A run that may be a secret: 16 characters or more, or a key block's dashes.
+_MAYBE = re.compile(r"(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{16,}|-----BEGIN[A-Z ]*-----")
 _CUE = frozenset("password passwd pwd secret token key apikey bearer authorization auth credential credentials private access signature passphrase passcode".split())
 _CUES = re.compile(rf"(?<![a-z])(?:{'|'.join(sorted(_CUE))})(?![a-z])")
 #: A value of mixed characters after : or =, of any length: letters and digits, both cases in one word, or parts joined by signs.
@@ -66,7 +66,7 @@ def file_features(text: str) -> list[str]:
 
 
 def _shape(token: str) -> list[str]:
-    t = token[:LONGEST]
+    t = token
     lower, upper, digit = sum(c.islower() for c in t), sum(c.isupper() for c in t), sum(c.isdigit() for c in t)
     n = len(t)
     classes = (lower > 0) + (upper > 0) + (digit > 0)
@@ -95,7 +95,7 @@ def _features(tokens: list[str], k: int, whole: list[str]) -> list[str]:
         out.append(f"{d}:" + ("cue" if any(p in _CUE for p in parts) else "none" if not t else t if len(t) == 1 and not t.isalnum() else "long" if len(t) >= 16 else "other"))
     near = [p for t in tokens[max(0, k - 4) : k] for p in re.split(r"[^a-z]+", t.lower())]
     cue = "cue-before" if any(p in _CUE for p in near) else "no-cue-before"
-    t = tokens[k][:LONGEST]
+    t = tokens[k]
     mixed = f"{'0' * any(map(str.isdigit, t))}{'a' * any(map(str.isalpha, t))}{'-' * min(3, t.count('-'))}"
     out += [cue, f"{cue} {mixed}", f"{out[-3]} {out[-2]} {mixed}"]
     return out
@@ -125,12 +125,19 @@ def chains(text: str) -> list[list[tuple[int, int]]]:
             spans[-1][1] = max(spans[-1][1], hi)
         else:
             spans.append([lo, hi])
-    out = []
+    whole: list[list[int]] = []
     for lo, hi in spans:
-        while 0 < lo and text[lo - 1] > " " and lo > hi - LONGEST:  # no token is cut at the window's start
+        least = whole[-1][1] if whole else 0
+        while lo > least and text[lo - 1] > " ":  # no token is cut at the window's start
             lo -= 1
         if _REST.match(text, hi - 1).end() > hi - 1:  # nor at its end
             hi = _REST.match(text, hi).end()
+        if whole and lo <= least:
+            whole[-1][1] = max(least, hi)
+        else:
+            whole.append([lo, hi])
+    out = []
+    for lo, hi in whole:
         toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
         if toks:
             out.append(toks)
@@ -205,10 +212,13 @@ def generated(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, i
             value = short() if brief else secret() if row == hot else benign()
             if row == hot and not brief and r.random() < 0.15:
                 lines = "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(2, 4)))
-                value = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+                kind = r.choice(("", "", "RSA ", "EC "))
+                value = f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----"
             key = r.choice((*cues, "aws_secret_access_key")) if brief or (row == hot and r.random() < 0.75) or r.random() < 0.05 else word()
             q = r.choice(("", '"', "'"))
             head = r.choice((f"{key}: {q}", f"{key}={q}", f"{word()} {key} = {q}", f"{key} = {q}" if brief else f"{word()} {word()} {key} {q}", f"curl -H {q}{key}: Bearer ", *([f"{r.choice(('Authorization', 'auth'))}: {r.choice(('Bearer', 'Token'))} "] * (2 * brief))))
+            if value.startswith("-----") and r.random() < 0.5:
+                head = q = ""
             line = f"{head}{value}{q if q and head.endswith(q) else ''}{r.choice(('', ';', ',', ' ' + word()))}\n"
             if row == hot:
                 spans.append((at + len(head), at + len(head) + len(value)))
