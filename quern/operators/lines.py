@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quern.functions import redact
 from quern.sources.files import infra_target, is_config, lines
@@ -63,19 +59,20 @@ def logical(lines_: DataFrame, *keys: str) -> DataFrame:
     return kept.groupBy(*keys, "_n").agg(F.min("line_no").alias("line_no"), joined.alias("line")).drop("_n")
 
 
-_QUOTED = {True: re.compile(r"""'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)|//.*|\\$"""), False: re.compile(r"""'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)""")}
-_HASH = re.compile(r"""'(?:\\.|[^'\\])*(?:'|$)|"(?:\\.|[^"\\])*(?:"|$)|#.*""")
+_QUOTES = r"""'(?:\\.|[^'\\])*+(?:'|$)|"(?:\\.|[^"\\])*+(?:"|$)"""
+#: What is no code in a line, by the sign that opens a comment: quoted text, comments, a sign at the end that takes on the next line.
+_HIDDEN = {"hash": _QUOTES + r"|#.*", "slashes": _QUOTES + r"|//.*|\\$", "none": _QUOTES}
 
 
-@F.pandas_udf(StringType())
-def masked(line: pd.Series, language: pd.Series) -> pd.Series:
+def masked(line: Column | str, language: Column | str) -> Column:
     """A line with quoted text and what follows a comment sign blanked."""
+    line, language = (F.col(x) if isinstance(x, str) else x for x in (line, language))
 
-    def one(text: str, lang: str | None) -> str:
-        pattern = _HASH if lang == "python" else _QUOTED[lang in SLASHES]
-        return pattern.sub(lambda m: " " * len(m[0]), text)
+    def blanked(pattern: str) -> Column:
+        each = F.lit(f"({pattern})|[^'\"#/\\\\]+|(?s:.)")
+        return F.array_join(F.zip_with(F.regexp_extract_all(line, each, F.lit(0)), F.regexp_extract_all(line, each, F.lit(1)), lambda x, hidden: F.when(hidden != "", F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "")
 
-    return pd.Series([None if x is None else one(x, y) for x, y in zip(line, language)])
+    return F.when(language == "python", blanked(_HIDDEN["hash"])).when(language.isin(*SLASHES), blanked(_HIDDEN["slashes"])).otherwise(blanked(_HIDDEN["none"]))
 
 
 def first_marker(line: Column, markers: tuple[str, ...] = MARKERS) -> Column:
