@@ -280,7 +280,7 @@ SELECT p.o_custkey, p.line, max_by('o' || r.o_orderkey, (r.a, 'o' || r.o_orderke
 def enclosing_range_join(spark, d):
     o = t(spark, d, "orders")
     r = o.selectExpr("o_custkey", "'o' || o_orderkey AS name", "o_orderkey % 40 AS start_line", "o_orderkey % 40 + o_orderkey % 25 AS end_line")
-    return fd.enclosing(o.selectExpr("o_custkey", "o_orderkey % 50 AS line").distinct(), r, "o_custkey")
+    return fd.enclosing(o.selectExpr("o_custkey", "o_orderkey % 50 AS line").distinct(), r, "o_custkey").drop("within")
 
 
 _EDGES = "(SELECT DISTINCT 'p' || (l_partkey % 300) AS src, 's' || (l_suppkey % 40) AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'external' WHEN 1 THEN 'internal' ELSE 'restricted' END AS kind FROM lineitem)"
