@@ -227,11 +227,12 @@ def resolved_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str
     """imports (src, path, candidate: a path without its extension) with dst and kind.
 
     Each candidate is dealt to the files that it could be, with a priority; the join is on equality and the best one
-    stays. files has rel_path and restricted; files that are not restricted come first.
+    stays. files has rel_path and restricted; files that are not restricted come first. Sizes are not known where texts
+    were built and parsed, so neither join may broadcast a side.
     """
     tries = F.array(*[F.struct(F.lit(k).alias("rank"), F.concat("candidate", F.lit(e)).alias("rel_path")) for k, e in enumerate(extensions)])
     each = imports.select("src", "path", F.explode(tries).alias("t")).select("src", "path", "t.rank", "t.rel_path")
-    hit = each.join(files.select("rel_path", "restricted"), "rel_path").groupBy("src", "path").agg(F.min_by(F.struct("rel_path", "restricted"), F.struct("restricted", "rank")).alias("hit"))
-    out = imports.join(hit, ["src", "path"], "left")
+    hit = each.join(files.select("rel_path", "restricted").hint("merge"), "rel_path").groupBy("src", "path").agg(F.min_by(F.struct("rel_path", "restricted"), F.struct("restricted", "rank")).alias("hit"))
+    out = imports.join(hit.hint("merge"), ["src", "path"], "left")
     kind = F.when(F.col("hit").isNull(), "unresolved").when(F.col("hit.restricted"), "restricted").otherwise("internal")
     return out.select(*imports.columns, F.col("hit.rel_path").alias("dst"), kind.alias("kind"), F.when(F.col("hit").isNull(), F.when(F.trim("path") == "", "unsupported_syntax").otherwise("destination_not_found")).alias("reason"))
