@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.markup import _bare
 from quern.plans import flowrules
+from quern.sources.store import spread
 
 # Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -71,13 +72,13 @@ def code_nodes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                rows = [(p, *n) for p, lang, t in zip(*(c.to_pylist() for c in batch.slice(at, 16).columns)) for n in nodes(t or "", lang)]
+            for at in range(0, batch.num_rows, 256):
+                rows = [(p, *n) for p, lang, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)) for n in nodes(t or "", lang)]
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
                 yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(CODE.split(", "), kinds))})
 
     known = files.filter(F.col("language").isin(*flowrules.FAMILY))
-    return known.select("rel_path", "language", "content").mapInArrow(run, CODE)
+    return spread(known.select("rel_path", "language", "content")).mapInArrow(run, CODE)
 
 
 @dataclass(frozen=True)
@@ -108,23 +109,25 @@ def _cover(lo: Column, hi: Column) -> Column:
         r = F.when(right, s["r"] - 1).otherwise(s["r"])
         return F.struct(F.shiftright(l, 1).alias("l"), F.shiftright(r, 1).alias("r"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), state, step)["out"]
+    bits = F.length(F.bin(F.greatest(hi.cast("int"), F.lit(0))))  # beyond them the range is empty
+    return F.aggregate(F.sequence(F.lit(0), bits - 1), state, step)["out"]
 
 
 def contained(outer: DataFrame, inner: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
     """outer (keys, pre, post, ..) with the rows of inner (keys, in_pre, ..) that begin inside it.
 
-    A range is dealt to a few blocks of places and a place to the blocks that hold it, one of each size; they meet on
-    keys and block on equality, each pair once, so neither a long file nor a wide node makes a task compare all with all.
+    A range is dealt to a few blocks of places and a place to the blocks that hold it, one of each size that ranges of
+    its keys have; they meet on keys and block on equality, each pair once, so neither a long file nor a wide node makes
+    a task compare all with all. Nodes come of parsing, whose size Spark takes for that of the table that texts were
+    built from, so the joins are told not to broadcast a side.
     """
     ranges = outer.withColumn("_c", F.explode(_cover(F.col("pre") + 1, F.col("post")))).withColumn("_k", F.col("_c.k")).withColumn("_b", F.col("_c.b")).drop("_c")
-    sizes = ranges.select("_k").distinct() if how == "inner" else None
-    points = inner.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).withColumn("_b", F.expr("shiftright(in_pre, _k)"))
-    if sizes is not None:
-        points = points.join(F.broadcast(sizes), "_k")  # BITS rows at most
-        return ranges.join(points, [*keys, "_k", "_b"]).drop("_k", "_b")
-    met = ranges.join(points, [*keys, "_k", "_b"], "left_semi").select(*keys, "pre").distinct()
-    return outer.join(met, [*keys, "pre"], how)
+    sizes = ranges.groupBy(*keys).agg(F.collect_set("_k").alias("_ks"))  # BITS at most
+    points = inner.join(sizes.hint("merge"), list(keys)).withColumn("_k", F.explode("_ks")).withColumn("_b", F.expr("shiftright(in_pre, _k)")).drop("_ks")
+    if how == "inner":
+        return ranges.join(points.hint("merge"), [*keys, "_k", "_b"]).drop("_k", "_b")
+    met = ranges.join(points.hint("merge"), [*keys, "_k", "_b"], "left_semi").select(*keys, "pre").distinct()
+    return outer.join(met.hint("merge"), [*keys, "pre"], how)
 
 
 def matches(nodes: DataFrame, pattern: Pattern, *keys: str) -> DataFrame:

@@ -188,9 +188,9 @@ def nested_code_nodes(spark, d):
     n = nodes.code_nodes(parts_tree(spark, d)).persist()
     call = nodes.Pattern("call", "text = 'pack'", "call")
     p = nodes.Pattern("type", None, "type", (nodes.Pattern("function", None, "function", (nodes.Pattern("branch", "text = 'for'", None, (call,)),)),))
-    got = nodes.matches(n, p, "rel_path").join(n.filter("kind = 'type'").select("rel_path", F.col("pre").alias("type"), F.col("text").alias("owner")), ["rel_path", "type"])
+    got = nodes.matches(n, p, "rel_path").join(n.filter("kind = 'type'").select("rel_path", F.col("pre").alias("type"), F.col("text").alias("owner")).hint("merge"), ["rel_path", "type"])
     for c in ("function", "call"):
-        got = got.join(n.filter(F.col("kind") == c).select("rel_path", F.col("pre").alias(c), F.col("text").alias(f"{c}_name")), ["rel_path", c])
+        got = got.join(n.filter(F.col("kind") == c).select("rel_path", F.col("pre").alias(c), F.col("text").alias(f"{c}_name")).hint("merge"), ["rel_path", c])
     return got.select(samples.key_of(F.col("rel_path")).alias("p_partkey"), "owner", F.col("function_name").alias("function"), F.col("call_name").alias("callee"))
 
 
@@ -199,7 +199,7 @@ def code_nodes_without(spark, d):
     """Functions with a call of seal whose argument is a text, and without a branch."""
     n = nodes.code_nodes(parts_tree(spark, d)).persist()
     p = nodes.Pattern("function", None, "function", (nodes.Pattern("call", "text = 'seal'", None, (nodes.Pattern("string"),)),), (nodes.Pattern("branch"),))
-    got = nodes.matches(n, p, "rel_path").join(n.filter("kind = 'function'").select("rel_path", F.col("pre").alias("function"), F.col("text").alias("name")), ["rel_path", "function"])
+    got = nodes.matches(n, p, "rel_path").join(n.filter("kind = 'function'").select("rel_path", F.col("pre").alias("function"), F.col("text").alias("name")).hint("merge"), ["rel_path", "function"])
     return got.select(samples.key_of(F.col("rel_path")).alias("p_partkey"), F.col("name").alias("function"))
 
 

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """files (rel_path, ..) dealt to tasks by path, before their texts are parsed.
+
+    The rows that texts are built from, or a listing, may lie in one small split, and parsing takes long for its bytes.
+    """
+    return files.repartition("rel_path")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df worked out once, for several that read it: a checkpoint in the folder of spark.checkpoint.dir, which cuts its lineage.
 

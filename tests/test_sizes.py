@@ -13,3 +13,23 @@ def test_resolved_imports_broadcast_nothing(spark):
     got = graph.resolved_imports(imports, files)
     assert "Broadcast" not in _plan(got)
     assert {r["dst"] for r in got.collect()} == {"x0.ts", "x1.ts", "x2.ts", "x3.ts", "x4.ts", None}
+
+
+def test_contained_broadcasts_nothing(spark):
+    outer = spark.createDataFrame([("a", 0, 9), ("a", 2, 5), ("b", 0, 1 << 30), ("b", 7, 7)], "rel_path string, pre int, post int")
+    inner = spark.createDataFrame([("a", 3), ("a", 8), ("b", 1 << 29), ("c", 1)], "rel_path string, in_pre int")
+    got = nodes.contained(outer, inner, "rel_path")
+    assert "Broadcast" not in _plan(got)
+    assert sorted(map(tuple, got.select("rel_path", "pre", "in_pre").collect())) == [("a", 0, 3), ("a", 0, 8), ("a", 2, 3), ("b", 0, 1 << 29)]
+    for how, left in (("left_semi", [("a", 0), ("a", 2), ("b", 0)]), ("left_anti", [("b", 7)])):
+        got = nodes.contained(outer, inner, "rel_path", how=how)
+        assert "Broadcast" not in _plan(got)
+        assert sorted(map(tuple, got.select("rel_path", "pre").collect())) == left
+
+
+def test_every_part_of_a_tree_is_parsed_by_many_tasks(spark):
+    from quern.operators import dataflow, source
+
+    files = spark.range(8).selectExpr("concat('a', id, '.py') AS rel_path", "'python' AS language", "'f(x)' AS content").coalesce(1)
+    for parsed in (source.analysis, dataflow.sites, nodes.code_nodes):
+        assert "hashpartitioning(rel_path" in _plan(parsed(files))
