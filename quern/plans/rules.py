@@ -15,7 +15,7 @@ from quern.operators import findings as fd
 from quern.operators import source
 from quern.plans import catalogue, flows
 from quern.sources.files import EXTENSIONS, MAX_FLOW_BYTES, lines
-from quern.sources.store import kept
+from quern.sources.store import kept, spread
 
 COLUMNS = ("callee", "receiver", "is_new", "args", "args2", "arg0", "arg1", "arg2", "any_arg", "whole", "path", "target", "value", "text", "block")
 
@@ -201,7 +201,7 @@ def facts(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
             rows = [(p, lang, n, b) for p, lang, t in zip(*[batch.column(k).to_pylist() for k in range(3)]) for n, b in catches(t or "", lang or "")]
             yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("rel_path", pa.string()), ("language", pa.string()), ("line", pa.int32()), ("body", pa.string())))})
 
-    caught = files.select(*base, "content").mapInArrow(handlers, "rel_path string, language string, line int, body string")
+    caught = spread(files.select(*base, "content")).mapInArrow(handlers, "rel_path string, language string, line int, body string")
     held = functions.select("rel_path", "name", "start_line", "end_line")
     caught = fd.enclosing(caught, held, "rel_path")
     out = out.unionByName(shaped(caught, "catch", "line", F.col("name"), F.col("within"), text=F.col("body")))
