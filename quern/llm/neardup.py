@@ -170,27 +170,29 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return map_rows(both.select("a", "b", "set_a", "set_b"), run, "a long, b long", text="set_a").distinct()
 
 
+def _no_stars(e: DataFrame) -> bool:
+    """Whether a node of the edges u, v (u > v) has two smaller ones near it, or both a smaller and a larger one."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return bool(ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").limit(1).count())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every id in the edges a, b, itself if it is the smallest.
 
     Large-star links all larger neighbours of a node to the smallest node near it, small-star the smaller ones; both
     keep components, and together they end in stars after a number of steps that grows with the logarithm of the size.
+    Steps stop as soon as all is stars. Shuffles are kept few: each takes a thread of the driver for a minute.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    last = None
-    while True:
+    while _no_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")  # no more rows than e
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small)
         del both, least, large, near, small
         released(e.sparkSession)
-        now = e.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
@@ -301,6 +303,11 @@ def _confirmed(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """Edges a, b that have the components of labels: what was joined before is not worked out again."""
+    return labels.filter("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (which has doc_id and text)."""
     threshold = percent / 100
@@ -319,15 +326,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(links)
     rest = cut(_across(members, labels))
     if rest.limit(1).count():  # first the most likely pairs, which join most of what belongs together
-        links = cut(links.unionByName(_linked(cut(_tested(_cells(rest, one, None), threshold, None)), docs, width, percent)))
-        labels = components(links)
+        more = _linked(cut(_tested(_cells(rest, one, None), threshold, None)), docs, width, percent)
+        labels = components(_stars(labels).unionByName(more))
         rest = cut(_across(members, labels))
         released(docs.sparkSession)
     if rest.limit(1).count():  # then every likely pair that is still across components
         sets = written(_sets(docs, cut(rest.select(F.col("rep").alias("id")).distinct()), width), "shingle-sets")
         more = cut(_tested(_cells(rest, one, sets), threshold, percent))
         if more.limit(1).count():
-            labels = components(links.unionByName(more))
+            labels = components(_stars(labels).unionByName(more))
     named = signed.join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"], "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(linked == F.col("doc_id"), F.lit(True)).alias("kept"))

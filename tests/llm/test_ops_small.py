@@ -324,3 +324,18 @@ def test_pruned_search_equals_brute_force():
 
 def test_crc_of_ids_is_little_endian():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0")
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """What is stars already takes no step; chains, rings and later edges between stars end in the least id."""
+    from quern.llm import neardup
+
+    steps = []
+    monkeypatch.setattr(neardup, "released", lambda session: steps.append(1))
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    found = lambda df: {tuple(r) for r in df.collect()}
+    stars = neardup.components(edges([(1, 2), (3, 1), (5, 6), (1, 2), (7, 7)]))
+    assert found(stars) == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} and not steps
+    assert found(neardup.components(neardup._stars(stars).unionByName(edges([(6, 3)])))) == {(k, 1) for k in (1, 2, 3, 5, 6)}
+    assert found(neardup.components(edges([(k, k + 1) for k in range(20)] + [(40, 30), (30, 35), (35, 40)]))) == {(k, 0) for k in range(21)} | {(30, 30), (35, 30), (40, 30)}
+    assert found(neardup.components(edges([]))) == set()
