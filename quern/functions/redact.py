@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import comment_sign
@@ -56,6 +56,11 @@ def redacted(text: Column, custom: Iterable[str] = (), mark: str = MARK) -> Colu
     return text
 
 
+def _bound(value: Column, to: Callable[[Column], Column]) -> Column:
+    """to(value), value worked out once for a row, however often to names it."""
+    return F.transform(F.array(value), to)[0]
+
+
 def fired(text: Column, custom: Iterable[str] = (), mark: str = MARK) -> Column:
     """The labels that replace something, in order, each tested on what the one before it left."""
     labels, at = [], text
@@ -170,30 +175,60 @@ _JSON = r'"(?:\\.|[^"\\])*"|[{}\[\],:]|[^\s{}\[\],:"]+'
 def redacted_json(df: DataFrame, column: str, custom: Iterable[str] = (), mark: str = MARK) -> DataFrame:
     """df with JSON text of any depth redacted: values of sensitive keys are replaced, other strings are searched; null where it is no JSON.
 
-    Each distinct text is dealt to its tokens; windows over them find keys and where the value of a sensitive one ends,
-    and what is left is put together again, without space between. Texts with a key twice in an object are no JSON.
+    Each text is worked on in its row, in time linear in its tokens: a fold over them finds the stretches that are values
+    of sensitive keys, and what is between those is put together again, without space. Texts with a key twice in an object
+    are no JSON.
     """
-    w = Window.partitionBy("_key").orderBy("pos")
-    key = F.sha2(F.col(column), 256)
-    rows = df.select(column).filter(F.try_parse_json(F.col(column)).isNotNull()).distinct().select(key.alias("_key"), F.posexplode(F.regexp_extract_all(column, F.lit(_JSON), F.lit(0))).alias("pos", "tok"))
-    said = F.get_json_object(F.concat(F.lit("["), "tok", F.lit("]")), "$[0]")
-    opens, closes = F.col("tok").isin("{", "["), F.col("tok").isin("}", "]")
-    rows = rows.withColumn("text", F.when(F.col("tok").startswith('"'), said)).withColumn("is_key", F.col("text").isNotNull() & F.coalesce(F.lead("tok").over(w) == ":", F.lit(False)))
-    rows = rows.withColumn("named", F.coalesce(F.lag(F.col("is_key") & F.lower("text").isin(*SENSITIVE_KEYS), 2).over(w), F.lit(False)) & (F.lag("tok").over(w) == ":"))
-    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("level", depth + F.when(closes, 1).otherwise(0))
-    ends = F.lead("pos").over(Window.partitionBy("_key", "level", opens | closes).orderBy("pos"))  # what closes a bracket is the next bracket of its level
-    rows = rows.withColumn("end", F.when(F.col("named"), F.when(opens, ends).otherwise(F.col("pos"))))
-    gone = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("pos"), F.lit(False))
-
-    def quoted(text: Column) -> Column:
-        whole = F.to_json(F.array(text))
-        return F.substring(whole, F.lit(2), F.length(whole) - 2)
-
-    out = F.when(F.col("named"), quoted(F.lit(mark))).when(F.col("is_key"), quoted(F.col("text"))).when(F.col("text").isNotNull(), quoted(redacted(F.col("text"), custom, mark))).otherwise(F.col("tok"))
-    left = rows.withColumn("gone", gone).filter(~F.col("gone")).select("_key", "pos", out.alias("out"))
-    whole = left.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("_json"))  # the tokens of one text
-    return df.withColumn("_key", key).join(whole, "_key", "left").withColumn(column, F.col("_json")).select(*df.columns)
+    custom = tuple(custom)
+    valid = F.try_parse_json(F.col(column)).isNotNull()
+    tokens = F.regexp_extract_all(column, F.lit(_JSON), F.lit(0))
+    return df.withColumn(column, F.when(valid, _bound(tokens, lambda t: _redacted_tokens(t, custom, mark))))
+
+
+def _redacted_tokens(tokens: Column, custom: tuple[str, ...], mark: str) -> Column:
+    """The tokens of a JSON text put together, redacted."""
+    said = lambda x: F.get_json_object(F.concat(F.lit("["), x, F.lit("]")), "$[0]")
+    inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+    escaped = lambda x: x.contains("\\")
+    quoted = lambda x: inner(F.to_json(F.array(x)))
+    text = lambda x: F.when(escaped(x), said(x)).otherwise(inner(x))
+
+    def kind(x: Column, k: Column) -> Column:
+        """8 times the place, and 1 for what opens, 2 for what closes, 4 for the first token of a sensitive value."""
+        key = F.get(tokens, k - 2)
+        named = F.when((F.get(tokens, k - 1) == ":") & key.startswith('"'), F.lower(text(key)).isin(*SENSITIVE_KEYS))
+        return k * 8 + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), 2).otherwise(0) + F.when(named, 4).otherwise(0)
+
+    def step(a: Column, x: Column) -> Column:
+        """How deep in a sensitive value (0: in none), and the places where such values begin and end."""
+        state = lambda depth, begin, end: F.struct(depth.alias("depth"), begin.alias("begin"), end.alias("end"))
+        more = lambda places: F.concat(places, F.array(F.shiftright(x, 3)))
+        depth = a["depth"] + F.when(x % 4 == 1, 1).when(x % 4 == 2, -1).otherwise(0)
+        inside = F.when((a["depth"] == 1) & (x % 4 == 2), state(F.lit(0), a["begin"], more(a["end"]))).otherwise(state(depth, a["begin"], a["end"]))
+        begins = F.when(x % 4 == 1, state(F.lit(1), more(a["begin"]), a["end"])).otherwise(state(F.lit(0), more(a["begin"]), more(a["end"])))
+        return F.when(a["depth"] > 0, inside).when(x % 8 < 4, a).otherwise(begins)
+
+    def shown(x: Column, k: Column) -> Column:
+        """A token that stays; k is its place."""
+        searched = F.lit(True) if custom else F.regexp_like(x, F.lit(_MAY))
+        key = F.get(tokens, k + 1) == ":"
+        return F.when(~x.startswith('"'), x).when(key, F.when(escaped(x), quoted(said(x))).otherwise(x)).when(escaped(x) | searched, quoted(redacted(text(x), custom, mark))).otherwise(x)
+
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("depth"), none.alias("begin"), none.alias("end"))
+
+    def whole(a: Column) -> Column:
+        n = F.size(a["begin"])
+
+        def piece(k: Column) -> Column:
+            """The tokens before the k-th sensitive value, or after the last, and the mark that stands for it."""
+            first = F.coalesce(F.get(a["end"], k - 1) + 1, F.lit(0))
+            kept = F.slice(tokens, first + 1, F.coalesce(F.get(a["begin"], k), F.size(tokens)) - first)
+            return F.concat(F.array_join(F.transform(kept, lambda x, i: shown(x, first + i)), ""), F.when(k < n, quoted(F.lit(mark))).otherwise(F.lit("")))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
+
+    return _bound(F.aggregate(F.filter(F.transform(tokens, kind), lambda x: x % 8 > 0), start, step), whole)
 
 
 def redacted_edges(edges: DataFrame, custom: Iterable[str] = (), on: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from quern.operators import graph, lines, nodes, scans, source
 from quern.plans import insight, refresh, rules, samples
 from quern.sources import linters, settings
 from quern.sources.files import language_of
+from quern.sources.store import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -363,7 +364,8 @@ def eslint_reports_of_customers(spark, d):
 def nested_json_of_events(spark, d):
     """Arguments as JSON of several levels: values of sensitive keys are replaced whole, other strings are searched, without Python."""
     text = F.concat(F.lit('{"at": {"Token": {"x": ['), "props", F.lit('], "password": "p"}, "ip": "from 10.0.0.'), (F.col("event_id") % 250).cast("string"), F.lit('"}, "list": ['), "props", F.lit(', "\\u00e9", null, []], "password": [1, {"a": "}"}], "user": '), F.col("user_id").cast("string"), F.lit("}"))
-    return redact.redacted_json(t(spark, d, "events").select("event_id", text.alias("clean")), "clean")
+    rows = spread(t(spark, d, "events").select("event_id", "props", "user_id"), "event_id")
+    return redact.redacted_json(rows.select("event_id", text.alias("clean")), "clean")
 
 
 @q("SELECT event_id, '{\"a\":[{\"c\":' || user_id || ',\"d\":true}],\"b\":' || replace(props, ' ', '') || ',\"z\":\"é \\\" x\"}' AS clean FROM events")

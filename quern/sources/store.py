@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """files (rel_path, ..) dealt to tasks by path, before their texts are parsed.
+def spread(files: DataFrame, key: str = "rel_path") -> DataFrame:
+    """files (rel_path, ..) dealt to tasks by path, or other rows by their key, before their texts are parsed or searched.
 
     The rows that texts are built from, or a listing, may lie in one small split, and parsing takes long for its bytes.
     """
-    return files.repartition("rel_path")
+    return files.repartition(key)
 
 
 def kept(df: DataFrame) -> DataFrame:

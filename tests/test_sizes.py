@@ -33,3 +33,12 @@ def test_every_part_of_a_tree_is_parsed_by_many_tasks(spark):
     files = spark.range(8).selectExpr("concat('a', id, '.py') AS rel_path", "'python' AS language", "'f(x)' AS content").coalesce(1)
     for parsed in (source.analysis, dataflow.sites, nodes.code_nodes):
         assert "hashpartitioning(rel_path" in _plan(parsed(files))
+
+
+def test_json_is_redacted_in_its_row(spark):
+    from quern.functions import redact
+
+    rows = [('{"token": [{"a": 1}, "x"], "list": ["10.0.0.1", {"Secret": 2}], "n": {"password": "p"}}',), ('{"a": 1, "a": 2}',), (None,)]
+    got = redact.redacted_json(spark.createDataFrame(rows, "v string").coalesce(1), "v")
+    assert "Exchange" not in _plan(got) and "Window" not in _plan(got)
+    assert [r["v"] for r in got.collect()] == ['{"token":"[REDACTED]","list":["[REDACTED]",{"Secret":"[REDACTED]"}],"n":{"password":"[REDACTED]"}}', None, None]
