@@ -63,11 +63,11 @@ def _bound(value: Column, to: Callable[[Column], Column]) -> Column:
 
 def fired(text: Column, custom: Iterable[str] = (), mark: str = MARK) -> Column:
     """The labels that replace something, in order, each tested on what the one before it left."""
-    labels, at = [], text
+    at = F.struct(text.alias("text"), F.array().cast("array<string>").alias("labels"))
     for label, p in secrets(custom):
-        labels.append(F.when(F.regexp_like(at, F.lit(p)), F.lit(label)))
-        at = F.regexp_replace(at, F.lit(p), _to(mark))
-    return F.array_compact(F.array(*labels))
+        hit = lambda x: F.struct(F.regexp_replace(x["text"], F.lit(p), _to(mark)).alias("text"), F.concat(x["labels"], F.array(F.lit(label))).alias("labels"))  # noqa: B023, E731
+        at = _bound(at, lambda x: F.when(F.regexp_like(x["text"], F.lit(p)), hit(x)).otherwise(x))  # noqa: B023
+    return at["labels"]
 
 
 def detected(text: Column, custom: Iterable[str] = ()) -> Column:

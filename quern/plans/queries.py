@@ -17,6 +17,7 @@ from quern.operators import graph, lines, markov, markup
 from quern.plans import insight, report, rules, treequeries
 from quern.sources.files import lines as explode_lines
 from quern.sources.files import in_scope, restriction
+from quern.sources.store import spread
 from quern.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +49,7 @@ CARRIER = "concat('db.password = ', c_name, chr(10), 'host=10.0.', c_nationkey,
 
 def carrier(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("concat('db.password = ', c_name, chr(10), 'host=10.0.', c_nationkey, '.7', chr(10), 'url: https://api', c_custkey, '.internal/v1', chr(10), 'auth_token = ', chr(34), 'abcdefgh', c_custkey, chr(34))")
-    return t(spark, d, "customer").select("c_custkey", text.alias("text"))
+    return spread(t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey").select("c_custkey", text.alias("text"))
 
 
 def _doc_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -42,3 +42,19 @@ def test_json_is_redacted_in_its_row(spark):
     got = redact.redacted_json(spark.createDataFrame(rows, "v string").coalesce(1), "v")
     assert "Exchange" not in _plan(got) and "Window" not in _plan(got)
     assert [r["v"] for r in got.collect()] == ['{"token":"[REDACTED]","list":["[REDACTED]",{"Secret":"[REDACTED]"}],"n":{"password":"[REDACTED]"}}', None, None]
+
+
+def test_each_pattern_replaces_once(spark):
+    from quern.functions import redact
+
+    rows = spark.createDataFrame([("password = abcdefgh at 10.0.0.1",), (None,)], "v string")
+    got = rows.select(redact.fired(rows["v"]).alias("v"))
+    assert _plan(got).count("regexp_replace") <= len(redact.SECRETS)
+    assert [r["v"] for r in got.collect()] == [["PRIVATE_IP", "GENERIC_SECRET"], []]
+
+
+def test_texts_of_one_small_split_are_searched_by_many_tasks(spark, tmp_path):
+    from quern.plans import queries
+
+    spark.sql("SELECT 1L AS c_custkey, 'a' AS c_name, 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert "hashpartitioning(c_custkey" in _plan(queries.carrier(spark, str(tmp_path)))
