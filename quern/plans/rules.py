@@ -211,8 +211,8 @@ def facts(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """The analysis of the files, worked out once: written, and read column by column by all that follow."""
-    return kept(source.analysis(files.filter("language is not null")))
+    """What rules need of the analysis of the files, worked out once: written, and read column by column by all that follow."""
+    return kept(source.analysis(files.filter("language is not null"), tables=("functions", "calls", "assigns", "comments", "tests")))
 
 
 def structural(files: DataFrame, found: DataFrame | None = None, more: tuple = ()) -> DataFrame:

@@ -132,7 +132,7 @@ _LAST = f"({_START}) + CASE WHEN g <> 0 THEN 3 WHEN j % 2 = 0 THEN 2 ELSE 1 END"
 
 
 def _found(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return source.exploded(source.analysis(parts_tree(spark, d)), table).withColumn("p_partkey", samples.key_of(F.col("rel_path")))
+    return source.exploded(source.analysis(parts_tree(spark, d), tables=(table,)), table).withColumn("p_partkey", samples.key_of(F.col("rel_path")))
 
 
 @q(f"""SELECT k AS p_partkey, 'f' || k || '_' || j AS name, CASE g WHEN 2 THEN 'Part' || k || '::' ELSE 'Part' || k || '.' END || 'f' || k || '_' || j AS qualified_name, 'Part' || k AS owner,
@@ -173,7 +173,7 @@ def calls_over_parts(spark, d):
 @q("SELECT CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'rust' END AS language, count(*) AS files, sum(p_partkey % 4)::BIGINT AS functions FROM part GROUP BY 1")
 def languages_over_parts(spark, d):
     """Files and functions by language."""
-    found = source.analysis(parts_tree(spark, d))
+    found = source.analysis(parts_tree(spark, d), tables=("functions",))
     return found.groupBy("language").agg(F.count("rel_path").alias("files"), F.sum(F.size("functions")).cast("long").alias("functions"))
 
 

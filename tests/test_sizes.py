@@ -58,3 +58,18 @@ def test_texts_of_one_small_split_are_searched_by_many_tasks(spark, tmp_path):
 
     spark.sql("SELECT 1L AS c_custkey, 'a' AS c_name, 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     assert "hashpartitioning(c_custkey" in _plan(queries.carrier(spark, str(tmp_path)))
+
+
+def test_only_asked_tables_are_worked_out(spark, tmp_path):
+    from quern.operators import source
+    from quern.plans import treequeries
+
+    text = "import a.b\n# weigh\ndef f(x):\n    g(x, 'y')\n"
+    for table in source.TABLES:
+        found = source.analysed(text, "python", tables=(table,))
+        assert getattr(found, table) == getattr(source.analysed(text, "python"), table)
+        assert {t for t in source.TABLES if t != table and getattr(found, t)} <= ({"functions", "types", "calls"} if table in ("calls", "assigns", "functions", "types") else set())
+    spark.sql("SELECT 1L AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    for query in ("imports", "comments", "calls"):
+        plan = _plan(treequeries.QUERIES[f"{query}_over_parts"](spark, str(tmp_path)))
+        assert not [t for t in source.TABLES if t != query and f"{t}#" in plan]
