@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DELAY_MS, RESTRICTIONS = 500, ".quernignore"
+#: Groups that the keys of a stream are dealt to.
+BUCKETS = 2048
 
 
 def action(kind: Column, path: Column, restrictions: str = RESTRICTIONS) -> Column:
@@ -79,30 +81,40 @@ def debounced_stream(events: DataFrame, key: str, time_ms: str, delay: int = DEL
     """The same on a stream, by the events' own time: the state is the open refresh, and a timer closes it when the watermark has passed its end.
 
     Events of a key that come in one batch may be in any order; those behind the watermark (late behind the latest event) are dropped.
+    Keys (numbers, texts, dates) are dealt to BUCKETS groups, each of which is called once a batch and holds the open
+    refreshes of its keys: a call costs more than the few events that a key has in a batch.
     """
-    own = events.select(F.col(key), F.col(time_ms).cast("long").alias(time_ms), F.timestamp_millis(F.col(time_ms)).alias("_at")).filter(F.col(time_ms).isNotNull()).withWatermark("_at", late)
-
-    def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        armed, count = state.get if state.exists else (None, 0)
-        done: list[tuple[int, int]] = []
-        if state.hasTimedOut:
-            done = [(armed, count)]
-            state.remove()
-        else:
-            times = sorted(int(t) for p in parts for t in p[time_ms].tolist())
-            done, now, n = _walk(times, armed, delay)
-            if done and armed is not None:
-                done[0] = (done[0][0], done[0][1] + count)
+    name = F.col(key).cast("string")
+    own = events.select(name.alias(key), F.col(time_ms).cast("long").alias(time_ms), F.timestamp_millis(F.col(time_ms)).alias("_at"), F.pmod(F.xxhash64(name), F.lit(BUCKETS)).alias("_bucket"))
+    own = own.filter(F.col(time_ms).isNotNull()).withWatermark("_at", late)
+
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (a, n) for k, a, n in zip(*state.get)} if state.exists else {}
+        times: dict[str | None, list[int]] = {}
+        if not state.hasTimedOut:
+            for p in parts:
+                for k, t in zip(p[key].tolist(), p[time_ms].tolist()):
+                    times.setdefault(k, []).append(int(t))
+        done: list[tuple[str | None, int, int]] = []
+        for k, at in times.items():
+            armed, count = held.get(k, (None, 0))
+            ended, now, n = _walk(sorted(at), armed, delay)
+            if ended and armed is not None:
+                ended[0] = (ended[0][0], ended[0][1] + count)
             elif armed is not None:
                 n += count
-            if now + delay <= state.getCurrentWatermarkMs():  # over already
-                done.append((now, n))
-                state.remove()
-            else:
-                state.update((now, n))
-                state.setTimeoutTimestamp(now + delay)
+            done += [(k, *e) for e in ended]
+            held[k] = (now, n)
+        over = state.getCurrentWatermarkMs() - delay
+        done += [(k, a, n) for k, (a, n) in held.items() if a <= over]
+        held = {k: x for k, x in held.items() if x[0] > over}
+        if held:
+            state.update((list(held), [a for a, _ in held.values()], [n for _, n in held.values()]))
+            state.setTimeoutTimestamp(min(a for a, _ in held.values()) + delay)
+        elif state.exists:
+            state.remove()
         if done:
-            yield pd.DataFrame({key: [name[0]] * len(done), "first_ms": [d[0] for d in done], "events": [d[1] for d in done]})
+            yield pd.DataFrame({key: pd.Series([d[0] for d in done], dtype=object), "first_ms": [d[1] for d in done], "events": [d[2] for d in done]})
 
-    kind = events.schema[key].dataType.simpleString()
-    return own.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, first_ms long, events long", "armed long, count long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = own.groupBy("_bucket").applyInPandasWithState(run, f"{key} string, first_ms long, events long", "keys array<string>, armed array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn(key, F.col(key).cast(events.schema[key].dataType))

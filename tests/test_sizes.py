@@ -73,3 +73,19 @@ def test_only_asked_tables_are_worked_out(spark, tmp_path):
     for query in ("imports", "comments", "calls"):
         plan = _plan(treequeries.QUERIES[f"{query}_over_parts"](spark, str(tmp_path)))
         assert not [t for t in source.TABLES if t != query and f"{t}#" in plan]
+
+
+def test_a_stream_calls_groups_of_keys_not_each_key(spark, tmp_path):
+    from quern.streaming import watch
+
+    keys = 2 * watch.BUCKETS
+    events = spark.range(2 * keys).selectExpr(f"nullif(id % {keys}, 7) AS k", f"1000 + id div {keys} * 400 + id % 3 AS ms")
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(-1, 20_000)], "k long, ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = watch.debounced_stream(stream, "k", "ms", 500).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    run.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= watch.BUCKETS
+    got = spark.read.schema("k long, first_ms long, events long").parquet(f"{tmp_path}/out").filter("k is null or k >= 0")
+    want = watch.debounced(events, "k", "ms", 500)
+    assert got.count() == keys and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
