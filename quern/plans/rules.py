@@ -124,7 +124,8 @@ def literal_index(rules: tuple = catalogue.RULES) -> tuple[list[tuple[int, str,
 def candidates(f: DataFrame, rules: tuple = catalogue.RULES) -> DataFrame:
     """Facts with the rules whose expressions they might fit: those of their language and table that need a word which they hold.
 
-    The words of each fact meet the index on equality; only rules without a sure word meet all facts of their table.
+    The words of each fact that the index has at all are rows, which meet it on equality; only rules without a sure word
+    meet all facts of their table.
     """
     rows, rest = literal_index(rules)
     spark = f.sparkSession
@@ -132,8 +133,10 @@ def candidates(f: DataFrame, rules: tuple = catalogue.RULES) -> DataFrame:
     index = table.join(spark.createDataFrame(rows, "rule_no int, _column string, _word string"), "rule_no")
 
     def held(c: str) -> Column:
-        words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9_]+)"), F.lit(1)))
-        return F.transform(words, lambda w: F.struct(F.lit(c).alias("_column"), w.alias("_word")))
+        known = sorted({r[2] for r in rows if r[1] == c})
+        words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), F.lit(1)), lambda w: w.isin(*known)))
+        none = F.array().cast("array<struct<_column:string,_word:string>>")
+        return F.when(F.col(c).isNotNull(), F.transform(words, lambda w: F.struct(F.lit(c).alias("_column"), w.alias("_word")))).otherwise(none)
 
     words = f.withColumn("_w", F.explode(F.concat(*[held(c) for c in sorted({r[1] for r in rows})]))).withColumn("_column", F.col("_w._column")).withColumn("_word", F.col("_w._word")).drop("_w")
     met = words.join(F.broadcast(index), ["language", "table", "_column", "_word"]).drop("_column", "_word")

@@ -89,3 +89,13 @@ def test_a_stream_calls_groups_of_keys_not_each_key(spark, tmp_path):
     got = spark.read.schema("k long, first_ms long, events long").parquet(f"{tmp_path}/out").filter("k is null or k >= 0")
     want = watch.debounced(events, "k", "ms", 500)
     assert got.count() == keys and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_only_words_of_the_index_become_rows(spark):
+    from quern.operators import source
+    from quern.plans import rules
+
+    files = spark.createDataFrame([("a.py", "python", "weigh(crate)\n")], "rel_path string, language string, content string")
+    facts = rules.facts(files, source.analysis(files))
+    plan = _plan(rules.candidates(facts))
+    assert "filter(regexp_extract_all(" in plan
