@@ -99,3 +99,44 @@ def test_only_words_of_the_index_become_rows(spark):
     facts = rules.facts(files, source.analysis(files))
     plan = _plan(rules.candidates(facts))
     assert "filter(regexp_extract_all(" in plan
+
+
+def test_parsing_tasks_are_not_put_together_by_bytes(spark):
+    from quern.operators import dataflow, source
+
+    files = spark.range(8).selectExpr("concat('a', id, '.py') AS rel_path", "'python' AS language", "'f(x)' AS content").coalesce(1)
+    for parsed in (source.analysis, dataflow.sites, nodes.code_nodes):
+        assert "REPARTITION_BY_NUM" in _plan(parsed(files))
+
+
+def test_inputs_of_all_files_do_not_share_a_key(spark):
+    from quern.plans import flows
+
+    text = "def v():\n    return open(request.args['f'])\ndef w(q):\n    q = request.args['q']\n    c.execute(q)\n"
+    e = flows.Edges(spark.range(20).selectExpr("concat('a', id, '.py') AS rel_path", "'python' AS language", f"'{text.replace(chr(39), chr(34))}' AS content"))
+    by_key = [r["count"] for r in e.edges.groupBy("rel_path", "scope", "name", "epoch").count().collect()]
+    assert len(by_key) >= 40 and max(by_key) <= 3
+    _, arrivals = e.seeds()
+    held = arrivals.filter("s_kind = 'def'")
+    assert held.count() == 20 == flows._arrived(held).count()  # a row for all kinds
+    e.edges.unpersist()
+
+
+def test_a_round_moves_its_new_facts_only(spark):
+    from quern.plans import flows
+
+    e = flows.Edges(spark.createDataFrame([("a.py", "python", "def v():\n    q = request.args['q']\n    c.execute(q)\n")], "rel_path string, language string, content string"))
+    assert e.edges.count() == 2  # the input that q holds, and q in the call
+    names = spark.createDataFrame([("a.py", 1, "q", 1)], "rel_path string, scope int, name string, epoch int")
+    found = names.hint("merge").join(e.edges, names.columns)
+    assert _plan(found).split("InMemoryRelation")[0].count("Exchange hashpartitioning") == 1 and found.count() == 1
+    e.edges.unpersist()
+
+
+def test_names_of_many_calls_and_calls_by_keyword_lead_into_their_function(spark):
+    from quern.plans import rules
+
+    lib = [("lib.py", "python", "import os\ndef launch(a, cmd):\n    os.system(cmd)\ndef same(x):\n    return x\n")]
+    apps = [(f"app{k}.py", "python", f"def view{k}():\n    q = same(request.args['q'])\n    launch(1, cmd=q)\n    launch(q, 2)\n") for k in range(30)]
+    got = rules.taint(spark.createDataFrame(lib + apps, "rel_path string, language string, content string")).select("file", "line").collect()
+    assert sorted(map(tuple, got)) == sorted((p, 3) for p, _, _ in apps)
