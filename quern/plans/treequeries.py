@@ -50,7 +50,8 @@ WAYS = [(line, end, text) for end, text, line in samples.WAYS]
 @q(f"SELECT o_orderkey, rule FROM orders JOIN {numbered(STATEMENTS, 'rule')} ON o_orderkey % {len(STATEMENTS)} = n")
 def rules_over_orders(spark, d):
     """Every structural rule, in every shape of its language, over a file for each order."""
-    hit = rules.structural(samples.dealt(t(spark, d, "orders"), "o_orderkey", STATEMENTS))
+    orders = spread(t(spark, d, "orders").select("o_orderkey"), "o_orderkey")  # keys are dealt, not the texts that are built from them
+    hit = rules.structural(samples.dealt(orders, "o_orderkey", STATEMENTS), dealt=True)
     return hit.select(samples.key_of(F.col("file")).alias("o_orderkey"), "rule").distinct()
 
 

@@ -109,3 +109,17 @@ def test_audit_drops_structural_twins(spark):
     files = table(spark, [("app.py", "def view(cur):\n    name = request.form['n']\n    cur.execute(\"select a from t where n = \" + name)\n")])
     got = [r["rule"] for r in rules.audit(files).collect()]
     assert got == ["py-sql-injection-taint"]
+
+
+def test_rules_meet_files_in_one_pass_as_they_do_by_joins(spark):
+    odd = [("crlf.py", "def make_token():\r\n    eval(x)\r\n    return random.choice(s)\r\n\r\n"), ("one.js", "function a() { function token() { k = Math.random(); } eval(x) } try { a() } catch (e) { }"), ("empty.py", ""), ("none.py", None), ("a.txt", "eval(x)")]
+    hardened = [("two.java", "class X {\n void f() {\n  q = DocumentBuilderFactory.newInstance();\n  q.setFeature(\"external-general-entities\", false); }\n}\nclass Y {\n void f() {\n  q = DocumentBuilderFactory.newInstance(); }\n}\n")]
+    files = table(spark, [(f"src/{p}", s) for _, p, s in POSITIVE] + [(f"ok/{p}", s) for p, s in SAFE] + list(MORE.items()) + odd + hardened)
+    once, joined = rules.structural(files), rules.structural(files, rules.parsed(files))
+    assert once.count() > len(POSITIVE) and once.exceptAll(joined).count() == 0 == joined.exceptAll(once).count()
+
+
+def test_parts_that_an_expression_needs():
+    assert rules.required_parts(r"CipherMode\.ECB") == {"ciphermode.ecb"} and rules.required_parts(r"(?s)(?=.*a\()(?=.*(Allow|Let)All\(\))") == {"allowall()", "letall()"}
+    assert rules.required_parts(r"(x.*abc|y\d+de)z?") == {"abc", "de"} and rules.required_parts(r"(?i)\w*(Pass(wor)?d)+\s*==") == {"passd", "password"}
+    assert rules.required_parts(r"(?!abc)\w*") is None and rules.required_parts(r"(abc)?\d") is None and rules.required_parts(r"(abc|\d+)") is None

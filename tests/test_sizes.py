@@ -140,3 +140,20 @@ def test_names_of_many_calls_and_calls_by_keyword_lead_into_their_function(spark
     apps = [(f"app{k}.py", "python", f"def view{k}():\n    q = same(request.args['q'])\n    launch(1, cmd=q)\n    launch(q, 2)\n") for k in range(30)]
     got = rules.taint(spark.createDataFrame(lib + apps, "rel_path string, language string, content string")).select("file", "line").collect()
     assert sorted(map(tuple, got)) == sorted((p, 3) for p, _, _ in apps)
+
+
+def test_rules_keep_nothing_of_the_files(spark, tmp_path):
+    from pathlib import Path
+
+    from quern.plans import treequeries
+
+    n = 3 * len(treequeries.STATEMENTS)
+    spark.range(n).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.rglob("*"))
+    got = treequeries.QUERIES["rules_over_orders"](spark, str(tmp_path))
+    plan = _plan(got)
+    assert set(shared.rglob("*")) == before  # neither facts nor analyses are written
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(o_orderkey" in plan and "SortMergeJoin" not in plan  # keys are dealt, no text moves
+    want = {(k, treequeries.STATEMENTS[k % len(treequeries.STATEMENTS)][0]) for k in range(n)}
+    assert set(map(tuple, got.collect())) == {(k, rule) for k, rule in want if rule}
